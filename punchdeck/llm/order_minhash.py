@@ -11,8 +11,8 @@ pair with a Jaccard similarity of 0.8 and few moves is above it.) A band of 0.2
 
 Texts that are equal word for word are one class from the start and the smallest id stands for it. Classes that
 share a sketch meet in buckets: in a bucket of up to ``SMALL`` classes all pairs are candidates; a larger one is
-split by further sketches (twice at most) into small buckets, and each of its classes is compared with the
-smallest id of the bucket it stays in, so a large group of copies costs a number of pairs in proportion to it.
+split three times by a further sketch into smaller ones, and in each bucket that is large still all classes are
+compared with its smallest id, so a large group of copies costs a number of pairs in proportion to it.
 
 Cases: null texts count as empty; texts without a word link with nothing; texts of one to four words have one
 shingle; ties of hashes go to the earlier shingle; repeated ids are merged (smallest text); null ids are left
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from punchdeck.llm.common import by_bytes, components, cut, text_or_empty, written
 
 SHINGLE, LEAST, SKETCHES, PICKED, SMALL = 5, 0.8, 16, 2, 24
+#: Which sketches after its own split a large bucket.
+FURTHER = (1, 5, 11)
 WORD = re.compile(r"\w+")
 PLACE_BITS = 24
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -213,13 +215,11 @@ def candidates(classes: DataFrame, small: int = SMALL) -> DataFrame:
     rows = classes.select("class", "keys", F.posexplode("keys").alias("j", "key"))
     met = written(buckets(rows.select("class", "key", "j")), "buckets")
     out = pairs_of(met).union(stars(met))
-    for step in (1, 2):  # the large buckets, split by each further sketch
-        large = met.filter(F.col("n") > small).select("class", "key", "j")
-        if large.isEmpty():
-            break
-        again = large.join(classes, "class").select("class", "j", "key", F.posexplode("keys").alias("i", "other")).filter("i > j")
-        again = again.select("class", F.xxhash64("key", "other").alias("key"), F.col("i").alias("j"))
-        met = written(buckets(again), "buckets")
+    large = met.filter(F.col("n") > small).select("class", "key", "j")
+    if not large.isEmpty():
+        others = F.posexplode(F.transform(F.array(*map(F.lit, FURTHER)), lambda d: F.get("keys", F.pmod(F.col("j") + d, F.size("keys")))))
+        again = large.join(classes, "class").select("class", "key", others.alias("j", "other"))
+        met = written(buckets(again.select("class", F.xxhash64("key", "other").alias("key"), "j")), "buckets")
         out = out.union(pairs_of(met)).union(stars(met))
     return out.distinct()
 
