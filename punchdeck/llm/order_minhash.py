@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, components, cut, text_or_empty, written
+from punchdeck.llm.common import by_bytes, components, cut, small_batches, text_or_empty, written
 
 SHINGLE, LEAST, SKETCHES, PICKED, SMALL = 5, 0.8, 16, 2, 24
 #: Which sketches after its own split a large bucket.
@@ -41,19 +41,16 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 BATCH_BYTES = 1 << 20
 
 
-class _Hashes(dict):
-    """Hash of each word met; emptied when it is full."""
+class Hashes(dict):
+    """Hash of each word that a task has met; emptied when it is full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_hashes = _Hashes()
-
-
 def times(k: int, m: np.uint64) -> np.uint64:
     return np.uint64(k * int(m) & 0xFFFFFFFFFFFFFFFF)
 
@@ -64,9 +61,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, hashes: Hashes) -> np.ndarray:
     found = WORD.findall(text.lower())
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -184,8 +181,9 @@ def sketched(documents: DataFrame, id_column: str, text_column: str) -> DataFram
     """``(id, digest, keys)``: digest of the words, and the sketches; null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            words = [word_hashes(t) for t in batch.column("text").to_pylist()]
+            words = [word_hashes(t, hashes) for t in batch.column("text").to_pylist()]
             some = [k for k, w in enumerate(words) if len(w)]
             rows = sketches([shingles(words[k]) for k in some]).view(np.int64).tolist() if some else []
             digest, keys = [None] * len(words), [None] * len(words)
@@ -232,13 +230,13 @@ def linked(pairs: DataFrame, documents: DataFrame, id_column: str, text_column:
     texts = written(texts, "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, one = None, None
+        before, one, hashes = None, None, Hashes()
         for b in by_bytes(batches, "ta", BATCH_BYTES):
             keep = []
             for ia, ta, tb in zip(b.column("a").to_pylist(), b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
                 if ia != before:
-                    before, one = ia, shingles(word_hashes(ta))
-                keep.append(similar(one, shingles(word_hashes(tb)), least))
+                    before, one = ia, shingles(word_hashes(ta, hashes))
+                keep.append(similar(one, shingles(word_hashes(tb, hashes)), least))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
@@ -251,6 +249,7 @@ def near_duplicates(documents: DataFrame, least: float = LEAST, id_column: str =
     ``class_id``: smallest id with the same words. ``n_links``: verified links of the class with other classes.
     ``component_id``: smallest id reachable; ``kept`` holds for that document alone.
     """
+    small_batches(documents.sparkSession)
     rows = written(sketched(documents, id_column, text_column).groupBy("id").agg(F.min_by("digest", F.struct("digest")).alias("digest"), F.min_by("keys", F.struct("digest")).alias("keys")), "sketches")
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("class"), F.min("keys").alias("keys"))
     classes = written(classes, "classes")

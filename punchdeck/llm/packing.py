@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, cut, text_or_empty
+from punchdeck.llm.common import by_bytes, cut, small_batches, text_or_empty
 from punchdeck.llm.encoding import encoder, id_bytes, spaced_words
 
 BATCH_BYTES = 2 << 20
@@ -47,6 +47,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, id_
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
     return rows.mapInArrow(run, PIECE)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import cut, text_or_empty
+from punchdeck.llm.common import cut, small_batches, text_or_empty
 
 SAMPLE = 6_000
 MARKERS = 400
@@ -126,14 +126,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, markers:
     return model
 
 
-def scored(documents: DataFrame, model: Model, text_column: str = "text", batch: int = 512) -> DataFrame:
-    """Adds ``evidence``; all columns are carried along."""
+def scored(documents: DataFrame, model: Model, text_column: str = "text", nested: bool = False, batch: int = 512) -> DataFrame:
+    """Adds ``evidence``; all columns are carried along. ``nested``: the text is a field of the column ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, batch):
                 part = b.slice(start, batch)
-                texts = [t or "" for t in part.column(text_column).to_pylist()]
+                held = part.column("row") if nested else part
+                texts = [t or "" for t in (held.field(text_column) if nested else held.column(text_column)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.evidence(texts), pa.float64())], names=[*part.schema.names, "evidence"])
 
     from pyspark.sql import types as T
@@ -184,11 +185,12 @@ def classify(documents: DataFrame, labels: DataFrame, host_column: str = "source
     site shares is small enough to be broadcast by the optimizer's own size check; else that join is shuffled
     and a hot site is split by adaptive skew handling.
     """
+    small_batches(documents.sparkSession)
     model = fit(documents, labels, sample)
     slim = documents.select(F.col(host_column).alias("host"), F.col(path_column).alias("path"), "text")
     votes = scored(slim, model).drop("text")
     prior = 1 / (1 + np.exp(-model.base))
-    rows = scored(documents.select(F.struct("*").alias("row"), F.col(host_column).alias("host"), F.col(path_column).alias("path"), "text"), model)
+    rows = scored(documents.select(F.struct("*").alias("row"), F.col(host_column).alias("host"), F.col(path_column).alias("path")), model, nested=True)
     out = posterior(votes, rows, prior, keep_at)
     made = ["evidence", "host_share", "path_share", "posterior", "kept"]
     return out.select(*(F.col("row")[c].alias(c) for c in documents.columns if c not in made), *made)

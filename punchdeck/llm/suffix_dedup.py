@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, text_or_empty
+from punchdeck.llm.common import by_bytes, small_batches, text_or_empty
 
 LENGTH, GRAM = 400, 64
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 BATCH_BYTES = 1 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BYTE_HASH = np.random.default_rng(64).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -313,6 +313,7 @@ def spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col
     """(key, n, text) of the distinct texts, and (key, a, b): starts that repeat. Key: 128 bits of a SHA-256."""
     if length < gram:
         gram = 1 << (length.bit_length() - 1)
+    small_batches(documents.sparkSession)
     text = text_or_empty(text_column)
     key = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
     texts = documents.select(key.alias("key"), text.alias("text")).groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text"))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, text_or_empty
+from punchdeck.llm.common import by_bytes, small_batches, text_or_empty
 from punchdeck.llm.encoding import encoder, words
 
 BATCH_BYTES = 2 << 20
@@ -32,5 +32,6 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
                 names=[id_column, "n_bytes", "n_tokens", "over_limit"],
             )
 
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
     return rows.mapInArrow(count, f"`{id_column}` long, n_bytes long, n_tokens long, over_limit boolean")

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, cut, shared_folder, text_or_empty
+from punchdeck.llm.common import by_bytes, cut, shared_folder, small_batches, text_or_empty
 from punchdeck.llm.encoding import encoder, id_bytes, words
 
 MAGIC = b"PDTOK1\0\0"
@@ -68,6 +68,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
     import zstandard
 
     spark = documents.sparkSession
+    small_batches(spark)
     rows = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_column).alias("text"))
     dictionary = train(rows, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).digest()

@@ -114,7 +114,7 @@ def test_op1(spark, docs):
 def test_op6(spark, docs):
     from punchdeck.llm import order_minhash as o
 
-    seqs = {d: o.shingles(o.word_hashes(t)) for d, t in docs.items()}
+    seqs = {d: o.shingles(o.word_hashes(t, o.Hashes())) for d, t in docs.items()}
     ids = sorted(docs)
     label = {d: d for d in ids}
 
