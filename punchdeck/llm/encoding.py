@@ -38,6 +38,10 @@ def spaced_words(text: str) -> list[str]:
     return [text] if ODD_SPACE.search(text) else SPACED_UNIT.findall(text)
 
 
+#: Units of at most so many characters stay when the table is full.
+SHORT = 8
+
+
 def id_bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -45,7 +49,7 @@ def id_bytes(ids: list[int]) -> bytes:
 class UnitEncoder:
     """``kept``: what is kept of a unit's ids (``len`` or ``id_bytes``). ``room``: units the table holds at most."""
 
-    def __init__(self, path: str, split: Callable[[str], list[str]], kept: Callable, room: int = 700_000, batch_bytes: int = 1 << 20):
+    def __init__(self, path: str, split: Callable[[str], list[str]], kept: Callable, room: int = 250_000, batch_bytes: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,8 +76,11 @@ class UnitEncoder:
         split = [self.split(t) for t in texts]
         new = set().union(*split).difference(self.table)
         if len(self.table) + len(new) > self.room:
-            self.table.clear()
-            new = set().union(*split)
+            # long units seldom come again
+            self.table = {u: v for u, v in self.table.items() if len(u) <= SHORT}
+            if len(self.table) > self.room // 2:
+                self.table = {}
+            new = set().union(*split).difference(self.table)
         self._learn(new)
         get = self.table.__getitem__
         return [list(map(get, units)) for units in split]
