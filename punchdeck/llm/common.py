@@ -44,6 +44,15 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, rows)
 
 
+def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """``rows`` rows, first by a hash of ``columns``. All but about the share needed are filtered out before the
+    order is taken, so no task and no driver gets more than a fixed multiple of ``rows``."""
+    share = min(1.0, (2 * rows + 200) / max(1, df.count()))
+    hashed = F.xxhash64(*columns)
+    near = df.filter(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return near.orderBy(F.pmod(hashed, F.lit(1 << 30)), *columns).limit(rows)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -49,7 +49,7 @@ def id_bytes(ids: list[int]) -> bytes:
 class UnitEncoder:
     """``kept``: what is kept of a unit's ids (``len`` or ``id_bytes``). ``room``: units the table holds at most."""
 
-    def __init__(self, path: str, split: Callable[[str], list[str]], kept: Callable, room: int = 250_000, batch_bytes: int = 1 << 20):
+    def __init__(self, path: str, split: Callable[[str], list[str]], kept: Callable, room: int = 600_000, batch_bytes: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,9 +89,9 @@ class UnitEncoder:
 _made: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(path: str, split: Callable, kept: Callable) -> UnitEncoder:
+def encoder(path: str, split: Callable, kept: Callable, room: int = 600_000) -> UnitEncoder:
     """One for each worker process."""
-    key = (path, split.__name__, kept.__name__)
+    key = (path, split.__name__, kept.__name__, room)
     if key not in _made:
-        _made[key] = UnitEncoder(path, split, kept)
+        _made[key] = UnitEncoder(path, split, kept, room)
     return _made[key]

@@ -30,11 +30,14 @@ BATCH_BYTES = 2 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)``, ``start`` counted in the document's own ids."""
+def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text", room: int = 600_000) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32)``, ``start`` counted in the document's own ids.
+
+    ``room``: encoded units that a worker remembers, about 200 bytes each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = encoder(tokenizer, spaced_words, id_bytes), id_bytes([end_id]), 4
+        encode, end, width = encoder(tokenizer, spaced_words, id_bytes, room), id_bytes([end_id]), 4
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             out: list[tuple] = []
             for doc, parts in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import cut, small_batches, text_or_empty
+from punchdeck.llm.common import cut, hash_sample, small_batches, text_or_empty
 
 SAMPLE = 6_000
 MARKERS = 400
@@ -93,7 +93,7 @@ def labelled(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """At most ``sample`` labelled texts with ``good`` and ``half``; the sample's ids are broadcast under that bound."""
     one = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     one = one.filter("q = q2").select("doc_id", ((F.col("q") == 1) & (F.col("t") == 0)).alias("good"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hash_sample(one, sample, "doc_id")
     texts = documents.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("good").alias("good")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)))
 

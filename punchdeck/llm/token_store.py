@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, cut, shared_folder, small_batches, text_or_empty
+from punchdeck.llm.common import by_bytes, cut, hash_sample, shared_folder, small_batches, text_or_empty
 from punchdeck.llm.encoding import encoder, id_bytes, words
 
 MAGIC = b"PDTOK1\0\0"
@@ -55,7 +55,7 @@ def train(documents: DataFrame, tokenizer: str, end_id: int, samples: int = 1000
     import zstandard
 
     short = documents.filter((F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0))
-    texts = [r.text for r in short.orderBy(F.xxhash64("id", "text"), "id").select("text").limit(samples).collect()]
+    texts = [r.text for r in hash_sample(short, samples, "id").select("text").collect()]
     ids = [_packed(b"".join(x) + id_bytes([end_id]))[0] for x in encoder(tokenizer, words, id_bytes)(texts)]
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, ids)) // 8)), ids).as_bytes()
