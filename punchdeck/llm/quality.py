@@ -38,6 +38,8 @@ WORD = re.compile(r"[^\W_]+")
 STYLE = ("letters", "digits", "upper", "odd", "spaces", "distinct", "word_length", "line_repeats", "log_words", "endings")
 #: Bound on |evidence|, so that no text outweighs every site.
 EVIDENCE = 12.0
+#: Rows of the table of paths, about 100 bytes each, up to which it is broadcast.
+BROADCAST_PATHS = 100_000
 
 
 def style(text: str, words: list[str]) -> list[float]:
@@ -159,7 +161,10 @@ def posterior(votes: DataFrame, rows: DataFrame, prior: float, keep_at: float =
     both = paths.join(hosts.withColumnRenamed("host", "h_host"), F.col("host").eqNullSafe(F.col("h_host"))).drop("h_host")
     share = F.least(F.greatest((F.col("hk") + wh * mean) / (F.col("hn") + wh), F.lit(1e-6)), F.lit(1 - 1e-6))
     wp = weight(both, F.col("k"), F.col("n"), share)
-    stats = both.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "k", "n", "hk", "hn")
+    stats = both.select(  # a row for each path, broadcast while there are few
+        F.col("host").alias("s_host"), F.col("path").alias("s_path"), "k", "n", "hk", "hn")
+    if paths.count() <= BROADCAST_PATHS:
+        stats = F.broadcast(stats)
     out = rows.join(stats, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path"))).drop("s_host", "s_path")
     # without the document's own vote
     h = (F.col("hk") - vote + wh * mean) / (F.col("hn") - 1 + wh)
