@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from punchdeck.plans import analogues
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(analogues.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(analogues.SQL)
