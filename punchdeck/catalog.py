@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punchdeck.plans import analogues
+from punchdeck.plans import analogues, fixtures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(analogues.QUERIES)
+    return analogues.QUERIES | fixtures.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
