@@ -12,7 +12,12 @@ pair with a Jaccard similarity of 0.8 and few moves is above it.) A band of 0.2
 Texts that are equal word for word are one class from the start and the smallest id stands for it. Classes that
 share a sketch meet in buckets: in a bucket of up to ``SMALL`` classes all pairs are candidates; a larger one is
 split three times by a further sketch into smaller ones, and in each bucket that is large still all classes are
-compared with its smallest id, so a large group of copies costs a number of pairs in proportion to it.
+compared with its smallest id, so a large group of copies costs a number of pairs in proportion to it. Where such a
+bucket then holds more than one component, the classes outside its first's component go through an exact join by
+prefixes (``rest``): texts that are similar share one of the rarest fifth of their labelled shingles, under any
+order of all shingles, so no link between components of a bucket is lost and none within one is tried again.
+
+``n_links`` counts the links that were found; within large groups that are one component, not all are sought.
 
 Cases: null texts count as empty; texts without a word link with nothing; texts of one to four words have one
 shingle; ties of hashes go to the earlier shingle; repeated ids are merged (smallest text); null ids are left
@@ -39,6 +44,8 @@ WORD = re.compile(r"\w+")
 PLACE_BITS = 24
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BATCH_BYTES = 1 << 20
+#: Counters of the table that orders shingles by how common they are: 8 MB, whatever the input.
+SLOT_BITS = 20
 
 
 class Hashes(dict):
@@ -77,12 +84,8 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def sketches(parts: list[np.ndarray], n: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
-    """A row of ``n`` sketches for each sequence of shingles, none of which is empty."""
-    sizes = np.array([len(p) for p in parts])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    flat, doc = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
-    # occurrence numbers: within equal (document, shingle), in text order
+def labelled(flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Shingles with their occurrence numbers: within equal (document, shingle), in text order."""
     tagged = flat ^ mixed(doc.astype(np.uint64) + M1)
     order = np.argsort(tagged, kind="stable")
     ranked = tagged[order]
@@ -90,7 +93,17 @@ def sketches(parts: list[np.ndarray], n: int = SKETCHES, picked: int = PICKED) -
     at = np.arange(len(flat))
     label = np.empty(len(flat), np.uint64)
     label[order] = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
-    base = flat + label * M3
+    return flat + label * M3
+
+
+def sketches(parts: list[np.ndarray], n: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
+    """A row of ``n`` sketches for each sequence of shingles, none of which is empty."""
+    sizes = np.array([len(p) for p in parts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat, doc = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+    at = np.arange(len(flat))
+    base = labelled(flat, doc)
+    place = (at - np.repeat(starts, sizes)).astype(np.uint64)
     # texts of over 2^PLACE_BITS words: places are rounded
     place = (at - np.repeat(starts, sizes)).astype(np.uint64)
     if sizes.max() > 1 << PLACE_BITS:
@@ -195,8 +208,8 @@ def sketched(documents: DataFrame, id_column: str, text_column: str) -> DataFram
     return rows.mapInArrow(run, "id long, digest binary, keys array<long>")
 
 
-def candidates(classes: DataFrame, small: int = SMALL) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, of ``classes(class, keys)``."""
+def candidates(classes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs ``(a, b)``, a < b, of ``classes(class, keys)``, and the buckets ``(key, class)`` left large."""
 
     def buckets(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("first")).filter("n > 1")
@@ -219,15 +232,85 @@ def candidates(classes: DataFrame, small: int = SMALL) -> DataFrame:
         again = large.join(classes, "class").select("class", "key", others.alias("j", "other"))
         met = written(buckets(again.select("class", F.xxhash64("key", "other").alias("key"), "j")), "buckets")
         out = out.union(pairs_of(met)).union(stars(met))
-    return out.distinct()
+        return out.distinct(), met.filter(F.col("n") > small).select("key", "class")
+    return out.distinct(), None
+
+
+def texts_of(documents: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    texts = documents.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
+    return texts.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def contested(large: DataFrame, found: DataFrame) -> DataFrame:
+    """``(id, component, outside)`` of the classes in large buckets that hold more than one component.
+
+    ``outside``: in some bucket it isn't in the component of the bucket's smallest id. Of two classes of one
+    bucket and different components, at least one is outside.
+    """
+    rows = large.join(found, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+    split = rows.groupBy("key").agg(F.min_by("component", "class").alias("star"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return rows.join(split, "key").groupBy(F.col("class").alias("id")).agg(F.min("component").alias("component"), F.max(F.col("component") != F.col("star")).alias("outside"))
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """``(id, n, h)``: the rarest labelled shingles of each text, one more than may differ in a similar one."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        hashes = Hashes()
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            flat = [shingles(word_hashes(t, hashes)) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in flat])
+            yield batch.column("id").to_pylist(), sizes, labelled(np.concatenate(flat), np.repeat(np.arange(len(flat)), sizes))
+
+    shift = np.uint64(64 - SLOT_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for _, _, base in parts(batches):
+            total += np.bincount((base >> shift).astype(np.int64), minlength=1 << SLOT_BITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    slots = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(1 << SLOT_BITS, np.int64)
+    table[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, base in parts(batches):
+            taken = [one[np.lexsort((one, shared.value[(one >> shift).astype(np.int64)]))[: int((1 - least) * len(one) + 1e-9) + 1]] for one in np.split(base, np.cumsum(sizes)[:-1])]
+            held = [len(x) for x in taken]
+            columns = [np.repeat(np.array(ids, np.int64), held), np.repeat(sizes.astype(np.int64), held), np.concatenate(taken).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "n", "h"])
+
+    return texts.mapInArrow(pick, "id long, n long, h long")
+
+
+def rest(large: DataFrame, links: DataFrame, documents: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame:
+    """The links and those between components of large buckets.
+
+    The smallest ids of two components that share a shingle are tried first, so that few pairs are left to try.
+    """
+    members = written(contested(large, components(links).toDF("class", "component")), "contested")
+    if members.isEmpty():
+        return links
+    held = written(prefixes(written(texts_of(documents, members, id_column, text_column), "texts"), least).join(members, "id"), "prefixes")
+    low = held.groupBy("h", "component").agg(F.min("id").alias("id"))
+    out = held.filter("outside").groupBy("h", "component").agg(F.min("id").alias("id"))
+    first = low.toDF("h", "ca", "a").join(out.toDF("h", "cb", "b"), "h").filter("ca <> cb")
+    links = cut(links.union(linked(cut(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), documents, id_column, text_column, least)).distinct())
+    now = held.drop("component").join(components(links).toDF("id", "found"), "id", "left").select("h", "id", "n", "outside", F.coalesce("found", "id").alias("c"))
+    now = written(now, "prefixes")
+    pairs = now.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(now.filter("outside").select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "h")
+    pairs = pairs.filter(F.col("ca") != F.col("cb")).filter(F.least("na", "nb") + 1e-6 >= least * F.greatest("na", "nb"))
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return cut(links.union(linked(pairs, documents, id_column, text_column, least)).distinct())
 
 
 def linked(pairs: DataFrame, documents: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame:
     """The pairs whose texts are similar; texts of candidates alone are shuffled."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
-    texts = documents.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
-    texts = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    texts = written(texts_of(documents, wanted, id_column, text_column), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, one, hashes = None, None, Hashes()
@@ -243,7 +326,7 @@ def linked(pairs: DataFrame, documents: DataFrame, id_column: str, text_column:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, least: float = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, least: float = LEAST, id_column: str = "doc_id", text_column: str = "text", small: int = SMALL) -> DataFrame:
     """``(doc_id, class_id, n_links, component_id, kept)`` for each document.
 
     ``class_id``: smallest id with the same words. ``n_links``: verified links of the class with other classes.
@@ -253,8 +336,10 @@ def near_duplicates(documents: DataFrame, least: float = LEAST, id_column: str =
     rows = written(sketched(documents, id_column, text_column).groupBy("id").agg(F.min_by("digest", F.struct("digest")).alias("digest"), F.min_by("keys", F.struct("digest")).alias("keys")), "sketches")
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("class"), F.min("keys").alias("keys"))
     classes = written(classes, "classes")
-    pairs = cut(candidates(classes.select("class", "keys")))
-    links = cut(linked(pairs, documents, id_column, text_column, least))
+    pairs, large = candidates(classes.select("class", "keys"), small)
+    links = cut(linked(cut(pairs), documents, id_column, text_column, least))
+    if large is not None:
+        links = rest(large, links, documents, id_column, text_column, least)
     found = components(links).toDF("class", "component")
     degree = links.select("a").union(links.select("b")).toDF("class").groupBy("class").agg(F.count("*").alias("links"))
     of_class = classes.select("digest", "class").join(found, "class", "left").join(degree, "class", "left")

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
 import pytest
 
 from punchdeck.llm import decontaminate, embedding_dedup, order_minhash, packing, quality, suffix_dedup, token_counts, token_store, url_rules, warc
@@ -122,3 +123,26 @@ def test_quality(spark, docs, none):
     rows = quality.classify(docs, labels).collect()
     assert len(rows) == len(ROWS) and all(r.kept for r in rows)
     assert quality.classify(none, labels).count() == 0 and quality.classify(docs, labels.limit(0)).count() == len(ROWS)
+
+
+def test_order_minhash_large_buckets(spark):
+    """Texts that drift from one to the next: most links miss the first text of their bucket."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        for _ in range(3):
+            words[int(rng.integers(40, 120))] = f"x{rng.integers(1 << 40)}"
+    one = [order_minhash.shingles(order_minhash.word_hashes(t, order_minhash.Hashes())) for _, t in rows]
+    smallest = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if smallest[a] != smallest[b] and order_minhash.similar(one[a], one[b]):
+                low, high = sorted((smallest[a], smallest[b]))
+                smallest = [low if x == high else x for x in smallest]
+    docs = frame(spark, rows)
+    assert {(r.doc_id, r.component_id) for r in order_minhash.near_duplicates(docs, small=2).collect()} == set(enumerate(smallest))
+    classes = spark.createDataFrame([(i, i // 20 % 2) for i in range(60)], "id long, k long")
+    held = order_minhash.contested(classes.selectExpr("k key", "id class"), classes.selectExpr("id class", "id - id % 20 component"))
+    assert (held.count(), held.filter("outside").count()) == (40, 20)
