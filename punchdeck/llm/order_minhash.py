@@ -253,16 +253,17 @@ def contested(large: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """``(id, n, h)``: the rarest labelled shingles of each text, one more than may differ in a similar one."""
+    """``texts(id, component, outside, text)`` with ``(n, hs)`` for the text: the number of its labelled shingles and
+    the rarest of them, one more than may differ in a similar one."""
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         hashes = Hashes()
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             flat = [shingles(word_hashes(t, hashes)) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(x) for x in flat])
-            yield batch.column("id").to_pylist(), sizes, labelled(np.concatenate(flat), np.repeat(np.arange(len(flat)), sizes))
+            yield batch, sizes, labelled(np.concatenate(flat), np.repeat(np.arange(len(flat)), sizes))
 
-    shift = np.uint64(64 - SLOT_BITS)
+    shift, kept = np.uint64(64 - SLOT_BITS), ("id", "component", "outside")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
@@ -277,13 +278,13 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, base in parts(batches):
+        for batch, sizes, base in parts(batches):
             taken = [one[np.lexsort((one, shared.value[(one >> shift).astype(np.int64)]))[: int((1 - least) * len(one) + 1e-9) + 1]] for one in np.split(base, np.cumsum(sizes)[:-1])]
-            held = [len(x) for x in taken]
-            columns = [np.repeat(np.array(ids, np.int64), held), np.repeat(sizes.astype(np.int64), held), np.concatenate(taken).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "n", "h"])
+            ends = np.cumsum([0] + [len(x) for x in taken]).astype(np.int32)
+            hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes.astype(np.int64)), hs], names=[*kept, "n", "hs"])
 
-    return texts.mapInArrow(pick, "id long, n long, h long")
+    return texts.mapInArrow(pick, "id long, component long, outside boolean, n long, hs array<long>")
 
 
 def rest(large: DataFrame, links: DataFrame, documents: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame:
@@ -294,16 +295,22 @@ def rest(large: DataFrame, links: DataFrame, documents: DataFrame, id_column: st
     members = written(contested(large, components(links).toDF("class", "component")), "contested")
     if members.isEmpty():
         return links
-    held = written(prefixes(written(texts_of(documents, members, id_column, text_column), "texts"), least).join(members, "id"), "prefixes")
-    low = held.groupBy("h", "component").agg(F.min("id").alias("id"))
-    out = held.filter("outside").groupBy("h", "component").agg(F.min("id").alias("id"))
-    first = low.toDF("h", "ca", "a").join(out.toDF("h", "cb", "b"), "h").filter("ca <> cb")
-    links = cut(links.union(linked(cut(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), documents, id_column, text_column, least)).distinct())
-    now = held.drop("component").join(components(links).toDF("id", "found"), "id", "left").select("h", "id", "n", "outside", F.coalesce("found", "id").alias("c"))
-    now = written(now, "prefixes")
-    pairs = now.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(now.filter("outside").select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "h")
-    pairs = pairs.filter(F.col("ca") != F.col("cb")).filter(F.least("na", "nb") + 1e-6 >= least * F.greatest("na", "nb"))
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    texts = texts_of(documents, members, id_column, text_column).join(members, "id")
+    held = written(prefixes(written(texts, "texts"), least), "prefixes")
+    rows = held.select("component", "id", "outside", F.explode("hs").alias("h"))
+    low = rows.groupBy("h", "component").agg(F.min("id").alias("id"), F.max("outside").alias("outside"))
+    first = low.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h")
+    low = written(low.join(first, "h", "left_semi"), "first")
+    met = low.toDF("h", "ca", "a", "oa").join(low.toDF("h", "cb", "b", "ob"), "h").filter("ca < cb and (oa or ob)")
+    tried = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = cut(links.union(linked(tried, documents, id_column, text_column, least)).distinct())
+    now = held.drop("component").join(components(links).toDF("id", "found"), "id", "left").withColumn("c", F.coalesce("found", "id"))
+    now = now.select("id", "n", "outside", "c", F.explode("hs").alias("h"))
+    shared = now.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("h")
+    now = written(now.join(shared, "h", "left_semi"), "prefixes")
+    pairs = now.select("h", *(F.col(c).alias(c + "1") for c in ("id", "n", "c"))).join(now.filter("outside").select("h", *(F.col(c).alias(c + "2") for c in ("id", "n", "c"))), "h")
+    pairs = pairs.filter(F.col("c1") != F.col("c2")).filter(F.least("n1", "n2") + 1e-6 >= least * F.greatest("n1", "n2"))
+    pairs = cut(pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     return cut(links.union(linked(pairs, documents, id_column, text_column, least)).distinct())
 
 
