@@ -46,6 +46,8 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 BATCH_BYTES = 1 << 20
 #: Counters of the table that orders shingles by how common they are: 8 MB, whatever the input.
 SLOT_BITS = 20
+#: Slots of the table of shingles that several components have: 4 MB where it is sent out.
+MET_BITS = 22
 
 
 class Hashes(dict):
@@ -287,6 +289,38 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
     return texts.mapInArrow(pick, "id long, component long, outside boolean, n long, hs array<long>")
 
 
+def shared_between(held: DataFrame, component: str = "component") -> DataFrame:
+    """``held`` with those of its shingles alone that texts of several components have.
+
+    Shingles are told apart by ``MET_BITS`` bits and each task sums up its own rows, so the tables have a fixed
+    size, whatever the input; where two shingles fall together, a row too many stays.
+    """
+    last = (1 << MET_BITS) - 1
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(last + 1, np.iinfo(np.int64).max), np.full(last + 1, np.iinfo(np.int64).min)
+        for batch in batches:
+            for c, hs in zip(batch.column(component).to_pylist(), batch.column("hs").to_pylist(), strict=True):
+                at = np.array(hs, np.int64) & last
+                low[at], high[at] = np.minimum(low[at], c), np.maximum(high[at], c)
+        some = np.flatnonzero(low <= high)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, low[some], high[some])], names=["slot", "low", "high"])
+
+    spans = held.select(component, "hs").mapInArrow(span, "slot long, low long, high long").groupBy("slot")
+    slots = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("slot").toPandas()
+    table = np.zeros(last + 1, bool)
+    table[slots["slot"].to_numpy(np.int64)] = True
+    met = held.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs = [np.array(x, np.int64) for x in batch.column("hs").to_pylist()]
+            hs = pa.array([x[met.value[x & last]] for x in hs], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([hs if c == "hs" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+    return written(held.mapInArrow(run, held.schema).filter("size(hs) > 0"), "shared")
+
+
 def rest(large: DataFrame, links: DataFrame, documents: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame:
     """The links and those between components of large buckets.
 
@@ -297,6 +331,7 @@ def rest(large: DataFrame, links: DataFrame, documents: DataFrame, id_column: st
         return links
     texts = texts_of(documents, members, id_column, text_column).join(members, "id")
     held = written(prefixes(written(texts, "texts"), least), "prefixes")
+    held = shared_between(held)
     rows = held.select("component", "id", "outside", F.explode("hs").alias("h"))
     low = rows.groupBy("h", "component").agg(F.min("id").alias("id"), F.max("outside").alias("outside"))
     first = low.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h")
@@ -305,7 +340,7 @@ def rest(large: DataFrame, links: DataFrame, documents: DataFrame, id_column: st
     tried = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut(links.union(linked(tried, documents, id_column, text_column, least)).distinct())
     now = held.drop("component").join(components(links).toDF("id", "found"), "id", "left").withColumn("c", F.coalesce("found", "id"))
-    now = now.select("id", "n", "outside", "c", F.explode("hs").alias("h"))
+    now = shared_between(now.drop("found"), "c").select("id", "n", "outside", "c", F.explode("hs").alias("h"))
     shared = now.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("h")
     now = written(now.join(shared, "h", "left_semi"), "prefixes")
     pairs = now.select("h", *(F.col(c).alias(c + "1") for c in ("id", "n", "c"))).join(now.filter("outside").select("h", *(F.col(c).alias(c + "2") for c in ("id", "n", "c"))), "h")
