@@ -44,9 +44,9 @@ WORD = re.compile(r"\w+")
 PLACE_BITS = 24
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BATCH_BYTES = 1 << 20
-#: Counters of the table that orders shingles by how common they are: 8 MB, whatever the input.
+#: Counters of the table that orders shingles by how common they are: 1 MB where it is sent out, whatever the input.
 SLOT_BITS = 20
-#: Slots of the table of shingles that several components have: 4 MB where it is sent out.
+#: Slots of the table of shingles that several components have: 512 KB where it is sent out.
 MET_BITS = 22
 
 
@@ -277,7 +277,8 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
     slots = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(1 << SLOT_BITS, np.int64)
     table[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+    steps = np.minimum(255, 8 * np.log2(1 + table)).astype(np.uint8)  # any order of all shingles will do; a byte a slot is small on disk
+    shared = texts.sparkSession.sparkContext.broadcast(steps)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sizes, base in parts(batches):
@@ -310,12 +311,13 @@ def shared_between(held: DataFrame, component: str = "component") -> DataFrame:
     slots = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("slot").toPandas()
     table = np.zeros(last + 1, bool)
     table[slots["slot"].to_numpy(np.int64)] = True
-    met = held.sparkSession.sparkContext.broadcast(table)
+    met = held.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(met.value).astype(bool)
         for batch in batches:
             hs = [np.array(x, np.int64) for x in batch.column("hs").to_pylist()]
-            hs = pa.array([x[met.value[x & last]] for x in hs], pa.list_(pa.int64()))
+            hs = pa.array([x[table[x & last]] for x in hs], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([hs if c == "hs" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
     return written(held.mapInArrow(run, held.schema).filter("size(hs) > 0"), "shared")
