@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,16 +25,33 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or found
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an action inside are deleted when it ends, not when the driver's JVM collects its plan.
+
+    For actions whose rows are in the shared folder or on the driver by then, so that nothing reads the files again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; smaller than a checkpoint for wide rows."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -91,7 +109,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return out.filter("a <> b").distinct()
 
     def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+        with freed(e.sparkSession):
+            return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
 
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(now)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, components, cut, small_batches, text_or_empty, written
+from punchdeck.llm.common import by_bytes, components, cut, freed, small_batches, text_or_empty, written
 
 SHINGLE, LEAST, SKETCHES, PICKED, SMALL = 5, 0.8, 16, 2, 24
 #: Which sketches after its own split a large bucket.
@@ -274,7 +274,8 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
 
-    slots = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    with freed(texts.sparkSession):
+        slots = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(1 << SLOT_BITS, np.int64)
     table[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
     steps = np.minimum(255, 8 * np.log2(1 + table)).astype(np.uint8)  # any order of all shingles will do; a byte a slot is small on disk
@@ -308,7 +309,8 @@ def shared_between(held: DataFrame, component: str = "component") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, low[some], high[some])], names=["slot", "low", "high"])
 
     spans = held.select(component, "hs").mapInArrow(span, "slot long, low long, high long").groupBy("slot")
-    slots = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("slot").toPandas()
+    with freed(held.sparkSession):
+        slots = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("slot").toPandas()
     table = np.zeros(last + 1, bool)
     table[slots["slot"].to_numpy(np.int64)] = True
     met = held.sparkSession.sparkContext.broadcast(np.packbits(table))
