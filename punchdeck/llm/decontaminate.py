@@ -6,15 +6,15 @@ documents meet those of the benchmark in a hash join; each hit fixes a diagonal
 position), along which the tokens of text and item are compared. A document overlaps an item if on some diagonal a
 window of ``WINDOW`` tokens (of the whole item if it is shorter) has at least ``LEAST`` of its tokens equal.
 
-The masks: ``1110111`` hits next to single substitutions that are at least four tokens apart, ``11100111`` next
-to double ones; at the least similarity allowed, three substitutions of sixteen in a row, at random places, one of
-both hits in over 95 of 100 windows, and a leaked item has many.
+The masks find every such overlap with an item of ``SHORTEST`` tokens or more: wherever the tokens that differ lie in a
+window of 16 (three at most) or in a whole item of 7 to 15 (a fifth at most), one of the masks has a place in it that
+meets none of them (the test enumerates all cases).
 
 The benchmark's seeds are broadcast while they are at most ``BROADCAST_SEEDS`` (about 100 bytes each); a larger
 benchmark is joined by a shuffle.
 
-Cases: null texts count as empty and overlap nothing; items with fewer tokens than the shortest mask are too short
-to tell and match nothing; rows with equal ids are compared each for itself and reported once; null ids are not
+Cases: null texts count as empty and overlap nothing; items with fewer than ``SHORTEST`` tokens are too short to
+tell and match nothing; rows with equal ids are compared each for itself and reported once; null ids are not
 reported; empty tables give an empty result; other columns are not read.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from punchdeck.llm.common import text_or_empty, written
 
-MASKS = ("1110111", "11100111")
-WINDOW, LEAST = 16, 0.8
+MASKS = ("11111", "110111", "1110011", "11010011")
+WINDOW, LEAST, SHORTEST = 16, 0.8, 7
 BROADCAST_SEEDS = 500_000
 
 
@@ -71,7 +71,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     ``doc_start``: token of the document where that diagonal enters the item.
     """
     docs = documents.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).filter("doc_id is not null")
-    items = benchmark.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("text"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("text")).filter(F.size(tokens(F.col("text"))) >= SHORTEST)
     theirs = planted(items, "item_id", masks).withColumnRenamed("place", "item_place")
     if theirs.count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -44,6 +46,22 @@ def test_decontaminate_substitutions(spark):
     assert {r.doc_id for r in found.collect()} == {1}
 
 
+def test_decontaminate_masks():
+    """Some mask fits between the tokens that differ, wherever they lie in a window or in a shorter item."""
+    for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
+        differ = max(k for k in range(n) if (n - k) / n >= decontaminate.LEAST)
+        at = [{s + j for j, x in enumerate(m) if x == "1"} for m in decontaminate.MASKS for s in range(n - len(m) + 1)]
+        assert all(any(places.isdisjoint(c) for places in at) for c in combinations(range(n), differ))
+
+
+def test_decontaminate_short_items(spark):
+    texts = {(n, c): [f"i{n}c{c[0]}t{k}" for k in range(n)] for n, cases in ((7, [(3,), (0,), (5,)]), (9, [(4,)]), (15, [(3, 7, 11), (2, 6, 10)]), (16, [(3, 7, 12)]), (17, [(2, 8, 13)])) for c in cases}
+    items = [(i, " ".join(w)) for i, w in enumerate(texts.values())] + [(99, "only six tokens in this item")]
+    rows = [(i, " ".join(["before"] * 20 + ["other" if k in c else x for k, x in enumerate(w)] + ["after"] * 20)) for i, ((_, c), w) in enumerate(texts.items())] + [(99, items[-1][1])]
+    found = decontaminate.overlaps(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(len(texts))}
+
+
 def test_suffix(spark, docs, none):
     rows = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.digest(docs).collect()}
     n = len(SAME)
