@@ -9,6 +9,9 @@ from punchdeck.llm import decontaminate, order_minhash, packing, quality, suffix
 from punchdeck.llm.common import written
 from punchdeck.llm.queries import CAPACITY, table, tokenizer
 
+#: Passages of over 50 words are to go; in bytes their length differs by language.
+REPEATED_WORDS = 51
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
@@ -22,8 +25,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without long strings that repeat; a document that loses all its text goes."""
-    cut = suffix_dedup.without_repeats(docs.withColumn("had", F.octet_length("text")))
+    """Texts without strings of ``REPEATED_WORDS`` words or 400 bytes that repeat; a document that loses all its text goes."""
+    cut = suffix_dedup.without_repeats(docs.withColumn("had", F.octet_length("text")), words=REPEATED_WORDS)
     cut = cut.filter("coalesce(had, 0) = 0 or length(text) > 0").drop("had")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -10,6 +10,10 @@ string starts anywhere else. Equal texts are one class from the start and take p
 Shards are cut from a partition sorted by owner at ``SHARD_BYTES``; equal segments are merged before sorting, so a
 passage that many texts share costs its distinct segments only.
 
+With ``words``, strings of so many words repeat too, whatever their length in bytes. A word is a run of bytes
+between ASCII whitespace, and any whitespace between words is as good as another. Starts of words are owned and cut
+into segments in the same way, by grams of ``WORD_GRAM`` words; the strings of the segments of one owner are counted.
+
 Cases: null texts count as empty; texts under ``length`` bytes lose nothing; repeated rows are occurrences of their
 own (a text of ``length`` bytes or more that stands twice is removed in both places); strings overlap freely;
 an empty table gives an empty result.
@@ -18,6 +22,8 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +33,22 @@ from pyspark.sql import functions as F
 
 from punchdeck.llm.common import by_bytes, small_batches, text_or_empty
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM, WORD_GRAM = 400, 64, 8
 SHARD_BYTES = 3 << 19
 BATCH_BYTES = 1 << 20
+WORD = re.compile(rb"[^ \t\n\r\f\v]+")
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BYTE_HASH = np.random.default_rng(64).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of each run of ``gram`` bytes, a power of two, by doubling."""
-    h, k, factor = BYTE_HASH[data], 1, np.uint64(0x9E3779B97F4A7C15)
+    return run_hashes(BYTE_HASH[data], gram)
+
+
+def run_hashes(h: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of each run of ``gram`` hashes, a power of two, by doubling."""
+    k, factor = 1, np.uint64(0x9E3779B97F4A7C15)
     while k < gram:
         h = h[:-k] * factor + h[k:]
         factor = np.uint64(int(factor) ** 2 & 0xFFFFFFFFFFFFFFFF)
@@ -70,14 +82,35 @@ def met_again(owners: np.ndarray, h: np.ndarray) -> np.ndarray:
 def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(owner, text, first start, end of starts, owner met again) of the segments of some texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    return _segments(BYTE_HASH[np.frombuffer(b"".join(texts), np.uint8)], sizes, length, gram)
+
+
+def word_segments(texts: list[bytes], words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``segments``, with words in place of bytes."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    if not len(data):
+        return _segments(BYTE_HASH[data], np.zeros(len(texts), np.int64), words, gram)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    first = np.flatnonzero(~space & np.append(True, space[:-1]))
+    last = np.flatnonzero(~space & np.append(space[1:], True)) + 1
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(first, ends)
+    inside = np.arange(len(data)) - np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(data)]])))
+    value = np.where(space, np.uint64(0), BYTE_HASH[data] * (BYTE_HASH[inside & 255] + inside.astype(np.uint64) * np.uint64(2)))
+    h = np.add.reduceat(value, first) if len(first) else value[:0]
+    h = (h + (last - first).astype(np.uint64)) * M1
+    h ^= h >> np.uint64(31)
+    return _segments(h, np.diff(np.append(0, upto)), words, gram)
+
+
+def _segments(h: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.empty(0, np.int64)
-    if len(data) < length:
+    if len(h) < length:
         return none.view(np.uint64), none, none, none, none.astype(bool)
-    grams = gram_hashes(data, gram)
+    grams = run_hashes(h, gram)
     owner = window_minima(grams, length - gram + 1)
     begin = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(texts)), sizes)[: len(owner)]
+    doc = np.repeat(np.arange(len(sizes)), sizes)[: len(owner)]
     valid = np.arange(len(owner)) <= (begin + sizes - length)[doc]
     edge = np.empty(len(owner), bool)
     edge[0] = True
@@ -368,18 +401,83 @@ def spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col
     return texts, starts
 
 
-def kept_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text") -> DataFrame:
+def word_spans(texts: DataFrame, words: int, gram: int = WORD_GRAM) -> DataFrame:
+    """(key, a, b) of ``texts(key, text)``: words at which a string of ``words`` words starts that repeats."""
+    if words < gram:
+        gram = 1 << (words.bit_length() - 1)
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text", BATCH_BYTES):
+            owner, doc, a, z, again = word_segments([t.encode() for t in b.column("text").to_pylist()], words, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), b.column("key").take(pa.array(doc)), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(again)], names=["owner", "key", "a", "z", "again"])
+
+    found = texts.select("key", "text").mapInArrow(cut_up, "owner long, key binary, a int, z int, again boolean")
+    shared = found.groupBy("owner").agg(F.count("*").alias("m"), F.max("again").alias("again")).filter("m > 1 or again").select("owner")
+    wanted = found.join(shared, "owner").groupBy("key").agg(F.collect_list(F.struct("owner", "a", "z")).alias("cuts"))  # of one text
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text", BATCH_BYTES):
+            out: list[list] = [[], [], [], []]
+            for key, text, cuts in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
+                data = text.encode().split()
+                for c in cuts:
+                    for x, v in zip(out, (c["owner"], key, c["a"], b" ".join(data[c["a"] : c["z"] - 1 + words])), strict=True):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["owner", "key", "a", "bytes"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def strings(segment: bytes) -> list[bytes]:
+            data = segment.split(b" ")
+            return [hashlib.blake2b(b" ".join(data[i : i + words]), digest_size=16).digest() for i in range(len(data) - words + 1)]
+
+        def flush(held: dict[bytes, list]) -> pa.RecordBatch:
+            rows: list[tuple] = []
+            met: Counter = Counter()
+            for segment, places in held.items():
+                for x in strings(segment):
+                    met[x] += len(places)
+            for segment, places in held.items():
+                runs = intervals(np.flatnonzero([met[x] > 1 for x in strings(segment)]))
+                rows += [(key, a + p, a + q) for key, a in places for p, q in runs]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["key", "a", "z"])
+
+        held: dict[bytes, list] = {}
+        size, before = 0, None
+        for b in batches:
+            for owner, key, a, data in zip(*(b.column(c).to_pylist() for c in ("owner", "key", "a", "bytes")), strict=True):
+                if size >= SHARD_BYTES and owner != before:
+                    yield flush(held)
+                    held, size = {}, 0
+                before = owner
+                places = held.setdefault(data, [])
+                size += 0 if places else len(data)
+                places.append((key, a))
+        if held:
+            yield flush(held)
+
+    cut = texts.join(wanted, "key").select("key", "text", "cuts").mapInArrow(take, "owner long, key binary, a int, bytes binary")
+    return cut.repartition("owner").sortWithinPartitions("owner").mapInArrow(count, "key binary, a int, z int")
+
+
+def kept_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text", words: int | None = None) -> DataFrame:
     """``(key, n_bytes, n_removed, n_spans, kept_sha256, kept)`` of each distinct text; ``kept``: the bytes left, null if all are."""
     texts, starts = spans(documents, length, gram, text_column)
-    by_text = starts.groupBy("key").agg(F.collect_list(F.struct("a", "z")).alias("starts"))
+    starts = starts.withColumn("by_word", F.lit(False))
+    if words:
+        starts = starts.union(word_spans(texts, words).withColumn("by_word", F.lit(True)))
+    by_text = starts.groupBy("key").agg(F.collect_list(F.struct("a", "z", "by_word")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BATCH_BYTES):
             rows = []
             for text, n, found in zip(b.column("text").to_pylist(), b.column("n").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 data = text.encode()
-                cover = [(f["a"], f["z"] - 1 + length) for f in found or ()]
-                if n > 1 and len(data) >= length:
+                cover = [(f["a"], f["z"] - 1 + length) for f in found or () if not f["by_word"]]
+                if by_word := [f for f in found or () if f["by_word"]]:
+                    at_word = [m.span() for m in WORD.finditer(data)]
+                    cover += [(at_word[f["a"]][0], at_word[f["z"] - 2 + words][1]) for f in by_word]
+                if n > 1 and (len(data) >= length or words and len(data.split(None, words - 1)) == words):
                     cover = [(0, len(data))]
                 left, at, removed, n_spans, edge = [], 0, 0, 0, -1
                 for a, z in sorted(cover):
@@ -409,12 +507,12 @@ def digest(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_colu
     return documents.select(F.col(id_column), key.alias("key")).join(kept, "key").drop("key")
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text") -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text", words: int | None = None) -> DataFrame:
     """``documents`` with the repeated strings cut out of the text; characters that a cut goes through are dropped.
 
     Texts that change are joined by key; all others pass as they are.
     """
-    changed = kept_texts(documents, length, gram, text_column).filter("n_removed > 0").select(F.col("key").alias("k_"), F.col("kept").alias("kept_"))
+    changed = kept_texts(documents, length, gram, text_column, words).filter("n_removed > 0").select(F.col("key").alias("k_"), F.col("kept").alias("kept_"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -73,6 +73,32 @@ def test_suffix(spark, docs, none):
     assert suffix_dedup.digest(frame(spark, [(1, "ab" * 300)])).first().n_removed == 600
 
 
+def test_suffix_words(spark, none):
+    """Passages of 51 short words go, of any layout, once and twice in a text; those of 50 stay. Against a plain version."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    own = lambda n: [f"{x:x}" for x in rng.integers(1 << 12, 1 << 20, n)]
+    one, two, fifty = own(51), own(70), own(50)
+    words = [own(90) + one + own(40), one + own(33), own(10) + fifty + own(9), own(12) + fifty, own(5) + two + own(30) + two, own(200), ["é"] * 60, own(20) + one, own(70)]
+    words.append(words[-1])
+    rows = [(i, ("\n " if i % 2 else " ").join(w)) for i, w in enumerate(words)]
+    rows += [(20, None), (21, ""), (22, " \n")]
+    met = {}
+    for w in words:
+        for k in range(len(w) - 50):
+            met[tuple(w[k : k + 51])] = met.get(tuple(w[k : k + 51]), 0) + 1
+    want = {}
+    for i, w in enumerate(words):
+        gone = {j for k in range(len(w) - 50) if met[tuple(w[k : k + 51])] > 1 for j in range(k, k + 51)}
+        want[i] = [x for j, x in enumerate(w) if j not in gone]
+    assert len(want[0]) == 130 and len(want[2]) == 69 and want[6] == want[8] == []
+    found = {r.doc_id: r.text for r in corpus_pipeline.suffix_stage(spark, frame(spark, rows), "").collect()}
+    assert {i: t.split() for i, t in found.items() if i < 20} == {i: w for i, w in want.items() if i in found}
+    assert {i for i in want if i not in found} == {6, 8, 9} and {20, 21, 22} <= set(found)
+    assert corpus_pipeline.suffix_stage(spark, none, "").count() == 0
+
+
 def test_minhash(spark, docs, none):
     rows = {r.doc_id: r for r in order_minhash.near_duplicates(docs).collect()}
     assert (rows[3].component_id, rows[4].component_id, rows[4].kept, rows[3].kept) == (3, 3, False, True)
