@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, small_batches, text_or_empty
+from punchdeck.llm.common import by_bytes, small_batches, text_or_empty, written
 
 LENGTH, GRAM, WORD_GRAM = 400, 64, 8
 SHARD_BYTES = 3 << 19
@@ -465,7 +465,9 @@ def kept_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     texts, starts = spans(documents, length, gram, text_column)
     starts = starts.withColumn("by_word", F.lit(False))
     if words:
-        starts = starts.union(word_spans(texts, words).withColumn("by_word", F.lit(True)))
+        # each is written by itself, so the shuffle files of one are gone before the other's are made
+        by_byte, by_word = written(starts, "starts"), written(word_spans(texts, words).withColumn("by_word", F.lit(True)), "word-starts")
+        starts = by_byte.union(by_word)
     by_text = starts.groupBy("key").agg(F.collect_list(F.struct("a", "z", "by_word")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
