@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -20,11 +23,43 @@ def shared_folder(spark: SparkSession) -> str:
     """
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="punchdeck-")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            found = "file://" + tempfile.mkdtemp(prefix="punchdeck-")
         spark.sparkContext.setCheckpointDir(found)
     return spark.conf.get("spark.checkpoint.dir", None) or found
 
 
+#: What a worker process keeps from one task to the next; see ``lean``.
+HELD: dict = {}
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the machine: workers live on and several of them share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[..., Iterator], keeps: bool = False) -> Callable[..., Iterator]:
+    """A function over batches that leaves no memory behind in its worker. ``keeps``: ``HELD`` stays for the next task."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        if not keeps:
+            HELD.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 @contextmanager
 def freed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of an action inside are deleted when it ends, not when the driver's JVM collects its plan.
@@ -63,9 +98,13 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
 
 
 def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
-    """``rows`` rows, first by a hash of ``columns``. All but about the share needed are filtered out before the
-    order is taken, so no task and no driver gets more than a fixed multiple of ``rows``."""
-    share = min(1.0, (2 * rows + 200) / max(1, df.count()))
+    return near_hash(df, rows, df.count(), *columns)
+
+
+def near_hash(df: DataFrame, rows: int, n: int, *columns: str) -> DataFrame:
+    """``rows`` of ``n`` rows, first by a hash of ``columns``. All but about the share needed are filtered out before
+    the order is taken, so no task and no driver gets more than a fixed multiple of ``rows``."""
+    share = min(1.0, (2 * rows + 200) / max(1, n))
     hashed = F.xxhash64(*columns)
     near = df.filter(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
     return near.orderBy(F.pmod(hashed, F.lit(1 << 30)), *columns).limit(rows)
@@ -93,35 +132,34 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iter
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: ``(node, component)``, component = smallest node reachable.
 
-    Alternating large-star and small-star steps: each step is two aggregations with map-side combine and two
-    joins, so no group of neighbours is ever collected. The state is cut in the shared folder after each round.
+    Alternating large-star and small-star steps over edges from a larger to a smaller node. Each step is an
+    aggregation with map-side combine and a join, so no group of neighbours is ever collected; a node without a
+    smaller neighbour keeps its edges as they are. The state is written to the shared folder after each round, with a
+    mark on the edges that the round changed; a round without a mark is the last.
     An empty edge table gives an empty result; self-links and nulls are ignored.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(low, "a")
-        if large:
-            out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        with freed(e.sparkSession):
-            return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
-
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = state(now)
+    def lowest(e: DataFrame) -> DataFrame:
+        return e.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "v")
+
+    def large(e: DataFrame) -> DataFrame:
+        met = e.join(lowest(e), F.col("b") == F.col("v"), "left")
+        return met.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("new"))
+
+    def small(e: DataFrame) -> DataFrame:
+        met = e.join(lowest(e), F.col("a") == F.col("v"))
+        other = F.col("b") > F.col("m")
+        ends = F.array(F.struct("a", F.col("m").alias("b"), (F.col("new") | other).alias("new")), F.when(other, F.struct(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("new"))))
+        return met.select(F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = written(now, "edges")
     for _ in range(rounds):
-        if not seen[0]:
-            break
-        now = cut(star(star(now, True), False))
-        if seen == (seen := state(now)):
+        now = written(small(large(now)).groupBy("a", "b").agg(F.max("new").alias("new")), "edges")
+        if now.filter("new").isEmpty():
             break
+        now = now.select("a", "b")
     else:
         raise RuntimeError(f"components: no fixed point after {rounds} rounds")
-    return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(
-        now.select("b", "b").distinct().toDF("node", "component")
-    ).groupBy("node").agg(F.min("component").alias("component"))
+    # a star forest: each node but the smallest of a component has one edge, to that one
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

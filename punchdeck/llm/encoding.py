@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from punchdeck.llm.common import HELD
+
 # Texts of these characters alone are split at the ends of letter runs too: there Python's idea of letters, digits
 # and white space is the tokenizers' for certain. U+0130 is left out as its lower case has a combining mark.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
@@ -86,12 +88,10 @@ class UnitEncoder:
         return [list(map(get, units)) for units in split]
 
 
-_made: dict[tuple, UnitEncoder] = {}
-
-
 def encoder(path: str, split: Callable, kept: Callable, room: int = 600_000) -> UnitEncoder:
-    """One for each worker process."""
+    """One at a time for each worker process; functions that use it are ``lean`` with ``keeps``."""
     key = (path, split.__name__, kept.__name__, room)
-    if key not in _made:
-        _made[key] = UnitEncoder(path, split, kept, room)
-    return _made[key]
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = UnitEncoder(path, split, kept, room)
+    return HELD[key]
