@@ -10,14 +10,13 @@ length; near duplicates have 0.8 or more. (0.8 here is a Jaccard similarity of s
 pair with a Jaccard similarity of 0.8 and few moves is above it.) A band of 0.2 n diagonals is aligned.
 
 Texts that are equal word for word are one class from the start and the smallest id stands for it. Classes that
-share a sketch meet in buckets: in a bucket of up to ``SMALL`` classes all pairs are candidates; a larger one is
-split three times by a further sketch into smaller ones, and in each bucket that is large still all classes are
-compared with its smallest id, so a large group of copies costs a number of pairs in proportion to it. Where such a
-bucket then holds more than one component, the classes outside its first's component go through an exact join by
-prefixes (``rest``): texts that are similar share one of the rarest fifth of their labelled shingles, under any
-order of all shingles, so no link between components of a bucket is lost and none within one is tried again.
+share a sketch meet in buckets: in a bucket of up to ``SMALL`` classes all pairs are candidates; in a larger one all
+classes are compared with its smallest id, so a large group of copies costs a number of pairs in proportion to it.
+Where a large bucket then holds more than one component, its classes go through an exact join by prefixes
+(``rest``): texts that are similar share one of the rarest fifth of their labelled shingles, under any order of all
+shingles, so no link between components of a bucket is lost and none within one is tried again.
 
-``n_links`` counts the links that were found; within large groups that are one component, not all are sought.
+``links_found`` counts the links that were verified; inside a large group that is one component not all are sought.
 
 Cases: null texts count as empty; texts without a word link with nothing; texts of one to four words have one
 shingle; ties of hashes go to the earlier shingle; repeated ids are merged (smallest text); null ids are left
@@ -35,19 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, components, cut, freed, small_batches, text_or_empty, written
+from punchdeck.llm.common import by_bytes, components, cut, freed, lean, small_batches, text_or_empty, written
 
 SHINGLE, LEAST, SKETCHES, PICKED, SMALL = 5, 0.8, 16, 2, 24
-#: Which sketches after its own split a large bucket.
-FURTHER = (1, 5, 11)
 WORD = re.compile(r"\w+")
 PLACE_BITS = 24
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BATCH_BYTES = 1 << 20
 #: Counters of the table that orders shingles by how common they are: 1 MB where it is sent out, whatever the input.
+#: Any order gives whole results; this one keeps the shingles that many texts share out of the prefixes.
 SLOT_BITS = 20
-#: Slots of the table of shingles that several components have: 512 KB where it is sent out.
-MET_BITS = 22
 
 
 class Hashes(dict):
@@ -106,12 +102,10 @@ def sketches(parts: list[np.ndarray], n: int = SKETCHES, picked: int = PICKED) -
     at = np.arange(len(flat))
     base = labelled(flat, doc)
     place = (at - np.repeat(starts, sizes)).astype(np.uint64)
-    # texts of over 2^PLACE_BITS words: places are rounded
-    place = (at - np.repeat(starts, sizes)).astype(np.uint64)
-    if sizes.max() > 1 << PLACE_BITS:
-        place = place >> np.uint64(int(sizes.max()).bit_length() - PLACE_BITS)
-    top = np.uint64(~((1 << PLACE_BITS) - 1) & 0xFFFFFFFFFFFFFFFF)
-    low = np.uint64((1 << PLACE_BITS) - 1)
+    # a hash's low bits give way to the place; a longer text, which is a batch of its own, needs more of them
+    bits = max(PLACE_BITS, int(sizes.max()).bit_length())
+    top = np.uint64(~((1 << bits) - 1) & 0xFFFFFFFFFFFFFFFF)
+    low = np.uint64((1 << bits) - 1)
     out = np.empty((len(parts), n), np.uint64)
     for j in range(n):
         key = (mixed(base ^ (times(j + 1, M1))) & top) | place
@@ -207,35 +201,19 @@ def sketched(documents: DataFrame, id_column: str, text_column: str) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
 
     rows = documents.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text")).filter("id is not null")
-    return rows.mapInArrow(run, "id long, digest binary, keys array<long>")
-
-
-def candidates(classes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct pairs ``(a, b)``, a < b, of ``classes(class, keys)``, and the buckets ``(key, class)`` left large."""
+    return rows.mapInArrow(lean(run), "id long, digest binary, keys array<long>")
 
-    def buckets(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("first")).filter("n > 1")
-        return rows.join(sizes, "key")
 
-    def pairs_of(met: DataFrame) -> DataFrame:
-        held = met.filter(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("class")).alias("c"))  # at most ``small``
-        every = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-        return held.select(F.explode(every).alias("p")).select("p.a", "p.b")
-
-    def stars(met: DataFrame) -> DataFrame:
-        return met.filter((F.col("n") > small) & (F.col("class") > F.col("first"))).select(F.col("first").alias("a"), F.col("class").alias("b"))
-
-    rows = classes.select("class", "keys", F.posexplode("keys").alias("j", "key"))
-    met = written(buckets(rows.select("class", "key", "j")), "buckets")
-    out = pairs_of(met).union(stars(met))
-    large = met.filter(F.col("n") > small).select("class", "key", "j")
-    if not large.isEmpty():
-        others = F.posexplode(F.transform(F.array(*map(F.lit, FURTHER)), lambda d: F.get("keys", F.pmod(F.col("j") + d, F.size("keys")))))
-        again = large.join(classes, "class").select("class", "key", others.alias("j", "other"))
-        met = written(buckets(again.select("class", F.xxhash64("key", "other").alias("key"), "j")), "buckets")
-        out = out.union(pairs_of(met)).union(stars(met))
-        return out.distinct(), met.filter(F.col("n") > small).select("key", "class")
-    return out.distinct(), None
+def candidates(classes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``(a, b)``, a < b, of ``classes(class, keys)``, and the large buckets ``(key, class, first)``."""
+    rows = classes.select("class", F.posexplode("keys").alias("j", "key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("first")).filter("n > 1")
+    met = written(rows.select("class", "key").join(sizes, "key"), "buckets")
+    held = met.filter(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("class")).alias("c"))  # at most ``small``
+    every = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    large = met.filter(F.col("n") > small).select("key", "class", "first")
+    stars = large.filter(F.col("class") > F.col("first")).select(F.col("first").alias("a"), F.col("class").alias("b"))
+    return held.select(F.explode(every).alias("p")).select("p.a", "p.b").union(stars).distinct(), large
 
 
 def texts_of(documents: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -249,37 +227,56 @@ def contested(large: DataFrame, found: DataFrame) -> DataFrame:
     ``outside``: in some bucket it isn't in the component of the bucket's smallest id. Of two classes of one
     bucket and different components, at least one is outside.
     """
-    rows = large.join(found, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+    rows = large.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = rows.groupBy("key").agg(F.min_by("component", "class").alias("star"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     return rows.join(split, "key").groupBy(F.col("class").alias("id")).agg(F.min("component").alias("component"), F.max(F.col("component") != F.col("star")).alias("outside"))
 
 
-def prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """``texts(id, component, outside, text)`` with ``(n, hs)`` for the text: the number of its labelled shingles and
-    the rarest of them, one more than may differ in a similar one."""
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with the numbers of shingles of their texts and all labelled shingles; texts without words are left out."""
+    hashes = Hashes()
+    for batch in by_bytes(batches, "text", BATCH_BYTES):
+        flat = [shingles(word_hashes(t, hashes)) for t in batch.column("text").to_pylist()]
+        some = [k for k, x in enumerate(flat) if len(x)]
+        if some:
+            sizes = np.array([len(flat[k]) for k in some])
+            yield batch.take(pa.array(some)), sizes, labelled(np.concatenate([flat[k] for k in some]), np.repeat(np.arange(len(some)), sizes))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        hashes = Hashes()
-        for batch in by_bytes(batches, "text", BATCH_BYTES):
-            flat = [shingles(word_hashes(t, hashes)) for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(x) for x in flat])
-            yield batch, sizes, labelled(np.concatenate(flat), np.repeat(np.arange(len(flat)), sizes))
 
-    shift, kept = np.uint64(64 - SLOT_BITS), ("id", "component", "outside")
+def rarity(texts: DataFrame) -> np.ndarray:
+    """For each slot of labelled shingles how common they are, as a logarithm in a byte.
+
+    Each task sends its counters, the driver gets the bytes of each slot once: 5 MB in all, whatever the input.
+    """
+    shift = np.uint64(64 - SLOT_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for _, _, base in parts(batches):
-            total += np.bincount((base >> shift).astype(np.int64), minlength=1 << SLOT_BITS)
+            slot, n = np.unique((base >> shift).astype(np.int64), return_counts=True)
+            total[slot] += n
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+        for a in range(0, len(some), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 65_536].astype(np.int32)), pa.array(total[some[a : a + 65_536]])], names=["slot", "n"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            steps = np.minimum(255, 8 * np.log2(1 + np.asarray(b.column("n")))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column("slot")).astype("<i4").tobytes()]), pa.array([steps.tobytes()])], names=["slots", "steps"])
 
+    sums = texts.mapInArrow(lean(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = np.zeros(1 << SLOT_BITS, np.uint8)
     with freed(texts.sparkSession):
-        slots = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << SLOT_BITS, np.int64)
-    table[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
-    steps = np.minimum(255, 8 * np.log2(1 + table)).astype(np.uint8)  # any order of all shingles will do; a byte a slot is small on disk
-    shared = texts.sparkSession.sparkContext.broadcast(steps)
+        for r in sums.mapInArrow(lean(step), "slots binary, steps binary").toLocalIterator():
+            table[np.frombuffer(r.slots, "<i4")] = np.frombuffer(r.steps, np.uint8)
+    return table
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """``texts(id, component, outside, text)`` with ``(n, hs)`` for the text: the number of its labelled shingles and
+    the rarest of them, one more than may differ in a similar one."""
+    shift, kept = np.uint64(64 - SLOT_BITS), ("id", "component", "outside")
+    shared = texts.sparkSession.sparkContext.broadcast(rarity(texts))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sizes, base in parts(batches):
@@ -288,69 +285,53 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
             hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes.astype(np.int64)), hs], names=[*kept, "n", "hs"])
 
-    return texts.mapInArrow(pick, "id long, component long, outside boolean, n long, hs array<long>")
+    return texts.mapInArrow(lean(pick), "id long, component long, outside boolean, n long, hs array<long>")
 
 
-def shared_between(held: DataFrame, component: str = "component") -> DataFrame:
-    """``held`` with those of its shingles alone that texts of several components have.
+def between(held: DataFrame) -> DataFrame:
+    """``(h, id, n, outside, component, low)`` of the shingles in ``held`` that texts of several components have.
 
-    Shingles are told apart by ``MET_BITS`` bits and each task sums up its own rows, so the tables have a fixed
-    size, whatever the input; where two shingles fall together, a row too many stays.
+    ``low``: the smallest id, with its length, of the lowest component that has the shingle.
     """
-    last = (1 << MET_BITS) - 1
-
-    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = np.full(last + 1, np.iinfo(np.int64).max), np.full(last + 1, np.iinfo(np.int64).min)
-        for batch in batches:
-            for c, hs in zip(batch.column(component).to_pylist(), batch.column("hs").to_pylist(), strict=True):
-                at = np.array(hs, np.int64) & last
-                low[at], high[at] = np.minimum(low[at], c), np.maximum(high[at], c)
-        some = np.flatnonzero(low <= high)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, low[some], high[some])], names=["slot", "low", "high"])
-
-    spans = held.select(component, "hs").mapInArrow(span, "slot long, low long, high long").groupBy("slot")
-    with freed(held.sparkSession):
-        slots = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("slot").toPandas()
-    table = np.zeros(last + 1, bool)
-    table[slots["slot"].to_numpy(np.int64)] = True
-    met = held.sparkSession.sparkContext.broadcast(np.packbits(table))
+    rows = held.select("component", "id", "n", "outside", F.explode("hs").alias("h"))
+    shared = rows.groupBy("h").agg(F.min(F.struct("component", "id", "n")).alias("low"), F.max("component").alias("high")).filter("low.component <> high").drop("high")
+    return rows.join(shared, "h")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(met.value).astype(bool)
-        for batch in batches:
-            hs = [np.array(x, np.int64) for x in batch.column("hs").to_pylist()]
-            hs = pa.array([x[table[x & last]] for x in hs], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([hs if c == "hs" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
-    return written(held.mapInArrow(run, held.schema).filter("size(hs) > 0"), "shared")
+def fits(n1, n2, least: float):
+    """Lengths that similar texts may have."""
+    return F.least(n1, n2) + F.lit(1e-6) >= F.lit(least) * F.greatest(n1, n2)
 
 
-def rest(large: DataFrame, links: DataFrame, documents: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame:
-    """The links and those between components of large buckets.
+def rest(large: DataFrame, links: DataFrame, found: DataFrame, documents: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame | None:
+    """Links between components of large buckets; ``found(class, component)``: the components of ``links``.
 
-    The smallest ids of two components that share a shingle are tried first, so that few pairs are left to try.
+    Each text is first tried with one text of the lowest component that it shares a shingle with, which joins most
+    of what belongs together; what then still is apart is joined pair by pair.
     """
-    members = written(contested(large, components(links).toDF("class", "component")), "contested")
+    members = written(contested(large, found), "contested")
     if members.isEmpty():
-        return links
-    texts = texts_of(documents, members, id_column, text_column).join(members, "id")
-    held = written(prefixes(written(texts, "texts"), least), "prefixes")
-    held = shared_between(held)
-    rows = held.select("component", "id", "outside", F.explode("hs").alias("h"))
-    low = rows.groupBy("h", "component").agg(F.min("id").alias("id"), F.max("outside").alias("outside"))
-    first = low.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h")
-    low = written(low.join(first, "h", "left_semi"), "first")
-    met = low.toDF("h", "ca", "a", "oa").join(low.toDF("h", "cb", "b", "ob"), "h").filter("ca < cb and (oa or ob)")
-    tried = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = cut(links.union(linked(tried, documents, id_column, text_column, least)).distinct())
-    now = held.drop("component").join(components(links).toDF("id", "found"), "id", "left").withColumn("c", F.coalesce("found", "id"))
-    now = shared_between(now.drop("found"), "c").select("id", "n", "outside", "c", F.explode("hs").alias("h"))
-    shared = now.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("h")
-    now = written(now.join(shared, "h", "left_semi"), "prefixes")
-    pairs = now.select("h", *(F.col(c).alias(c + "1") for c in ("id", "n", "c"))).join(now.filter("outside").select("h", *(F.col(c).alias(c + "2") for c in ("id", "n", "c"))), "h")
-    pairs = pairs.filter(F.col("c1") != F.col("c2")).filter(F.least("n1", "n2") + 1e-6 >= least * F.greatest("n1", "n2"))
-    pairs = cut(pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return cut(links.union(linked(pairs, documents, id_column, text_column, least)).distinct())
+        return None
+    texts = written(texts_of(documents, members, id_column, text_column).join(members, "id"), "texts")
+    held = written(prefixes(texts, least), "prefixes")
+    near = between(held).filter((F.col("component") != F.col("low.component")) & fits(F.col("n"), F.col("low.n"), least))
+    tried = near.select(F.least("id", "low.id").alias("a"), F.greatest("id", "low.id").alias("b")).distinct()
+    new = cut(linked(cut(tried), documents, id_column, text_column, least))
+    now = held.join(merged(found, new).toDF("id", "now"), "id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+    rows = written(between(now).drop("low"), "shared")
+    one, other = (rows.select("h", *(F.col(c).alias(c + k) for c in ("id", "n", "component"))) for k, rows in (("1", rows), ("2", rows.filter("outside"))))
+    pairs = one.join(other, "h").filter((F.col("component1") != F.col("component2")) & fits(F.col("n1"), F.col("n2"), least))
+    pairs = cut(pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct())
+    return cut(new.union(linked(pairs, documents, id_column, text_column, least)).distinct().join(links, ["a", "b"], "left_anti"))
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``(class, component)`` after ``links(a, b)`` have joined components of ``found``; a class that is in neither is left out."""
+    side = lambda c: found.select(F.col("class").alias(c), F.col("component").alias("c" + c))
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(ends).toDF("node", "to")
+    old = found.join(joined, F.col("component") == F.col("node"), "left").select("class", F.coalesce("to", "component").alias("component"))
+    return cut(old.union(joined.toDF("class", "component")).distinct())
 
 
 def linked(pairs: DataFrame, documents: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame:
@@ -369,13 +350,13 @@ def linked(pairs: DataFrame, documents: DataFrame, id_column: str, text_column:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, least: float = LEAST, id_column: str = "doc_id", text_column: str = "text", small: int = SMALL) -> DataFrame:
-    """``(doc_id, class_id, n_links, component_id, kept)`` for each document.
+    """``(doc_id, class_id, links_found, component_id, kept)`` for each document.
 
-    ``class_id``: smallest id with the same words. ``n_links``: verified links of the class with other classes.
+    ``class_id``: smallest id with the same words. ``links_found``: verified links of the class with other classes.
     ``component_id``: smallest id reachable; ``kept`` holds for that document alone.
     """
     small_batches(documents.sparkSession)
@@ -384,14 +365,15 @@ def near_duplicates(documents: DataFrame, least: float = LEAST, id_column: str =
     classes = written(classes, "classes")
     pairs, large = candidates(classes.select("class", "keys"), small)
     links = cut(linked(cut(pairs), documents, id_column, text_column, least))
-    if large is not None:
-        links = rest(large, links, documents, id_column, text_column, least)
-    found = components(links).toDF("class", "component")
+    found = cut(components(links).toDF("class", "component"))
+    more = None if large.isEmpty() else rest(large, links, found, documents, id_column, text_column, least)
+    if more is not None and not more.isEmpty():
+        links, found = links.union(more), merged(found, more)
     degree = links.select("a").union(links.select("b")).toDF("class").groupBy("class").agg(F.count("*").alias("links"))
     of_class = classes.select("digest", "class").join(found, "class", "left").join(degree, "class", "left")
     out = rows.select("id", "digest").join(of_class, "digest", "left")
     own = F.coalesce("class", "id")
     return out.select(
-        F.col("id").alias(id_column), own.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("id").alias(id_column), own.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links_found"),
         F.coalesce("component", own).alias("component_id"), (F.coalesce("component", own) == F.col("id")).alias("kept"),
     )
