@@ -10,9 +10,11 @@ string starts anywhere else. Equal texts are one class from the start and take p
 Shards are cut from a partition sorted by owner at ``SHARD_BYTES``; equal segments are merged before sorting, so a
 passage that many texts share costs its distinct segments only.
 
-With ``words``, strings of so many words repeat too, whatever their length in bytes. A word is a run of bytes
-between ASCII whitespace, and any whitespace between words is as good as another. Starts of words are owned and cut
-into segments in the same way, by grams of ``WORD_GRAM`` words; the strings of the segments of one owner are counted.
+An owner with more than ``HOT`` segments, such as a gram at the edge of a passage that very many texts go on from, is
+cut a second time: its strings are owned by their next smallest hash as well, so its segments go to several shards.
+
+Strings are counted in units: bytes, or words (``WordUnits``). A word is a run of bytes between ASCII whitespace, and
+any whitespace between words is as good as another; the suffix array of a shard is then one of numbered words.
 
 Cases: null texts count as empty; texts under ``length`` bytes lose nothing; repeated rows are occurrences of their
 own (a text of ``length`` bytes or more that stands twice is removed in both places); strings overlap freely;
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, small_batches, text_or_empty, written
+from punchdeck.llm.common import by_bytes, lean, small_batches, text_or_empty, written
 
 LENGTH, GRAM, WORD_GRAM = 400, 64, 8
-SHARD_BYTES = 3 << 19
+SHARD_BYTES = 1 << 20
 BATCH_BYTES = 1 << 20
+#: Segments of one owner beyond which it is cut a second time.
+HOT = 256
+#: Symbols up to which a suffix sort goes bucket by bucket in numpy; beyond that buckets are too small for it.
+FEW = 1024
 WORD = re.compile(rb"[^ \t\n\r\f\v]+")
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BYTE_HASH = np.random.default_rng(64).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,31 +84,71 @@ def met_again(owners: np.ndarray, h: np.ndarray) -> np.ndarray:
     return counts[np.searchsorted(values, owners)] > 1
 
 
-def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, text, first start, end of starts, owner met again) of the segments of some texts."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    return _segments(BYTE_HASH[np.frombuffer(b"".join(texts), np.uint8)], sizes, length, gram)
-
-
-def word_segments(texts: list[bytes], words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``segments``, with words in place of bytes."""
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    if not len(data):
-        return _segments(BYTE_HASH[data], np.zeros(len(texts), np.int64), words, gram)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    first = np.flatnonzero(~space & np.append(True, space[:-1]))
-    last = np.flatnonzero(~space & np.append(space[1:], True)) + 1
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(first, ends)
-    inside = np.arange(len(data)) - np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(data)]])))
-    value = np.where(space, np.uint64(0), BYTE_HASH[data] * (BYTE_HASH[inside & 255] + inside.astype(np.uint64) * np.uint64(2)))
-    h = np.add.reduceat(value, first) if len(first) else value[:0]
-    h = (h + (last - first).astype(np.uint64)) * M1
-    h ^= h >> np.uint64(31)
-    return _segments(h, np.diff(np.append(0, upto)), words, gram)
+class ByteUnits:
+    """Texts as bytes."""
+
+    gram = GRAM
+
+    def parts(self, text: bytes) -> bytes:
+        return text
+
+    def joined(self, parts: bytes) -> bytes:
+        return parts
+
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the units of all texts and the number of units of each."""
+        return BYTE_HASH[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+
+    def symbols(self, pieces: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(p, np.uint8) for p in pieces]
+
+    def places(self, text: bytes, starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+        """The bytes that strings of ``length`` units cover whose starts are the given intervals of units."""
+        return [(a, z - 1 + length) for a, z in starts]
+
+
+class WordUnits:
+    """Texts as words between ASCII whitespace."""
+
+    gram = WORD_GRAM
+
+    def parts(self, text: bytes) -> list[bytes]:
+        return text.split()
+
+    def joined(self, parts: list[bytes]) -> bytes:
+        return b" ".join(parts)
+
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        if not len(data):
+            return BYTE_HASH[data], np.zeros(len(texts), np.int64)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        first = np.flatnonzero(~space & np.append(True, space[:-1]))
+        last = np.flatnonzero(~space & np.append(space[1:], True)) + 1
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        upto = np.searchsorted(first, ends)
+        inside = np.arange(len(data)) - np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(data)]])))
+        value = np.where(space, np.uint64(0), BYTE_HASH[data] * (BYTE_HASH[inside & 255] + inside.astype(np.uint64) * np.uint64(2)))
+        h = np.add.reduceat(value, first) if len(first) else value[:0]
+        h = (h + (last - first).astype(np.uint64)) * M1
+        h ^= h >> np.uint64(31)
+        return h, np.diff(np.append(0, upto))
+
+    def symbols(self, pieces: list[bytes]) -> list[np.ndarray]:
+        number: dict[bytes, int] = {}
+        return [np.array([number.setdefault(w, len(number)) for w in p.split(b" ")], np.int64) for p in pieces]
+
+    def places(self, text: bytes, starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+        at = [m.span() for m in WORD.finditer(text)] if starts else []
+        return [(at[a][0], at[z - 2 + length][1]) for a, z in starts]
 
 
-def _segments(h: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Units = ByteUnits | WordUnits
+
+
+def segments(texts: list[bytes], length: int, units: Units, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, text, first start, end of starts, owner met again) of the segments of some texts."""
+    h, sizes = units.hashes(texts)
     none = np.empty(0, np.int64)
     if len(h) < length:
         return none.view(np.uint64), none, none, none, none.astype(bool)
@@ -123,6 +168,17 @@ def _segments(h: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple
     return owner[first], d, first - begin[d], last - begin[d], met_again(owner[first], grams)
 
 
+def cut_again(piece: bytes, owner: int, length: int, units: Units, gram: int) -> list[tuple[int, int, int]]:
+    """(owner, first start, end of starts) of one segment, by the smallest hash of each string that isn't the owner's."""
+    h, _ = units.hashes([piece])
+    grams = run_hashes(h, gram)
+    grams = np.where(grams == np.uint64(owner & 0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF), grams)
+    second = window_minima(grams, length - gram + 1)
+    first = np.flatnonzero(np.append(True, second[1:] != second[:-1]))
+    mixed = (second[first] * M1 ^ np.uint64(owner & 0xFFFFFFFFFFFFFFFF)) * M2
+    return list(zip(mixed.view(np.int64).tolist(), first.tolist(), np.append(first[1:], len(second)).tolist(), strict=True))
+
+
 # ---- suffix sorting -------------------------------------------------------------------------------------------
 
 
@@ -214,6 +270,32 @@ def _deal(sa, places, symbols, fill, way, k):
     fill += way * counts
 
 
+def _induce_plain(s: np.ndarray, small: np.ndarray, sorted_lms: np.ndarray, k: int) -> np.ndarray:
+    """As ``_induce``, suffix by suffix, for many symbols."""
+    counts = np.bincount(s, minlength=k)
+    ends = np.cumsum(counts)
+    text, is_small, sa = s.tolist(), small.tolist(), [-1] * len(s)
+    tail = ends.tolist()
+    for j in reversed(sorted_lms.tolist()):
+        c = text[j]
+        tail[c] -= 1
+        sa[tail[c]] = j
+    head = (ends - counts).tolist()
+    for j in sa:  # entries are set ahead of the loop
+        if j > 0 and not is_small[j - 1]:
+            c = text[j - 1]
+            sa[head[c]] = j - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for j in reversed(sa):
+        if j > 0 and is_small[j - 1]:
+            c = text[j - 1]
+            tail[c] -= 1
+            sa[tail[c]] = j - 1
+    sa[0] = len(s) - 1
+    return np.array(sa, np.int32)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of small unsigned symbols whose last one is a unique smallest 0."""
     n = len(s)
@@ -221,20 +303,21 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         return np.arange(n, dtype=np.int32)[::-1].copy()
     k = int(s.max()) + 1
     small = _types(s)
-    runs = _run_lengths(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
+    if k <= FEW:
+        runs = _run_lengths(s)
+        induce = lambda order: _induce(s, small, runs, order, k)
+    else:
+        induce = lambda order: _induce_plain(s, small, order, k)
     # sort the leftmost-smaller substrings: induce from them in any order within a bucket
-    rough = _induce(s, small, runs, lms[np.argsort(s[lms], kind="stable")], k)
+    rough = induce(lms[np.argsort(s[lms], kind="stable")])
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
     names = _named(s, small, lms, ordered)
-    if names.max() + 1 < len(lms):
-        ranks = _rank(names)
-        order = np.empty(len(lms), np.int64)
-        order[ranks] = np.arange(len(lms))
-        ordered = lms[order]
-    return _induce(s, small, runs, ordered, k)
+    if names.max() + 1 < len(lms):  # some are equal: the order of the suffixes of their names tells
+        ordered = lms[suffix_array(names)]
+    return induce(ordered)
 
 
 def _named(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -259,30 +342,6 @@ def _named(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ordered: np.ndarra
     return names
 
 
-def _rank(names: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes of the reduced string. The recursion: the names of pairs of names are the names of a
-    string in which each symbol stands for twice as much, until all differ. Settled names are left as they are."""
-    n, rank, width = len(names), names.copy(), 1
-    counts = np.bincount(rank, minlength=n)
-    rank = (np.cumsum(counts) - counts)[rank]  # a name is the number of suffixes before its first
-    open_ = np.flatnonzero(counts[names] > 1)
-    while len(open_):
-        after = open_ + width
-        second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        order = np.lexsort((second, rank[open_]))
-        o, a, b = open_[order], rank[open_][order], second[order]
-        head = np.concatenate([[True], a[1:] != a[:-1]])
-        new = head | np.concatenate([[True], b[1:] != b[:-1]])
-        at = np.arange(len(o))
-        place = a + at - np.maximum.accumulate(np.where(head, at, 0))
-        first = np.maximum.accumulate(np.where(new, at, 0))
-        rank[o] = place[first]
-        alone = new & np.append(new[1:], True)
-        open_ = o[~alone]
-        width *= 2
-    return rank
-
-
 def common_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Permuted common prefixes: for each place, the length shared with the suffix before it in the array, and that
     suffix. They are compared at irreducible places only; elsewhere one less than at the place before."""
@@ -312,12 +371,16 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.maximum(length[base] - (at - base), 0) * (other >= 0), phi
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each of some distinct byte strings, the starts whose ``length`` bytes start at another place too."""
-    sizes = np.array([len(p) for p in pieces])
-    flat = np.frombuffer(b"\0".join(pieces) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
+def repeated_starts(pieces: list[bytes], length: int, units: Units = ByteUnits()) -> list[np.ndarray]:
+    """For each of some distinct strings, the starts whose ``length`` units stand at another place too."""
+    parts = units.symbols(pieces)
+    sizes = np.array([len(p) for p in parts])
+    top = max((int(p.max()) for p in parts if len(p)), default=0)
     stop = np.cumsum(sizes + 1) - 1
-    flat[stop] = 1  # between the strings
+    flat = np.ones(int(stop[-1]) + 2, np.uint16 if top < 60_000 else np.int64)  # 1: between the strings
+    for p, z, n in zip(parts, stop.tolist(), sizes.tolist(), strict=True):
+        flat[z - n : z] = p
+        flat[z - n : z] += 2
     flat[-1] = 0
     sa = suffix_array(flat)
     shared, phi = common_prefixes(flat, sa)
@@ -342,102 +405,51 @@ def intervals(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + 1).tolist(), strict=True))
 
 
-def spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, n, text) of the distinct texts, and (key, a, b): starts that repeat. Key: 128 bits of a SHA-256."""
-    if length < gram:
-        gram = 1 << (length.bit_length() - 1)
-    small_batches(documents.sparkSession)
+def distinct_texts(documents: DataFrame, text_column: str = "text") -> DataFrame:
+    """``(key, n, text)`` of the distinct texts. Key: 128 bits of a SHA-256."""
     text = text_or_empty(text_column)
-    key = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
-    texts = documents.select(key.alias("key"), text.alias("text")).groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    return documents.select(text_key(text_column).alias("key"), text.alias("text")).groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text"))
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text", BATCH_BYTES):
-            data = [t.encode() for t in b.column("text").to_pylist()]
-            owner, doc, a, z, again = segments(data, length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), b.column("key").take(pa.array(doc)), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(again)], names=["owner", "key", "a", "z", "again"])
 
-    found = texts.mapInArrow(cut_up, "owner long, key binary, a int, z int, again boolean")
-    shared = found.groupBy("owner").agg(F.count("*").alias("m"), F.max("again").alias("again")).filter("m > 1 or again").select("owner")
-    wanted = found.join(shared, "owner").groupBy("key").agg(F.collect_list(F.struct("owner", "a", "z")).alias("cuts"))  # of one text
+def text_key(text_column: str):
+    return F.unhex(F.substring(F.sha2(text_or_empty(text_column), 256), 1, 32))
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text", BATCH_BYTES):
-            out: list[list] = [[], [], [], []]
-            for key, text, cuts in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
-                data = text.encode()
-                for c in cuts:
-                    for x, v in zip(out, (c["owner"], key, c["a"], data[c["a"] : c["z"] - 1 + length]), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["owner", "key", "a", "bytes"])
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: dict[bytes, list]) -> pa.RecordBatch:
-            rows: list[tuple] = []
-            for places, starts in zip(held.values(), repeated_starts(list(held), length), strict=True):
-                if len(places) > 1:
-                    starts = None  # the whole segment stands twice
-                for key, a, size in places:
-                    rows += [(key, a + p, a + q) for p, q in (intervals(starts) if starts is not None else [(0, size - length + 1)])]
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["key", "a", "z"])
-
-        held: dict[bytes, list] = {}
-        size, before = 0, None
-        for b in batches:
-            for owner, key, a, data in zip(*(b.column(c).to_pylist() for c in ("owner", "key", "a", "bytes")), strict=True):
-                if size >= SHARD_BYTES and owner != before:
-                    yield flush(held)
-                    held, size = {}, 0
-                before = owner
-                places = held.setdefault(data, [])
-                size += 0 if places else len(data)
-                places.append((key, a, len(data)))
-        if held:
-            yield flush(held)
-
-    cut = texts.join(wanted, "key").select("key", "n", "text", "cuts").mapInArrow(take, "owner long, key binary, a int, bytes binary")
-    starts = cut.repartition("owner").sortWithinPartitions("owner").mapInArrow(sort, "key binary, a int, z int")
-    return texts, starts
-
-
-def word_spans(texts: DataFrame, words: int, gram: int = WORD_GRAM) -> DataFrame:
-    """(key, a, b) of ``texts(key, text)``: words at which a string of ``words`` words starts that repeats."""
-    if words < gram:
-        gram = 1 << (words.bit_length() - 1)
+def spans(texts: DataFrame, length: int, units: Units, gram: int | None = None) -> DataFrame:
+    """``(key, a, z)`` of ``texts(key, text)``: starts, counted in units, of strings of ``length`` units that repeat."""
+    gram = gram or units.gram
+    if length < gram:
+        gram = 1 << (length.bit_length() - 1)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BATCH_BYTES):
-            owner, doc, a, z, again = word_segments([t.encode() for t in b.column("text").to_pylist()], words, gram)
+            owner, doc, a, z, again = segments([t.encode() for t in b.column("text").to_pylist()], length, units, gram)
             yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), b.column("key").take(pa.array(doc)), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(again)], names=["owner", "key", "a", "z", "again"])
 
-    found = texts.select("key", "text").mapInArrow(cut_up, "owner long, key binary, a int, z int, again boolean")
-    shared = found.groupBy("owner").agg(F.count("*").alias("m"), F.max("again").alias("again")).filter("m > 1 or again").select("owner")
-    wanted = found.join(shared, "owner").groupBy("key").agg(F.collect_list(F.struct("owner", "a", "z")).alias("cuts"))  # of one text
+    found = texts.select("key", "text").mapInArrow(lean(cut_up), "owner long, key binary, a int, z int, again boolean")
+    shared = found.groupBy("owner").agg(F.count("*").alias("m"), F.max("again").alias("again")).filter("m > 1 or again").select("owner", (F.col("m") > HOT).alias("hot"))
+    wanted = found.join(shared, "owner").groupBy("key").agg(F.collect_list(F.struct("owner", "a", "z", "hot")).alias("cuts"))  # of one text
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BATCH_BYTES):
-            out: list[list] = [[], [], [], []]
+            out: list[tuple] = []
             for key, text, cuts in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
-                data = text.encode().split()
+                data = units.parts(text.encode())
                 for c in cuts:
-                    for x, v in zip(out, (c["owner"], key, c["a"], b" ".join(data[c["a"] : c["z"] - 1 + words])), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["owner", "key", "a", "bytes"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def strings(segment: bytes) -> list[bytes]:
-            data = segment.split(b" ")
-            return [hashlib.blake2b(b" ".join(data[i : i + words]), digest_size=16).digest() for i in range(len(data) - words + 1)]
+                    a, piece = c["a"], data[c["a"] : c["z"] - 1 + length]
+                    if c["hot"]:
+                        out += [(o, key, a + x, units.joined(piece[x : y - 1 + length])) for o, x, y in cut_again(units.joined(piece), c["owner"], length, units, gram)]
+                    else:
+                        out.append((c["owner"], key, a, units.joined(piece)))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["owner", "key", "a", "bytes"])
 
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: dict[bytes, list]) -> pa.RecordBatch:
             rows: list[tuple] = []
-            met: Counter = Counter()
-            for segment, places in held.items():
-                for x in strings(segment):
-                    met[x] += len(places)
-            for segment, places in held.items():
-                runs = intervals(np.flatnonzero([met[x] > 1 for x in strings(segment)]))
+            for piece, places, starts in zip(held, held.values(), repeated_starts(list(held), length, units), strict=True):
+                # a segment that stands twice repeats whole
+                runs = intervals(starts) if len(places) == 1 else [(0, len(units.parts(piece)) - length + 1)]
                 rows += [(key, a + p, a + q) for key, a in places for p, q in runs]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["key", "a", "z"])
@@ -456,18 +468,20 @@ def word_spans(texts: DataFrame, words: int, gram: int = WORD_GRAM) -> DataFrame
         if held:
             yield flush(held)
 
-    cut = texts.join(wanted, "key").select("key", "text", "cuts").mapInArrow(take, "owner long, key binary, a int, bytes binary")
-    return cut.repartition("owner").sortWithinPartitions("owner").mapInArrow(count, "key binary, a int, z int")
+    cut = texts.join(wanted, "key").select("key", "text", "cuts").mapInArrow(lean(take), "owner long, key binary, a int, bytes binary")
+    return cut.repartition("owner").sortWithinPartitions("owner").mapInArrow(lean(sort), "key binary, a int, z int")
 
 
 def kept_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text", words: int | None = None) -> DataFrame:
     """``(key, n_bytes, n_removed, n_spans, kept_sha256, kept)`` of each distinct text; ``kept``: the bytes left, null if all are."""
-    texts, starts = spans(documents, length, gram, text_column)
-    starts = starts.withColumn("by_word", F.lit(False))
+    small_batches(documents.sparkSession)
+    texts = distinct_texts(documents, text_column)
+    in_bytes, in_words = ByteUnits(), WordUnits()
+    starts = spans(texts, length, in_bytes, gram).withColumn("by_word", F.lit(False))
     if words:
         # each is written by itself, so the shuffle files of one are gone before the other's are made
-        by_byte, by_word = written(starts, "starts"), written(word_spans(texts, words).withColumn("by_word", F.lit(True)), "word-starts")
-        starts = by_byte.union(by_word)
+        by_byte = written(starts, "starts")
+        starts = by_byte.union(written(spans(texts, words, in_words).withColumn("by_word", F.lit(True)), "word-starts"))
     by_text = starts.groupBy("key").agg(F.collect_list(F.struct("a", "z", "by_word")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,10 +489,9 @@ def kept_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
             rows = []
             for text, n, found in zip(b.column("text").to_pylist(), b.column("n").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 data = text.encode()
-                cover = [(f["a"], f["z"] - 1 + length) for f in found or () if not f["by_word"]]
-                if by_word := [f for f in found or () if f["by_word"]]:
-                    at_word = [m.span() for m in WORD.finditer(data)]
-                    cover += [(at_word[f["a"]][0], at_word[f["z"] - 2 + words][1]) for f in by_word]
+                cover = in_bytes.places(data, [(f["a"], f["z"]) for f in found or () if not f["by_word"]], length)
+                if words:
+                    cover += in_words.places(data, [(f["a"], f["z"]) for f in found or () if f["by_word"]], words)
                 if n > 1 and (len(data) >= length or words and len(data.split(None, words - 1)) == words):
                     cover = [(0, len(data))]
                 left, at, removed, n_spans, edge = [], 0, 0, 0, -1
@@ -499,14 +512,13 @@ def kept_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = texts.join(by_text, "key", "left").select("key", "n", "text", "starts")
-    return joined.mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(lean(run), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def digest(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of each row."""
     kept = kept_texts(documents, length, gram, text_column).drop("kept")
-    key = F.unhex(F.substring(F.sha2(text_or_empty(text_column), 256), 1, 32))
-    return documents.select(F.col(id_column), key.alias("key")).join(kept, "key").drop("key")
+    return documents.select(F.col(id_column), text_key(text_column).alias("key")).join(kept, "key").drop("key")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text", words: int | None = None) -> DataFrame:
@@ -514,13 +526,15 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
 
     Texts that change are joined by key; all others pass as they are.
     """
-    changed = kept_texts(documents, length, gram, text_column, words).filter("n_removed > 0").select(F.col("key").alias("k_"), F.col("kept").alias("kept_"))
+    changed = kept_texts(documents, length, gram, text_column, words).filter("n_removed > 0").select("key", "kept")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("k_"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept_").to_pylist()], pa.string())], names=["k_", "kept_"])
-
-    changed = changed.mapInArrow(decode, "k_ binary, kept_ string")
-    key = F.unhex(F.substring(F.sha2(text_or_empty(text_column), 256), 1, 32))
-    out = documents.withColumn("key_", key).join(changed, F.col("key_") == F.col("k_"), "left")
-    return out.withColumn(text_column, F.when(F.col("k_").isNotNull(), F.col("kept_")).otherwise(F.col(text_column))).select(*documents.columns)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())], names=["key", "kept"])
+
+    changed = changed.mapInArrow(decode, "key binary, kept string").select(F.struct("key", "kept").alias("cut"))
+    # rows are carried in one column, so no name of theirs can clash
+    rows = documents.select(F.struct("*").alias("row"), text_key(text_column).alias("key"))
+    out = rows.join(changed, F.col("key") == F.col("cut.key"), "left")
+    text = F.when(F.col("cut").isNotNull(), F.col("cut.kept")).otherwise(F.col("row")[text_column])
+    return out.select(*(text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in documents.columns))
