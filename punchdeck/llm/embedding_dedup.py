@@ -13,8 +13,11 @@ Recall of the passes: vectors at cosine c differ in one bit with probability arc
 in a pass if they agree in about log2(rows / window) leading bits; with the defaults a pair at 0.95 is found with
 a probability over 0.99 up to 10^6 rows. Pairs that connect a component need not all be found.
 
-Cases: vectors that are null, empty, zero, of another length than the most frequent one, or that hold null or
-non-finite components link with nothing; ties are ordered by id; rows with equal ids keep apart in the counts but
+Inside a window the pairs that are certain in single precision are thinned to a spanning forest, so a large group
+of near copies gives a number of pairs in proportion to it; pairs near the limit are judged in double precision.
+
+Cases: vectors that are null, empty, zero, or that hold null or non-finite components link with nothing; vectors of
+different lengths are not compared; ties are ordered by id; rows with equal ids keep apart in the counts but
 share a component; an empty table gives an empty result; other columns are not read.
 """
 
@@ -31,24 +34,45 @@ from pyspark.sql import functions as F
 from punchdeck.llm.common import components, cut, written
 
 PASSES, BITS, WINDOW, BLOCK = 20, 64, 64, 2048
-SLACK = 1e-12
+#: Bound on the error of a cosine in single precision.
+SINGLE = 1e-5
 
 
 def unit(raw: list[bytes] | np.ndarray) -> np.ndarray:
+    """Vectors of one length, scaled to length 1; first by their largest component, as squares could over- or underflow."""
     x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def neighbours(ids: np.ndarray, x: np.ndarray, window: int, least: float, step: int = 1024) -> set[tuple[int, int]]:
-    """Pairs at most ``window`` apart with a cosine of at least ``least``."""
+    """Pairs at most ``window`` apart that join all those with a cosine of at least ``least``: a spanning forest of the
+    certain ones, and all that are near the limit."""
     found: set[tuple[int, int]] = set()
+    up = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def add(i: int, j: int) -> None:
+        p, q = int(ids[i]), int(ids[j])
+        found.add((min(p, q), max(p, q)))
+
     for a in range(0, len(ids), step):
         b = min(len(ids), a + step + window)
         near = x[a : a + step] @ x[a:b].T
-        i, j = np.nonzero(near >= least)
+        i, j = np.nonzero(near >= least - SINGLE)
         keep = (j > i) & (j - i <= window)
-        p, q = ids[a + i[keep]], ids[a + j[keep]]
-        found.update(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
+        certain = near[i[keep], j[keep]] >= least + SINGLE
+        for k, m, sure in zip((a + i[keep]).tolist(), (a + j[keep]).tolist(), certain.tolist(), strict=True):
+            if sure:
+                r, t = root(k), root(m)
+                if r == t:
+                    continue
+                up[t] = r
+            add(k, m)
     return found
 
 
@@ -61,16 +85,14 @@ def classes(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[Dat
     # 0.0 and -0.0 are equal; a class is named by the smallest id of its rows
     rows = rows.withColumn("v", F.when(F.col("fine"), F.transform("v", lambda x: x + F.lit(0.0))))
     rows = rows.withColumn("digest", F.when(F.col("fine"), F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)))
-    size = rows.filter("fine").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).select("dim").first()
-    dim = size.dim if size else 0
-    rows = rows.withColumn("digest", F.when(F.size("v") == dim, F.col("digest")))
     one = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.first("v").alias("v"))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("v")
-            x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("class"), b.column("n"), pa.array([r.tobytes() for r in x], pa.binary())], names=["digest", "class", "n", "raw"])
+            x, ends = np.asarray(v.flatten(), np.float64), np.cumsum([0, *np.asarray(v.value_lengths())])
+            raw = [x[p:q].tobytes() for p, q in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("class"), b.column("n"), pa.array(raw, pa.binary())], names=["digest", "class", "n", "raw"])
 
     distinct = written(one.mapInArrow(raw, "digest string, class long, n long, raw binary"), "vectors")
     members = rows.select("id", "digest").join(distinct.select("digest", "class"), "digest", "left").select("id", "class")
@@ -81,18 +103,18 @@ def passes(distinct: DataFrame, least: float, n_passes: int, bits: int, window:
     """Distinct pairs ``(a, b)`` of classes, a < b, found by all passes."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
+        planes: dict[int, np.ndarray] = {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            raw = b.column("raw").to_pylist()
-            x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((n_passes, x.shape[1], bits))
-            for k in range(n_passes):
-                key = np.packbits(x @ planes[k] > 0, axis=1)
-                small = pa.array([r.tobytes() for r in unit(raw).astype("<f4")], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), k), pa.int32()), pa.array([r.tobytes() for r in key], pa.binary()), b.column("class"), small], names=["pass", "key", "class", "raw"])
+            raw, ids = b.column("raw").to_pylist(), np.asarray(b.column("class"))
+            for size in sorted(set(map(len, raw))):
+                some = [k for k, r in enumerate(raw) if len(r) == size]
+                x = unit([raw[k] for k in some])
+                if size not in planes:
+                    planes[size] = np.random.default_rng(seed).standard_normal((n_passes, x.shape[1], bits))
+                small = pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())
+                for k in range(n_passes):
+                    key = np.packbits(x @ planes[size][k] > 0, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array([size.to_bytes(4, "big") + r.tobytes() for r in key], pa.binary()), pa.array(ids[some]), small], names=["pass", "key", "class", "raw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("edge", pa.int32()), ("pos", pa.int32()), ("pass", pa.int32()), ("raw", pa.binary())])
@@ -114,15 +136,19 @@ def passes(distinct: DataFrame, least: float, n_passes: int, bits: int, window:
         if held is not None:
             yield strip(schema, held, part, 1, 0)
 
+    def near(rows: pd.DataFrame) -> set:
+        found: set = set()
+        for _, g in rows.groupby([rows["pass"], rows["raw"].map(len)], sort=False):
+            x = np.frombuffer(b"".join(g["raw"]), "<f4").reshape(len(g), -1)
+            found |= neighbours(g["class"].to_numpy(), x, window, least)
+        return found
+
     def strip(schema, rows, part, edge, at):
         n = len(rows)
         return pa.RecordBatch.from_arrays([pa.array(rows["class"], pa.int64()), pa.nulls(n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()), pa.array(range(at, at + n), pa.int32()), pa.array(rows["pass"], pa.int32()), pa.array(rows["raw"], pa.binary())], schema=schema)
 
     def pairs(schema, rows):
-        found: set = set()
-        for _, g in rows.groupby("pass", sort=False):
-            x = np.frombuffer(b"".join(g["raw"]), "<f4").reshape(len(g), -1)
-            found |= neighbours(g["class"].to_numpy(), x, window, least - 1e-5)
+        found = near(rows)
         n = len(found)
         columns = list(zip(*found, strict=True)) if n else [[], []]
         none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())]
@@ -141,11 +167,7 @@ def passes(distinct: DataFrame, least: float, n_passes: int, bits: int, window:
 
     def border(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["edge", "pos"], ascending=[False, True], ignore_index=True)
-        x = np.frombuffer(b"".join(frame["raw"]), "<f4").reshape(len(frame), -1)
-        found: set = set()
-        for _, g in frame.groupby("pass", sort=False):
-            found |= neighbours(g["class"].to_numpy(), x[g.index], window, least - 1e-5)
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
+        return pd.DataFrame(sorted(near(frame)), columns=["a", "b"])
 
     met = strips.join(F.broadcast(ranks), "part").withColumn("border", F.col("rank") + F.col("edge"))
     borders = met.groupBy("border").applyInPandas(border, "a long, b long")
@@ -157,9 +179,12 @@ def verified(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (unit(b.column(c).to_pylist()) if b.num_rows else np.zeros((0, 1)) for c in ("ra", "rb"))
-            keep = pa.array((x * y).sum(1) >= least - SLACK)
-            yield b.select(["a", "b"]).filter(keep)
+            one, other = b.column("ra").to_pylist(), b.column("rb").to_pylist()
+            keep = np.zeros(b.num_rows, bool)
+            for size in set(map(len, one)):
+                some = [k for k, r in enumerate(one) if len(r) == size]
+                keep[some] = (unit([one[k] for k in some]) * unit([other[k] for k in some])).sum(1) >= least
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
     raw = distinct.select("class", "raw")
     both = pairs.join(raw.toDF("a", "ra"), "a").join(raw.toDF("b", "rb"), "b")
@@ -183,7 +208,7 @@ def link_counts(member_of: DataFrame, distinct: DataFrame, least: float, block:
         p, q, mine = int(frame["p"].iloc[0]), int(frame["q"].iloc[0]), frame["mine"].to_numpy()
         links = np.zeros(len(frame), np.int64)
         for a in range(0, len(frame), 512):
-            near = x[a : a + 512] @ x.T >= least - SLACK
+            near = x[a : a + 512] @ x.T >= least
             near[np.arange(len(near)), np.arange(a, a + len(near))] = False
             if p != q:
                 near &= mine[a : a + 512, None] != mine[None, :]
