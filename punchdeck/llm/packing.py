@@ -6,10 +6,11 @@ remainder, so all later pieces fill a sequence of their own and one piece of eac
 The rule: a piece goes to the residual gap (or to a new sequence) after which the sum over gaps of the squared
 number of open sequences is smallest. Pieces are dealt to shards by a hash of the document, each shard packs its
 pieces with the longest first, and what a shard leaves badly filled is opened again and packed in a later round
-over fewer shards; rounds end when a single shard holds the rest.
+over as many shards as the rest needs. The last round is the one of a single shard, or the one after a round that
+settled less than half: pieces that fill no sequence well would not do so in any shard.
 
 Cases: a null text counts as empty and is one piece with the end id alone; repeated rows are packed each for
-itself; an empty table gives an empty result; other columns are not read.
+itself; an empty table gives an empty result; other columns are not read. A very long text is a batch of its own.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, cut, small_batches, text_or_empty
+from punchdeck.llm.common import by_bytes, cut, lean, small_batches, text_or_empty
 from punchdeck.llm.encoding import encoder, id_bytes, spaced_words
 
 BATCH_BYTES = 2 << 20
@@ -52,7 +53,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, id_
 
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
-    return rows.mapInArrow(run, PIECE)
+    return rows.mapInArrow(lean(run, keeps=True), PIECE)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +91,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset, np.array(filled, np.int64)
 
 
-def pack(items: DataFrame, capacity: int, shard_rows: int = 20_000, good: float = 0.995, fan_in: int = 16) -> DataFrame:
+def pack(items: DataFrame, capacity: int, shard_rows: int = 20_000, good: float = 0.995) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``pieces``. ``shard_rows``: pieces that one task places, about."""
     schema = f"{PIECE}, sequence_id long, offset long"
 
@@ -108,10 +109,10 @@ def pack(items: DataFrame, capacity: int, shard_rows: int = 20_000, good: float
     items = cut(items)
     full = items.filter(F.col("length") == capacity)
     left = items.filter(F.col("length") < capacity)
-    n, round_, done = left.count(), 1, []
+    n, before, round_, done = left.count(), None, 1, []
     while True:
-        shards = max(1, -(-n // shard_rows) if round_ == 1 else min(-(-n // shard_rows), shards // fan_in))
-        last = shards == 1
+        shards = max(1, -(-n // shard_rows))
+        last = shards == 1 or before is not None and n > before // 2
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(shards)))
         placed = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(place(last, round_), schema)
         if last:
@@ -120,7 +121,7 @@ def pack(items: DataFrame, capacity: int, shard_rows: int = 20_000, good: float
         placed = cut(placed)
         done.append(placed.filter("sequence_id >= 0"))
         left = placed.filter("sequence_id < 0").drop("sequence_id", "offset")
-        n, round_ = left.count(), round_ + 1
+        n, before, round_ = left.count(), n, round_ + 1
     alone = full.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     for part in done:
         alone = alone.unionByName(part)

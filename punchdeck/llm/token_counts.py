@@ -2,6 +2,7 @@
 
 Cases: a null text counts as empty (0 bytes, 0 tokens); empty texts have 0 tokens; repeated rows are counted each
 for itself; an empty table gives an empty result. Columns besides ``id_column`` and ``text_column`` are not read.
+A very long text is a batch of its own and is encoded in units, none of which a pattern crosses.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, small_batches, text_or_empty
+from punchdeck.llm.common import by_bytes, lean, small_batches, text_or_empty
 from punchdeck.llm.encoding import encoder, words
 
 BATCH_BYTES = 2 << 20
@@ -34,4 +35,4 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
 
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
-    return rows.mapInArrow(count, f"`{id_column}` long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lean(count, keeps=True), f"`{id_column}` long, n_bytes long, n_tokens long, over_limit boolean")
