@@ -6,27 +6,32 @@ documents meet those of the benchmark in a hash join; each hit fixes a diagonal
 position), along which the tokens of text and item are compared. A document overlaps an item if on some diagonal a
 window of ``WINDOW`` tokens (of the whole item if it is shorter) has at least ``LEAST`` of its tokens equal.
 
-The masks find every such overlap with an item of ``SHORTEST`` tokens or more: wherever the tokens that differ lie in a
+The masks find every such overlap with an item of ``LONG`` tokens or more: wherever the tokens that differ lie in a
 window of 16 (three at most) or in a whole item of 7 to 15 (a fifth at most), one of the masks has a place in it that
-meets none of them (the test enumerates all cases).
+meets none of them (the test enumerates all cases). Items that are shorter have masks of their own length: the whole
+item, or for 5 and 6 tokens, where one may differ, the item without one of its tokens. Such masks are laid on the
+documents only if the benchmark holds items of that length.
 
 The benchmark's seeds are broadcast while they are at most ``BROADCAST_SEEDS`` (about 100 bytes each); a larger
 benchmark is joined by a shuffle.
 
-Cases: null texts count as empty and overlap nothing; items with fewer than ``SHORTEST`` tokens are too short to
-tell and match nothing; rows with equal ids are compared each for itself and reported once; null ids are not
-reported; empty tables give an empty result; other columns are not read.
+Cases: null texts count as empty and overlap nothing, as do items without a token; rows with equal ids are compared
+each for itself and reported once; of diagonals that are equally good the first in the text is reported; null ids are
+not reported; empty tables give an empty result; other columns are not read; a very long text is one row of seeds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punchdeck.llm.common import text_or_empty, written
 
 MASKS = ("11111", "110111", "1110011", "11010011")
-WINDOW, LEAST, SHORTEST = 16, 0.8, 7
+WINDOW, LEAST, LONG = 16, 0.8, 7
 BROADCAST_SEEDS = 500_000
 
 
@@ -35,18 +40,24 @@ def tokens(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column, masks: tuple[str, ...]) -> Column:
-    """Seeds of all masks and places, those of a mask together, by place."""
+def short_masks(size: int, least: float) -> tuple[str, ...]:
+    """Masks as long as an item of ``size`` tokens, one for each set of places that may differ."""
+    differ = int((1 - least) * size + 1e-9)
+    return tuple("".join("0" if j in gone else "1" for j in range(size)) for gone in combinations(range(size), differ))
+
+
+def seeds(h: Column, masks: Sequence[str], first: int) -> Column:
+    """Seeds of all masks and places, those of a mask together, by place. The masks are numbered from ``first``."""
 
     def of(k: int, mask: str) -> Column:
         picked = [j for j, x in enumerate(mask) if x == "1"]
         seed = F.transform(h, lambda x, i: F.xxhash64(F.lit(k), *(F.get(h, i + j) if j else x for j in picked)))
         return F.slice(seed, 1, F.greatest(F.size(h) - (len(mask) - 1), F.lit(0)))
 
-    return F.concat(*(of(k, m) for k, m in enumerate(masks)))
+    return F.concat(*(of(k, m) for k, m in enumerate(masks, first)))
 
 
-def place(at: Column, n: Column, masks: tuple[str, ...]) -> Column:
+def place(at: Column, n: Column, masks: Sequence[str]) -> Column:
     """Place in the text of the seed with number ``at``."""
     sizes = [F.greatest(n - (len(m) - 1), F.lit(0)) for m in masks]
     out, before = at, F.lit(0)
@@ -56,26 +67,32 @@ def place(at: Column, n: Column, masks: tuple[str, ...]) -> Column:
     return out
 
 
-def planted(table: DataFrame, id_: str, masks: tuple[str, ...]) -> DataFrame:
+def planted(table: DataFrame, id_: str, masks: Sequence[str], first: int = 0) -> DataFrame:
     """``(id, place, seed)`` of all seeds of ``table(id, text)``."""
     # the token array is bound as a lambda's variable: as a column it could be computed anew for each use of it
-    made = F.transform(F.array(tokens(F.col("text"))), lambda h: F.struct(F.size(h).alias("n"), seeds(h, masks).alias("seeds")))
+    made = F.transform(F.array(tokens(F.col("text"))), lambda h: F.struct(F.size(h).alias("n"), seeds(h, masks, first).alias("seeds")))
     rows = table.select(id_, F.inline(made)).select(id_, "n", F.posexplode("seeds").alias("at", "seed"))
     return rows.select(id_, place(F.col("at"), F.col("n"), masks).alias("place"), "seed")
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, masks: tuple[str, ...] = MASKS, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, masks: Sequence[str] = MASKS, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, similarity, n_equal, doc_start)`` of each document and item that overlap.
 
     ``similarity``: share of equal tokens in the best window; ``n_equal``: equal tokens on its diagonal;
     ``doc_start``: token of the document where that diagonal enters the item.
     """
     docs = documents.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).filter("doc_id is not null")
-    items = benchmark.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("text")).filter(F.size(tokens(F.col("text"))) >= SHORTEST)
-    theirs = planted(items, "item_id", masks).withColumnRenamed("place", "item_place")
+    items = benchmark.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("text"))
+    size = F.size(tokens(F.col("text")))
+    theirs, laid = planted(items.filter(size >= LONG), "item_id", masks), list(masks)
+    for r in items.select(size.alias("n")).filter((F.col("n") > 0) & (F.col("n") < LONG)).distinct().orderBy("n").collect():  # lengths under ``LONG``
+        own = short_masks(r.n, least)
+        theirs = theirs.union(planted(items.filter(size == r.n), "item_id", own, len(laid)))
+        laid += own
+    theirs = theirs.withColumnRenamed("place", "item_place")
     if theirs.count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
-    hits = planted(docs, "doc_id", masks).join(theirs, "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+    hits = planted(docs, "doc_id", laid).join(theirs, "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     hits = written(hits, "hits")
 
     met = hits.join(docs, "doc_id").select("item_id", "doc_id", "diagonal", tokens(F.col("text")).alias("h"))
