@@ -65,7 +65,8 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """The site of a document is its source, the path within it its language: the table has no URL."""
+    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carried=["doc_id", "source", "lang"])
     return rows.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "evidence", "host_share", "path_share", "posterior", "kept")
 
 
@@ -121,7 +122,7 @@ FROM comp LEFT JOIN n USING (vec_id)
 
 OP7_SQL = r"""
 WITH u AS (
-  SELECT DISTINCT page_id, url FROM pages),
+  SELECT page_id, url FROM pages),
 p AS (
   SELECT page_id, url,
     coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -132,7 +133,7 @@ r(rule, host, path, verdict) AS (VALUES
   ('org/es/', 'org', '/es/', 'block')),
 s AS (
   SELECT page_id, url, max(struct_pack(l := length(r.rule), rule := r.rule, verdict := r.verdict)) AS best
-  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  FROM (SELECT DISTINCT * FROM p) p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
   GROUP BY page_id, url),
 q AS (
   SELECT p.*, s.best, CASE
@@ -141,8 +142,8 @@ q AS (
     WHEN regexp_matches(p.host || p.path, '/feed(/|$)') THEN 'feeds'
     WHEN regexp_matches(p.host || p.path, '\.html$') THEN 'printed' END AS pattern_rule
   FROM p LEFT JOIN s ON p.page_id = s.page_id AND p.url IS NOT DISTINCT FROM s.url)
-SELECT page_id, host, path, best.rule AS rule, pattern_rule,
-  coalesce(best.verdict, CASE WHEN pattern_rule IN ('login', 'feeds') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, best.rule AS rule,
+  coalesce(best.verdict, CASE WHEN pattern_rule IN ('login', 'feeds') THEN 'block' ELSE 'allow' END) AS verdict, pattern_rule
 FROM q
 """
 

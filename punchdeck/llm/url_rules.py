@@ -5,12 +5,13 @@ these the one found in the fewest URLs becomes the rule's index token; a URL's t
 under them, and only fetched rules run their expression. Of the rules that match, the one of the highest rank wins
 (ties: the longer expression, then the rule's name). Everything is a DataFrame expression.
 
-The rule table is broadcast only while it has at most ``BROADCAST_RULES`` rows; beyond that the join with the
-exploded tokens is shuffled. Token counts come from all URLs, summed before the shuffle.
+While there are at most ``LITERAL_RULES`` rules the index is a map in the plan and each URL fetches its rules inside
+its own row, so no page is shuffled. A longer list is joined with the exploded tokens of the distinct URLs: broadcast
+up to ``BROADCAST_RULES`` rows, shuffled beyond. Token counts come from all URLs, summed before the shuffle.
 
 Cases: a null URL or one without ``://`` has an empty host and path and no rule; a rule without a literal token is
-tried on every URL; each distinct ``(id, url)`` gives one row, however often it repeats; empty tables give an empty
-result; other columns are not read, so clashing names do no harm.
+tried on every URL; each row of pages gives one row, however often it repeats; empty tables give an empty
+result; other columns are not read, so clashing names do no harm; a very long URL is judged whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_RULES = 100_000
+LITERAL_RULES, BROADCAST_RULES = 256, 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ANY = ""
 
@@ -77,28 +78,49 @@ def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows))).toDF("rule", "pattern", "tokens", "rank", "verdict")
 
 
+def indexed(urls: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
+    """``(token, rule, pattern, rank, verdict)``: each rule under the token of its own that the fewest URLs hold."""
+    literal = rules.select("rule", F.explode_outer(F.filter("tokens", lambda t: t != "")).alias("token"))
+    held = urls.select(F.explode(tokens_of(F.concat("host", "path"))).alias("token"))
+    seen = held.join(broadcast_if(literal.select("token").distinct(), n_rules), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = literal.join(seen, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best"))
+    return rules.join(rarest, "rule").select(F.coalesce("best.token", F.lit(ANY)).alias("token"), "rule", "pattern", "rank", "verdict")
+
+
+def fetching(index: DataFrame) -> Column:
+    """The rules that the tokens of a row's host and path fetch from a short index."""
+    rules: dict[str, list] = {}
+    for r in index.collect():  # at most ``LITERAL_RULES``
+        rules.setdefault(r.token, []).append(F.struct(F.lit(r.rank).alias("rank"), F.lit(len(r.pattern)).alias("long"), F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")))
+    pairs = [x for token, found in rules.items() for x in (F.lit(token), F.array(*found))]
+    fetched = F.transform(F.concat(F.array(F.lit(ANY)), tokens_of(F.concat("host", "path"))), lambda t: F.try_element_at(F.create_map(*pairs), t))
+    return F.flatten(F.filter(fetched, lambda x: x.isNotNull()))
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """``(page_id, host, path, rule, pattern_rule, verdict)``; ``rule`` is the site rule that decided, if one did."""
+    """``(page_id, host, path, rule, verdict, pattern_rule)``; ``rule`` is the site rule that decided, if one did."""
     url = F.col("url")
     urls = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"))
     urls = urls.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    urls = urls.withColumn("token", F.explode(F.concat(F.array(F.lit(ANY)), tokens_of(F.concat("host", "path")))))
-
+    told = F.coalesce(F.instr("url", "://") > 0, F.lit(False))
     n_rules = rules.count()
-    literal = rules.select("rule", F.explode_outer(F.filter("tokens", lambda t: t != "")).alias("token"))
-    seen = urls.join(broadcast_if(literal.select("token").distinct(), n_rules), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = literal.join(seen, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best"))
-    index = rules.join(rarest, "rule").select("rule", "pattern", "rank", "verdict", F.coalesce("best.token", F.lit(ANY)).alias("token"))
-
-    fetched = urls.join(broadcast_if(index, n_rules), "token", "left")
-    hit = F.col("rule").isNotNull() & (F.expr("regexp_like(concat(host, path), pattern)")) & F.expr("instr(url, '://') > 0")
-    found = F.when(hit, F.struct("rank", F.length("pattern").alias("long"), "rule", "verdict"))
-    best = fetched.groupBy("page_id", "url", "host", "path").agg(F.max(found).alias("best"))
-    return best.select(
+    index = indexed(urls, rules, n_rules)
+    if not n_rules:
+        judged = urls.withColumn("best", F.lit(None).cast("struct<rank:int,long:int,rule:string,verdict:string>"))
+    elif n_rules <= LITERAL_RULES:
+        hits = F.filter(fetching(index), lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"]))
+        judged = urls.withColumn("best", F.when(told, F.array_max(F.transform(hits, lambda r: F.struct(r["rank"], r["long"], r["rule"], r["verdict"])))))
+    else:
+        once = urls.filter(told).select("url", "host", "path").distinct()
+        fetched = once.withColumn("token", F.explode(F.concat(F.array(F.lit(ANY)), tokens_of(F.concat("host", "path"))))).join(broadcast_if(index, n_rules), "token")
+        found = fetched.filter(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
+        best = found.groupBy("url").agg(F.max(F.struct("rank", F.length("pattern").alias("long"), "rule", "verdict")).alias("best"))
+        judged = urls.join(best, "url", "left")
+    return judged.select(
         F.col("page_id").alias(id_column), "host", "path",
         F.when(F.col("best.rank") > 0, F.col("best.rule")).alias("rule"),
-        F.when(F.col("best.rank") == 0, F.col("best.rule")).alias("pattern_rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        F.when(F.col("best.rank") == 0, F.col("best.rule")).alias("pattern_rule"),
     )
 
 
