@@ -14,23 +14,27 @@
 Cases: a null text counts as empty; texts without words have neutral evidence; null hosts and paths are groups of
 their own; labels that are null, contradict each other or name unknown documents are not used; without labels
 of both kinds the evidence is 0 everywhere and all documents are kept; repeated rows are scored each for itself;
-an empty table gives an empty result; other columns are carried along.
+documents of equal posterior are judged alike, one at ``keep_at`` is kept; a very long text is scored whole;
+an empty table gives an empty result; other columns are carried along in ``judged``, and ``classify`` puts its own in
+the place of columns with their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from punchdeck.llm.common import cut, hash_sample, small_batches, text_or_empty
+from punchdeck.llm.common import cut, hash_sample, lean, small_batches, text_or_empty, written
 
 SAMPLE = 6_000
 MARKERS = 400
@@ -128,20 +132,21 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, markers:
     return model
 
 
-def scored(documents: DataFrame, model: Model, text_column: str = "text", nested: bool = False, batch: int = 512) -> DataFrame:
-    """Adds ``evidence``; all columns are carried along. ``nested``: the text is a field of the column ``row``."""
+def scored(documents: DataFrame, model: Model, text_column: str, carried: Sequence[str], batch: int = 512) -> DataFrame:
+    """``(host, path, row, evidence)`` of ``documents(host, path, row)``; ``row`` then holds the columns ``carried`` alone."""
+    fields = T.StructType([documents.schema["row"].dataType[c] for c in carried])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, batch):
                 part = b.slice(start, batch)
-                held = part.column("row") if nested else part
-                texts = [t or "" for t in (held.field(text_column) if nested else held.column(text_column)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.evidence(texts), pa.float64())], names=[*part.schema.names, "evidence"])
+                row = part.column("row")
+                texts = [t or "" for t in pc.struct_field(row, [row.type.get_field_index(text_column)]).to_pylist()]
+                left = pa.StructArray.from_arrays([pc.struct_field(row, [row.type.get_field_index(c)]) for c in carried], fields=[row.type.field(row.type.get_field_index(c)) for c in carried])
+                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("path"), left, pa.array(model.evidence(texts), pa.float64())], names=["host", "path", "row", "evidence"])
 
-    from pyspark.sql import types as T
-
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("evidence", T.DoubleType())]))
+    types = T.StructType([documents.schema["host"], documents.schema["path"], T.StructField("row", fields), T.StructField("evidence", T.DoubleType())])
+    return documents.mapInArrow(lean(run), types)
 
 
 def odds(p):
@@ -183,19 +188,23 @@ def _weight(found) -> float:
     return float(min(1000.0, max(1.0, found[2] / between - 1))) if between > 0 else 1000.0
 
 
-def classify(documents: DataFrame, labels: DataFrame, host_column: str = "source", path_column: str = "lang", keep_at: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """``documents`` with ``evidence, host_share, path_share, posterior, kept``.
+def judged(documents: DataFrame, labels: DataFrame, host_column: str = "source", path_column: str = "lang", text_column: str = "text", keep_at: float = 0.5, sample: int = SAMPLE, carried: Sequence[str] | None = None) -> DataFrame:
+    """``(row, host, path, evidence, host_share, path_share, posterior, kept)``; ``row`` holds the columns ``carried``, all by default.
 
-    Texts are read twice, once for the counts and once for the result, and never shuffled while the table of
-    site shares is small enough to be broadcast by the optimizer's own size check; else that join is shuffled
-    and a hot site is split by adaptive skew handling.
+    Each text is scored once: the scored rows are written to the shared folder, and the counts read the columns
+    that they need of them. Texts are never shuffled while the table of site shares is small enough to be broadcast;
+    else that join is shuffled and a hot site is split by adaptive skew handling.
     """
     small_batches(documents.sparkSession)
     model = fit(documents, labels, sample)
-    slim = documents.select(F.col(host_column).alias("host"), F.col(path_column).alias("path"), "text")
-    votes = scored(slim, model).drop("text")
-    prior = 1 / (1 + np.exp(-model.base))
-    rows = scored(documents.select(F.struct("*").alias("row"), F.col(host_column).alias("host"), F.col(path_column).alias("path")), model, nested=True)
-    out = posterior(votes, rows, prior, keep_at)
+    rows = documents.select(F.col(host_column).alias("host"), F.col(path_column).alias("path"), F.struct("*").alias("row"))
+    rows = written(scored(rows, model, text_column, list(carried or documents.columns)), "scored")
+    prior = float(1 / (1 + np.exp(-model.base)))
+    return posterior(rows.select("host", "path", "evidence"), rows, prior, keep_at)
+
+
+def classify(documents: DataFrame, labels: DataFrame, carried: Sequence[str] | None = None, **options) -> DataFrame:
+    """The columns ``carried`` of ``documents``, all by default, with ``evidence, host_share, path_share, posterior, kept``."""
     made = ["evidence", "host_share", "path_share", "posterior", "kept"]
-    return out.select(*(F.col("row")[c].alias(c) for c in documents.columns if c not in made), *made)
+    out = judged(documents, labels, carried=carried, **options)
+    return out.select(*(F.col("row")[c].alias(c) for c in carried or documents.columns if c not in made), *made)
