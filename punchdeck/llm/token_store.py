@@ -13,7 +13,7 @@ twice after an executor was lost leaves a file that nobody reads.
 
 Cases: a null text counts as empty and has the end id alone; rows with equal ids stay apart, in the order of
 their text; null ids come first, written as the smallest long and read back as null; an empty table gives no file
-and an empty result.
+and an empty result; other columns are not read. A very long text is a batch and a frame of its own.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, cut, hash_sample, shared_folder, small_batches, text_or_empty
+from punchdeck.llm.common import by_bytes, cut, lean, near_hash, shared_folder, small_batches, text_or_empty
 from punchdeck.llm.encoding import encoder, id_bytes, words
 
 MAGIC = b"PDTOK1\0\0"
@@ -38,6 +38,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("ids"
 HEAD = len(MAGIC) + 32 + 16
 NULL_ID = -(1 << 63)
 BATCH_BYTES = 2 << 20
+#: Bytes of text in a shard, about: the number of files follows the corpus and no index outgrows a worker.
+SHARD_BYTES = 24 << 20
 MANIFEST = "shard long, file string, n_docs long, n_tokens long, n_bytes long, first_id long"
 
 
@@ -50,12 +52,12 @@ def _packed(ids: bytes) -> tuple[bytes, int]:
     return (wide.astype("<u2").tobytes(), 2) if not len(wide) or wide.max() < 1 << 16 else (ids, 4)
 
 
-def train(documents: DataFrame, tokenizer: str, end_id: int, samples: int = 1000, sample_bytes: int = 16_384, size: int = 65_536) -> bytes:
-    """Dictionary from the ids of ``samples`` documents of up to ``sample_bytes``, first by a hash: a fixed bound."""
+def train(documents: DataFrame, tokenizer: str, end_id: int, n: int, samples: int = 1000, sample_bytes: int = 16_384, size: int = 65_536) -> bytes:
+    """Dictionary from the ids of ``samples`` of ``n`` documents of up to ``sample_bytes``, first by a hash: a fixed bound."""
     import zstandard
 
     short = documents.filter((F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0))
-    texts = [r.text for r in hash_sample(short, samples, "id").select("text").collect()]
+    texts = [r.text for r in near_hash(short, samples, n, "id").select("text").collect()]
     ids = [_packed(b"".join(x) + id_bytes([end_id]))[0] for x in encoder(tokenizer, words, id_bytes)(texts)]
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, ids)) // 8)), ids).as_bytes()
@@ -70,7 +72,8 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
     spark = documents.sparkSession
     small_batches(spark)
     rows = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_column).alias("text"))
-    dictionary = train(rows, tokenizer, end_id)
+    measured = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    dictionary = train(rows, tokenizer, end_id, measured.n)
     digest = hashlib.sha256(dictionary).digest()
     files, root = _open(folder)
     files.create_dir(root, recursive=True)
@@ -106,9 +109,9 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         row = {"shard": [number], "file": [name], "n_docs": [len(table)], "n_tokens": [int(table["ids"].sum())], "n_bytes": [at + table.nbytes], "first_id": [int(table["doc_id"][0])]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("first_id", pa.int64())]))
 
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(1, -(-(measured.bytes or 0) // SHARD_BYTES))
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").withColumn("shard", F.spark_partition_id().cast("long"))
-    return cut(dealt.mapInArrow(shard, MANIFEST))
+    return cut(dealt.mapInArrow(lean(shard, keeps=True), MANIFEST))
 
 
 class Shard:
@@ -140,9 +143,9 @@ class Shard:
 def read_digest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of each document, from the files of the manifest.
 
-    The window below runs over one row for each shard file, whose number is the number of range partitions.
+    The window below runs over one row for each shard file, of ``SHARD_BYTES`` of text each.
     """
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("first_id", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -4,14 +4,15 @@ A revisit record says that a URL had not changed; its content is that of the lat
 same canonical URL (an as-of join). Where both name a validator, an ETag or else a Last-Modified, it has to
 agree; headers that a 304 response may update are merged over those of the full response.
 
-The as-of join is made of aggregations and windows, without pairs: captures are cut into ``slices`` of time that
-are the same for all URLs, a window runs inside each (URL, slice), and the last full response of each slice is
+The as-of join is made of aggregations and windows, without pairs: captures are cut into ``slices`` of time with about
+as many captures in each, the same for all URLs, a window runs inside each (URL, slice), and the last full response of each slice is
 carried to later slices by a window over at most ``slices`` rows of a URL. So a URL with a third of all captures
 is spread over all slices. Bodies stay where they are: a result names the record that holds the body.
 
 Cases: null URLs never resolve ("no-url"); captures of one URL at one time are ordered by record id and a
 response is earlier than a revisit only with a smaller (time, record id); null times come first; repeated rows
-stay; an empty table gives an empty result; columns that are not named below are not read.
+stay; an empty table gives an empty result; columns that are not named below are not read; very long values are
+carried whole.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punchdeck.llm.common import written
+
 # Header fields that a 304 response may update (RFC 9111 3.2, RFC 9110 15.4.5).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
 # Query parameters that name a visit, not a resource.
@@ -51,10 +54,10 @@ def resolve(records: DataFrame, slices: int = 64) -> DataFrame:
         F.coalesce("headers", F.expr("map()").cast("map<string,string>")).alias("headers"),
     )
     kept = kept.withColumns({"etag": header("etag"), "modified": header("last-modified")})
-    bounds = kept.agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    share = (F.col("at") - F.col("low")) / F.greatest(F.lit(1), F.col("high") - F.col("low"))
-    kept = kept.crossJoin(F.broadcast(bounds))  # one row
-    kept = kept.withColumn("slice", F.coalesce(F.least(F.lit(slices - 1), F.floor(share * slices)).cast("int"), F.lit(-1))).drop("low", "high")
+    kept = written(kept, "captures")
+    shares = [k / slices for k in range(1, slices)]
+    bounds = sorted(set(kept.agg(F.percentile_approx("at", shares, 1000)).first()[0] or ()))  # one for each slice
+    kept = kept.withColumn("slice", F.when(F.col("at").isNull(), -1).otherwise(sum((F.col("at") >= x).cast("int") for x in bounds) if bounds else F.lit(0)))
 
     full = F.struct("record_id", "at", "etag", "modified", "headers")
     own = F.when(F.col("kind") == "response", full)
