@@ -48,18 +48,21 @@ def test_decontaminate_substitutions(spark):
 
 def test_decontaminate_masks():
     """Some mask fits between the tokens that differ, wherever they lie in a window or in a shorter item."""
-    for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
+    for n in range(decontaminate.LONG, decontaminate.WINDOW + 1):
         differ = max(k for k in range(n) if (n - k) / n >= decontaminate.LEAST)
         at = [{s + j for j, x in enumerate(m) if x == "1"} for m in decontaminate.MASKS for s in range(n - len(m) + 1)]
         assert all(any(places.isdisjoint(c) for places in at) for c in combinations(range(n), differ))
 
 
 def test_decontaminate_short_items(spark):
-    texts = {(n, c): [f"i{n}c{c[0]}t{k}" for k in range(n)] for n, cases in ((7, [(3,), (0,), (5,)]), (9, [(4,)]), (15, [(3, 7, 11), (2, 6, 10)]), (16, [(3, 7, 12)]), (17, [(2, 8, 13)])) for c in cases}
-    items = [(i, " ".join(w)) for i, w in enumerate(texts.values())] + [(99, "only six tokens in this item")]
-    rows = [(i, " ".join(["before"] * 20 + ["other" if k in c else x for k, x in enumerate(w)] + ["after"] * 20)) for i, ((_, c), w) in enumerate(texts.items())] + [(99, items[-1][1])]
+    """Items of each length with as many substitutions as their definition allows, and with one more."""
+    cases = [(7, (3,)), (7, (0,)), (9, (4,)), (15, (3, 7, 11)), (15, (2, 6, 10)), (16, (3, 7, 12)), (17, (2, 8, 13)), (5, (2,)), (6, (5,)), (6, (0,)), (6, ()), (4, ()), (2, ()), (1, ())]
+    far = [(5, (1, 3)), (6, (2, 4)), (4, (1,)), (2, (0,))]
+    texts = {(n, c): [f"i{n}c{''.join(map(str, c))}t{k}" for k in range(n)] for n, c in cases + far}
+    items = [(i, " ".join(w)) for i, w in enumerate(texts.values())] + [(99, " .. ")]
+    rows = [(i, " ".join(["before"] * 20 + ["other" if k in c else x for k, x in enumerate(w)] + ["after"] * 20)) for i, ((_, c), w) in enumerate(texts.items())]
     found = decontaminate.overlaps(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(len(texts))}
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(len(cases))}
 
 
 def test_suffix(spark, docs, none):
@@ -73,6 +76,40 @@ def test_suffix(spark, docs, none):
     assert suffix_dedup.digest(frame(spark, [(1, "ab" * 300)])).first().n_removed == 600
 
 
+def test_suffix_array(monkeypatch):
+    """Induced sorting with its recursion against a plain sort: random and periodic strings, few and many symbols."""
+    rng = np.random.default_rng(2)
+    for few in (suffix_dedup.FEW, 1):
+        monkeypatch.setattr(suffix_dedup, "FEW", few)
+        for trial in range(400):
+            n, k = int(rng.integers(1, 90)), int(rng.integers(1, 7))
+            s = rng.integers(1, k + 1, n)
+            s = np.append(np.tile(s[: max(1, n // 7)], 9) if trial % 3 == 0 else s, 0).astype(np.uint16)
+            t = s.tolist()
+            sa = suffix_dedup.suffix_array(s)
+            assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+            shared, before = suffix_dedup.common_prefixes(s, sa)
+            for i, j in zip(sa[1:].tolist(), sa[:-1].tolist()):
+                same = next(x for x in range(len(t)) if i + x >= len(t) or j + x >= len(t) or t[i + x] != t[j + x])
+                assert (shared[i], before[i]) == (same, j)
+
+
+def test_suffix_hot_owner(spark, monkeypatch):
+    """An owner with many segments is cut a second time; nothing that repeats is lost."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    rng = np.random.default_rng(4)
+    own = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    edge, tails = own(80), [own(90) for _ in range(4)]
+    texts = [own(60) + edge + tails[i % 4] + own(50) for i in range(30)] + [own(200) + tails[0]]
+    met = {}
+    for t in texts:
+        for k in range(len(t) - 99):
+            met[t[k : k + 100]] = met.get(t[k : k + 100], 0) + 1
+    want = {(i, len({j for k in range(len(t) - 99) if met[t[k : k + 100]] > 1 for j in range(k, k + 100)})) for i, t in enumerate(texts)}
+    found = suffix_dedup.digest(frame(spark, list(enumerate(texts))), length=100, gram=16).collect()
+    assert {(r.doc_id, r.n_removed) for r in found} == want and all(n >= 170 for i, n in want if i < 30)
+
+
 def test_suffix_words(spark, none):
     """Passages of 51 short words go, of any layout, once and twice in a text; those of 50 stay. Against a plain version."""
     import corpus_pipeline
@@ -123,6 +160,35 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_lengths_and_scale(spark):
+    """Vectors of each length among themselves, and components whose squares leave the range of doubles."""
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.0]), (3, [1e-200, 1e-200]), (4, [1.0, 0.1]), (5, [1e200, 1e200]), (6, [2e200, 2e200]), (7, [1.0]), (8, [3.0]), (9, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (0, 4), 5: (2, 3), 6: (2, 3), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
+def test_embedding_forest():
+    """The pairs of a window join what all its near pairs join, with fewer of them."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((6, 16)), 40, axis=0) + 0.05 * rng.standard_normal((240, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
+    pairs = embedding_dedup.neighbours(np.arange(240), x, 64, 0.95, step=50)
+    label = list(range(240))
+    for a, b in sorted(pairs):
+        low, high = sorted((label[a], label[b]))
+        label = [low if v == high else v for v in label]
+    assert label == [k // 40 * 40 for k in range(240)] and len(pairs) < 300
+
+
+def test_packing_shards(spark):
+    """Pieces that fill no sequence well: no task gets much over ``shard_rows``, and each has a sequence of its own."""
+    rows = spark.range(9_000).selectExpr("id doc_id", "0 piece", "0L start", "1100L length", "7L ids_crc32")
+    out = packing.pack(rows, 2048, shard_rows=1_000)
+    found = out.selectExpr("shiftright(sequence_id, 32) shard").groupBy("shard").count().collect()
+    assert max(r["count"] for r in found) < 1_500 and out.select("sequence_id").distinct().count() == 9_000 == out.count()
+
+
 def test_packing(spark, docs, none):
     path = q.tokenizer("byte_bpe_50k.json")
     rows = packing.pack(packing.pieces(docs, path, 2048, 0), 2048).collect()
@@ -141,7 +207,7 @@ def test_tokens(spark, docs, none):
         assert len(rows) == n and [r.start for r in sorted(rows, key=lambda r: r.start)][:1] == [0][:n]
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     rows = [(1, None), (2, "no scheme/en/"), (3, "http://A.Example.COM/en/7x?q"), (4, "http://example.com/en/"), (5, "x://b.net/de"), (6, "http://example.net/de/8#f"), (7, "http://anet/de/"), (7, "http://anet/de/")]
     df = spark.createDataFrame([(i, u, "h", "p", "t") for i, u in rows], "page_id long, url string, html string, host string, token string")
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(df, q.url_table(spark)).collect()}
@@ -150,6 +216,10 @@ def test_urls(spark):
         5: ("b.net", "/de", None, "allow"), 6: ("example.net", "/de/8", "example.net/de/8", "block"), 7: ("anet", "/de/", None, "allow"),
     }
     assert url_rules.judge(df.limit(0), q.url_table(spark)).count() == 0
+    assert url_rules.judge(df, q.url_table(spark)).count() == 8 and {r.verdict for r in url_rules.judge(df, q.url_table(spark).limit(0)).collect()} == {"allow"}
+    monkeypatch.setattr(url_rules, "LITERAL_RULES", 0)
+    joined = url_rules.judge(df, q.url_table(spark)).collect()
+    assert len(joined) == 8 and {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in joined} == found
 
 
 def test_warc(spark):
@@ -169,6 +239,133 @@ def test_quality(spark, docs, none):
     assert quality.classify(none, labels).count() == 0 and quality.classify(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def test_quality_posterior(spark):
+    """Shares and posteriors against the formulas written out in plain Python."""
+    rng = np.random.default_rng(8)
+    rows = [(i, f"h{i % 5}", f"p{i % 3}" if i % 7 else None, float(e)) for i, e in enumerate(rng.normal(0, 2, 300) + np.arange(300) % 5 - 2)]
+    df = spark.createDataFrame(rows, "id long, host string, path string, evidence double")
+    prior = 0.6
+    vote = {r[0]: 1 / (1 + np.exp(-(r[3] + np.log(prior / (1 - prior))))) for r in rows}
+    hosts, paths = {}, {}
+    for i, h, p, _ in rows:
+        for group, key in ((hosts, h), (paths, (h, p))):
+            k, n = group.get(key, (0, 0))
+            group[key] = k + vote[i], n + 1
+    mean = sum(k for k, _ in hosts.values()) / len(rows)
+
+    def weight(groups, centre):
+        between = np.mean([(k / n - centre(g)) ** 2 for g, (k, n) in groups.items()]) - np.mean([centre(g) * (1 - centre(g)) / n for g, (k, n) in groups.items()])
+        return min(1000.0, max(1.0, np.mean([centre(g) * (1 - centre(g)) for g in groups]) / between - 1)) if between > 0 else 1000.0
+
+    wh = weight(hosts, lambda g: mean)
+    share = {h: (k + wh * mean) / (n + wh) for h, (k, n) in hosts.items()}
+    wp = weight(paths, lambda g: share[g[0]])
+    for r in quality.posterior(df.select("host", "path", "evidence"), df, prior).collect():
+        (hk, hn), (k, n) = hosts[r.host], paths[r.host, r.path]
+        h = (hk - vote[r.id] + wh * mean) / (hn - 1 + wh)
+        p = (k - vote[r.id] + wp * h) / (n - 1 + wp)
+        want = 1 / (1 + np.exp(-(r.evidence + np.log(p / (1 - p)))))
+        assert abs(r.host_share - h) < 1e-9 and abs(r.path_share - p) < 1e-9 and abs(r.posterior - want) < 1e-9 and r.kept == (want >= 0.5)
+
+
+def test_quality_carries_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y", "mine", "own")], "doc_id long, text string, source string, lang string, kept string, evidence string")
+    row = quality.judged(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).first()
+    assert (row.row.kept, row.row.evidence, row.kept, row.evidence) == ("mine", "own", True, 0.0)
+
+
+def test_encoding_random_unicode():
+    """Ids of units one after the other are those of the whole text, for both tokenizers."""
+    from tokenizers import Tokenizer
+
+    from punchdeck.llm import encoding
+
+    rng = np.random.default_rng(9)
+    pools = [range(32, 127), range(0xA0, 0x250), [*range(9, 14), 32, 0x1C, 0x85, 0xA0, 0x2009, 0x3000], range(0x370, 0x530), range(0x4E00, 0x4F00), range(0x1F600, 0x1F640), range(0x300, 0x340), [ord(c) for c in "<|endoftext|> 's 12"]]
+    texts = []
+    for _ in range(2_000):
+        some = [pools[k] for k in rng.integers(0, len(pools), 3)]
+        texts.append("".join(chr(some[k % 3][int(rng.integers(len(some[k % 3])))]) for k in rng.integers(0, 3, int(rng.integers(0, 40)))))
+    for name, split in (("byte_bpe_50k.json", encoding.spaced_words), ("word_bpe_49k.json", encoding.words)):
+        lib = Tokenizer.from_file(q.tokenizer(name))
+        made = encoding.UnitEncoder(q.tokenizer(name), split, list)(texts)
+        assert [[i for unit in parts for i in unit] for parts in made] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_shingles(text):
+    import re
+
+    words = re.findall(r"\w+", text.lower())
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def plain_components(texts):
+    """Smallest id reachable by pairs of texts whose shingles are within a fifth of the longer length in edits."""
+    parts, label = {i: plain_shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            n = max(len(parts[a]), len(parts[b]))
+            if a < b and label[a] != label[b] and parts[a] and parts[b] and abs(len(parts[a]) - len(parts[b])) <= n / 5 and len(set(parts[a]) & set(parts[b])) and plain_distance(parts[a], parts[b]) <= int(0.2 * n + 1e-9):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if v == high else v for i, v in label.items()}
+    return label
+
+
+def test_edit_distance():
+    """Banded alignment against the whole table of an ordinary dynamic program."""
+    rng = np.random.default_rng(10)
+    for _ in range(1_500):
+        a = rng.integers(0, int(rng.integers(2, 9)), int(rng.integers(1, 40))).astype(np.uint64)
+        b = np.delete(a, rng.integers(0, len(a), 2)) if rng.random() < 0.5 else rng.permutation(a)
+        b = np.insert(b, rng.integers(0, len(b) + 1, 2), 3) if rng.random() < 0.7 else b
+        most = int(rng.integers(0, 12))
+        assert order_minhash.edit_distance(a, b, most) == min(most + 1, plain_distance(a.tolist(), b.tolist()))
+
+
+def test_minhash_one_template(spark):
+    """Thirty texts with one template, in pairs of near copies that mostly miss the first text: no pair is lost."""
+    rng = np.random.default_rng(11)
+    template, rows = [f"t{k}" for k in range(60)], []
+    for k in range(30):
+        own = [f"x{rng.integers(1 << 40)}" for _ in range(30)]
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + own[:-3] + ["other", "end"]))]
+    rows = [(int(j), t) for j, (_, t) in zip(rng.permutation(60), rows)]
+    found = {r.doc_id: r.component_id for r in order_minhash.near_duplicates(frame(spark, rows), small=4).collect()}
+    assert found == plain_components(dict(rows)) and len(set(found.values())) == 30
+
+
+def test_minhash_sketches_of_long_texts(monkeypatch):
+    """A text with more places than the bits kept for them changes nothing for the others of its batch."""
+    rng = np.random.default_rng(12)
+    short, long_ = (rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (40, 3_000))
+    alone = order_minhash.sketches([short])
+    monkeypatch.setattr(order_minhash, "PLACE_BITS", 8)
+    assert (order_minhash.sketches([short, long_])[0] == alone[0]).all()
+
+
+def test_components(spark):
+    from punchdeck.llm.common import components
+
+    rng = np.random.default_rng(13)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(500 + k, 501 + k) for k in range(40)] + [(7, 7)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((label[a], label[b]))
+            label = {x: low if v == high else v for x, v in label.items()}
+    rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in rows} == set(label.items()) and len(rows) == len(label)
+
+
 def test_order_minhash_large_buckets(spark):
     """Texts that drift from one to the next: most links miss the first text of their bucket."""
     rng = np.random.default_rng(5)

@@ -112,23 +112,26 @@ def test_op1(spark, docs):
 
 
 def test_op6(spark, docs):
-    from punchdeck.llm import order_minhash as o
-
-    seqs = {d: o.shingles(o.word_hashes(t, o.Hashes())) for d, t in docs.items()}
-    ids = sorted(docs)
-    label = {d: d for d in ids}
-
-    def root(d):
-        while label[d] != d:
-            d = label[d]
-        return d
-
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if len(seqs[a]) and len(seqs[b]) and o.similar(seqs[a], seqs[b]):
-                x, y = sorted((root(a), root(b)))
-                label[y] = x
-    assert {(r.doc_id, r.component_id) for r in q.op6_order_minhash(spark, SF).collect()} == {(d, root(d)) for d in ids}
+    from tests.llm.test_cases import plain_components, plain_shingles
+
+    # texts without a shingle in common can't be similar: each is compared with those that share one
+    holds = defaultdict(set)
+    for d, t in docs.items():
+        for x in set(plain_shingles(t)):
+            holds[x].add(d)
+    near = {d: set() for d in docs}
+    for ds in holds.values():
+        for d in ds:
+            near[d] |= ds
+    label, todo = {}, set(docs)
+    while todo:
+        group, front = set(), {min(todo)}
+        while front:
+            group |= front
+            front = set().union(*(near[d] for d in front)) - group
+        todo -= group
+        label |= plain_components({d: docs[d] for d in sorted(group)}) if len(group) > 1 else {d: d for d in group}
+    assert {(r.doc_id, r.component_id) for r in q.op6_order_minhash(spark, SF).collect()} == set(label.items())
 
 
 def test_op8(spark):
