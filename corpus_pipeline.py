@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages; each stage's rows are written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages; each stage's rows are written as Parquet and read again by the next.
+
+Cases, for all stages: a null or empty text stays as it is until it is packed as an end id alone (the suffix stage drops
+a document only if it loses all of a text that it had); a very long text is handled whole; rows with one id are judged
+together where a document is dropped by its id, and rows with a null id are kept; ties go to the smallest id; an empty
+table gives an empty result; other columns, whatever their names, are carried along up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,8 @@ REPEATED_WORDS = 51
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    rows = quality.judged(docs, table(spark, sf_dir, "labels")).filter("kept")
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +33,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of ``REPEATED_WORDS`` words or 400 bytes that repeat; a document that loses all its text goes."""
-    cut = suffix_dedup.without_repeats(docs.withColumn("had", F.octet_length("text")), words=REPEATED_WORDS)
-    cut = cut.filter("coalesce(had, 0) = 0 or length(text) > 0").drop("had")
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "text")
+    cut = suffix_dedup.without_repeats(rows, words=REPEATED_WORDS)
+    cut = cut.filter((F.coalesce(F.length("doc.text"), F.lit(0)) == 0) | (F.length("text") > 0))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return cut.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
