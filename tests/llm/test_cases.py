@@ -168,6 +168,28 @@ def test_embeddings_lengths_and_scale(spark):
     assert found == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (0, 4), 5: (2, 3), 6: (2, 3), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
 
 
+def test_embedding_recall_in_a_dense_direction(spark):
+    """Pairs at cosine 0.955 among 20,000 vectors of which any two have about 0.85."""
+    rng = np.random.default_rng(14)
+    dim, n, pairs = 64, 20_000, 400
+    one = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = one(rng.standard_normal(dim))
+    side = lambda k: one((g := rng.standard_normal((k, dim))) - np.outer(g @ axis, axis))
+    a, b = np.sqrt(0.85), np.sqrt(0.15)
+    first, more = side(n), side(pairs)
+    share = 0.7  # cosine of the parts off the axis of a pair: 0.85 + 0.15 * 0.7 = 0.955
+    off = one(more - (more * first[:pairs]).sum(1, keepdims=True) * first[:pairs])
+    twin = share * first[:pairs] + np.sqrt(1 - share**2) * off
+    x = np.concatenate([a * axis + b * first, a * axis + b * twin])
+    near = x[:pairs] @ x.T >= 0.95
+    near[np.arange(pairs), np.arange(pairs)] = False
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    _, distinct = embedding_dedup.classes(df, "vec_id", "embedding")
+    found = {(r.a, r.b) for r in embedding_dedup.passes(distinct, 0.95, embedding_dedup.PASSES, embedding_dedup.BITS, None, 1).collect()}
+    want = {(min(i, j), max(i, j)) for i, j in zip(*np.nonzero(near))}
+    assert len(want & found) >= 0.95 * len(want), len(want & found) / len(want)
+
+
 def test_embedding_forest():
     """The pairs of a window join what all its near pairs join, with fewer of them."""
     rng = np.random.default_rng(6)
