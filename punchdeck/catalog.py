@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punchdeck.plans import analogues, fixtures
+from punchdeck.plans import analogues, estate, fixtures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return analogues.QUERIES | fixtures.QUERIES
+    return analogues.QUERIES | fixtures.QUERIES | estate.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(analogues.SQL)
+    return analogues.SQL | estate.SQL

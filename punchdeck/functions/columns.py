@@ -66,3 +66,21 @@ def statement_kind(text: Column) -> Column:
 def crud(letters: Column) -> Column:
     """Letters of a set in the order R C U D."""
     return F.array_join(F.filter(F.array(*map(F.lit, "RCUD")), lambda x: F.array_contains(letters, x)), "")
+
+
+def crud_of_kind(kind: Column) -> Column:
+    """Letters of a statement's kind; dynamic SQL is told by ``?``."""
+    return (
+        F.when(kind == "INSERT", "C").when(kind == "UPDATE", "U").when(kind.isin("DELETE", "TRUNCATE"), "D").when(kind == "MERGE", "CU")
+        .when(kind.isin("PREPARE", "EXECUTE", "EXECUTE_IMMEDIATE"), "?").otherwise("R")
+    )
+
+
+def level(severity: Column) -> Column:
+    """Level of a severity in SARIF."""
+    s = F.upper(severity)
+    return F.when(s == "HIGH", "error").when(s.isin("MEDIUM", "ADVISORY"), "warning").when(s == "LOW", "note")
+
+
+def exit_code(level_: Column) -> Column:
+    return F.when(level_ == "error", 2).when(level_ == "warning", 1).otherwise(0)

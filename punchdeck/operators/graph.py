@@ -7,39 +7,51 @@ checkpoint, so the plan stays short and an executor that is lost costs a round's
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="punchdeck-"))
+        if found is None:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            found = "file://" + tempfile.mkdtemp(prefix="punchdeck-")
+        context.setCheckpointDir(found)
     return df.checkpoint(eager=True)
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, with_start: bool = False) -> DataFrame:
     """``(id, hops)`` of the nodes reached from ``start(id)``. Without ``with_start`` a start node counts only if an
-    edge leads back to it. ``depth`` bounds the hops."""
-    edges = edges.select("from_id", "to_id").distinct()
+    edge leads back to it. ``depth`` bounds the hops. The edges are written once, each hop writes its own nodes only."""
+    edges = cut(edges.select("from_id", "to_id").distinct())
     hop, front = 0, cut(start.select("id").distinct())
-    seen = front.withColumn("hops", F.lit(0)) if with_start else front.limit(0).withColumn("hops", F.lit(0))
+    seen = [front.withColumn("hops", F.lit(0))] if with_start else []
     while (depth is None or hop < depth) and not front.isEmpty():
         hop += 1
         step = edges.join(front, edges["from_id"] == front["id"], "left_semi").select(F.col("to_id").alias("id")).distinct()
-        front = cut(step.join(seen, "id", "left_anti"))
-        seen = cut(seen.union(front.select("id", F.lit(hop))))
-    return seen
+        if seen:
+            step = step.join(reduce(DataFrame.union, seen), "id", "left_anti")
+        front = cut(step)
+        seen.append(front.withColumn("hops", F.lit(hop)))
+    return reduce(DataFrame.union, seen) if seen else front.withColumn("hops", F.lit(0)).limit(0)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("from_id", "to_id").union(edges.select("to_id", "from_id")).distinct()
 
 
-def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes without an incoming edge; all nodes if there is none."""
+def roots(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Where a view of the graph starts: nodes of ``kinds`` (jobs and transactions) with the isolated nodes; without such
+    nodes those that nothing leads to; all nodes if there is none of these either."""
+    chosen = nodes.filter(F.col("kind").isin(*kinds)).select("id") if kinds else nodes.select("id").limit(0)
+    if not chosen.isEmpty():
+        return chosen.union(isolated(nodes, edges)).distinct()
     free = nodes.select("id").join(edges.select(F.col("to_id").alias("id")), "id", "left_anti")
     return nodes.select("id") if free.isEmpty() else free
 
@@ -60,17 +72,84 @@ def traces(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def execution_tree(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """``(path, id, depth, via, repeats)``: execution from jobs down to paragraphs, in the order of ``seq`` (0 last).
+
+    ``edges(from_id, to_id, kind, seq)``. A GOTO is a row of its own that isn't followed, as control doesn't come back
+    from it; a node that stands on its own path is marked and isn't followed either. ``path`` holds the places among
+    the edges of each node above, so ordering by it flattens the tree.
+    """
+    order = F.struct(F.when(F.col("seq") == 0, 1).otherwise(0), "seq", "to_id")
+    placed = edges.withColumn("place", F.row_number().over(Window.partitionBy("from_id").orderBy(order)))
+    placed = cut(placed.select("from_id", "to_id", "kind", "place"))
+    rank = F.row_number().over(Window.orderBy("id"))  # over the roots of a view
+    front = start.select(F.array(rank).alias("path"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("repeats"), F.array("id").alias("above"))
+    out = [front]
+    for k in range(1, depth + 1):
+        open_ = out[-1].filter("not repeats and coalesce(via, '') <> 'GOTO'")
+        met = open_.drop("depth", "via", "repeats").join(placed, F.col("id") == F.col("from_id"))
+        out.append(cut(met.select(F.concat("path", F.array("place")).alias("path"), F.col("to_id").alias("id"), F.lit(k).alias("depth"), F.col("kind").alias("via"), F.array_contains("above", F.col("to_id")).alias("repeats"), F.concat("above", F.array("to_id")).alias("above"))))
+        if out[-1].isEmpty():
+            break
+    return reduce(DataFrame.union, out).drop("above")
+
+
+def combined_access(held: Column) -> Column:
+    """Accesses in order of arrival: READ and WRITE make UPDATE, UPDATE absorbs them; any other stays as it came first."""
+    pair = lambda a, b: (a == "UPDATE") & b.isin("READ", "WRITE") | (b == "UPDATE") & a.isin("READ", "WRITE") | (a == "READ") & (b == "WRITE") | (a == "WRITE") & (b == "READ")
+    return F.aggregate(held, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull(), b).when(pair(a, b), "UPDATE").otherwise(a))
+
+
 def merged_edges(edges: DataFrame) -> DataFrame:
-    """One edge of each identity; the first line in order of arrival stays and accesses combine: equal ones stay,
-    different ones make UPDATE, which absorbs all."""
-    access = F.collect_set("access")
-    return edges.groupBy("from_id", "to_id", "kind", "resolution").agg(
-        F.min_by("line", "arrival").alias("line"), F.min("arrival").alias("arrival"),
-        F.when(F.size(access) > 1, "UPDATE").otherwise(F.element_at(F.concat(access, F.array(F.lit(None).cast("string"))), 1)).alias("access"),
-    )
+    """One edge of each identity ``(from_id, to_id, kind, resolution)``: the line that came first stays and accesses
+    combine. Lists such as plans, binds and launchers (array columns) gather their distinct values in order of arrival;
+    of all other columns the first value stays. A group is the mentions of one edge."""
+    known = {"from_id", "to_id", "kind", "resolution", "line", "arrival", "access"}
+    more = [f for f in edges.schema.fields if f.name not in known]
+    held = F.array_sort(F.collect_list(F.struct("arrival", "line", "access", *(f.name for f in more))))
+    rows = edges.groupBy("from_id", "to_id", "kind", "resolution").agg(held.alias("held"))
+    kept = lambda c: F.filter(F.transform("held", lambda x: x[c]), lambda x: x.isNotNull())
+    first = lambda c: F.get(kept(c), F.lit(0))
+    made = [F.array_distinct(F.flatten(kept(f.name))).alias(f.name) if isinstance(f.dataType, ArrayType) else first(f.name).alias(f.name) for f in more]
+    return rows.select("from_id", "to_id", "kind", "resolution", F.get("held", F.lit(0))["line"].alias("line"), F.get("held", F.lit(0))["arrival"].alias("arrival"), combined_access(kept("access")).alias("access"), *made)
 
 
 def first_writer(nodes: DataFrame) -> DataFrame:
     """Of the rows of a node the one with the smallest ``priority``."""
     columns = [c for c in nodes.columns if c not in ("id", "priority")]
     return nodes.groupBy("id").agg(F.min_by(F.struct(*columns), F.struct("priority", *columns)).alias("n")).select("id", "n.*")
+
+
+def detail(nodes: DataFrame, edges: DataFrame, id_: str) -> DataFrame:
+    """``(direction, kind, id, label)`` of the edges into and out of a node."""
+    out = edges.filter(F.col("from_id") == id_).select(F.lit("out").alias("direction"), "kind", F.col("to_id").alias("id"))
+    into = edges.filter(F.col("to_id") == id_).select(F.lit("in"), "kind", "from_id")
+    return out.union(into).join(nodes.select("id", "label"), "id", "left").select("direction", "kind", "id", "label")
+
+
+def visible(nodes: DataFrame, reached: DataFrame, kinds: list[str]) -> DataFrame:
+    """Nodes that a view reaches and whose kind is switched on."""
+    return nodes.filter(F.col("kind").isin(*kinds)).join(reached.select("id").distinct(), "id", "left_semi")
+
+
+def found_by_label(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes whose label holds the text, without regard to case; an empty text finds none."""
+    text = text.strip().lower()
+    return nodes.filter(F.contains(F.lower("label"), F.lit(text)) if text else F.lit(False))
+
+
+def kind_totals(nodes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``(kind, n)`` for each of ``kinds(kind)``, those without a node too."""
+    return kinds.join(nodes.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").fillna(0, ["n"])
+
+
+def retyped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Asset rows as a view shows them: a JCL with a step is a JOB, an Easytrieve source with an edge a PROGRAM; edges
+    from a JCL straight to a program go, as its steps have them."""
+    steps = edges.filter("kind = 'STEP'").select(F.col("from_id").alias("id")).distinct().withColumn("has_step", F.lit(True))
+    linked = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct().withColumn("linked", F.lit(True))
+    kind = F.when((F.col("kind") == "JCL") & F.col("has_step"), "JOB").when((F.col("kind") == "EASYTRIEVE") & F.col("linked"), "PROGRAM").otherwise(F.col("kind"))
+    typed = nodes.join(steps, "id", "left").join(linked, "id", "left").withColumn("kind", kind).select(*nodes.columns)
+    jcl = nodes.filter("kind = 'JCL'").select(F.col("id").alias("from_id"))
+    direct = edges.filter("kind = 'EXECUTION'").join(jcl, "from_id", "left_semi")
+    return typed, edges.join(direct.select("from_id", "to_id", "kind").distinct(), ["from_id", "to_id", "kind"], "left_anti").select(*edges.columns)
