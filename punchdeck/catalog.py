@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punchdeck.plans import analogues, estate, fixtures
+from punchdeck.plans import analogues, estate, fixtures, stated
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return analogues.SQL | estate.SQL
+    return analogues.SQL | estate.SQL | stated.SQL

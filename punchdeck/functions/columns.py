@@ -48,19 +48,80 @@ def member_name(path: Column) -> Column:
     return F.upper(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
 
 
+def blanked(text: Column) -> Column:
+    """Upper case, literals emptied, comments and runs of blanks made one blank."""
+    kept = F.regexp_replace(text, r"('[^']*')|--[^\n]*|/\*(?s:.*?)\*/", "$1 ")
+    return F.upper(F.trim(F.regexp_replace(F.regexp_replace(kept, r"'[^']*'", "''"), r"\s+", " ")))
+
+
+def outermost(text: Column, depth: int = 8) -> Column:
+    """A statement without what stands in brackets, up to ``depth`` deep: the clauses of its own."""
+    for _ in range(depth):
+        text = F.regexp_replace(text, r"\([^()]*\)", "<>")
+    return text
+
+
+# Kinds of statements by their first word.
+FIRST_WORDS = {
+    "INSERT": "INSERT", "UPDATE": "UPDATE", "DELETE": "DELETE", "MERGE": "MERGE", "OPEN": "OPEN", "FETCH": "FETCH", "CLOSE": "CLOSE", "COMMIT": "COMMIT", "ROLLBACK": "ROLLBACK",
+    "SAVEPOINT": "SAVEPOINT", "CALL": "CALL", "LOCK": "LOCK_TABLE", "SET": "SET", "PREPARE": "PREPARE", "DESCRIBE": "DESCRIBE", "WHENEVER": "WHENEVER", "INCLUDE": "INCLUDE",
+    "BEGIN": "BEGIN_DECLARE_SECTION", "END": "END_DECLARE_SECTION", "GET": "GET_DIAGNOSTICS", "CONNECT": "CONNECT", "TRUNCATE": "TRUNCATE", "ALLOCATE": "ALLOCATE_CURSOR", "ASSOCIATE": "ASSOCIATE_LOCATORS",
+    "CREATE": "DDL", "ALTER": "DDL", "DROP": "DDL", "GRANT": "DDL", "REVOKE": "DDL", "COMMENT": "DDL", "LABEL": "DDL", "RENAME": "DDL",
+}
+
+
 def statement_kind(text: Column) -> Column:
-    """Kind of an SQL statement by its leading words."""
-    t = F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    kinds = (
-        (r"^SELECT .*\bINTO\b", "SELECT_INTO"), (r"^(SELECT|WITH)\b", "SELECT"), (r"^INSERT\b", "INSERT"), (r"^UPDATE\b", "UPDATE"), (r"^DELETE\b", "DELETE"),
-        (r"^MERGE\b", "MERGE"), (r"^DECLARE .*\bCURSOR\b", "DECLARE_CURSOR"), (r"^OPEN\b", "OPEN"), (r"^FETCH\b", "FETCH"), (r"^CLOSE\b", "CLOSE"),
-        (r"^COMMIT\b", "COMMIT"), (r"^ROLLBACK\b", "ROLLBACK"), (r"^CALL\b", "CALL"), (r"^LOCK TABLE\b", "LOCK_TABLE"), (r"^TRUNCATE\b", "TRUNCATE"),
-        (r"^WHENEVER\b", "WHENEVER"), (r"^(CREATE|ALTER|DROP|GRANT|REVOKE)\b", "DDL"),
+    """Kind of an SQL statement by its leading words; literals and what stands in brackets don't count."""
+    t = outermost(blanked(text))
+    first = F.regexp_extract(t, r"^([A-Z]+)", 1)
+    declared = (
+        F.when(t.rlike(r"\bCURSOR\b"), "DECLARE_CURSOR").when(t.rlike(r"\bTABLE\b"), "DECLARE_TABLE")
+        .when(t.rlike(r"\bSTATEMENT\b"), "DECLARE_STATEMENT").when(t.rlike(r"\bVARIABLE\b"), "DECLARE_VARIABLE").otherwise("OTHER")
     )
-    out = F.when(t.rlike(kinds[0][0]), kinds[0][1])
-    for pattern, kind in kinds[1:]:
-        out = out.when(t.rlike(pattern), kind)
-    return out.otherwise("OTHER")
+    return (
+        F.when(first.isin("SELECT", "WITH"), F.when(t.rlike(r"^[^;]*?\bINTO ?:"), "SELECT_INTO").when(t.rlike(r"\bINTO\b"), "SELECT_INTO").otherwise("SELECT"))
+        .when(first == "DECLARE", declared).when(first == "RELEASE", F.when(t.contains(" SAVEPOINT"), "RELEASE_SAVEPOINT").otherwise("OTHER"))
+        .when(first == "VALUES", F.when(t.contains(" INTO "), "VALUES_INTO").otherwise("OTHER")).when(first == "EXECUTE", F.when(t.startswith("EXECUTE IMMEDIATE"), "EXECUTE_IMMEDIATE").otherwise("EXECUTE"))
+        .otherwise(F.coalesce(F.create_map(*(F.lit(x) for kv in FIRST_WORDS.items() for x in kv))[first], F.lit("OTHER")))
+    )
+
+
+def table_names(text: Column) -> Column:
+    """Tables that the words before them name, in upper case, each once: FROM and JOIN with lists and correlation names,
+    INTO, UPDATE, USING, LOCK TABLE, TRUNCATE. Host variables and subqueries are none."""
+    t = blanked(text)
+    lists = F.regexp_extract_all(t, F.lit(r"\b(?:FROM|JOIN|INTO|UPDATE|USING|LOCK TABLE|TRUNCATE(?: TABLE)?) ((?:[A-Z0-9_@#$.]+(?: (?:AS )?(?!WHERE\b|ON\b|SET\b|JOIN\b|LEFT\b|RIGHT\b|INNER\b|FULL\b|CROSS\b|GROUP\b|ORDER\b|UNION\b|VALUES\b|SELECT\b|FETCH\b|FOR\b|WITH\b|IN\b|WHEN\b|USING\b|HAVING\b|INTO\b|FROM\b)[A-Z0-9_@#$]+)?(?: ?, ?)?)+)"), 1)
+    names = F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(F.trim(y), r"^([A-Z0-9_@#$.]+)", 1))))
+    return F.array_distinct(F.filter(names, lambda x: (x != "") & ~x.isin("SELECT", "FINAL", "TABLE", "OLD", "NEW", "LATERAL", "SET")))
+
+
+def cursor_name(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(blanked(text), r"^(?:DECLARE(?= [A-Z0-9_-]+ (?:\w+ )*CURSOR\b)|OPEN|CLOSE|ALLOCATE|FETCH(?: (?:NEXT|PRIOR|FIRST|LAST|CURRENT))?(?: FROM)?) ([A-Z0-9_-]+)", 1), F.lit(""))
+
+
+def positioned_cursor(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(blanked(text), r"\bWHERE CURRENT OF ([A-Z0-9_-]+)", 1), F.lit(""))
+
+
+def isolation(text: Column) -> Column:
+    """Isolation clause of a statement; a common table of that name has AS or a column list behind it."""
+    return F.nullif(F.regexp_extract(blanked(text), r"\bWITH (UR|CS|RS|RR)\b(?! ?(?:AS\b|\())", 1), F.lit(""))
+
+
+def whenever(text: Column) -> Column:
+    """Condition and action of WHENEVER."""
+    p = r"^WHENEVER (SQLERROR|SQLWARNING|NOT FOUND) (CONTINUE|GO ?TO :?[A-Z0-9-]+|DO .+)$"
+    t = blanked(text)
+    return F.when(t.rlike(p), F.struct(F.regexp_extract(t, p, 1).alias("condition"), F.regexp_replace(F.regexp_extract(t, p, 2), "^GO ?TO :?", "GO TO ").alias("action")))
+
+
+def top_level_items(text: Column) -> Column:
+    """Items of a list, split at commas outside of brackets and literals."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"((?:[^,()']|'[^']*'|\((?:[^()']|'[^']*'|\((?:[^()']|'[^']*'|\([^()]*\))*\))*\))+)"), 1), lambda x: F.trim(x))
+
+
+def plain_column(text: Column) -> Column:
+    return text.rlike(r"(?i)^[A-Z@#$_][A-Z0-9@#$_]*(\.[A-Z@#$_][A-Z0-9@#$_]*){0,2}$")
 
 
 def crud(letters: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from punchdeck.functions import columns as C
-from punchdeck.operators import graph, lines, sequence
+from punchdeck.operators import graph, incremental, lines, sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,9 +256,10 @@ def hidden_count(spark, d):
     return t(spark, d, "labels").agg(F.count_if(F.col("quality") > 0).alias("hidden"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
+@query("SELECT doc_id AS path FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
 def removed_sources(spark, d):
-    return t(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id").join(t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    path = F.col("doc_id").alias("path")
+    return incremental.removed(t(spark, d, "labels").select(path), t(spark, d, "documents").select(path))
 
 
 @query("SELECT a.doc_id, b.doc_id IS NULL AS added FROM documents a LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'old' ELSE md5(text) END AS h FROM documents WHERE doc_id % 3 > 0) b ON a.doc_id = b.doc_id WHERE b.h IS DISTINCT FROM md5(a.text)")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from punchdeck.functions import columns as C
 from punchdeck.functions.picture import picture
-from punchdeck.operators import rules
-from punchdeck.sources import findings, jcl, macros
+from punchdeck.operators import lines, rules
+from punchdeck.sources import cards, findings, jcl, macros
 
 JCL = """//NIGHT    JOB (1),'X',RESTART=S2
 //S1       EXEC PGM=IEFBR14
@@ -52,4 +55,148 @@ def picture_types(spark, d):
     return rows.select("picture", picture("picture").alias("x")).select("picture", "x.*")
 
 
-QUERIES = {f.__name__: f for f in (jcl_rules, jcl_statements, sql_rules, ims_rules, bms_fields, picture_types)}
+CARDS = """//UTIL     JOB (1)
+//A        EXEC PGM=IDCAMS
+//SYSIN    DD *
+  DEFINE CLUSTER (NAME(PROD.KSDS) -
+         INDEXED)
+  DELETE (PROD.OLD1, 'PROD.OLD2')
+  ALTER PROD.X NEWNAME(PROD.Y)
+  REPRO INFILE(IN1) OUTDATASET(PROD.OUT)
+/*
+//B        EXEC PGM=SORT
+//SORTIN   DD DSN=PROD.S,DISP=SHR
+//SORTOUT  DD DSN=PROD.S,DISP=OLD
+//SYSIN    DD *
+* a comment, FNAMES=NONE
+  OUTFIL FNAMES=(O1,O2),
+    INCLUDE=(1,1,CH,EQ,C'A')
+  JOINKEYS FILE=F1,FIELDS=(1,4,A)
+  JOINKEYS F2=O2,FIELDS=(1,4,A)
+/*
+//C        EXEC PGM=ICETOOL
+//TOOLIN   DD *
+  COPY FROM(T1) TO(T2,T3) USING(CTL1)
+/*
+//D        EXEC PGM=DSNUTILB
+//SYSIN    DD *
+  LOAD DATA -- INTO TABLE NOT.THIS
+    INTO TABLE OWN.T1
+  RUNSTATS TABLESPACE DB.TS1 TABLE(ALL)
+/*
+//E        EXEC PGM=IKJEFT01
+//SYSTSIN  DD *
+  RUN PROGRAM(NODSN)
+  DSN SYSTEM(DB2P)
+  RUN PROGRAM(ACCT) PLAN(ACCTPLAN) -
+      LIB('PROD.LOAD')
+  BIND PACKAGE(COLL) MEMBER(ACCT,BILL) ISOLATION(CS)
+  END
+  CALL 'PROD.LOAD(TOOL)' 'X=1'
+  ALLOCATE DD(OUT) DA('PROD.NEW') NEW
+  DELETE 'PROD.GONE'
+/*
+//F        EXEC PGM=DFHCSDUP
+//SYSIN    DD *
+DEFINE TRANSACTION(tr01) GROUP(G1)
+       PROGRAM(ACCT)
+LIST ALL
+DEF PROGRAM(ACCT) GROUP(G1)
+/*
+//G        EXEC PGM=IEFBR14
+//NEW      DD DSN=PROD.N,DISP=(NEW,CATLG)
+//GONE     DD DSN=PROD.G,DISP=(OLD,DELETE)
+//H        EXEC PGM=DSNTEP2
+//SYSPRINT DD SYSOUT=*
+//SYSIN    DD *
+  SELECT 'A;B' FROM T1; -- the first
+  DELETE FROM T2
+   WHERE A = 1;
+/*
+"""
+
+
+def card_facts(spark):
+    return jcl.facts(jcl.parse(source(spark, "util.jcl", CARDS)))[1:]
+
+
+def cards_idcams(spark, d):
+    sets, roles = cards.idcams_uses(*card_facts(spark))
+    return sets.select("step_no", F.lit("set").alias("what"), "name", "access").union(roles.select("step_no", F.lit("dd"), "name", "access"))
+
+
+def cards_roles(spark, d):
+    return cards.dd_roles(*card_facts(spark)).select("step_no", "dd", "access")
+
+
+def cards_db2(spark, d):
+    return cards.db2_utility_uses(*card_facts(spark)).select("step_no", "name", "access")
+
+
+def cards_runs(spark, d):
+    return cards.tso_facts(*card_facts(spark))[0].drop("file")
+
+
+def cards_binds(spark, d):
+    return cards.tso_facts(*card_facts(spark))[1].select("step_no", "kind", "name", F.array_join("members", "+").alias("members"), F.array_join("options", "+").alias("options"))
+
+
+def cards_tso_uses(spark, d):
+    return cards.tso_facts(*card_facts(spark))[2].select("step_no", "name", "access")
+
+
+def cards_csd(spark, d):
+    return cards.csd_definitions(*card_facts(spark)).drop("file")
+
+
+def cards_sql(spark, d):
+    return cards.sql_card_statements(*card_facts(spark)).drop("file")
+
+
+def utility_rules(spark, d):
+    return rules.utility_rules(*card_facts(spark))
+
+
+def program_rules(spark, d):
+    _, steps, dds = jcl.facts(jcl.parse(source(spark, "run.jcl", "//R JOB (1)\n//S1 EXEC PGM=ACCT\n//OUT DD DSN=P.O,DISP=SHR\n//S2 EXEC PGM=NONE\n//S3 EXEC PGM=SORT\n//S4 EXEC PGM=ACCT\n//IN DD DSN=P.I,DISP=SHR\n//OUT DD DSN=P.O,DISP=OLD\n")))
+    programs = spark.createDataFrame([("acct",)], "name string")
+    selects = spark.createDataFrame([("ACCT", "IN", "acct.cbl", 12), ("ACCT", "OUT", "acct.cbl", 13)], "program string, dd string, path string, line int")
+    return rules.program_rules(steps, dds, programs, selects, spark.createDataFrame([("ACCT", "OUT", "OUTPUT"), ("ACCT", "IN", "INPUT")], "program string, dd string, mode string"))
+
+
+STATEMENTS = (
+    "SELECT A FROM T WHERE X = ' INTO '", "select a INTO :B FROM T1 X, S.T2 AS Y, T3 WHERE A IN (SELECT C FROM T4)", "DECLARE C1 CURSOR FOR SELECT A FROM T WITH UR", "FETCH C1 INTO :A",
+    "UPDATE T SET A = 1 WHERE CURRENT OF C1", "WHENEVER SQLERROR GOTO ERR-EXIT", "WHENEVER NOT FOUND CONTINUE", "SET :A = CURRENT DATE", "EXECUTE IMMEDIATE :S", "EXECUTE S1 USING :A", "DECLARE T TABLE (A INT)",
+    "VALUES (1) INTO :A", "RELEASE TO SAVEPOINT S", "WITH UR AS (SELECT 1 FROM D) SELECT * FROM UR", "MERGE INTO T USING S ON T.A = S.A WHEN MATCHED THEN UPDATE SET B = 1", "LOCK TABLE T IN SHARE MODE", "-- only a comment",
+)
+
+
+def sql_facts(spark, d):
+    x = F.col("text")
+    rows = spark.createDataFrame(list(enumerate(STATEMENTS)), "n int, text string")
+    w = C.whenever(x)
+    return rows.select("n", C.statement_kind(x).alias("kind"), F.array_join(C.table_names(x), "+").alias("tables"), C.cursor_name(x).alias("cursor"), C.positioned_cursor(x).alias("positioned"), C.isolation(x).alias("isolation"), w["condition"].alias("condition"), w["action"].alias("action"))
+
+
+def sql_lists(spark, d):
+    rows = spark.createDataFrame([(1, "A, F(B, G(1, 2)), 'x,y', T.C"), (2, "ONE"), (3, "COALESCE(A, ''), S.T.D")], "n int, text string")
+    items = rows.select("n", F.posexplode(C.top_level_items(F.col("text"))).alias("pos", "item"))
+    return items.withColumn("plain", C.plain_column(F.col("item")))
+
+
+def area_rule(spark, d):
+    text = "000100 IDENTIFICATION DIVISION.\n000200*    GO TO IN A COMMENT\n000300     GO TO P1. GO TO P2.\n000400     MOVE A TO B.                                                   GO TO X\n"
+    rows = lines.source_lines(source(spark, "a.cbl", text), "path", "text")
+    return lines.line_rule(rows, "U003", r"GO TO \w+", program_area=True)
+
+
+def statement_rule(spark, d):
+    rows = spark.createDataFrame([("a.cbl", 1, "READ", "READ F AT END STOP RUN", "P1"), ("a.cbl", 2, "read", "READ F", "P1"), ("a.cbl", 3, "READ", "READ F", "INIT"), ("a.cbl", 4, "WRITE", "WRITE R", "P1")], "file string, line int, verb string, text string, paragraph string")
+    return lines.statement_rule(rows, "U004", ["READ"], ["AT END"], "^P", "no AT END")
+
+
+MADE = (
+    jcl_rules, jcl_statements, sql_rules, ims_rules, bms_fields, picture_types, cards_idcams, cards_roles, cards_db2, cards_runs, cards_binds, cards_tso_uses, cards_csd, cards_sql,
+    utility_rules, program_rules, sql_facts, sql_lists, area_rule, statement_rule,
+)
+QUERIES = {f.__name__: f for f in MADE}

@@ -25,5 +25,5 @@ TEXT = """//J        JOB (1)
 def test_cards(spark):
     _, steps, dds = jcl.facts(jcl.parse(spark.createDataFrame([("a.jcl", TEXT)], "path string, text string")))
     got = {(r.step_no, r.dd): r.access for r in cards.dd_roles(steps, dds).collect()}
-    assert got == {(1, "IN1"): "READ", (1, "OUT1"): "WRITE", (2, "SORTIN"): "READ", (2, "SORTOUT"): "WRITE", (2, "WORK"): "WRITE", (2, "SYSOUT"): "WRITE"}
+    assert got == {(1, "IN1"): "READ", (1, "OUT1"): "WRITE", (2, "SORTIN"): "READ", (2, "SORTOUT"): "WRITE", (2, "WORK"): "WRITE", (2, "SYSOUT"): "WRITE", (1, "SYSIN"): "READ", (3, "X"): "CREATE"}
     assert {tuple(r) for r in cards.ims_runs(steps).select("step_no", "region", "program", "psb").collect()} == {(4, "BMP", "PROG1", "PSB1"), (5, "DLI", "PROG2", "PROG2")}
