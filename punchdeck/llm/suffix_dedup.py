@@ -5,7 +5,8 @@ and consecutive starts with one owner form a segment. Equal strings have equal o
 owner hold all that can be equal. Segments whose owner is met once are dropped; the others
 go, with their bytes, to shards by owner. A shard's segments are set one after the other and suffix-sorted by
 induced sorting (``suffix_array``); its permuted common prefixes (``common_prefixes``) tell the starts whose
-string starts anywhere else. Equal texts are one class from the start and take part once.
+string starts anywhere else. Equal texts are one class from the start and take part once. A segment none of whose windows
+around its owner stands elsewhere in the shard is left out before the sort (``worth_sorting``).
 
 Shards are cut from a partition sorted by owner at ``SHARD_BYTES``; equal segments are merged before sorting, so a
 passage that many texts share costs its distinct segments only.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +104,14 @@ class ByteUnits:
     def symbols(self, pieces: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(p, np.uint8) for p in pieces]
 
+    def found(self, parts: bytes, gram: bytes) -> list[int]:
+        """All places of a run of units."""
+        out, at = [], parts.find(gram)
+        while at >= 0:
+            out.append(at)
+            at = parts.find(gram, at + 1)
+        return out
+
     def places(self, text: bytes, starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
         """The bytes that strings of ``length`` units cover whose starts are the given intervals of units."""
         return [(a, z - 1 + length) for a, z in starts]
@@ -138,6 +148,9 @@ class WordUnits:
         number: dict[bytes, int] = {}
         return [np.array([number.setdefault(w, len(number)) for w in p.split(b" ")], np.int64) for p in pieces]
 
+    def found(self, parts: list[bytes], gram: list[bytes]) -> list[int]:
+        return [k for k, w in enumerate(parts) if w == gram[0] and parts[k : k + len(gram)] == gram]
+
     def places(self, text: bytes, starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
         at = [m.span() for m in WORD.finditer(text)] if starts else []
         return [(at[a][0], at[z - 2 + length][1]) for a, z in starts]
@@ -394,6 +407,34 @@ def repeated_starts(pieces: list[bytes], length: int, units: Units = ByteUnits()
     return [np.flatnonzero(marked[a:b]) for a, b in zip(begin, stop, strict=True)]
 
 
+def owner_places(texts: list[bytes], doc: np.ndarray, first: np.ndarray, owner: np.ndarray, length: int, units: Units, gram: int, step: int = 4_096) -> np.ndarray:
+    """Where in its segment the gram stands that owns it: for each segment the first place in its first string."""
+    h, sizes = units.hashes(texts)
+    grams = run_hashes(h, gram)
+    start = (np.cumsum(sizes) - sizes)[doc] + first
+    out, inside = np.empty(len(start), np.int64), np.arange(length - gram + 1)
+    for k in range(0, len(start), step):
+        out[k : k + step] = (grams[start[k : k + step, None] + inside] == owner[k : k + step, None]).argmax(axis=1)
+    return out
+
+
+def worth_sorting(pieces: list[tuple[bytes, int]], length: int, units: Units, gram: int) -> list[bool]:
+    """Which of the distinct segments of some owners, each with a place of its owner, can hold a string that stands elsewhere.
+
+    A string of ``length`` holds its owner, so it holds one of a few windows that start a multiple of ``step`` before
+    the owner and are ``step`` shorter than the string. A segment none of whose windows another segment or another place
+    of its own has holds no string that repeats.
+    """
+    step = max(1, (length - gram) // 6)
+    size, met, held = length - step, Counter(), []
+    for data, at in pieces:
+        parts = units.parts(data)
+        mine = [(k, units.joined(parts[q : q + size])) for p in units.found(parts, parts[at : at + gram]) for k, q in enumerate(range(p, max(-1, p - length + gram - 1), -step)) if q + size <= len(parts)]
+        met.update(mine)
+        held.append(mine)
+    return [any(met[w] > 1 for w in mine) for mine in held]
+
+
 # ---- the distributed part ---------------------------------------------------------------------------------------
 
 
@@ -426,49 +467,58 @@ def spans(texts: DataFrame, length: int, units: Units, gram: int | None = None)
             owner, doc, a, z, again = segments([t.encode() for t in b.column("text").to_pylist()], length, units, gram)
             yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), b.column("key").take(pa.array(doc)), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(again)], names=["owner", "key", "a", "z", "again"])
 
-    found = texts.select("key", "text").mapInArrow(lean(cut_up), "owner long, key binary, a int, z int, again boolean")
+    # all columns of ``texts``, so that one exchange of them serves both passes
+    found = texts.mapInArrow(lean(cut_up), "owner long, key binary, a int, z int, again boolean")
     shared = found.groupBy("owner").agg(F.count("*").alias("m"), F.max("again").alias("again")).filter("m > 1 or again").select("owner", (F.col("m") > HOT).alias("hot"))
     wanted = found.join(shared, "owner").groupBy("key").agg(F.collect_list(F.struct("owner", "a", "z", "hot")).alias("cuts"))  # of one text
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BATCH_BYTES):
-            out: list[tuple] = []
-            for key, text, cuts in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
-                data = units.parts(text.encode())
-                for c in cuts:
-                    a, piece = c["a"], data[c["a"] : c["z"] - 1 + length]
-                    if c["hot"]:
-                        out += [(o, key, a + x, units.joined(piece[x : y - 1 + length])) for o, x, y in cut_again(units.joined(piece), c["owner"], length, units, gram)]
-                    else:
-                        out.append((c["owner"], key, a, units.joined(piece)))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["owner", "key", "a", "bytes"])
+            texts, cuts = [t.encode() for t in b.column("text").to_pylist()], b.column("cuts").to_pylist()
+            flat = [(k, c) for k, some in enumerate(cuts) for c in some]
+            at = owner_places(texts, np.array([k for k, _ in flat], np.int64), np.array([c["a"] for _, c in flat], np.int64), np.array([c["owner"] for _, c in flat], np.int64).view(np.uint64), length, units, gram).tolist()
+            keys, out, k, data = b.column("key").to_pylist(), [], -1, b""
+            for (i, c), p in zip(flat, at, strict=True):
+                if i != k:
+                    k, data = i, units.parts(texts[i])
+                piece = data[c["a"] : c["z"] - 1 + length]
+                if c["hot"]:
+                    for o, x, y in cut_again(units.joined(piece), c["owner"], length, units, gram):
+                        part = piece[x : y - 1 + length]
+                        out.append((o, keys[i], c["a"] + x, units.joined(part), units.found(part, piece[p : p + gram])[0]))
+                else:
+                    out.append((c["owner"], keys[i], c["a"], units.joined(piece), p))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["owner", "key", "a", "bytes", "at"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: dict[bytes, list]) -> pa.RecordBatch:
+        def flush(held: dict[bytes, tuple]) -> pa.RecordBatch:
             rows: list[tuple] = []
-            for piece, places, starts in zip(held, held.values(), repeated_starts(list(held), length, units), strict=True):
+            worth = worth_sorting([(data, at) for data, (at, _) in held.items()], length, units, gram)
+            sorted_ = [data for data, x in zip(held, worth, strict=True) if x]
+            runs = dict(zip(sorted_, map(intervals, repeated_starts(sorted_, length, units)), strict=True)) if sorted_ else {}
+            for data, (_, places) in held.items():
                 # a segment that stands twice repeats whole
-                runs = intervals(starts) if len(places) == 1 else [(0, len(units.parts(piece)) - length + 1)]
-                rows += [(key, a + p, a + q) for key, a in places for p, q in runs]
+                some = runs.get(data, ()) if len(places) == 1 else [(0, len(units.parts(data)) - length + 1)]
+                rows += [(key, a + p, a + q) for key, a in places for p, q in some]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["key", "a", "z"])
 
-        held: dict[bytes, list] = {}
+        held: dict[bytes, tuple] = {}
         size, before = 0, None
         for b in batches:
-            for owner, key, a, data in zip(*(b.column(c).to_pylist() for c in ("owner", "key", "a", "bytes")), strict=True):
+            for owner, key, a, data, at in zip(*(b.column(c).to_pylist() for c in ("owner", "key", "a", "bytes", "at")), strict=True):
                 if size >= SHARD_BYTES and owner != before:
                     yield flush(held)
                     held, size = {}, 0
                 before = owner
-                places = held.setdefault(data, [])
+                _, places = held.setdefault(data, (at, []))
                 size += 0 if places else len(data)
                 places.append((key, a))
         if held:
             yield flush(held)
 
-    cut = texts.join(wanted, "key").select("key", "text", "cuts").mapInArrow(lean(take), "owner long, key binary, a int, bytes binary")
+    cut = texts.join(wanted, "key").select("key", "n", "text", "cuts").mapInArrow(lean(take), "owner long, key binary, a int, bytes binary, at int")
     return cut.repartition("owner").sortWithinPartitions("owner").mapInArrow(lean(sort), "key binary, a int, z int")
 
 
