@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
 from punchdeck.llm.common import HELD
 
 # Texts of these characters alone are split at the ends of letter runs too: there Python's idea of letters, digits
@@ -45,7 +45,11 @@ SHORT = 8
 
 
 def id_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    """Ids as little-endian unsigned 32-bit integers."""
+    held = array("I", ids)
+    if sys.byteorder != "little":
+        held.byteswap()
+    return held.tobytes()
 
 
 class UnitEncoder:
@@ -73,8 +77,8 @@ class UnitEncoder:
         for unit, e in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
             self.table[unit] = self.kept(e.ids)
 
-    def __call__(self, texts: list[str]) -> list[list]:
-        """For each text the kept values of its units, in order."""
+    def __call__(self, texts: list[str], fold: Callable = list) -> list:
+        """For each text its units' kept values in order, put together by ``fold`` (``b"".join`` or ``sum``)."""
         split = [self.split(t) for t in texts]
         new = set().union(*split).difference(self.table)
         if len(self.table) + len(new) > self.room:
@@ -85,7 +89,7 @@ class UnitEncoder:
             new = set().union(*split).difference(self.table)
         self._learn(new)
         get = self.table.__getitem__
-        return [list(map(get, units)) for units in split]
+        return [fold(map(get, units)) for units in split]
 
 
 def encoder(path: str, split: Callable, kept: Callable, room: int = 600_000) -> UnitEncoder:

@@ -41,8 +41,8 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, id_
         encode, end, width = encoder(tokenizer, spaced_words, id_bytes, room), id_bytes([end_id]), 4
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             out: list[tuple] = []
-            for doc, parts in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                ids = b"".join(parts) + end
+            for doc, made in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist(), b"".join), strict=True):
+                ids = made + end
                 n = len(ids) // width
                 first = (n - 1) % capacity + 1
                 cuts = [0, *range(first, n + 1, capacity)]

@@ -27,7 +27,7 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
         encode = encoder(tokenizer, words, len)
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             texts = batch.column("text")
-            n = [sum(x) for x in encode(texts.to_pylist())]
+            n = encode(texts.to_pylist(), sum)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pc.binary_length(texts).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[id_column, "n_bytes", "n_tokens", "over_limit"],

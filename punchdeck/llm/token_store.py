@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from punchdeck.llm.common import by_bytes, cut, lean, near_hash, shared_folder, small_batches, text_or_empty
@@ -52,13 +52,20 @@ def _packed(ids: bytes) -> tuple[bytes, int]:
     return (wide.astype("<u2").tobytes(), 2) if not len(wide) or wide.max() < 1 << 16 else (ids, 4)
 
 
-def train(documents: DataFrame, tokenizer: str, end_id: int, n: int, samples: int = 1000, sample_bytes: int = 16_384, size: int = 65_536) -> bytes:
-    """Dictionary from the ids of ``samples`` of ``n`` documents of up to ``sample_bytes``, first by a hash: a fixed bound."""
+def train(documents: DataFrame, tokenizer: str, end_id: int, samples: int = 1000, sample_bytes: int = 16_384, size: int = 65_536) -> tuple[bytes, int]:
+    """Dictionary from the ids of ``samples`` documents of up to ``sample_bytes``, first by a hash: a fixed bound. Also the
+    bytes of all texts, which the scan for the sample counts on its way."""
+    n, seen = documents.count(), Observation()
+    measured = documents.observe(seen, F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    short = measured.filter((F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0))
+    texts = [r.text for r in near_hash(short, samples, n, "id").select("text").collect()]
+    return _trained(texts, tokenizer, end_id, size), seen.get["bytes"] or 0
+
+
+def _trained(texts: list[str], tokenizer: str, end_id: int, size: int) -> bytes:
     import zstandard
 
-    short = documents.filter((F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0))
-    texts = [r.text for r in near_hash(short, samples, n, "id").select("text").collect()]
-    ids = [_packed(b"".join(x) + id_bytes([end_id]))[0] for x in encoder(tokenizer, words, id_bytes)(texts)]
+    ids = [_packed(x + id_bytes([end_id]))[0] for x in encoder(tokenizer, words, id_bytes)(texts, b"".join)]
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, ids)) // 8)), ids).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: the ids themselves serve as the dictionary's content
@@ -72,8 +79,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
     spark = documents.sparkSession
     small_batches(spark)
     rows = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_column).alias("text"))
-    measured = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
-    dictionary = train(rows, tokenizer, end_id, measured.n)
+    dictionary, n_bytes = train(rows, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).digest()
     files, root = _open(folder)
     files.create_dir(root, recursive=True)
@@ -89,8 +95,8 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             if out is None:
                 out, number = files.open_output_stream(f"{root}/{name}.frames"), batch.column("shard")[0].as_py()
-            for doc, parts in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                ids, width = _packed(b"".join(parts) + end)
+            for doc, made in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist(), b"".join), strict=True):
+                ids, width = _packed(made + end)
                 frame = pack.compress(ids)
                 out.write(frame)
                 index.append((doc, at, len(frame), len(ids) // width, width))
@@ -109,7 +115,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         row = {"shard": [number], "file": [name], "n_docs": [len(table)], "n_tokens": [int(table["ids"].sum())], "n_bytes": [at + table.nbytes], "first_id": [int(table["doc_id"][0])]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("first_id", pa.int64())]))
 
-    n = shards or max(1, -(-(measured.bytes or 0) // SHARD_BYTES))
+    n = shards or max(1, -(-n_bytes // SHARD_BYTES))
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").withColumn("shard", F.spark_partition_id().cast("long"))
     return cut(dealt.mapInArrow(lean(shard, keeps=True), MANIFEST))
 
