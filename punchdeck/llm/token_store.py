@@ -72,8 +72,11 @@ def _trained(texts: list[str], tokenizer: str, end_id: int, size: int) -> bytes:
         return (b"".join(ids) or b"\0" * 8)[:size]
 
 
-def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None, level: int = 3) -> DataFrame:
-    """Writes the store and returns its manifest. One shuffle: a range partitioning by id."""
+def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None, level: int = 3, room: int = 1_000_000) -> DataFrame:
+    """Writes the store and returns its manifest. One shuffle: a range partitioning by id.
+
+    ``room``: encoded units that a worker remembers, about 200 bytes each.
+    """
     import zstandard
 
     spark = documents.sparkSession
@@ -88,7 +91,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(folder)
-        encode, end = encoder(tokenizer, words, id_bytes), id_bytes([end_id])
+        encode, end = encoder(tokenizer, words, id_bytes, room), id_bytes([end_id])
         pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         name, index, at, out = f"shard-{uuid.uuid4().hex}.pdtok", [], HEAD, None
         number = None
