@@ -32,3 +32,16 @@ def test_incremental(spark):
     assert [r.path for r in incremental.removed(now, stored).collect()] == ["d"]
     paths = spark.createDataFrame([("Src\\A.cbl",), ("src2/a",), ("SRC",)], "path string")
     assert {r.path for r in incremental.in_scope(paths, ["src/"]).collect()} == {"Src\\A.cbl", "SRC"}
+
+
+def test_logical_lines_commareas_and_repeats(spark):
+    from punchdeck.operators import findings as found
+    from punchdeck.operators import layout, lines
+
+    rows = lines.source_lines(spark.createDataFrame([("a", "000100* NOTE\n000200 MOVE A TO B.\n000300/\n")], "id string, text string"), "id", "text")
+    assert [(r.line, r.text.rstrip()) for r in lines.logical_lines(rows).collect() if r.text] == [(2, "MOVE A TO B.")]
+    passed = spark.createDataFrame([("A", "X", 10, 1), ("A", "Y", 20, 2), ("B", "Z", 1, 3)], "program string, callee string, size int, line int")
+    taken = spark.createDataFrame([("X", 11), ("Y", 20)], "program string, size int")
+    assert [(r.callee, r.received) for r in layout.too_short_commareas(passed, taken).collect()] == [("X", 11)]
+    twice = spark.createDataFrame([("m", 1, "j1"), ("m", 1, "j2"), ("m", 2, "j1")], "member string, line int, job string")
+    assert found.reported_once(twice, "member", "line").count() == 2
