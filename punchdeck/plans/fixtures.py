@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from punchdeck.functions import columns as C
 from punchdeck.functions.picture import picture
 from punchdeck.operators import lines, rules
-from punchdeck.sources import cards, findings, jcl, macros
+from punchdeck.sources import cards, findings, folder, jcl, macros, procs
 
 JCL = """//NIGHT    JOB (1),'X',RESTART=S2
 //S1       EXEC PGM=IEFBR14
@@ -195,8 +195,49 @@ def statement_rule(spark, d):
     return lines.statement_rule(rows, "U004", ["READ"], ["AT END"], "^P", "no AT END")
 
 
+CALLER = """//WEEKLY   JOB (1)
+// SET HLQ=PROD
+//C1       EXEC COPYALL,ENV=TEST,COND.S2=(4,LT)
+//S1.IN    DD DSN=&HLQ..NEW
+//S2.MORE  DD DSN=*.C1.S1.IN
+//         INCLUDE MEMBER=TAIL
+//OUT      DD DSN=*.GONE
+"""
+MEMBERS = (
+    ("lib/copyall.jcl", "//COPYALL  PROC ENV=PROD\n//S1       EXEC PGM=COPY,PARM='&ENV'\n//IN       DD DSN=&ENV..OLD,DISP=SHR\n//S2       EXEC PGM=LIST&NONE\n//L        DD DSN=*.S1.IN\n"),
+    ("lib/tail.jcl", "//LAST     EXEC PGM=SORT\n//SORTIN   DD DSN=&HLQ..N\n"),
+)
+
+
+def called(spark):
+    job, members = jcl.parse(source(spark, "weekly.jcl", CALLER)), jcl.parse(spark.createDataFrame(list(MEMBERS), "path string, text string"))
+    return procs.expanded(procs.included(job, members), members)
+
+
+def proc_steps(spark, d):
+    p = F.col("parameters")
+    return called(spark)[0].select("file", "job", F.array_join(F.col("at").cast("array<string>"), ".").alias("place"), "step", "exec_kind", "target", p["PARM"].alias("parm"), p["COND"].alias("cond"))
+
+
+def proc_dds(spark, d):
+    steps, dds = called(spark)
+    return procs.referbacks(steps, dds).select("file", "step", "dd", "dsn", F.col("parameters")["DISP"].alias("disp"), "referback", "missed")
+
+
+FILES = (
+    ("src/acct.cbl", b"000100 IDENTIFICATION DIVISION.\n"), ("src/rec.x", b"       01  REC.\n"), ("src/night.cbl", b"//N JOB (1)\n"), ("src/map.bms", b"M1 DFHMSD TYPE=MAP\n"),
+    ("db/note.x", b"-- first\nCREATE TABLE T (A INT);\n"), ("db/set.x", b"SET A\n"), ("ezt/a.x", b"FILE INF\nJOB INPUT INF\n"), ("ebc/e.x", "000100 PROGRAM-ID. E.".ljust(80).encode("cp037")),
+    ("src/bad.cbl", b"000100 PROGRAM-ID. B.\n\xff\xff\n"), ("src/bin.cbl", b"A\x00B"), ("src/none.cbl", None),
+)
+
+
+def asset_kinds(spark, d):
+    rows = folder.kind_of_content(folder.decoded(spark.createDataFrame([(p, c and bytearray(c)) for p, c in FILES], "path string, content binary")))
+    return rows.select("path", "content_kind", folder.kind_of_name(F.col("path")).alias("name_kind"), F.col("binary").alias("is_binary"), "code_page", "readable")
+
+
 MADE = (
     jcl_rules, jcl_statements, sql_rules, ims_rules, bms_fields, picture_types, cards_idcams, cards_roles, cards_db2, cards_runs, cards_binds, cards_tso_uses, cards_csd, cards_sql,
-    utility_rules, program_rules, sql_facts, sql_lists, area_rule, statement_rule,
+    utility_rules, program_rules, sql_facts, sql_lists, area_rule, statement_rule, proc_steps, proc_dds, asset_kinds,
 )
 QUERIES = {f.__name__: f for f in MADE}

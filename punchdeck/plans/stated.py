@@ -158,6 +158,35 @@ ROWS = {
         "rule_id string, file string, line int, message string",
         ('U004', 'a.cbl', 2, 'no AT END'),
     ),
+    "proc_steps": Facts(
+        "file string, job string, place string, step string, exec_kind string, target string, parm string, cond string",
+        ('weekly.jcl', 'WEEKLY', '1.1', 'C1', 'PROC', 'COPYALL', None, None),
+        ('weekly.jcl', 'WEEKLY', '1.1.1', 'C1.S1', 'PGM', 'COPY', "'TEST'", None),
+        ('weekly.jcl', 'WEEKLY', '1.1.2', 'C1.S2', 'PGM', 'LIST&NONE', None, '(4,LT)'),
+        ('weekly.jcl', 'WEEKLY', '1.2', 'LAST', 'PGM', 'SORT', None, None),
+    ),
+    "proc_dds": Facts(
+        "file string, step string, dd string, dsn string, disp string, referback string, missed boolean",
+        ('weekly.jcl', 'C1.S1', 'IN', 'PROD.NEW', 'SHR', None, False),
+        ('weekly.jcl', 'C1.S2', 'L', 'PROD.NEW', None, '*.S1.IN', False),
+        ('weekly.jcl', 'C1.S2', 'MORE', 'PROD.NEW', None, '*.C1.S1.IN', False),
+        ('weekly.jcl', 'LAST', 'SORTIN', 'PROD.N', None, None, False),
+        ('weekly.jcl', 'LAST', 'OUT', '*.GONE', None, None, True),
+    ),
+    "asset_kinds": Facts(
+        "path string, content_kind string, name_kind string, is_binary boolean, code_page string, readable boolean",
+        ('src/acct.cbl', 'COBOL', 'COBOL', False, 'UTF-8', True),
+        ('src/rec.x', 'COPYBOOK', None, False, 'UTF-8', True),
+        ('src/night.cbl', 'JCL', 'COBOL', False, 'UTF-8', True),
+        ('src/map.bms', 'BMS', 'BMS', False, 'UTF-8', True),
+        ('db/note.x', 'SQL', None, False, 'UTF-8', True),
+        ('db/set.x', None, None, False, 'UTF-8', True),
+        ('ezt/a.x', 'EASYTRIEVE', None, False, 'UTF-8', True),
+        ('ebc/e.x', 'COBOL', None, False, 'IBM930', True),
+        ('src/bad.cbl', 'COBOL', 'COBOL', False, 'Shift_JIS', False),
+        ('src/bin.cbl', None, 'COBOL', True, 'UTF-8', True),
+        ('src/none.cbl', None, 'COBOL', False, 'UTF-8', False),
+    ),
 }
 
 SQL = {name: f"SELECT * FROM {rows}" for name, rows in ROWS.items()}

@@ -83,12 +83,12 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def code_page(content: Column) -> Column:
-    """``(code_page, so_si)``: EBCDIC by its blanks, shift bytes and want of line feeds, else UTF-8 where the bytes are valid, else Shift_JIS."""
+    """``(code_page, so_si)``: EBCDIC by its blanks, shift bytes and want of line feeds, else UTF-8 where the bytes are valid (or missing), else Shift_JIS."""
     latin = F.decode(content, "ISO-8859-1")
     share = F.try_divide(F.length(latin) - F.length(F.replace(latin, F.lit("@"), F.lit(""))), F.length(latin))
     shifted = latin.rlike("[\x0e\x0f]")
     ebcdic = (shifted & (share >= 0.05)) | (~latin.contains("\n") & (share >= 0.10))
-    page = F.when(F.coalesce(ebcdic, F.lit(False)), "IBM930").when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("Shift_JIS")
+    page = F.when(F.coalesce(ebcdic, F.lit(False)), "IBM930").when(F.coalesce(F.is_valid_utf8(content.cast("string")), F.lit(True)), "UTF-8").otherwise("Shift_JIS")
     return F.struct(page.alias("code_page"), F.coalesce(shifted, F.lit(False)).alias("so_si"))
 
 
@@ -132,7 +132,7 @@ def kind_of_content(rows: DataFrame) -> DataFrame:
     easytrieve = (ezt_file & ezt_job) | (first.rlike(r"(?i)^\s*PARM\s+\S") & (ezt_file | ezt_job)) | first.rlike(r"(?i)^MACRO(\s|$)")
     ends = F.regexp_replace(seen, r"'[^']*'|--[^\n]*|/\*(?s:.*?)\*/", "").contains(";") | seen.rlike(TERMINATOR)
     weak = F.when(F.substring(first, 8, 65).rlike(LEVEL_NUMBER), "COPYBOOK").when(easytrieve, "EASYTRIEVE").when(first.rlike(SQL_FIRST) & ends, "SQL")
-    binary = F.decode(F.col("content"), "ISO-8859-1").contains("\x00")
+    binary = F.coalesce(F.decode(F.col("content"), "ISO-8859-1").contains("\x00"), F.lit(False))
     return rows.withColumns({"content_kind": F.when(~binary, F.coalesce(decided, weak)), "binary": binary}).drop("seen_")
 
 
