@@ -77,7 +77,7 @@ def parse(sources: DataFrame) -> DataFrame:
 
 
 def facts(stmts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs, steps, dds). A step belongs to the job before it, a DD to the step before it."""
+    """(jobs, steps, dds). A step belongs to the job before it, a DD to the step before it in its job, or to step 0 of the job."""
     w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     p: Column = F.col("parameters")
     named = F.when(F.col("name") != "", F.upper("name"))
@@ -85,7 +85,10 @@ def facts(stmts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "job": F.last(F.when(F.col("kind") == "JOB", F.upper("name")), ignorenulls=True).over(w),
         "step_no": F.sum((F.col("kind") == "EXEC").cast("int")).over(w),
         "step": F.last(F.when(F.col("kind") == "EXEC", F.upper("name")), ignorenulls=True).over(w),
+        "opened": F.last(F.when(F.col("kind").isin("JOB", "EXEC"), F.col("kind")), ignorenulls=True).over(w),
     })
+    within = F.col("opened") == "EXEC"
+    rows = rows.withColumns({"step_no": F.when(within, F.col("step_no")).otherwise(0), "step": F.when(within, F.col("step"))})
     jobs = rows.filter("kind = 'JOB'").select("file", "line", "job", "parameters")
     steps = rows.filter("kind = 'EXEC'").select(
         "file", "line", "job", "step_no", "step", F.when(p["PGM"].isNotNull(), "PGM").otherwise("PROC").alias("exec_kind"),

@@ -58,3 +58,9 @@ def test_empty(spark):
     none = jcl.parse(spark.createDataFrame([], "path string, text string"))
     steps, dds = procs.expanded(procs.included(none, none), none)
     assert steps.count() == 0 and procs.referbacks(steps, dds).count() == 0
+
+
+def test_job_level_dds(spark):
+    text = "//J1 JOB (1)\n//S1 EXEC PGM=A\n//D DD DSN=X\n//J2 JOB (1)\n//JOBLIB DD DSN=L\n//S1 EXEC PGM=B\n//E DD DSN=Y\n"
+    _, _, dds = jcl.facts(jcl.parse(spark.createDataFrame([("two.jcl", text)], "path string, text string")))
+    assert {(r["job"], r["step_no"], r["step"], r["dd"]) for r in dds.collect()} == {("J1", 1, "S1", "D"), ("J2", 0, None, "JOBLIB"), ("J2", 2, "S1", "E")}
