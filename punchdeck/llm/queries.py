@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punchdeck.llm import decontaminate, embedding_dedup, order_minhash, packing, quality, suffix_dedup, token_counts, token_store, url_rules, warc
+from punchdeck.llm import centroids, decontaminate, embedding_dedup, order_minhash, packing, quality, suffix_dedup, token_counts, token_store, url_rules, warc
 
 CAPACITY = 2048
 
@@ -99,8 +99,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digest(spark, folder, manifest)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_decontaminate, op2_suffix_dedup, op3_embedding_dedup, op4_packing, op5_token_counts, op6_order_minhash, op7_url_rules, op8_quality, op9_warc, op10_token_store)
+    made = (op1_decontaminate, op2_suffix_dedup, op3_embedding_dedup, op4_packing, op5_token_counts, op6_order_minhash, op7_url_rules, op8_quality, op9_warc, op10_token_store, op11_centroids)
     return {f.__name__: f for f in made}
 
 
@@ -178,5 +182,36 @@ FROM g
 """
 
 
+def op11_sql(rounds: int = 3) -> str:
+    """Rounds one after the other; all numbers are integers."""
+    parts = [
+        """
+v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, e AS c FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16)"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, e, min(struct_pack(d := list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, k := k)) AS best
+  FROM v, c{r} GROUP BY vec_id, e)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS MATERIALIZED (
+  SELECT k, list(q ORDER BY i) AS c FROM (
+    SELECT k, i, (s - ((s % n) + n) % n) // n AS q FROM (
+      SELECT best.k AS k, i, sum(e[i])::BIGINT AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY best.k, i)) GROUP BY k),
+c{r + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (k))""")
+    return f"""
+WITH {",".join(parts)}
+SELECT vec_id, best.k::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.k)::BIGINT AS cluster_inertia,
+  sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON k = best.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op7_url_rules": OP7_SQL, "op9_warc": OP9_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op7_url_rules": OP7_SQL, "op9_warc": OP9_SQL, "op11_centroids": op11_sql()}

@@ -1,6 +1,7 @@
 """The queries over the smallest tables against plain versions over whole texts."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,3 +148,26 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and len({r.doc_id for r in rows}) > 50
+
+
+def test_op11(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    v = {r.vec_id: [math.floor(64 * float(x)) for x in r.embedding] for r in rows}
+    order = sorted(v, key=lambda i: hashlib.sha256(f"1:{i}".encode()).hexdigest())[:16]
+    centroids, n = [v[i] for i in order], len(rows[0].embedding)
+
+    def assigned():
+        return {i: min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), k) for k, c in enumerate(centroids)) for i, x in v.items()}
+
+    for _ in range(3):
+        groups = defaultdict(list)
+        for i, (_, k) in assigned().items():
+            groups[k].append(v[i])
+        centroids = [[sum(x[d] for x in groups[k]) // len(groups[k]) for d in range(n)] if k in groups else c for k, c in enumerate(centroids)]
+    last = assigned()
+    inertia = Counter()
+    for d, k in last.values():
+        inertia[k] += d
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    want = {(i, k, d, inertia[k], sum(inertia.values()), sha[k]) for i, (d, k) in last.items()}
+    assert {tuple(r) for r in q.op11_centroids(spark, SF).collect()} == want
