@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punchdeck.llm import centroids, decontaminate, embedding_dedup, order_minhash, packing, quality, suffix_dedup, token_counts, token_store, url_rules, warc
+from punchdeck.llm import centroids, decontaminate, embedding_dedup, order_minhash, packing, periodic_runs, quality, suffix_dedup, token_counts, token_store, url_rules, warc
 
 CAPACITY = 2048
 
@@ -103,8 +105,24 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Word numbers of a text of which the words from one place on repeat; for about a tenth of the ids, none for a null id."""
+    h = zlib.crc32(str(doc_id).encode())
+    g, rest = divmod(h, 10)
+    if doc_id is None or rest or not n:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"), rewrite=planted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_decontaminate, op2_suffix_dedup, op3_embedding_dedup, op4_packing, op5_token_counts, op6_order_minhash, op7_url_rules, op8_quality, op9_warc, op10_token_store, op11_centroids)
+    made = (op1_decontaminate, op2_suffix_dedup, op3_embedding_dedup, op4_packing, op5_token_counts, op6_order_minhash, op7_url_rules, op8_quality, op9_warc, op10_token_store, op11_centroids, op13_periodic_runs)
     return {f.__name__: f for f in made}
 
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -95,8 +97,6 @@ def test_op10(spark, docs):
 
 
 def test_op1(spark, docs):
-    import re
-
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = set()
@@ -171,3 +171,34 @@ def test_op11(spark):
     sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
     want = {(i, k, d, inertia[k], sum(inertia.values()), sha[k]) for i, (d, k) in last.items()}
     assert {tuple(r) for r in q.op11_centroids(spark, SF).collect()} == want
+
+
+def plain_runs(words, least=24, times=3):
+    """(start, period, length) of each run, by comparing all words ``q`` apart for each ``q``."""
+    found = {}
+    for q in range(1, len(words) // times + 1):
+        start = 0
+        for i in range(len(words) - q + 1):
+            if i + q == len(words) or words[i] != words[i + q]:
+                if i > start and i - start + q >= max(least, times * q):
+                    found.setdefault((start, i - start + q), q)
+                start = i + 1
+    return sorted((s, q, m) for (s, m), q in found.items())
+
+
+def test_op13(spark, docs):
+    want = set()
+    for d, text in docs.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        n, h = len(w), zlib.crc32(str(d).encode())
+        if h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+        found = plain_runs(w)
+        dropped = {i for s, q, m in found for i in range(s + q, s + m)}
+        best = max(((Fraction(m, q), -s, -q) for s, q, m in found), default=None)
+        top = (-best[1], int(best[0] * -best[2]), -best[2], int(1000 * best[0])) if best else (None,) * 4
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{s},{m},{q}\n" for s, q, m in found), " ".join(x for i, x in enumerate(w) if i not in dropped))]
+        want.add((d, len(found), *top, *sha))
+    assert {tuple(r) for r in q.op13_periodic_runs(spark, SF).collect()} == want and any(x[1] for x in want)

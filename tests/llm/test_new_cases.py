@@ -1,10 +1,13 @@
 """Cases of clustering, secret scans and periodic runs: nulls, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
+import re
 
 import numpy as np
 
-from punchdeck.llm import centroids
+from punchdeck.llm import centroids, periodic_runs
+from tests.llm.test_contracts import plain_runs
 
 VECTORS = "vec_id long, embedding array<float>, label int, id long, v string, cluster string, distance long"
 
@@ -38,3 +41,32 @@ def test_centroids(spark):
     few = centroids.cluster(vectors(spark, whole[:3]), k=16, dim=4)
     assert sorted((r.vec_id, r.distance) for r in few.collect()) == [(0, 0), (1, 0), (2, 0)]
     assert centroids.cluster(vectors(spark, [])).count() == 0 and centroids.cluster(vectors(spark, left_out), dim=4).columns == few.columns
+
+
+TEXTS = "doc_id long, text string, id long, start long, runs string, collapsed string, n_runs int"
+
+
+def texts(spark, rows):
+    return spark.createDataFrame([(i, t, 1, 2, "r", "c", 3) for i, t in rows], TEXTS)
+
+
+def test_periodic_runs(spark):
+    rng = random.Random(5)
+    made = ["", "  \n\t", "a " * 23, "a " * 24, "x " + "a b " * 12 + "a", "a b c d e f g h " * 3, "é\x85 \x1f " * 30, "\x0b".join("ab" * 40)]
+    for _ in range(150):
+        words: list[str] = []
+        while len(words) < rng.randint(0, 300):
+            root = [rng.choice("abc") for _ in range(rng.randint(1, 14))]
+            words += (root * 9)[: rng.randint(1, 90)] if rng.random() < 0.6 else [rng.choice("ab") for _ in range(20)]
+        made.append("".join(w + rng.choice([" ", "  ", "\n", "\r\n"]) for w in words))
+    long = " ".join(f"w{i % 997}" for i in range(100_000)) + " end"
+    rows = list(enumerate(made)) + [(500, long), (500, long), (None, "a " * 30), (501, None)]
+    want = sorted((str(i), s, m, p) for i, t in rows if t != long for s, p, m in plain_runs(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    want = sorted(want + [("500", 0, 100_000, 997)] * 2)
+    docs = texts(spark, rows).repartition(3)
+    assert sorted((str(r.doc_id), r.start, r.length, r.period) for r in periodic_runs.runs(docs).collect()) == want
+    kept = {(r.doc_id, r.n_words, r.n_dropped, r.text) for r in periodic_runs.collapsed(docs).collect()}
+    assert {(501, 0, 0, ""), (None, 30, 29, "a"), (500, 100_001, 99_003, " ".join(f"w{i}" for i in range(997)) + " end"), (4, 26, 23, "x a b")} <= kept
+    none = texts(spark, [])
+    assert periodic_runs.runs(none).count() == periodic_runs.collapsed(none).count() == periodic_runs.digest(none).count() == 0
+    assert len(periodic_runs.digest(docs).collect()) == len(rows)
