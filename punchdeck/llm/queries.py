@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punchdeck.llm import centroids, decontaminate, embedding_dedup, order_minhash, packing, periodic_runs, quality, suffix_dedup, token_counts, token_store, url_rules, warc
+from punchdeck.llm import centroids, decontaminate, embedding_dedup, order_minhash, packing, periodic_runs, quality, secrets, suffix_dedup, token_counts, token_store, url_rules, warc
 
 CAPACITY = 2048
 
@@ -105,6 +105,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def planted(doc_id: int | None, n: int) -> np.ndarray | None:
     """Word numbers of a text of which the words from one place on repeat; for about a tenth of the ids, none for a null id."""
     h = zlib.crc32(str(doc_id).encode())
@@ -122,7 +126,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_decontaminate, op2_suffix_dedup, op3_embedding_dedup, op4_packing, op5_token_counts, op6_order_minhash, op7_url_rules, op8_quality, op9_warc, op10_token_store, op11_centroids, op13_periodic_runs)
+    made = (op1_decontaminate, op2_suffix_dedup, op3_embedding_dedup, op4_packing, op5_token_counts, op6_order_minhash, op7_url_rules, op8_quality, op9_warc, op10_token_store, op11_centroids, op12_secret_scan, op13_periodic_runs)
     return {f.__name__: f for f in made}
 
 

@@ -202,3 +202,15 @@ def test_op13(spark, docs):
         sha = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{s},{m},{q}\n" for s, q, m in found), " ".join(x for i, x in enumerate(w) if i not in dropped))]
         want.add((d, len(found), *top, *sha))
     assert {tuple(r) for r in q.op13_periodic_runs(spark, SF).collect()} == want and any(x[1] for x in want)
+
+
+def test_op12(spark, docs):
+    patterns = ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8), ("access", "(AKIA[A-Z0-9]+)", 16), ("hex", "([0-9a-f]+)", 32)
+    rows = {r.doc_id: r for r in q.op12_secret_scan(spark, SF).collect()}
+    assert len(rows) == len(docs)
+    for d, text in docs.items():
+        found = sorted((m.start(), k, m.end()) for k, (_, p, least) in enumerate(patterns) for m in re.finditer(p, text) if len(m[m.lastindex]) >= least)
+        base = [f"{patterns[k][0]}:{a}:{b}" for a, k, b in found]
+        assert (rows[d].n_assign, rows[d].n_access, rows[d].n_hex) == tuple(sum(x[1] == k for x in found) for k in range(3))
+        assert rows[d].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(rows[d].spans.split(","))

@@ -1,12 +1,14 @@
 """Cases of clustering, secret scans and periodic runs: nulls, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 
 import numpy as np
 
-from punchdeck.llm import centroids, periodic_runs
+from punchdeck.llm import centroids, periodic_runs, secrets
 from tests.llm.test_contracts import plain_runs
 
 VECTORS = "vec_id long, embedding array<float>, label int, id long, v string, cluster string, distance long"
@@ -70,3 +72,52 @@ def test_periodic_runs(spark):
     none = texts(spark, [])
     assert periodic_runs.runs(none).count() == periodic_runs.collapsed(none).count() == periodic_runs.digest(none).count() == 0
     assert len(periodic_runs.digest(docs).collect()) == len(rows)
+
+
+def test_guess_cost():
+    """The cheapest of all ways to cut a value into dictionary words and single characters; parts of other kinds by hand."""
+    rank = {"the": 2, "moon": 300, "hem": 40, "emo": 7, "oon": 9}
+    one, part = math.log10(26), math.log10(2)
+
+    def plain(value):
+        least = math.inf
+        for cuts in itertools.product([0, 1], repeat=len(value) - 1):
+            ends = [i for i, c in enumerate(cuts, 1) if c] + [len(value)]
+            pieces = [value[a:b] for a, b in zip([0, *ends], ends)]
+            if all(len(x) == 1 or x in rank for x in pieces):
+                least = min(least, sum(one if len(x) == 1 else math.log10(rank[x]) + part for x in pieces))
+        return least
+
+    rng = random.Random(2)
+    for _ in range(150):
+        value = "".join(rng.choice(["the", "moon", "hem", "oon", "v", "x", "em"]) for _ in range(rng.randint(1, 4)))[:11]
+        if not re.search(r"(.{1,8})\1", value) and not any(b - a > 3 for a, b, _ in secrets.walk_parts(value)):
+            assert math.isclose(secrets.guess_cost(value, rank), plain(value)), value
+    assert math.isclose(secrets.guess_cost("The", rank), math.log10(2) + math.log10(2) + part)
+    assert math.isclose(secrets.guess_cost("2014-02-28", {}), math.log10(365 * 20) + math.log10(4) + part)
+    assert math.isclose(secrets.guess_cost("28021990", {}), math.log10(365 * 20) + part) and secrets.guess_cost("99999999", {}) < 3
+    assert math.isclose(secrets.guess_cost("xk" * 30, {}), 2 * one + math.log10(30) + part)
+    assert math.isclose(secrets.guess_cost("asdfgh", {}), math.log10(47 * 6) + math.log10(4) + part)
+    assert secrets.guess_cost("x9$Kq!27vLz", rank) > 13 and secrets.guess_cost("", rank) == 0
+
+
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    kelvin = "to\u212aen = abcdefghijkl"
+    made = [
+        f'x token = "{key}" y', "API_KEY: abcdefgh, apikey=short", "secret=token=abcdefgh1", "secret: token: abcdefgh", "AKIA" + "A" * 11, "zAKIA" + "B" * 12 + " " + "f" * 32, "pwd => 'x9$Kq!27vLz'.",
+        "passphrase is changeme. password is changeme", kelvin, "", " \n", "😀 PassWord : Zx81Qp0055", "pwd: " + "qwerty" * 3000 + "!", "changeme " * 500,
+    ]
+    rows = list(enumerate(made)) + [(0, made[0]), (None, made[6]), (90, None)]
+    found = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.spans) for r in secrets.digest(texts(spark, rows).repartition(3)).collect()}
+    want = {
+        (0, 1, 0, 1, "assign:2:51,hex:11:51"), (1, 1, 0, 0, "assign:0:17"), (2, 1, 0, 0, "assign:0:22"), (3, 0, 0, 0, ""), (4, 0, 0, 0, ""), (5, 0, 1, 1, "access:1:17,hex:18:50"),
+        (6, 0, 0, 0, "guess:8:19"), (None, 0, 0, 0, "guess:8:19"), (7, 0, 0, 0, ""), (8, 0, 0, 0, ""), (9, 0, 0, 0, ""), (10, 0, 0, 0, ""), (11, 1, 0, 0, "assign:2:23"), (12, 0, 0, 0, ""), (13, 0, 0, 0, ""), (90, 0, 0, 0, ""),
+    }
+    assert found == want
+    assert secrets.digest(texts(spark, rows)).count() == len(rows) and secrets.digest(texts(spark, [])).count() == 0
+    clean = {r.doc_id: r.text for r in secrets.redacted(texts(spark, rows)).collect()}
+    assert clean[0] == 'x [assign]" y' and clean[6] == "pwd => '[guess]'." and clean[90] == ""
+    assert {(r.doc_id, r.secret) for r in secrets.spans(texts(spark, rows)).filter("kind = 'guess'").collect()} == {(6, "x9$Kq!27vLz"), (None, "x9$Kq!27vLz")}
+    # words of one count are ordered by themselves
+    assert secrets.frequent_words(texts(spark, [(1, "Bee ant bee ant cow an"), (2, None)]), 2) == {"ant": 1, "bee": 2}
