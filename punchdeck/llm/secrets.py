@@ -11,8 +11,8 @@ most frequent make the dictionary (a model of bounded size, sent to each worker;
 Texts are then scanned in one narrow stage.
 
 Cases: a null text counts as empty; a text is scanned whole, however long it or a value is, at a cost in proportion to
-its length; repeated rows and ids are each scanned for themselves; words of one count are ordered by themselves; an
-empty table gives an empty result; other columns are not read.
+its length; repeated rows and ids are each scanned for themselves; words of one count are ordered by themselves,
+and chosen by a hash where not all fit; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, lean, small_batches, text_or_empty
+from punchdeck.llm.common import by_bytes, lean, near_hash, small_batches, text_or_empty, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -164,10 +164,25 @@ def scan(text: str, rank: Mapping[str, int], least: float = LEAST) -> tuple[list
 
 
 def frequent_words(documents: DataFrame, words: int, text_column: str = "text") -> dict[str, int]:
-    """Ranks from 1 of the ``words`` most frequent words of ASCII letters of all texts."""
+    """Ranks from 1 of the ``words`` most frequent words of ASCII letters of all texts.
+
+    Words are first numbered by classes of their counts; only the last class that has room is cut, by a hash, so that
+    the driver gets the words themselves and about as many again, however many partitions count them.
+    """
     found = documents.select(F.explode(F.split(F.lower(text_or_empty(text_column)), "[^a-z]+")).alias("word"))
-    found = found.filter(F.length("word").between(SHORTEST, LONGEST)).groupBy("word").count()
-    return {r.word: i for i, r in enumerate(found.orderBy(F.desc("count"), "word").limit(words).collect(), 1)}
+    found = found.filter(F.length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+    found = written(found.withColumn("class", F.floor(F.log2("n") * 8)), "words")
+    chosen, cut = [], None
+    for r in found.groupBy("class").count().orderBy(F.desc("class")).collect():  # at most 8 times 63
+        cut = r
+        if r["count"] > words - sum(c["count"] for c in chosen):
+            break
+        chosen.append(r)
+        cut = None
+    top = found.filter(F.col("class").isin([r["class"] for r in chosen])).collect()
+    if cut and len(top) < words:
+        top += near_hash(found.filter(F.col("class") == cut["class"]), words - len(top), cut["count"], "word").collect()
+    return {r.word: i for i, r in enumerate(sorted(top, key=lambda r: (-r.n, r.word)), 1)}
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

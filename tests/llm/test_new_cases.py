@@ -121,3 +121,6 @@ def test_secrets(spark):
     assert {(r.doc_id, r.secret) for r in secrets.spans(texts(spark, rows)).filter("kind = 'guess'").collect()} == {(6, "x9$Kq!27vLz"), (None, "x9$Kq!27vLz")}
     # words of one count are ordered by themselves
     assert secrets.frequent_words(texts(spark, [(1, "Bee ant bee ant cow an"), (2, None)]), 2) == {"ant": 1, "bee": 2}
+    many = texts(spark, [(i, " ".join(f"{a}{b}{c}" for a in "abcdef" for b in "xyz" for c in "uvw") + " top" * i) for i in range(4)])
+    some = secrets.frequent_words(many, 30)
+    assert len(some) == 30 and list(some.values()) == list(range(1, 31)) and "top" in some
