@@ -46,7 +46,7 @@ def _pairs(text: Column, pattern: str, first: int = 1) -> Column:
 
 
 def branch_targets(stmts: DataFrame) -> DataFrame:
-    """``(program, stmt, name, qualifier)``: procedures that GO TO, ALTER, WHENEVER and HANDLE name."""
+    """``(program, stmt, proc, nth, name, qualifier)``: procedures that GO TO, ALTER, WHENEVER and HANDLE name."""
     line, verb = F.array_join("words", " "), F.col("verb")
     go = F.regexp_replace(F.regexp_replace(line, "^GO (TO )?", ""), " ?DEPENDING .*$", "")
     found = (
@@ -54,7 +54,13 @@ def branch_targets(stmts: DataFrame) -> DataFrame:
         .when(verb == "EXEC SQL", _pairs(line, r"(?s)\bWHENEVER\s.*?\bGO\s*TO\s+:?([\p{L}\p{N}_-]+)()"))
         .when((verb == "EXEC CICS") & line.rlike(r"(?s)^EXEC\s+CICS\s+HANDLE\s"), _pairs(line, r"[\p{L}\p{N}]+\s*\(\s*([\p{L}\p{N}-]+)\s*\)()"))
     )
-    return stmts.select("program", "stmt", "proc", F.explode(found).alias("x")).select("program", "stmt", "proc", "x.*")
+    return stmts.select("program", "stmt", "proc", F.posexplode(found).alias("nth", "x")).select("program", "stmt", "proc", "nth", "x.*")
+
+
+def targets(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
+    """``(program, stmt, nth, idx)``: the procedures that ``branch_targets`` mean, those that are there."""
+    refs = branch_targets(stmts).select("program", F.struct("stmt", "nth").alias("ref"), "proc", "name", "qualifier")
+    return _resolved(refs, procedures).filter("idx is not null").select("program", "ref.*", "idx")
 
 
 def performs(stmts: DataFrame) -> DataFrame:
@@ -137,9 +143,8 @@ def edges(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
     # NEXT SENTENCE goes to the first statement of a later sentence
     w = Window.partitionBy("program").orderBy("sentence").rangeBetween(1, Window.unboundedFollowing)
     skips = stmts.withColumn("to_node", F.coalesce(F.min("stmt").over(w), F.lit(EXIT))).filter("verb = 'NEXT'")
-    refs = branch_targets(stmts).select("program", F.struct("stmt", "name", "qualifier").alias("ref"), "proc", "name", "qualifier").distinct()
     to = doors.select("program", "idx", "entry")
-    gone = _resolved(refs, procedures).filter("idx is not null").join(to, ["program", "idx"])
+    gone = targets(stmts, procedures).join(to, ["program", "idx"])
     calls = ranges(stmts, procedures)
     entered = calls.join(to.withColumnRenamed("idx", "low"), ["program", "low"])
     # the ends of a range: what leads out of its last procedure that has statements
@@ -149,7 +154,7 @@ def edges(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
     back = last.select("program", "stmt", "proc").join(leaving, ["program", "proc"]).join(points, ["program", "stmt"])
     parts = [
         doors.filter("idx = 0").select("program", F.lit(ENTRY), "entry"), on.select("program", "stmt", "next"), inside.select("program", "stmt", "first"), skips.select("program", "stmt", "to_node"),
-        gone.select("program", "ref.stmt", "entry"), entered.select("program", "stmt", "entry"), back.select("program", "end", "point"), stmts.filter(ends_program()).select("program", "stmt", F.lit(EXIT)),
+        gone.select("program", "stmt", "entry"), entered.select("program", "stmt", "entry"), back.select("program", "end", "point"), stmts.filter(ends_program()).select("program", "stmt", F.lit(EXIT)),
     ]
     out = parts[0].toDF("program", "from_node", "to_node")
     for p in parts[1:]:

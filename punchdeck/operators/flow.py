@@ -1,23 +1,97 @@
-"""Control flow and data flow of programs as joins: all programs at once, a round for each step along the edges.
+"""Control flow and data flow of programs: each program's facts are solved where its rows are, all programs at once.
 
-``edges(program, from_node, to_node)`` is the control flow graph of every program. A round joins the newest facts
-with the edges; what is new goes on. Facts of earlier rounds are never written again.
+``edges(program, from_node, to_node)`` is the control flow graph of every program. A program is bounded, so what takes
+rounds along its edges is a worklist over one group's rows, facts as bits of a number; programs are dealt out by one
+exchange and nothing waits for the longest path of another. No bound on paths or facts is set.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.operators.graph import cut
-
 NODE = ["program", "node"]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, parts)
+#: What a group function gets: rows of several tables, told apart by ``part``; keys as JSON, so any type will do.
+PART = ("part", "node", "to_node", "item", "name", "source")
+
+
+def _json(column: str) -> Column:
+    return F.to_json(F.struct(F.col(column).alias("v")))
+
+
+def _part(df: DataFrame | None, part: str, *keys: str, node: str = "node", to_node: str | None = None) -> DataFrame | None:
+    if df is None:
+        return None
+    cells = {"part": F.lit(part), "node": F.col(node).cast("long"), "to_node": F.col(to_node).cast("long") if to_node else F.lit(None).cast("long")}
+    cells |= {k: _json(k) if k in keys else F.lit(None).cast("string") for k in PART[3:]}
+    return df.select("program", *(c.alias(n) for n, c in cells.items())).distinct()
+
+
+def _groups(parts: Iterable[DataFrame | None], run: Callable[[dict[str, pd.DataFrame]], list[tuple]], columns: str) -> DataFrame:
+    """``run`` over the parts of each program; its rows without the program."""
+    rows = reduce(DataFrame.union, (p for p in parts if p is not None))
+    names = ["program"] + [c.split()[0] for c in columns.split(", ")]
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        program = pdf["program"].iloc[0]
+        found = run(defaultdict(lambda: pdf.iloc[:0], dict(list(pdf.groupby("part")))))
+        return pd.DataFrame([(program, *r) for r in found], columns=names).astype({names[0]: pdf["program"].dtype})
+
+    return rows.groupBy("program").applyInPandas(group, f"program {rows.schema['program'].dataType.simpleString()}, {columns}")
+
+
+def _back(df: DataFrame, like: dict[str, tuple[DataFrame, str]], nodes: tuple[str, ...] = ("node",), node_like: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """JSON keys and node numbers as what they were."""
+    out = []
+    for c in df.columns:
+        if c in like:
+            frame, column = like[c]
+            out.append(F.from_json(c, f"v {frame.schema[column].dataType.simpleString()}")["v"].alias(c))
+        elif c in nodes and node_like:
+            out.append(F.col(c).cast(node_like[0].schema[node_like[1]].dataType).alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+def _successors(edges: pd.DataFrame) -> dict[int, list[int]]:
+    succ: dict[int, list[int]] = defaultdict(list)
+    for a, b in zip(edges["node"].tolist(), edges["to_node"].tolist(), strict=True):
+        succ[a].append(b)
+    return succ
+
+
+def _worklist(succ: dict[int, list[int]], made: dict[int, int], killed: dict[int, int], carried: dict[int, list[tuple[int, int]]]) -> dict[int, int]:
+    """Bits at the start of each node: what a node makes, what passes it and is not killed there, what it carries on from what it holds."""
+    held: dict[int, int] = defaultdict(int)
+    work = deque(made)
+    waiting = set(work)
+    while work:
+        n = work.popleft()
+        waiting.discard(n)
+        out = made.get(n, 0) | (held[n] & ~killed.get(n, 0))
+        for wanted, gives in carried.get(n, ()):
+            if held[n] & wanted:
+                out |= gives
+        for s in succ.get(n, ()):
+            if out & ~held[s]:
+                held[s] |= out
+                if s not in waiting:
+                    waiting.add(s)
+                    work.append(s)
+    return held
+
+
+def _bits(mask: int) -> Iterable[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
 
 def backward(edges: DataFrame) -> DataFrame:
@@ -32,23 +106,30 @@ def solve(edges: DataFrame, made: DataFrame, killed: DataFrame | None = None, st
     ``killed(program, node, name)``, or one of ``stops(program, node)``, which kill all. A ``name`` is returned as well.
     With ``backward`` edges it is the analysis from behind.
     """
-    step = cut(edges.select("program", F.col("from_node").alias("node"), "to_node").distinct())
+    key = "name" if "name" in made.columns else "item"
     carried = [c for c in ("item", "name") if c in made.columns]
-    key = [*NODE, carried[-1]]
-    killed = None if killed is None else cut(killed.select(*key).distinct())
-    stops = None if stops is None else cut(stops.select(*NODE).distinct())
-    front = cut(made.select(*NODE, *carried).distinct())
-    reached: list[DataFrame] = []
-    while True:
-        new = front.join(step, NODE).select("program", F.col("to_node").alias("node"), *carried).distinct()
-        if reached:
-            new = new.join(_union(reached).select(*NODE, "item"), [*NODE, "item"], "left_anti")
-        new = cut(new)
-        if new.isEmpty():
-            return _union(reached) if reached else new
-        reached.append(new)
-        front = new if killed is None else new.join(killed, key, "left_anti")
-        front = front if stops is None else front.join(stops, NODE, "left_anti")
+
+    def run(part: dict[str, pd.DataFrame]) -> list[tuple]:
+        m = part["made"]
+        items = list(dict.fromkeys(zip(m["item"], m["name"], strict=True)))
+        number = {x: i for i, x in enumerate(items)}
+        of_key: dict[str, int] = defaultdict(int)
+        for (item, name), i in number.items():
+            of_key[name if key == "name" else item] |= 1 << i
+        gen: dict[int, int] = defaultdict(int)
+        for n, item, name in zip(m["node"].tolist(), m["item"], m["name"], strict=True):
+            gen[n] |= 1 << number[item, name]
+        kill: dict[int, int] = defaultdict(int)
+        for n, k in zip(part["killed"]["node"].tolist(), part["killed"][key], strict=True):
+            kill[n] |= of_key.get(k, 0)
+        for n in part["stop"]["node"].tolist():
+            kill[n] = (1 << len(items)) - 1
+        held = _worklist(_successors(part["edge"]), gen, kill, {})
+        return [(n, *items[i]) for n, mask in held.items() for i in _bits(mask)]
+
+    parts = [_part(edges, "edge", node="from_node", to_node="to_node"), _part(made, "made", *carried), _part(killed, "killed", key), _part(stops, "stop")]
+    found = _groups(parts, run, "node long, item string, name string")
+    return _back(found, {c: (made, c) for c in carried}, node_like=(edges, "to_node")).select(*NODE, *carried)
 
 
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -81,22 +162,25 @@ def searched(edges: DataFrame, starts: DataFrame, checks: DataFrame, boundaries:
     return leaves.select(*NODE, F.coalesce("some_path", F.lit(False)).alias("some_path"), (F.col("goes").isNotNull() & ~F.coalesce("open", F.lit(True))).alias("every_path"))
 
 
-def first_met(edges: DataFrame, starts: DataFrame, wanted: DataFrame, most: int = 10_000) -> DataFrame:
+def first_met(edges: DataFrame, starts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(program, start, node, hops)``: for each start the nearest node that is wanted, the smallest of equal ones."""
-    step = cut(edges.select("program", F.col("from_node").alias("node"), "to_node").distinct())
-    front = cut(starts.select("program", F.col("node").alias("start"), "node").distinct())
-    seen, found, hop = [front], [], 0
-    while hop < most:
-        hop += 1
-        new = front.join(step, NODE).select("program", "start", F.col("to_node").alias("node")).distinct()
-        new = cut(new.join(_union(seen), ["program", "start", "node"], "left_anti"))
-        if new.isEmpty():
-            break
-        seen.append(new)
-        hit = cut(new.join(wanted.select(*NODE).distinct(), NODE).groupBy("program", "start").agg(F.min("node").alias("node")))
-        found.append(hit.withColumn("hops", F.lit(hop)))
-        front = new.join(hit.select("program", "start"), ["program", "start"], "left_anti")
-    return _union(found) if found else starts.select("program", F.col("node").alias("start"), "node", F.lit(0).alias("hops")).limit(0)
+
+    def run(part: dict[str, pd.DataFrame]) -> list[tuple]:
+        succ, goal, out = _successors(part["edge"]), set(part["wanted"]["node"].tolist()), []
+        for start in part["start"]["node"].tolist():
+            seen, front, hops = {start}, {start}, 0
+            while front:
+                hops += 1
+                front = {s for n in front for s in succ.get(n, ())} - seen
+                seen |= front
+                if front & goal:
+                    out.append((start, min(front & goal), hops))
+                    break
+        return out
+
+    parts = [_part(edges, "edge", node="from_node", to_node="to_node"), _part(starts, "start"), _part(wanted, "wanted")]
+    found = _groups(parts, run, "start long, node long, hops int")
+    return _back(found, {}, ("start", "node"), (edges, "to_node"))
 
 
 def reaching_definitions(edges: DataFrame, defs: DataFrame, entries: DataFrame, names: DataFrame, children: DataFrame | None = None) -> DataFrame:
@@ -134,36 +218,66 @@ def tainted(edges: DataFrame, sources: DataFrame, moves: DataFrame, defs: DataFr
     ``sources(program, node, name)`` take input; ``moves(program, node, source, name)`` carry it on if the source is
     tainted there; a definition without such a move cleans the name.
     """
-    item = lambda: F.struct("name", F.col("node").cast("long").alias("via")).alias("item")
-    front = cut(sources.select(*NODE, item(), "name").distinct())
-    made, done = front, front.limit(0)
-    while not front.isEmpty():
-        new = cut(solve(edges, front, defs).join(done, [*NODE, "item"], "left_anti"))
-        done = cut(done.unionByName(new))
-        carried = moves.join(new.select(*NODE, F.col("name").alias("source")), [*NODE, "source"]).select(*NODE, item(), "name").distinct()
-        front = cut(carried.join(made, [*NODE, "item"], "left_anti"))
-        made = made.union(front)
-    return done.select(*NODE, "name", "item.via")
 
-
-def taint_steps(taint: DataFrame, moves: DataFrame, sources: DataFrame, sinks: DataFrame, most: int = 64) -> DataFrame:
-    """``(program, node, name, path)``: for each sink that is tainted the nodes from a source to it, the shortest first found.
+    def run(part: dict[str, pd.DataFrame]) -> list[tuple]:
+        numbers: dict[tuple[str, int], int] = {}
+        gen: dict[int, int] = defaultdict(int)
+        steps: dict[int, list[tuple[str, str]]] = defaultdict(list)
+        for n, name in zip(part["source"]["node"].tolist(), part["source"]["name"], strict=True):
+            gen[n] |= 1 << numbers.setdefault((name, n), len(numbers))
+        for n, source, name in zip(part["move"]["node"].tolist(), part["move"]["source"], part["move"]["name"], strict=True):
+            numbers.setdefault((name, n), len(numbers))
+            steps[n].append((source, name))
+        of_name: dict[str, int] = defaultdict(int)
+        for (name, _), i in numbers.items():
+            of_name[name] |= 1 << i
+        kill: dict[int, int] = defaultdict(int)
+        for n, name in zip(part["def"]["node"].tolist(), part["def"]["name"], strict=True):
+            kill[n] |= of_name.get(name, 0)
+        carried = {n: [(of_name.get(s, 0), 1 << numbers[m, n]) for s, m in pairs] for n, pairs in steps.items()}
+        facts = list(numbers)
+        return [(n, *facts[i]) for n, mask in _worklist(_successors(part["edge"]), gen, kill, carried).items() for i in _bits(mask)]
+
+    parts = [_part(edges, "edge", node="from_node", to_node="to_node"), _part(sources, "source", "name"), _part(moves, "move", "source", "name"), _part(defs, "def", "name")]
+    found = _groups(parts, run, "node long, name string, via long")
+    return _back(found, {"name": (sources, "name")}, node_like=(edges, "to_node"))
+
+
+def taint_steps(taint: DataFrame, moves: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """``(program, node, name, path)``: for each sink that is tainted the nodes from a source to it, the shortest, the first of equal ones.
 
     ``sinks(program, node, name)``.
     """
-    written = taint.select("program", "name", F.col("node").alias("at"), "via")
-    front = sinks.join(taint, [*NODE, "name"]).select("program", "node", "name", F.col("via").alias("last"), F.array("node", "via").alias("path"), F.col("name").alias("held"))
-    starts = sources.select("program", F.col("node").cast("long").alias("last"), F.col("name").alias("held")).distinct()
-    found = []
-    for _ in range(most):
-        front = cut(front)
-        if front.isEmpty():
-            break
-        found.append(cut(front.join(starts, ["program", "last", "held"]).groupBy("program", "node", "name").agg(F.min("path").alias("path"))))
-        front = front.join(found[-1], ["program", "node", "name"], "left_anti")
-        back = moves.select("program", F.col("node").cast("long").alias("last"), F.col("name").alias("held"), "source")
-        prior = written.select("program", F.col("at").cast("long").alias("last"), F.col("name").alias("source"), "via")
-        front = front.join(back, ["program", "last", "held"]).join(prior, ["program", "last", "source"]).filter(~F.array_contains("path", F.col("via")))
-        front = front.select("program", "node", "name", F.col("via").alias("last"), F.concat("path", F.array("via")).alias("path"), F.col("source").alias("held"))
-    every = _union(found) if found else sinks.withColumn("path", F.array().cast("array<long>")).limit(0)
-    return every.select("program", "node", "name", F.reverse("path").alias("path"))
+
+    def run(part: dict[str, pd.DataFrame]) -> list[tuple]:
+        starts = set(zip(part["source"]["node"].tolist(), part["source"]["name"], strict=True))
+        from_: dict[tuple[int, str], set[str]] = defaultdict(set)
+        for n, source, name in zip(part["move"]["node"].tolist(), part["move"]["source"], part["move"]["name"], strict=True):
+            from_[n, name].add(source)
+        vias: dict[tuple[int, str], set[int]] = defaultdict(set)
+        for n, name, via in zip(part["taint"]["node"].tolist(), part["taint"]["name"], part["taint"]["to_node"].tolist(), strict=True):
+            vias[n, name].add(via)
+        out = []
+        for node, name in zip(part["sink"]["node"].tolist(), part["sink"]["name"], strict=True):
+            # layers of (node that wrote, name held), each with the smallest path to it
+            layer = {(v, name): (node, v) for v in vias.get((node, name), ())}
+            seen = set(layer)
+            while layer:
+                done = [path for state, path in layer.items() if state in starts]
+                if done:
+                    out.append((node, name, list(reversed(min(done)))))
+                    break
+                new: dict[tuple[int, str], tuple] = {}
+                for (last, held), path in layer.items():
+                    for source in from_.get((last, held), ()):
+                        for via in vias.get((last, source), ()):
+                            longer = (*path, via)
+                            if (via, source) not in seen and longer < new.get((via, source), (*longer, 0)):
+                                new[via, source] = longer
+                seen |= set(new)
+                layer = new
+        return out
+
+    parts = [_part(taint, "taint", "name", to_node="via"), _part(moves, "move", "source", "name"), _part(sources, "source", "name"), _part(sinks, "sink", "name")]
+    found = _groups(parts, run, "node long, name string, path array<long>")
+    return _back(found, {"name": (sinks, "name")}, node_like=(sinks, "node"))

@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from punchdeck.operators.graph import cut
 
 
+def with_ancestors(items: DataFrame) -> DataFrame:
+    """Adds ``ancestors``, the ``idx`` of the groups an item lies in, the nearest last.
+
+    The last item of each level is carried along the source; one of a smaller level closes those before it.
+    """
+    rows = items.filter(~F.col("level").isin(66, 88)).withColumn("depth", F.when(F.col("level") == 77, 1).otherwise(F.col("level")))
+    w = Window.partitionBy("program").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.array(*(F.struct(F.max(F.when(F.col("depth") == k, F.col("idx"))).over(w).alias("idx"), F.lit(k).alias("depth")) for k in range(1, 50)))
+    rows = rows.withColumn("last", F.filter(last, lambda x: x["idx"].isNotNull() & (x["depth"] < F.col("depth"))))
+    still = F.filter("last", lambda x: ~F.exists("last", lambda y: (y["depth"] < x["depth"]) & (y["idx"] > x["idx"])))
+    return rows.withColumn("ancestors", F.transform(still, lambda x: x["idx"])).drop("last", "depth")
+
+
 def with_parents(items: DataFrame, most: int = 49) -> DataFrame:
     """Adds ``parent``, the ``idx`` of the group an item belongs to: the nearest earlier item of a smaller level.
 
