@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punchdeck.operators import control, flow, layout, operands
+from punchdeck.operators import control, flow, intervals, layout, operands
 from punchdeck.operators.graph import cut
 from punchdeck.operators.sequence import later_duplicates
 from punchdeck.sources import cobol
@@ -117,8 +117,60 @@ def duplicate_names(f: Facts) -> DataFrame:
     return finding(later_duplicates(f.procedures.withColumn("in_section", F.when(F.col("kind") == "PARAGRAPH", F.col("section"))), ["program", "in_section", "name"], "idx"), "R023", "name")
 
 
+def truncating_moves(f: Facts) -> DataFrame:
+    """R003: a MOVE between items of which a receiver has fewer digits before or behind the point, or fewer characters; the first such receiver."""
+    held = intervals.pictured(f.items).filter("picture is not null").groupBy("program", "name").agg(F.min_by(F.struct("category", "int_digits", "frac_digits", "positions"), "idx").alias("p"))
+    at = F.array_position("words", "TO").cast("int")
+    moves = f.stmts.filter((F.col("verb") == "MOVE") & ~F.arrays_overlap("words", F.array(F.lit("CORRESPONDING"), F.lit("CORR"))) & (at > 0))
+    moves = moves.select("program", "stmt", "line", F.slice("words", 2, at - 2).alias("sent"), F.slice("words", at + 1, F.size("words")).alias("got")).filter(~F.array_contains("sent", ":"))
+    moves = moves.withColumn("sender", F.get("sent", F.lit(0))).filter(operands.is_name(F.col("sender")))
+    met = moves.join(held.select("program", F.col("name").alias("sender"), F.col("p").alias("s")), ["program", "sender"])
+    # names outside of brackets
+    depth = F.aggregate(F.slice("got", 1, F.col("at")), F.lit(0), lambda d, x: d + F.when(x == "(", 1).when(x == ")", -1).otherwise(0))
+    to = met.select("program", "stmt", "line", "s", "got", F.posexplode("got").alias("at", "name")).filter(depth == 0).join(held, ["program", "name"])
+    number = lambda p: F.col(f"{p}.category") == "NUMERIC"
+    fewer = (F.col("p.int_digits") < F.col("s.int_digits")) | (F.col("p.frac_digits") < F.col("s.frac_digits"))
+    lost = F.when(number("s") & number("p"), fewer).when(~number("s") & ~number("p"), F.col("s.positions") > F.col("p.positions"))
+    return finding(to.filter(lost).groupBy("program", "stmt", "line").agg(F.min_by("name", "at").alias("name")), "R003", "name")
+
+
+def subscripts(f: Facts) -> DataFrame:
+    """``(program, node, line, name, nth, subscript, most)``: single words as subscripts, with the OCCURS of their dimension.
+
+    Dimensions are told from the outermost; a subscript beyond them is judged by the innermost.
+    """
+    items = layout.with_ancestors(f.items)
+    times = items.filter("occurs is not null").select("program", F.col("idx").alias("group"), "occurs")
+    dims = items.select("program", "idx", "name", "section", F.explode(F.concat("ancestors", F.array("idx"))).alias("group")).join(times, ["program", "group"])
+    dims = dims.groupBy("program", "idx", "name", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("group", "occurs"))), lambda x: x["occurs"]).alias("dims"))
+    dims = dims.groupBy("program", "name").agg(F.min_by(F.struct("section", "dims"), "idx").alias("t")).filter("t.section <> 'LINKAGE'")
+    rest = lambda i: F.slice("words", i + 3, F.size("words"))
+    inner = lambda i: F.slice(rest(i), 1, F.greatest(F.array_position(rest(i), ")").cast("int") - 1, F.lit(0)))
+    refs = F.filter(F.transform("words", lambda x, i: F.when((F.get("words", i + 1) == "(") & operands.is_name(x), F.struct(x.alias("name"), inner(i).alias("subs")))), lambda x: x.isNotNull())
+    found = f.stmts.select("program", F.col("stmt").alias("node"), "line", F.explode(refs).alias("r")).select("program", "node", "line", "r.*")
+    found = found.filter(~F.exists("subs", lambda x: ~operands.is_name(x) & ~x.rlike("^[0-9]+$")))
+    found = found.join(dims, ["program", "name"]).select("program", "node", "line", "name", "t.dims", F.posexplode("subs").alias("nth", "subscript"))
+    return found.select("program", "node", "line", "name", "nth", "subscript", F.get("dims", F.least("nth", F.size("dims") - 1)).alias("most"))
+
+
+def interval_rules(f: Facts) -> DataFrame:
+    """R005: a subscript that may lie beyond its OCCURS or below 1, once for each line and table. R028: SUBTRACT or COMPUTE that may
+    leave a negative value in an unsigned item."""
+    known = cut(intervals.intervals(f.edges, f.stmts, f.procedures, f.items, f.operands))
+    subs = subscripts(f).join(known.select("program", "node", F.col("name").alias("subscript"), "low", "high", F.lit(True).alias("known")), ["program", "node", "subscript"], "left")
+    point = F.col("subscript").rlike("^[0-9]+$")
+    value = F.when(point, F.col("subscript")).try_cast("long")
+    over = F.when(point, (value > F.col("most")) | (value <= 0)).when(F.col("known"), F.coalesce((F.col("high") > F.col("most")) | (F.col("low") <= 0), F.lit(True)))
+    outside = finding(subs.filter(over).select("program", "line", "name").distinct(), "R005", "name")
+    unsigned = intervals.pictured(f.items).filter("category = 'NUMERIC' and not signed").select("program", "name").distinct()
+    results = f.operands.filter("defined").join(f.stmts.filter("verb in ('SUBTRACT', 'COMPUTE')").select("program", F.col("stmt").alias("node"), "line"), ["program", "node"]).join(unsigned, ["program", "name"], "left_semi")
+    after = f.edges.select("program", F.col("from_node").alias("node"), "to_node")
+    left = results.join(after, ["program", "node"]).join(known.select("program", F.col("node").alias("to_node"), "name", "low"), ["program", "to_node", "name"])
+    return outside.union(finding(left.filter("low is null or low < 0").select("program", "node", "line", "name").distinct(), "R028", "name"))
+
+
 def program_rules(f: Facts) -> DataFrame:
-    found = [rule(f) for rule in (uninitialised, single_paragraphs, goto_out_of_section, altered, unreachable, evaluate_without_other, duplicate_names)]
+    found = [rule(f) for rule in (uninitialised, single_paragraphs, goto_out_of_section, altered, unreachable, evaluate_without_other, duplicate_names, truncating_moves, interval_rules)]
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
