@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punchdeck.plans import analogues, estate, fixtures, programs, stated
+from punchdeck.plans import analogues, estate, fixtures, programs, sqlscripts, stated
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return analogues.QUERIES | fixtures.QUERIES | estate.QUERIES | programs.QUERIES
+    return analogues.QUERIES | fixtures.QUERIES | estate.QUERIES | programs.QUERIES | sqlscripts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return analogues.SQL | estate.SQL | stated.SQL | programs.SQL
+    return analogues.SQL | estate.SQL | stated.SQL | programs.SQL | sqlscripts.SQL

@@ -54,10 +54,9 @@ def negative(a: Interval) -> Interval:
 
 
 def times(a: Interval, b: Interval) -> Interval:
-    if None in a or None in b:
-        return (a[0] * b[0], None) if a[0] is not None and b[0] is not None and a[0] >= 0 and b[0] >= 0 else ANY
-    ends = [x * y for x in a for y in b]
-    return (min(ends), max(ends))
+    low, high = -math.inf, math.inf
+    ends = [0 if 0 in (x, y) else x * y for x in (low if a[0] is None else a[0], high if a[1] is None else a[1]) for y in (low if b[0] is None else b[0], high if b[1] is None else b[1])]
+    return (None if min(ends) == low else min(ends), None if max(ends) == high else max(ends))
 
 
 def divided(a: Interval, b: Interval) -> Interval:

@@ -73,7 +73,8 @@ def tokens(sources: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = rows.withColumn("line", F.sum(marks).over(by_program().rowsBetween(Window.unboundedPreceding, -1)).cast("int"))
     rows = rows.filter(~F.col("token").isin(NEW, MORE) & ~F.col("token").startswith("*>"))
     # parts of a literal or word on several lines are put together
-    rows = rows.withColumn("token", F.regexp_replace(F.regexp_replace("token", rf"^([XNGBZxngbz]?([\"']).*?){_ON}\2", "$1"), rf"(?<=[\p{{L}}\p{{N}}_-]){_ON}", ""))
+    literal = F.regexp_replace("token", rf"(?<=[^\n{MORE}])\n*{MORE}\s*[\"']", "")
+    rows = rows.withColumn("token", F.when(F.col("token").rlike(r"^[XNGBZxngbz]?[\"']"), literal).otherwise(F.regexp_replace("token", rf"(?<=[\p{{L}}\p{{N}}_-]){_ON}", "")))
     rows = rows.withColumn("word", F.upper("token"))
     w = by_program()
     opens = F.col("word").isin(*DIVISIONS) & (F.lead("word").over(w) == "DIVISION")
