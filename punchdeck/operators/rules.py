@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punchdeck.functions import columns as C
+from punchdeck.operators.graph import cut
 from punchdeck.sources import cards
 
 
@@ -31,7 +32,7 @@ def jcl_rules(jobs: DataFrame, steps: DataFrame, dds: DataFrame) -> DataFrame:
     named = d.filter("dsn is not null and not ds.temporary and ds.referback is null")
     job = Window.partitionBy("file", "job")
     out = []
-    late = steps.withColumn("n", F.row_number().over(job.orderBy("step_no"))).filter("n > 1 and cond is null")
+    late = steps.withColumn("n", F.row_number().over(job.orderBy("step_no"))).filter("n > 1 and cond is null").filter(p["IF"].isNull())
     held = F.array_sort(F.collect_list(F.struct("step_no", "step")))  # steps of one job
     per_job = late.groupBy("file", "job").agg(F.min_by("line", "step_no").alias("line"), F.transform(held, lambda x: x["step"]).alias("all"))
     names = F.concat(F.array_join(F.slice("all", 1, 5), ", "), F.when(F.size("all") > 5, F.concat(F.lit(" and "), F.size("all") - 5, F.lit(" more"))).otherwise(""))
@@ -78,6 +79,44 @@ def jcl_rules(jobs: DataFrame, steps: DataFrame, dds: DataFrame) -> DataFrame:
     return union(out)
 
 
+def step_rules(steps: DataFrame) -> DataFrame:
+    """R030, R046 and R047 over steps with procedures expanded (``procs.expanded`` of ``jcl.guarded`` statements): ``file, job, line, at, step, exec_kind, parameters``.
+
+    R030: steps that run whatever those before returned, one finding a job. A job's first step and a call's first are not
+    asked for a condition; the steps of a call are not either if the call, or one around it, has one or is told already.
+    R046 looks at the COND of the last step alone, R047 at the steps that COND and IF name.
+    """
+    p = F.col("parameters")
+    rows = steps.withColumns({"cond": p["COND"], "guard": p["IF"], "up": F.slice("at", F.lit(1), F.size("at") - 1)})
+    rows = rows.withColumn("has", F.col("cond").isNotNull() | F.col("guard").isNotNull())
+    first = F.row_number().over(Window.partitionBy("file", "job", "up").orderBy("at")) == 1
+    # a job's steps stand in an array of two places, those of a call in longer ones
+    rows = cut(rows.withColumn("bare", ~F.col("has") & ~first))
+    # cut, as the rows are met with themselves
+    around = rows.select("file", "job", "at", F.explode(F.when(F.size("at") > 2, F.transform(F.sequence(F.lit(2), F.size("at") - 1), lambda n: F.slice("at", F.lit(1), n)))).alias("call"))
+    calls = rows.filter("exec_kind = 'PROC'").select("file", "job", F.col("at").alias("call"), (F.col("has") | F.col("bare")).alias("covers"))
+    covered = around.join(calls.filter("covers"), ["file", "job", "call"]).select("file", "job", "at").distinct()
+    told = rows.filter("bare").join(covered, ["file", "job", "at"], "left_anti")
+    held = F.array_sort(F.collect_list(F.struct("at", "step")))
+    per_job = told.groupBy("file", "job").agg(F.min_by("line", "at").alias("line"), F.transform(held, lambda x: x["step"]).alias("all"))
+    names = F.concat(F.array_join(F.slice("all", 1, 5), ", "), F.when(F.size("all") > 5, F.concat(F.lit(" and "), F.size("all") - 5, F.lit(" more"))).otherwise(""))
+    out = [finding(per_job, "R030", "warning", "steps run whatever the steps before returned: ", names)]
+    code, op = (F.regexp_extract_all(F.upper("cond"), F.lit(r"(\d+) ?, ?(EQ|NE|GT|GE|LT|LE)\b"), k) for k in (1, 2))
+    bypass = F.exists(F.zip_with(code, op, lambda c, o: C.bypasses_at_zero(o, c.cast("int"))), lambda x: x)
+    job = Window.partitionBy("file", "job")
+    last = rows.withColumns({"back": F.row_number().over(job.orderBy(F.desc("at"))), "n": F.count("*").over(job)})
+    out.append(finding(last.filter((F.col("back") == 1) & (F.col("n") >= 2) & F.col("cond").isNotNull() & bypass), "R046", "warning", "last step is skipped when all goes well: ", F.col("step")))
+    by_cond = F.regexp_extract_all(F.upper(F.coalesce("cond", F.lit(""))), F.lit(r", ?(?:EQ|NE|GT|GE|LT|LE) ?, ?([A-Z0-9@#$.]+)"), F.lit(1))
+    by_if = F.regexp_extract_all(F.upper(F.coalesce("guard", F.lit(""))), F.lit(r"(?<![A-Z0-9@#$.])([A-Z@#$][A-Z0-9@#$]*(?:\.[A-Z@#$][A-Z0-9@#$]*)?)\.(?:RC|RUN|ABENDCC|ABEND)\b"), F.lit(1))
+    asked = rows.select("file", "job", "line", "at", "step", F.posexplode(F.concat(by_cond, by_if)).alias("nth", "asked"))
+    # within a call a step is named alone, or with the name of a call
+    inside = rows.filter("size(at) > 2").select("file", "job", "at", F.substring_index("step", ".", -1).alias("asked"))
+    known = rows.select("file", "job", "at", F.col("step").alias("asked")).union(inside).groupBy("file", "job", "asked").agg(F.min("at").alias("first_at"))
+    missing = asked.join(known, ["file", "job", "asked"], "left").filter("first_at is null or first_at >= at").groupBy("file", "job", "line", "at").agg(F.min_by("asked", "nth").alias("asked"))
+    out.append(finding(missing, "R047", "error", "no earlier step is called ", F.col("asked")))
+    return union(out)
+
+
 def ims_rules(segments: DataFrame, sensegs: DataFrame) -> DataFrame:
     known = segments.select("dbd", "segment", F.col("parent").alias("own_parent"), F.lit(True).alias("there"))
     bases = segments.select("dbd").distinct()

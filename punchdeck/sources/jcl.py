@@ -49,6 +49,14 @@ def statements(text: str) -> list[dict]:
             out.append({"line": start + 1, "kind": "?", "name": raw[2:10].strip(), "positional": None, "parameters": {}, "instream": []})
             continue
         name, verb, field = found[1], found[2].upper(), found[3] or ""
+        if verb == "IF":
+            # its condition is no list of operands: all up to THEN, on as many lines as it takes
+            while not re.search(r"\bTHEN\b", field.upper()) and at < len(rows) and rows[at].startswith("// "):
+                field += " " + rows[at][2:71].strip()
+                at += 1
+            condition = re.split(r"\s*\bTHEN\b", field, flags=re.IGNORECASE)[0].strip()
+            out.append({"line": start + 1, "kind": verb, "name": name, "positional": condition or None, "parameters": {}, "instream": []})
+            continue
         parts = operands(field)
         while parts[-1] == "" and len(parts) > 1 and at < len(rows) and rows[at].startswith("// "):
             parts = parts[:-1] + operands(rows[at][2:71].strip())
@@ -76,6 +84,29 @@ def parse(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(run, SCHEMA)
 
 
+#: IFs may lie in each other this deep.
+NESTING = 15
+
+
+def guarded(stmts: DataFrame) -> DataFrame:
+    """Statements whose EXECs have a parameter ``IF``: the conditions of the IFs around them from the outermost, joined by ``&``, those of an
+    ELSE with ``NOT`` before them. It goes with a step's parameters where procedures are expanded."""
+    scope = Window.partitionBy("file", "job_no_").orderBy("seq")
+    kind = F.col("kind")
+    # a job, a procedure and a member each have their own IFs
+    rows = stmts.withColumn("job_no_", F.count_if(kind.isin("JOB", "PROC", "PEND")).over(Window.partitionBy("file").orderBy("seq")))
+    step = F.sum(F.when(kind == "IF", 1).when(kind == "ENDIF", -1).otherwise(0))
+    total = rows.withColumn("sum_", step.over(scope))
+    total = total.withColumn("depth_", F.col("sum_") - F.least(F.lit(0), F.min("sum_").over(scope)))
+    last = [F.max(F.when(kind.isin("IF", "ELSE") & (F.col("depth_") == k), F.struct("seq", "kind"))).over(scope) for k in range(1, NESTING + 1)]
+    asked = [F.last(F.when((kind == "IF") & (F.col("depth_") == k), F.coalesce("positional", F.lit(""))), ignorenulls=True).over(scope) for k in range(1, NESTING + 1)]
+    each = F.array(*(F.when(F.lit(k) <= F.col("depth_"), F.concat(F.when(last[k - 1]["kind"] == "ELSE", "NOT ").otherwise(""), asked[k - 1])) for k in range(1, NESTING + 1)))
+    guard = F.array_join(F.array_compact(each), " & ")
+    own = F.when((kind == "EXEC") & (F.col("depth_") > 0), F.create_map(F.lit("IF"), guard)).otherwise(F.create_map().cast("map<string,string>"))
+    none = F.create_map().cast("map<string,string>")
+    return total.withColumn("parameters", F.map_concat(F.map_filter(F.coalesce("parameters", none), lambda k, _: k != "IF"), own)).select(*stmts.columns)
+
+
 def facts(stmts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(jobs, steps, dds). A step belongs to the job before it, a DD to the step before it in its job, or to step 0 of the job."""
     w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -114,7 +114,7 @@ def test_intervals(spark):
                   "MOVE I TO C.", "GOBACK.", "P-2.", "MOVE T(I) TO C.", data=("77 A PIC 9(3).", "77 B PIC 9 VALUE 1.", "77 C PIC S9(4).", "77 I PIC 99.", "01 G.", " 05 T PIC 9 OCCURS 9."))
     found = {(r.node, r.name): (r.low, r.high) for r in intervals.intervals(f.edges, f.stmts, f.procedures, f.items, f.operands).collect()}
     assert found[3, "A"] == (5, 5) and found[4, "A"] == (5, 8) and found[5, "C"] == (-5, -2) and found[6, "A"] == (5, 19) and found[7, "A"] == (20, None)
-    assert found[8, "C"] == (None, -54) and found[12, "I"] == (2, 9) and found[10, "I"] == (10, None)
+    assert found[8, "C"] == (None, -54) and found[12, "I"] == (2, 9) and found[10, "I"] == (2, None)
 
 
 def test_long_paths(spark):
