@@ -9,20 +9,26 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 
-def cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, ``spark.checkpoint.dir``; one of our own only on one machine without it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if found is None:
             if not context.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="punchdeck-")
         context.setCheckpointDir(found)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

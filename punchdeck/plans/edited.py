@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from punchdeck.plans.analogues import Query, t
 from punchdeck.operators import rules
-from punchdeck.sources import edits, jcl, procs
+from punchdeck.operators.graph import shared_folder
+from punchdeck.sources import edits, jcl, procs, store
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +95,26 @@ UNION SELECT 'R047', 'error', file, unnest([2, 4, 6, 8])::INT, 'no earlier step
 def job_step_rules(spark, d):
     """Rules of steps under IF and within procedures."""
     return rules.step_rules(jobs(spark, d))
+
+
+@query(f"""
+SELECT source, CASE WHEN source % 7 = 0 THEN 'removed' WHEN source % 5 = 0 THEN 'changed' WHEN source % 11 = 0 THEN 'added' END AS change,
+  CASE WHEN source % 7 = 0 THEN 0 ELSE len(list_filter(string_split(CASE WHEN source % 5 = 0 THEN x || chr(10) || 'more' ELSE x END, chr(10)), lambda l: l <> '')) END::BIGINT AS n_lines
+FROM {DOCS}""")
+def stored_changes(spark, d):
+    """A store of the documents' lines, brought up to date once: some are new, some have changed, some are gone."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+
+    def facts(sources):
+        return {"lines": sources.select("source", F.posexplode(F.split("text", "\n")).alias("seq", "line")).filter("line <> ''")}
+
+    docs = texts(spark, d)
+    first = docs.filter("source % 11 <> 0 or source % 5 = 0 or source % 7 = 0")
+    later = docs.filter("source % 7 <> 0").withColumn("text", F.when(F.col("source") % 5 == 0, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")))
+    keyed = [x.withColumns({"source": F.col("source").cast("string"), "key": store.content_key(F.col("text"), "utf-8")}) for x in (first, later)]
+    store.update(root, keyed[0], facts)
+    change = store.update(root, keyed[1], facts)
+    n = store.read(spark, root, "lines").groupBy("source").agg(F.count("*").alias("n_lines"))
+    every = docs.select("source").withColumn("key_", F.col("source").cast("string"))
+    out = every.join(change.withColumnRenamed("source", "key_"), "key_", "left").join(n.withColumnRenamed("source", "key_"), "key_", "left")
+    return out.select("source", "change", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
