@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punchdeck.operators.graph import cut
 from punchdeck.operators.linker import named_procedures
 
 ENTRY, EXIT = 0, -1
@@ -127,7 +128,8 @@ def entries(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
 
 def edges(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
     """``(program, from_node, to_node)`` of the control flow graph of each program that has statements."""
-    doors = entries(stmts, procedures)
+    # what is met several times below is written once, which keeps each plan small
+    doors = cut(entries(stmts, procedures))
     ways = follows(stmts).join(doors.select("program", F.col("idx").alias("proc"), "after"), ["program", "proc"]).withColumn("next", F.coalesce("next", "after")).drop("after")
     inside = stmts.filter("parent > 0").groupBy("program", F.col("parent").alias("stmt"), "branch").agg(F.min("stmt").alias("first"))
     filled = inside.groupBy("program", "stmt").agg(F.count("*").alias("n_filled"))
@@ -139,13 +141,13 @@ def edges(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
     all_taken = F.coalesce(whole, F.lit(False)) & (n == F.size(labels)) & (n > 0)
     jumps = F.array_join("words", " ").rlike(rf"^GO(?: TO)? {_NAME}$")
     goes_on = stmts.join(filled, ["program", "stmt"], "left").filter(~ends_program() & ~all_taken & ~jumps & ~(F.col("verb") == "NEXT")).select("program", "stmt")
-    on = goes_on.join(ways, ["program", "stmt"])
+    on = cut(goes_on.join(ways, ["program", "stmt"]))
     # NEXT SENTENCE goes to the first statement of a later sentence
     w = Window.partitionBy("program").orderBy("sentence").rangeBetween(1, Window.unboundedFollowing)
     skips = stmts.withColumn("to_node", F.coalesce(F.min("stmt").over(w), F.lit(EXIT))).filter("verb = 'NEXT'")
     to = doors.select("program", "idx", "entry")
     gone = targets(stmts, procedures).join(to, ["program", "idx"])
-    calls = ranges(stmts, procedures)
+    calls = cut(ranges(stmts, procedures))
     entered = calls.join(to.withColumnRenamed("idx", "low"), ["program", "low"])
     # the ends of a range: what leads out of its last procedure that has statements
     last = calls.join(doors.select("program", F.col("idx").alias("high"), F.col("last_full").alias("proc")), ["program", "high"]).filter("proc >= low")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from punchdeck.operators.graph import dealt
+
 NODE = ["program", "node"]
 #: What a group function gets: rows of several tables, told apart by ``part``; keys as JSON, so any type will do.
 PART = ("part", "node", "to_node", "item", "name", "source")
@@ -42,7 +44,7 @@ def _groups(parts: Iterable[DataFrame | None], run: Callable[[dict[str, pd.DataF
         found = run(defaultdict(lambda: pdf.iloc[:0], dict(list(pdf.groupby("part")))))
         return pd.DataFrame([(program, *r) for r in found], columns=names).astype({names[0]: pdf["program"].dtype})
 
-    return rows.groupBy("program").applyInPandas(group, f"program {rows.schema['program'].dataType.simpleString()}, {columns}")
+    return dealt(rows, "program").groupBy("program").applyInPandas(group, f"program {rows.schema['program'].dataType.simpleString()}, {columns}")
 
 
 def _back(df: DataFrame, like: dict[str, tuple[DataFrame, str]], nodes: tuple[str, ...] = ("node",), node_like: tuple[DataFrame, str] | None = None) -> DataFrame:

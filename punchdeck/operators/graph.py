@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by ``key`` in as many partitions as the session shuffles into. Asked for by number, they are not drawn together because they hold
+    few bytes: what a function does with the groups of a key costs more than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, with_start: bool = False) -> DataFrame:
     """``(id, hops)`` of the nodes reached from ``start(id)``. Without ``with_start`` a start node counts only if an
     edge leads back to it. ``depth`` bounds the hops. The edges are written once, each hop writes its own nodes only."""

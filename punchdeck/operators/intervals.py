@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from punchdeck.functions.picture import picture
 from punchdeck.operators import control
+from punchdeck.operators.graph import dealt
 
 Interval = tuple[int | None, int | None]
 ANY: Interval = (None, None)
@@ -386,4 +387,4 @@ def intervals(edges: DataFrame, stmts: DataFrame, procedures: DataFrame, items:
     for e in every[1:]:
         out = out.union(e)
     key = stmts.schema["program"].dataType.simpleString()
-    return out.groupBy("program").applyInPandas(solve, f"program {key}, node long, name string, low long, high long")
+    return dealt(out, "program").groupBy("program").applyInPandas(solve, f"program {key}, node long, name string, low long, high long")

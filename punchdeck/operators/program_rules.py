@@ -26,10 +26,10 @@ class Facts(NamedTuple):
 
 
 def facts(sources: DataFrame, id_column: str, text_column: str) -> Facts:
-    """All rows of the sources; tokens, statements and edges are written once, as every rule reads them."""
+    """All rows of the sources, each written once, as every rule reads them."""
     tokens = cut(cobol.tokens(sources, id_column, text_column))
-    stmts, procedures = cut(cobol.statements(tokens)), cobol.procedures(tokens)
-    return Facts(tokens, cobol.data_items(tokens), procedures, stmts, cut(control.edges(stmts, procedures)), operands.operands(stmts))
+    stmts, procedures, items = (cut(x) for x in (cobol.statements(tokens), cobol.procedures(tokens), cobol.data_items(tokens)))
+    return Facts(tokens, items, procedures, stmts, cut(control.edges(stmts, procedures)), cut(operands.operands(stmts)))
 
 
 def finding(rows: DataFrame, rule: str, subject: Column | str) -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punchdeck.operators.graph import dealt
+
 TOKEN = r"""(--[^\n]*|/\*(?s:.*?)(?:\*/|\z)|'(?:[^']++|'')*+'?|"(?:[^"]++|"")*+"?|:\s*[\p{L}_][\p{L}\p{N}_.-]*|\p{N}[\p{L}\p{N}_]*|[\p{L}_@#$][\p{L}\p{N}_@#$]*|<>|<=|>=|!=|\^=|\|\||[^\s])"""
 # Words that begin a clause on a block's own level.
 CLAUSES = ("SELECT", "INTO", "FROM", "JOIN", "ON", "WHERE", "GROUP", "HAVING", "ORDER", "FETCH", "OPTIMIZE", "SET", "VALUES", "UPDATE", "DELETE", "INSERT", "MERGE", "USING", "WITH", "FOR", "UNION", "EXCEPT", "INTERSECT", "WHEN", "DECLARE", "QUERYNO")
@@ -32,8 +34,8 @@ def _is_word(c: Column) -> Column:
 def tokens(stmts: DataFrame) -> DataFrame:
     """``(stmt, pos, token, word, scope, block, own, arm, clause)``: ``scope`` are the blocks around a token from the outermost (0), named by
     where their bracket stands, ``block`` the innermost; ``own`` if no other bracket of the block holds it."""
-    rows = stmts.select("stmt", F.col("text").alias("t")).repartition("stmt")
-    rows = rows.select("stmt", F.posexplode(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(1))).alias("pos", "token")).filter("token not like '--%' and token not like '/*%'")
+    rows = stmts.select("stmt", F.col("text").alias("t"))
+    rows = dealt(rows, "stmt").select("stmt", F.posexplode(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(1))).alias("pos", "token")).filter("token not like '--%' and token not like '/*%'")
     token = F.col("token")
     rows = rows.withColumn("word", F.when(token.startswith('"'), F.replace(F.regexp_replace(token, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.upper("token")))
     w = Window.partitionBy("stmt").orderBy("pos")

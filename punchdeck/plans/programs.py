@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punchdeck.operators import control, flow, intervals, operands, program_rules
+from punchdeck.operators import control, flow, intervals, operands, path_rules, program_rules
 from punchdeck.plans.analogues import Query, t
 from punchdeck.sources import cobol
 
@@ -33,18 +33,18 @@ LINES: list[tuple[int, str, str]] = [
 ]
 
 
-def programs(spark: SparkSession, d: str) -> DataFrame:
+def programs(spark: SparkSession, d: str, lines: list[tuple[int, str, str]] = LINES) -> DataFrame:
     """``(doc_id, text)``: the sources."""
     shown = "concat('      * ', replace(coalesce(text, ''), '\\n', '\\n      * '))"
-    parts = [f"CASE WHEN {c} THEN {x} END" for n, c, x in LINES if n <= 12] + [shown] + [f"CASE WHEN {c} THEN {x} END" for n, c, x in LINES if n > 12]
+    parts = [f"CASE WHEN {c} THEN {x} END" for n, c, x in lines if n <= 12] + [shown] + [f"CASE WHEN {c} THEN {x} END" for n, c, x in lines if n > 12]
     rows = t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("d"), "text")
     return rows.select("doc_id", F.expr(f"array_join(array({', '.join(parts)}), '\\n')").alias("text"))
 
 
-def rows_of(select: str, rows: list[str], columns: str) -> str:
+def rows_of(select: str, rows: list[str], columns: str, source: list[tuple[int, str, str]] = LINES) -> str:
     """SQL: ``select`` over all documents and ``rows`` with numbers of lines, ``x`` being the lines that are there."""
-    lines = ", ".join(f"({n}, {k})" for k, (n, _, _) in enumerate(LINES))
-    there = "CASE k " + " ".join(f"WHEN {k} THEN {c}" for k, (_, c, _) in enumerate(LINES)) + " END"
+    lines = ", ".join(f"({n}, {k})" for k, (n, _, _) in enumerate(source))
+    there = "CASE k " + " ".join(f"WHEN {k} THEN {c}" for k, (_, c, _) in enumerate(source)) + " END"
     return f"""
 WITH x AS (
   SELECT d, n, (row_number() OVER (PARTITION BY d ORDER BY n) + CASE WHEN n > 12 THEN more ELSE 0 END)::INT AS line
@@ -138,9 +138,9 @@ FINDINGS = [
 ]
 
 
-def findings_sql(found: list[tuple[str, int, str, str]]) -> str:
+def findings_sql(found: list[tuple[str, int, str, str]], source: list[tuple[int, str, str]] = LINES) -> str:
     holds = "CASE k " + " ".join(f"WHEN {k} THEN {c}" for k, (_, _, _, c) in enumerate(found)) + " END"
-    return rows_of(f"SELECT d AS program, line, rule_id, subject FROM x JOIN r USING (n) WHERE {holds}", [f"({n}, '{rule}', '{s}', {k})" for k, (rule, n, s, _) in enumerate(found)], "n, rule_id, subject, k")
+    return rows_of(f"SELECT d AS program, line, rule_id, subject FROM x JOIN r USING (n) WHERE {holds}", [f"({n}, '{rule}', '{s}', {k})" for k, (rule, n, s, _) in enumerate(found)], "n, rule_id, subject, k", source)
 
 
 @query(findings_sql(FINDINGS))
@@ -175,3 +175,28 @@ def chosen(column: int) -> str:
 def cobol_intervals(spark, d):
     f = program_rules.facts(*sources(spark, d))
     return intervals.intervals(f.edges, f.stmts, f.procedures, f.items, f.operands)
+
+
+#: Lines of programs whose paths matter, written as those above.
+PATHS: list[tuple[int, str, str]] = [
+    (n, c, "'       " + x.replace("'", "''") + "'") for n, c, x in (
+        (1, "true", "IDENTIFICATION DIVISION."), (2, "true", "PROGRAM-ID. PATHS."), (3, "true", "ENVIRONMENT DIVISION."), (4, "true", "INPUT-OUTPUT SECTION."), (5, "true", "FILE-CONTROL."),
+        (6, "true", "    SELECT F1 ASSIGN TO DD1 FILE STATUS IS FS1."), (7, "true", "DATA DIVISION."), (8, "true", "FILE SECTION."), (9, "true", "FD F1."), (10, "true", "01 R1 PIC X."),
+        (11, "true", "WORKING-STORAGE SECTION."), (13, "true", "01 FS1 PIC XX."), (14, "true", "01 SW PIC X."), (15, "true", "   88 DONE VALUE 'Y'."),
+        (16, "true", "    EXEC SQL DECLARE C1 CURSOR FOR SELECT A FROM T END-EXEC."), (20, "true", "PROCEDURE DIVISION."), (21, "true", "A-SECT SECTION."), (22, "true", "P-1."), (30, "true", "    READ F1"),
+        (31, "d % 2 = 0", "    IF FS1 = '00' CONTINUE END-IF"), (32, "true", "    WRITE R1"), (33, "true", "    IF FS1 = '00' CONTINUE END-IF"), (34, "true", "    PERFORM P-2 UNTIL DONE"),
+        (35, "d % 5 <> 0", "    EXEC SQL OPEN C1 END-EXEC"), (36, "d % 5 <> 0", "    EXEC SQL FETCH C1 INTO :SW END-EXEC"), (37, "d % 7 = 0", "    IF SQLCODE = 100 CONTINUE END-IF"),
+        (38, "d % 5 = 1", "    EXEC SQL OPEN C1 END-EXEC"), (39, "d % 5 IN (2, 3)", "    EXEC SQL CLOSE C1 END-EXEC"), (40, "true", "    CALL 'SUB1'"), (41, "d % 11 = 0", "    IF RETURN-CODE > 0 CONTINUE END-IF"),
+        (42, "d % 11 <> 0", "    DISPLAY RETURN-CODE"), (43, "true", "    GO TO P-9."), (60, "true", "P-2."), (61, "d % 3 = 0", "    MOVE 'Y' TO SW."), (62, "d % 3 <> 0", "    CONTINUE."), (63, "d % 4 = 0", "    EXIT."),
+        (70, "true", "B-SECT SECTION."), (71, "true", "P-9."), (72, "true", "    STOP RUN."),
+    )
+]
+PATH_FINDINGS = [
+    ("R012", 34, "DONE", "d % 3 <> 0"), ("R014", 61, "A-SECT", "d % 4 <> 0"), ("R014", 62, "A-SECT", "d % 4 <> 0"), ("R017", 30, "READ F1", "d % 2 = 1"), ("R018", 36, "FETCH", "d % 7 <> 0"),
+    ("R019", 35, "C1", "d % 5 IN (1, 4)"), ("R029", 40, "SUB1", "d % 11 <> 0"), ("R055", 16, "C1:never opened", "d % 5 = 0"), ("R055", 38, "C1:second open", "true"),
+]
+
+
+@query(findings_sql(PATH_FINDINGS, PATHS))
+def cobol_path_findings(spark, d):
+    return path_rules.path_rules(program_rules.facts(programs(spark, d, PATHS), "doc_id", "text"))

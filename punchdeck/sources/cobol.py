@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punchdeck.operators.graph import dealt
+
 # Words that begin a statement.
 VERBS = (
     "ACCEPT", "ADD", "ALTER", "CALL", "CANCEL", "CLOSE", "COMPUTE", "CONTINUE", "COPY", "DELETE", "DISPLAY", "DIVIDE", "ENTRY", "EVALUATE", "EXIT", "GENERATE", "GO", "GOBACK", "IF",
@@ -52,12 +54,15 @@ def _area(text: Column) -> Column:
     lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n", -1)
     mark = lambda x: F.substring(x, 7, 1)
 
-    def one(x: Column, i: Column) -> Column:
-        body, goes_on = F.substring(x, 8, 65), mark(F.get(lines, i + 1)) == "-"
-        body = F.when(goes_on, F.rpad(body, 65, " ")).otherwise(F.rtrim(body))
+    def one(pair: Column) -> Column:
+        x = pair["x"]
+        body = F.substring(x, 8, 65)
+        body = F.when(mark(pair["behind"]) == "-", F.rpad(body, 65, " ")).otherwise(F.rtrim(body))
         return F.when((F.length(x) < 8) | mark(x).isin("*", "/", "D", "d"), NEW).when(mark(x) == "-", F.concat(F.lit(MORE), F.ltrim(body))).otherwise(F.concat(F.lit(NEW), body))
 
-    return F.array_join(F.transform(lines, one), "")
+    # each line beside the next, so that nothing is looked up in the whole text for each line
+    pairs = F.arrays_zip(lines.alias("x"), F.concat(F.slice(lines, F.lit(2), F.size(lines)), F.array(F.lit(""))).alias("behind"))
+    return F.array_join(F.transform(pairs, one), "")
 
 
 def by_program() -> Window:
@@ -67,7 +72,8 @@ def by_program() -> Window:
 def tokens(sources: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(program, pos, line, token, word, division)``; ``word`` is the token in upper case. Sources are dealt out before they
     are taken apart, so the windows of a program need no exchange of tokens."""
-    rows = sources.select(F.col(id_column).alias("program"), _area(F.col(text_column)).alias("area")).repartition("program")
+    rows = sources.select(F.col(id_column).alias("program"), F.col(text_column).alias("text"))
+    rows = dealt(rows, "program").select("program", _area(F.col("text")).alias("area"))
     rows = rows.select("program", F.posexplode(F.regexp_extract_all("area", F.lit(f"({TOKEN})"), F.lit(1))).alias("pos", "token"))
     marks = F.length("token") - F.length(F.translate("token", NEW + MORE, ""))
     rows = rows.withColumn("line", F.sum(marks).over(by_program().rowsBetween(Window.unboundedPreceding, -1)).cast("int"))
@@ -91,6 +97,28 @@ def _after(words: Column, *names: str, skip: tuple[str, ...] = ("IS", "ARE")) ->
     return out
 
 
+def _entries(tokens: DataFrame, division: str) -> DataFrame:
+    """``(program, entry, line, w)``: the words up to each period of a division."""
+    rows = tokens.filter(F.col("division") == division).withColumn("entry", F.count_if(F.col("word") == ".").over(by_program().rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.filter("word <> '.'").groupBy("program", "entry").agg(F.min("line").alias("line"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("w"))
+
+
+def files(tokens: DataFrame) -> DataFrame:
+    """``(program, line, file, assign, status)``: the SELECTs of FILE-CONTROL."""
+    w = F.col("w")
+    rows = _entries(tokens, "ENVIRONMENT").filter(F.array_contains("w", "SELECT")).withColumn("w", F.slice("w", F.array_position("w", "SELECT").cast("int"), F.size("w")))
+    name = F.when(w[1] == "OPTIONAL", F.get(w, F.lit(2))).otherwise(F.get(w, F.lit(1)))
+    return rows.select("program", "line", name.alias("file"), _after(w, "ASSIGN", skip=("TO",)).alias("assign"), _after(w, "STATUS").alias("status"))
+
+
+def records(tokens: DataFrame) -> DataFrame:
+    """``(program, file, record)``: the records under each FD and SD."""
+    rows = _entries(tokens, "DATA").withColumns({"head": F.col("w")[0], "name": F.get("w", F.lit(1))})
+    w = Window.partitionBy("program").orderBy("entry")
+    rows = rows.withColumn("file", F.last(F.when(F.col("head").isin("FD", "SD"), F.col("name")).when(F.col("name") == "SECTION", F.lit("")), ignorenulls=True).over(w))
+    return rows.filter("head in ('1', '01') and file <> ''").select("program", "file", F.col("name").alias("record"))
+
+
 def data_items(tokens: DataFrame) -> DataFrame:
     """``(program, idx, line, section, level, name, picture, usage, occurs, redefines, value, signed_apart)``, ``idx`` from 1 in source order.
 
@@ -251,4 +279,4 @@ def statements(tokens: DataFrame) -> DataFrame:
     )
     rows = rows.filter("sentence > 0").withColumn("event", event).select("program", "pos", "line", "token", "word", "proc", "sentence", "event")
     key = rows.schema["program"].dataType.simpleString()
-    return rows.groupBy("program").applyInPandas(_nest, f"program {key}, {STATEMENT}")
+    return dealt(rows, "program").groupBy("program").applyInPandas(_nest, f"program {key}, {STATEMENT}")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punchdeck.operators.graph import cut
+from punchdeck.operators.graph import cut, dealt
 
 DIRECTIVE = r"(?i)^\s*(?:--\s*#?\s*SET\s+)?TERMINATOR\s+(\S)\s*$"
 #: Stands in place of a directive's line, with the terminator behind it.
@@ -33,15 +33,17 @@ def _numbered(line: Column) -> Column:
 def _prepared(text: Column) -> Column:
     lines = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1), lambda x: F.struct(x.alias("x"), _numbered(x).alias("n")))
     cards = F.size(F.filter(lines, lambda x: x["n"] > 0)) * 2 > F.size(F.filter(lines, lambda x: F.trim(x["x"]) != ""))
-    body = lambda x: F.when(cards & (x["n"] > 0), F.rpad(F.substring(x["x"], F.lit(1), F.length(x["x"]) - x["n"]), F.length(x["x"]), " ")).otherwise(x["x"])
+    bare = lambda x: F.when(x["n"] > 0, F.rpad(F.substring(x["x"], F.lit(1), F.length(x["x"]) - x["n"]), F.length(x["x"]), " ")).otherwise(x["x"])
     marked = lambda x: F.when(x.rlike(DIRECTIVE), F.rpad(F.concat(F.lit(MARK), F.regexp_extract(x, DIRECTIVE, 1)), F.length(x), " ")).otherwise(x)
-    return F.array_join(F.transform(lines, lambda x: marked(body(x))), "\n")
+    # asked once for the text, not for each line
+    return F.array_join(F.when(cards, F.transform(lines, lambda x: marked(bare(x)))).otherwise(F.transform(lines, lambda x: marked(x["x"]))), "\n")
 
 
 def tokens(scripts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(script, pos, at, line, col, token, word, says, term, depth)`` in order: ``at`` is the place of the first character, ``says`` whether
     it is more than blanks and comments, ``depth`` how many compound statements are open behind it."""
-    rows = scripts.select(F.col(id_column).alias("script"), _prepared(F.col(text_column)).alias("text")).repartition("script")
+    rows = scripts.select(F.col(id_column).alias("script"), F.col(text_column).alias("text"))
+    rows = dealt(rows, "script").select("script", _prepared(F.col("text")).alias("text"))
     rows = rows.select("script", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("pos", "token"))
     w = Window.partitionBy("script").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from punchdeck.operators import control, flow, intervals, operands, program_rules, sqlscope
+from punchdeck.operators import flow, intervals, operands, path_rules, program_rules, sqlscope
 from punchdeck.sources import cobol, scripts
 
 DEMO = """       IDENTIFICATION DIVISION.
@@ -177,3 +177,60 @@ def test_scopes(spark):
     assert {(r.stmt, r.reason) for r in sqlscope.non_sargable(t).collect()} == {(3, "function"), (3, "arithmetic"), (3, "pattern"), (10, "function")}
     found = {(r.stmt, r.name): r.table for r in sqlscope.resolved(sqlscope.columns(t), sqlscope.levels(t), sqlscope.with_declarations(sqlscope.sources(t), sqlscope.declared(stmts))).collect()}
     assert found[4, "Y"] == "U" and found[4, "A"] == "S.T" and found[7, "Y"] == "U" and found[7, "B"] == "S.T" and found[6, "K"] is None
+
+
+ORDERED = """       IDENTIFICATION DIVISION.
+       PROGRAM-ID. X.
+       ENVIRONMENT DIVISION.
+       INPUT-OUTPUT SECTION.
+       FILE-CONTROL.
+           SELECT F1 ASSIGN TO DD1 FILE STATUS IS FS1.
+           SELECT F2 ASSIGN DD2 STATUS FS2.
+       DATA DIVISION.
+       FILE SECTION.
+       FD F1.
+       01 R1 PIC X.
+       FD F2.
+       01 R2 PIC X.
+       WORKING-STORAGE SECTION.
+       01 FS1 PIC XX.
+       01 FS2 PIC XX.
+          88 FS2-OK VALUE '00'.
+       01 SW PIC X.
+          88 DONE VALUE 'Y'.
+       EXEC SQL DECLARE C1 CURSOR FOR SELECT A FROM T END-EXEC.
+       EXEC SQL DECLARE C2 CURSOR FOR SELECT A FROM T END-EXEC.
+       PROCEDURE DIVISION.
+       A-SECT SECTION.
+       P-1.
+           READ F1
+           READ F1
+           IF FS1 = '00' DISPLAY SW.
+           WRITE R2
+           IF FS2-OK CONTINUE.
+           PERFORM P-2 UNTIL DONE.
+           PERFORM P-3 UNTIL DONE.
+           EXEC SQL OPEN C1 END-EXEC
+           EXEC SQL FETCH C1 INTO :SW END-EXEC
+           IF SQLCODE = 100 CONTINUE.
+           EXEC SQL OPEN C1 END-EXEC
+           EXEC SQL UPDATE T SET A = 1 END-EXEC.
+           EXEC SQL ROLLBACK END-EXEC.
+           EXEC SQL FETCH C1 INTO :SW END-EXEC
+           CALL 'SUB1'
+           CALL 'SUB2' IF RETURN-CODE > 0 CONTINUE.
+       P-2. PERFORM P-4.
+       P-3. CONTINUE.
+       P-4. MOVE 'Y' TO SW.
+       B-SECT SECTION.
+       P-5. STOP RUN.
+"""
+
+
+def test_path_rules(spark):
+    f = program_rules.facts(spark.createDataFrame([(1, ORDERED), (2, "")], "id int, text string"), "id", "text")
+    found = {(r.program, r.rule_id, r.line, r.subject) for r in path_rules.path_rules(f).collect()}
+    assert found == {
+        (1, "R012", 31, "DONE"), (1, "R014", 43, "A-SECT"), (1, "R017", 25, "READ F1"), (1, "R018", 36, "UPDATE"), (1, "R018", 38, "FETCH"), (1, "R019", 32, "C1"), (1, "R029", 39, "SUB1"),
+        (1, "R055", 21, "C2:never opened"), (1, "R055", 35, "C1:second open"), (1, "R055", 38, "C1:fetch after rollback"),
+    }
