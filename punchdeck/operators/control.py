@@ -26,9 +26,12 @@ ENTRY, EXIT = 0, -1
 
 
 def ends_program() -> Column:
-    verb, text = F.col("verb"), F.upper("text")
-    leaves = text.rlike(r"(?s)^\s*EXEC\s+CICS\s+(RETURN|XCTL)\b") & ~text.rlike(r"(?s)(?<![\p{L}\p{N}-])(RESP2?\s*\(|NOHANDLE(?![\p{L}\p{N}-]))")
-    return verb.isin("STOP", "GOBACK") | ((verb == "EXIT") & F.array_contains("words", "PROGRAM")) | ((verb == "EXEC CICS") & leaves)
+    verb = F.col("verb")
+    # EXEC CICS, the command, its options
+    options = F.regexp_extract_all(F.upper("text"), F.lit(r"[\p{L}\p{N}-]+"), F.lit(0))
+    comes_back = F.arrays_overlap(options, F.array(*map(F.lit, ("RESP", "RESP2", "NOHANDLE"))))
+    leaves = F.get(options, F.lit(2)).isin("RETURN", "XCTL") & ~comes_back
+    return verb.isin("STOP", "GOBACK") | ((verb == "EXIT") & F.array_contains("words", "PROGRAM")) | ((verb == "EXEC CICS") & F.coalesce(leaves, F.lit(False)))
 
 
 def repeats() -> Column:

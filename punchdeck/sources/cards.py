@@ -19,7 +19,9 @@ SQL_RUNNERS = ("DSNTEP2", "DSNTEP4", "DSNTIAUL", "DSNTIAD")
 SORT_READ, SORT_WRITE = r"^(SORTIN(\d\d)?|SORTJNF[12])$", r"^(SORTOUT|SORTOF\d\d)$"
 COPY_READ, COPY_WRITE = r"^SYSUT1$", r"^SYSUT2$"
 DD_NAME = r"([A-Z0-9@#$]+)"
-DEFINED = r"(?i)^DEF(INE)?\s+(CLUSTER|GDG|GENERATIONDATAGROUP|AIX|ALTERNATEINDEX|PATH|ALIAS|NONVSAM|PAGESPACE|USERCATALOG)\b"
+# What DEFINE makes, with the short forms.
+OBJECTS = ("CLUSTER", "GENERATIONDATAGROUP", "GDG", "ALTERNATEINDEX", "AIX", "PATH", "ALIAS", "NONVSAM", "PAGESPACE", "USERCATALOG")
+DEFINED = rf"(?i)^DEF(INE)?\s+({'|'.join(OBJECTS)})\b"
 DB2_VERBS = {"LOAD": "WRITE", "UNLOAD": "READ", "REORG": "UPDATE", "RUNSTATS": "READ", "COPY": "READ", "REPORT": "READ", "CHECK": "READ", "RECOVER": "UNKNOWN", "REBUILD": "UNKNOWN", "MODIFY": "UNKNOWN", "QUIESCE": "UNKNOWN", "STOSPACE": "UNKNOWN"}
 CSD_COMMANDS = "ADD|ALTER|APPEND|COPY|DEFINE|DEF|DELETE|EXTRACT|INITIALIZE|LIST|MIGRATE|PROCESS|REMOVE|SCAN|SERVICE|UPGRADE|USERDEFINE|VERIFY"
 REQUIRED = {  # message, control and data DDs that a utility opens; a list holds alternatives

@@ -14,13 +14,22 @@ from pyspark.sql import functions as F
 
 from punchdeck.operators.graph import cut, dealt
 
-DIRECTIVE = r"(?i)^\s*(?:--\s*#?\s*SET\s+)?TERMINATOR\s+(\S)\s*$"
 #: Stands in place of a directive's line, with the terminator behind it.
 MARK = "\x02"
 TOKEN = rf"({MARK}(?s:.)|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)|'(?:[^']++|'')*+'?|\"(?:[^\"]++|\"\")*+\"?|\n|[^\S\n]+|[\p{{L}}_][\p{{L}}\p{{N}}_]*|\p{{N}}[\p{{L}}\p{{N}}_]*|(?s:.))"
 SUFFIXES = ("IF", "WHILE", "FOR", "LOOP", "REPEAT", "CASE")
 
 
+def directive(line: Column) -> Column:
+    """The terminator that a line names: ``TERMINATOR x`` alone, or behind SET in a comment; else null."""
+    said = F.upper(F.trim(line))
+    words = F.filter(F.split(F.regexp_replace(F.ltrim(F.regexp_replace(said, "^--", "")), "^#", ""), r"\s+"), lambda w: w != "")
+    head = F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")
+    wanted = F.when(said.startswith("--"), "SET TERMINATOR").otherwise("TERMINATOR")
+    sign = F.element_at(F.split(F.trim(line), r"\s+"), -1)
+    return F.when((F.size(words) > 1) & (head == wanted) & (F.length(sign) == 1), sign)
+
+
 def _numbered(line: Column) -> Column:
     """How many digits a card image ends in, 0 for other lines; a wide character over column 72 belongs to the content."""
     size = F.octet_length(line)
@@ -34,7 +43,7 @@ def _prepared(text: Column) -> Column:
     lines = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1), lambda x: F.struct(x.alias("x"), _numbered(x).alias("n")))
     cards = F.size(F.filter(lines, lambda x: x["n"] > 0)) * 2 > F.size(F.filter(lines, lambda x: F.trim(x["x"]) != ""))
     bare = lambda x: F.when(x["n"] > 0, F.rpad(F.substring(x["x"], F.lit(1), F.length(x["x"]) - x["n"]), F.length(x["x"]), " ")).otherwise(x["x"])
-    marked = lambda x: F.when(x.rlike(DIRECTIVE), F.rpad(F.concat(F.lit(MARK), F.regexp_extract(x, DIRECTIVE, 1)), F.length(x), " ")).otherwise(x)
+    marked = lambda x: F.when(directive(x).isNotNull(), F.rpad(F.concat(F.lit(MARK), directive(x)), F.length(x), " ")).otherwise(x)
     # asked once for the text, not for each line
     return F.array_join(F.when(cards, F.transform(lines, lambda x: marked(bare(x)))).otherwise(F.transform(lines, lambda x: marked(x["x"]))), "\n")
 
