@@ -35,7 +35,7 @@ def in_scope(findings: DataFrame, files: DataFrame, members: DataFrame) -> DataF
 def catalogue(rules: DataFrame, overrides: DataFrame) -> DataFrame:
     """``rules(rule_id, enabled, severity, …)`` with the overrides' ``enabled`` and ``severity`` where they state them."""
     o = overrides.select("rule_id", F.col("enabled").alias("e_"), F.col("severity").alias("s_"))
-    return rules.join(F.broadcast(o), "rule_id", "left").withColumns({"enabled": F.coalesce("e_", "enabled"), "severity": F.coalesce("s_", "severity")}).drop("e_", "s_")
+    return rules.join(o, "rule_id", "left").withColumns({"enabled": F.coalesce("e_", "enabled"), "severity": F.coalesce("s_", "severity")}).drop("e_", "s_")
 
 
 def for_command(rules: DataFrame, command: str) -> DataFrame:
@@ -46,7 +46,7 @@ def for_command(rules: DataFrame, command: str) -> DataFrame:
 
 def on_target(findings: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings in SQL scripts and Easytrieve sources stay only if their rule targets that kind."""
-    met = findings.join(sources.select(F.col("path").alias("file"), F.col("kind").alias("k_")), "file", "left").join(F.broadcast(rules.select("rule_id", "targets")), "rule_id", "left")
+    met = findings.join(sources.select(F.col("path").alias("file"), F.col("kind").alias("k_")), "file", "left").join(rules.select("rule_id", "targets"), "rule_id", "left")
     asked = F.coalesce(F.col("k_").isin("SQL_SCRIPT", "EASYTRIEVE"), F.lit(False))
     return met.filter(~asked | F.coalesce(F.array_contains("targets", F.col("k_")), F.lit(False))).select(*findings.columns)
 
@@ -58,7 +58,7 @@ def matching(rules: DataFrame, text: str) -> DataFrame:
 
 def with_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds the rule's ``name`` and ``severity``; for an unknown rule the finding's level stands for its severity."""
-    met = findings.join(F.broadcast(rules.select("rule_id", "name", F.col("severity").alias("s_"))), "rule_id", "left")
+    met = findings.join(rules.select("rule_id", "name", F.col("severity").alias("s_")), "rule_id", "left")
     back = F.when(F.col("level") == "error", "HIGH").when(F.col("level") == "warning", "MEDIUM").otherwise("LOW")
     return met.withColumn("severity", F.coalesce("s_", back)).drop("s_")
 

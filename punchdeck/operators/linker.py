@@ -47,7 +47,7 @@ def step_edges(steps: DataFrame, programs: DataFrame, utilities: DataFrame) -> D
     target = F.upper("target")
     util = utilities.select(F.upper("name").alias("name"), F.lit(True).alias("util")).distinct()
     prog = programs.select(F.upper("name").alias("name"), F.lit(True).alias("known")).distinct()
-    met = steps.withColumn("name", target).join(F.broadcast(util), "name", "left").join(prog, "name", "left")
+    met = steps.withColumn("name", target).join(util, "name", "left").join(prog, "name", "left")
     to = F.when(F.col("util"), node("UTILITY", "name")).otherwise(node("PROGRAM", "name"))
     return _edges(met, node("STEP", F.concat("job", F.lit("."), "step")), to, "EXECUTION", _known(F.coalesce("util", "known", F.lit(False))))
 

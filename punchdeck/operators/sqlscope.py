@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punchdeck.functions.columns import crud, statement_kind
 from punchdeck.operators.graph import dealt
 
 TOKEN = r"""(--[^\n]*|/\*(?s:.*?)(?:\*/|\z)|'(?:[^']++|'')*+'?|"(?:[^"]++|"")*+"?|:\s*[\p{L}_][\p{L}\p{N}_.-]*|\p{N}[\p{L}\p{N}_]*|[\p{L}_@#$][\p{L}\p{N}_@#$]*|<>|<=|>=|!=|\^=|\|\||[^\s])"""
@@ -168,6 +169,38 @@ def undeclared_columns(stmts: DataFrame, variables: DataFrame | None = None) ->
     return found.groupBy("stmt").agg(F.array_join(F.array_sort(F.collect_set(place)), ", ").alias("places"))
 
 
+def table_access(stmts: DataFrame) -> DataFrame:
+    """``(stmt, table, letters)``: what a statement does to each table, in the order R C U D; ``?`` for what a dynamic statement does.
+
+    The table that INSERT, UPDATE, DELETE, MERGE, LOCK and TRUNCATE name first is written, others are read; a table may be both. A MERGE writes
+    what its branches say, an EXCLUSIVE lock counts as a change and a SHARE lock as a read.
+    """
+    said = stmts.withColumn("kind", statement_kind(F.col("text")))
+    rows = tokens(stmts)
+    found = sources(rows).filter("name is not null").drop("target")
+    # where each source stands: the target is the first of the outermost block
+    w = Window.partitionBy("stmt").orderBy("pos")
+    order = rows.withColumns({"before": F.lag("word").over(w), "b2": F.lag("word", 2).over(w)}).filter("block = 0 and own and arm = 0")
+    first = order.filter(F.col("before").isin("INTO", "UPDATE") | ((F.col("before") == "FROM") & (F.col("b2") == "DELETE"))).groupBy("stmt").agg(F.min_by("word", "pos").alias("head"), F.min("pos").alias("pos"))
+    dotted = order.join(first.select("stmt", F.col("pos").alias("from_pos"), "head"), "stmt").filter(F.col("pos") == F.col("from_pos") + 2).withColumn("dot", F.col("before") == ".")
+    target = first.join(dotted.select("stmt", "dot", F.col("word").alias("tail")), "stmt", "left").select("stmt", F.when(F.coalesce("dot", F.lit(False)), F.concat("head", F.lit("."), "tail")).otherwise(F.col("head")).alias("target"))
+    branch = rows.filter("own and block = 0").withColumn("before", F.lag("word").over(w)).filter("before = 'THEN'").groupBy("stmt").agg(F.collect_set("word").alias("branches"))
+    rows = found.join(said.select("stmt", "kind"), "stmt").join(target, "stmt", "left").join(branch, "stmt", "left")
+    merged = F.array(*(F.when(F.array_contains("branches", word), letter) for word, letter in (("INSERT", "C"), ("UPDATE", "U"), ("DELETE", "D"))))
+    merged = F.when(F.size(F.array_compact(merged)) > 0, F.array_compact(merged)).otherwise(F.array(F.lit("C"), F.lit("U")))
+    write = F.when(F.col("kind") == "INSERT", F.array(F.lit("C"))).when(F.col("kind") == "UPDATE", F.array(F.lit("U"))).when(F.col("kind") == "DELETE", F.array(F.lit("D"))).when(F.col("kind") == "MERGE", merged)
+    # one row a place that names the table: the first of the target is the write
+    nth = F.row_number().over(Window.partitionBy("stmt", "name").orderBy("block", "arm"))
+    rows = rows.withColumn("letters", F.when((F.col("name") == F.col("target")) & (nth == 1) & write.isNotNull(), write).otherwise(F.array(F.lit("R")))).select("stmt", F.col("name").alias("table"), F.explode("letters").alias("letter"))
+    plain = F.upper(F.regexp_replace(F.trim("text"), r"\s+", " "))
+    whole = r"^(LOCK TABLE|TRUNCATE TABLE|TRUNCATE) ([^ ;]+)"
+    letter = F.when(~plain.startswith("LOCK"), "D").when(plain.contains(" EXCLUSIVE "), "U").otherwise("R")
+    locks = said.filter(plain.rlike(whole)).select("stmt", F.regexp_extract(plain, whole, 2), letter)
+    dynamic = said.filter("kind in ('PREPARE', 'EXECUTE', 'EXECUTE_IMMEDIATE')").select("stmt", F.lit("?"), F.lit("?"))
+    every = rows.union(locks).union(dynamic).groupBy("stmt", "table").agg(F.collect_set("letter").alias("l"))
+    return every.select("stmt", "table", F.when(F.array_contains("l", "?"), "?").otherwise(crud(F.col("l"))).alias("letters"))
+
+
 def own_blocks(tokens: DataFrame) -> DataFrame:
     """Tokens of the blocks that the statement is itself: not those of predicates, sources or WITH."""
     w = Window.partitionBy("stmt").orderBy("pos")

@@ -105,3 +105,22 @@ def sql_findings(spark, d):
     star = sqlscope.select_star(rows).select("stmt", F.lit("S001").alias("rule_id"), F.lit("*").alias("detail"))
     slow = sqlscope.non_sargable(rows).select("stmt", F.lit("S002"), "reason")
     return star.union(slow).union(sqlscope.undeclared_columns(stmts, held).select("stmt", F.lit("R057"), "places"))
+
+
+#: One statement a document, by its id: text, and what it does to A and to S.B.
+ACCESS = [
+    ("MERGE INTO A USING S.B X ON A.K = X.K WHEN MATCHED THEN UPDATE SET V = X.V", "U", "R"), ("MERGE INTO A USING S.B X ON A.K = X.K WHEN MATCHED THEN DELETE WHEN NOT MATCHED THEN INSERT (K) VALUES (X.K)", "CD", "R"),
+    ("LOCK TABLE A IN EXCLUSIVE MODE", "U", None), ("LOCK TABLE S.B IN SHARE MODE", None, "R"), ("INSERT INTO A (K) SELECT K FROM S.B", "C", "R"), ("TRUNCATE TABLE S.B", None, "D"),
+    ("UPDATE S.B SET V = (SELECT MAX(V) FROM A WHERE A.K = 1) WHERE K IN (SELECT K FROM S.B)", "R", "RU"), ("DELETE FROM A WHERE NOT EXISTS (SELECT 1 FROM S.B, A Z WHERE Z.K = 2)", "RD", "R"),
+    ("SELECT K FROM A UNION SELECT K FROM S.B", "R", "R"), ("DECLARE C CURSOR FOR SELECT K FROM A", "R", None),
+]
+
+
+def chosen_access(column: int) -> str:
+    return f"CASE d % {len(ACCESS)} " + " ".join(f"WHEN {k} THEN {repr(a[column]) if a[column] else 'NULL'}" for k, a in enumerate(ACCESS)) + " END"
+
+
+@query(f"""SELECT stmt, "table", letters FROM (SELECT d AS stmt, 'A' AS "table", {chosen_access(1)} AS letters FROM {DOCS} UNION ALL SELECT d, 'S.B', {chosen_access(2)} FROM {DOCS}) WHERE letters IS NOT NULL""")
+def sql_access(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("stmt"), F.col("doc_id").alias("d"))
+    return sqlscope.table_access(docs.select("stmt", F.expr(chosen_access(0)).alias("text")))
