@@ -9,10 +9,6 @@ from punchdeck.functions import columns as C
 from punchdeck.operators import incremental
 
 
-def of_kinds(sources: DataFrame, kinds: list[str]) -> DataFrame:
-    return sources.filter(F.col("kind").isin(*kinds))
-
-
 def missing_scopes(paths: DataFrame, scopes: DataFrame) -> DataFrame:
     """``scopes(scope)`` that no path is equal to or below."""
     p, s = incremental.normal_path(F.col("path")), incremental.normal_path(F.col("scope"))

@@ -25,7 +25,7 @@ def with_ancestors(items: DataFrame) -> DataFrame:
     return rows.withColumn("ancestors", F.transform(still, lambda x: x["idx"])).drop("last", "depth")
 
 
-def with_parents(items: DataFrame, most: int = 49) -> DataFrame:
+def with_parents(items: DataFrame) -> DataFrame:
     """Adds ``parent``, the ``idx`` of the group an item belongs to: the nearest earlier item of a smaller level.
 
     The last item of each level is carried along the source; the nearest of those that no smaller level has closed.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punchdeck.operators.graph import cut
+
 
 def before(owner: str, *order: str):
     return Window.partitionBy(owner).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -40,6 +42,11 @@ def last_of(rows: DataFrame, owner: str, order: str, at_least: int) -> DataFrame
     return ranked.filter((F.col("back_") == 1) & (F.col("size_") >= at_least)).drop("back_", "size_")
 
 
-def capped(rows: DataFrame, owner: str, most: int, *order: str) -> DataFrame:
-    """A report's first ``most`` rows of each owner."""
-    return rows.withColumn("n_", F.row_number().over(Window.partitionBy(owner).orderBy(*order))).filter(F.col("n_") <= most).drop("n_")
+def placed(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """``name``: the place of each row in the order of all, from 1. Rows are dealt out by ranges and numbered within them, so no task holds all;
+    what lies before a range is a sum over as many rows as there are ranges."""
+    laid = cut(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    before_ = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = laid.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", before_.alias("before_"))
+    numbered_ = laid.withColumn("nth_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
+    return numbered_.join(sizes, "part_").withColumn(name, F.col("before_") + F.col("nth_")).drop("part_", "before_", "nth_")

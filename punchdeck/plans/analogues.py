@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from punchdeck.functions import columns as C
-from punchdeck.operators import graph, incremental, lines, sequence
+from punchdeck.operators import graph, incremental, lines, ranges, sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,12 +151,12 @@ def positional_match(spark, d):
     return a.join(b, ["k", "pos"], "full").filter("given is null or asked is null").select("k", "pos", F.col("given").isNull().alias("missing"))
 
 
-@query("SELECT event_id, low FROM events JOIN (SELECT unnest(range(0, 50)) * 20 AS low) ON value >= low AND value < low + 20")
+@query("SELECT event_id, (floor(value / 20) * 20)::BIGINT AS low FROM events WHERE value IS NOT NULL")
 def range_join_linemap(spark, d):
-    """A range join on equal bands is an equi-join on the band's number."""
-    bands = spark.range(50).select((F.col("id") * 20).alias("low"))
-    e = t(spark, d, "events").filter("value is not null").withColumn("band", F.floor(F.col("value") / 20) * 20)
-    return e.join(F.broadcast(bands), F.col("band") == F.col("low")).select("event_id", "low")
+    """All events with the range of values that holds theirs; a range's end is the next one's start."""
+    e = t(spark, d, "events").filter("value is not null").select("event_id", "value", F.lit(0).alias("one"))
+    bands = e.select("one", (F.floor(F.col("value") / 20) * 20).alias("low")).distinct().withColumn("high", F.col("low") + 20)
+    return ranges.within(e, bands, ["one"], "value", "low", "high").filter("value < high").select("event_id", "low")
 
 
 @query("SELECT p_partkey, max(length(prefix))::INT AS long FROM part JOIN (VALUES ('a'), ('al'), ('b'), ('P'), ('Part'), ('s')) x(prefix) ON starts_with(p_name, prefix) GROUP BY 1")
@@ -237,12 +237,10 @@ def trace_paths(spark, d):
     return graph.traces(e, r.select("id"), 2).select(F.array_join("path", "/").alias("path"))
 
 
-@query("SELECT doc_id, source, quality, row_number() OVER (ORDER BY source, quality DESC, doc_id)::INT AS place FROM documents JOIN labels USING (doc_id) QUALIFY row_number() OVER (ORDER BY source, quality DESC, doc_id) <= 50")
+@query("SELECT doc_id, source, quality, row_number() OVER (ORDER BY source, quality DESC, doc_id) AS place FROM documents JOIN labels USING (doc_id)")
 def finding_sort(spark, d):
-    """A top-k report."""
     j = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    top = j.orderBy("source", F.desc("quality"), "doc_id").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("source", F.desc("quality"), "doc_id")))
+    return sequence.placed(j, F.col("source"), F.desc("quality"), F.col("doc_id"))
 
 
 @query("SELECT doc_id, lang, source FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND lang IN ('en', 'de') AND contains(lower(lang || ' ' || source), 'src1')")
