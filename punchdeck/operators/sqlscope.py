@@ -254,3 +254,18 @@ def unjoined(tokens: DataFrame) -> DataFrame:
     """R080: ``(stmt, block, arm)`` of SELECTs whose FROM lists tables with nothing to join them: no WHERE, JOIN or ON in that block."""
     own = tokens.filter("own").groupBy("stmt", "block", "arm").agg(F.collect_set("word").alias("words"), F.max((F.col("clause") == "FROM") & (F.col("token") == ",")).alias("listed"))
     return own.filter(F.col("listed") & F.array_contains("words", "SELECT") & ~F.arrays_overlap("words", F.array(*map(F.lit, ("WHERE", "JOIN", "ON"))))).select("stmt", "block", "arm")
+
+
+def function_on_column(tokens: DataFrame) -> DataFrame:
+    """``(stmt, at, side)`` of comparisons in WHERE and ON of which a side is a function or CAST over a column; ``side`` is left or right, left first."""
+    p = predicates(tokens).filter(F.col("op") != "LIKE")
+    depth = lambda side: F.aggregate(side, F.lit(0), lambda n, x: n + F.when(x["token"] == "(", 1).when(x["token"] == ")", -1).otherwise(0))
+    open_ = F.greatest(depth(F.col("left")), F.lit(0))
+    p = p.withColumn("l", F.slice("left", open_ + 1, F.size("left")))
+
+    def called(side: Column) -> Column:
+        name = F.get(side, F.lit(0))
+        return F.coalesce(name["token"].rlike(r"^[\p{L}_]") & (name["word"] != "CASE") & (F.get(side, F.lit(1))["token"] == "(") & _holds_column(F.slice(side, 3, F.size(side))), F.lit(False))
+
+    side = F.when(called(F.col("l")), "left").when(called(F.col("right")), "right")
+    return p.withColumn("side", side).filter("side is not null").select("stmt", "at", "side")
