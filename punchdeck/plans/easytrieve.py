@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punchdeck.operators import easytrieve as ops
+from punchdeck.operators.graph import cut
 from punchdeck.plans.analogues import Query, t
-from punchdeck.sources import easytrieve
+from punchdeck.sources import copybooks, easytrieve, jcl
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +115,43 @@ def ezt_findings(spark, d):
 @query(f"SELECT d AS program, ({BASE} + 25)::INT AS line, 'CALL' AS verb, 'SUB' || d % 9 AS target, true AS literal FROM {DOCS}")
 def ezt_calls(spark, d):
     return ops.calls(read(spark, d)[0])
+
+
+#: A job for each document that compiles and runs a program in its SYSIN.
+JCL = [
+    "concat('//J', d, ' JOB')", "'//S1 EXEC PGM=EZTPA00'", "CASE WHEN d % 3 = 0 THEN '//*' ELSE '//SALES DD DSN=A.B,DISP=SHR' END", "'//OUT DD SYSOUT=*'", "'//SYSIN DD *'", "'FILE SALES FB(80 800)'", "'FILE OUT'", "'FILE SPARE'", "'FILE W VIRTUAL'",
+    "'JOB INPUT SALES'", "CASE WHEN d % 2 = 0 THEN ' GET SPARE' ELSE ' GET W' END", "' PUT OUT'", "'/*'", "'//S2 EXEC PGM=EZTPA00'", "'//SYSIN DD DSN=MY.SOURCE'",
+]
+
+
+def jobs(spark: SparkSession, d: str) -> DataFrame:
+    """``(path, text)``: the jobs; the document's text is what comments of the program hold."""
+    notes = r"concat('* ', regexp_replace(coalesce(text, ''), '\r\n|\r|\n|\u0085', '\n* '))"
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("d"), "text")
+    return rows.select(F.col("d").cast("string").alias("path"), F.expr(f"concat_ws('\n', {', '.join(JCL[:5] + [notes] + JCL[5:])})").alias("text"))
+
+
+@query(f"""
+SELECT d || ':J' || d || '.S1' AS program, 'SALES' AS file, 'J' || d || '.S1' AS steps FROM {DOCS} WHERE d % 3 = 0
+UNION ALL SELECT d || ':J' || d || '.S1', 'SPARE', 'J' || d || '.S1' FROM {DOCS} WHERE d % 2 = 0""")
+def ezt_unallocated(spark, d):
+    _, steps, dds = jcl.facts(jcl.parse(jobs(spark, d)))
+    steps, dds = cut(steps), cut(dds)
+    held = easytrieve.under_steps(steps, dds)
+    rows = easytrieve.placed(easytrieve.expanded(held, "program", "text")[0])
+    files = ops.files(rows)
+    named = F.concat(F.col("file"), F.lit(":"), F.col("job"))
+    found = ops.unallocated(files, ops.file_uses(rows, files), steps.select(named.alias("job"), "step", F.concat_ws(".", named, "step").alias("program")), dds.filter("opens").select(named.alias("job"), "step", "dd"))
+    return found.select("program", "file", F.regexp_replace(F.array_join("steps", ", "), "[0-9]+:", "").alias("steps"))
+
+
+@query("""
+SELECT doc_id AS program, 'C' || k AS name,
+  CASE WHEN k >= 25 THEN NULL WHEN k >= 20 AND k % 2 = 0 THEN 'lib2/C' || k || '.COPY' ELSE 'lib' || (k % 2 + 1) || '/C' || k || CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN '.cpy' ELSE '.CPY' END END AS path
+FROM (SELECT doc_id, doc_id % 40 AS k FROM documents)""")
+def copybooks_resolved(spark, d):
+    nations = t(spark, d, "nation").selectExpr("concat('lib', n_nationkey % 2 + 1, '/C', n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.cpy' ELSE '.CPY' END) AS path")
+    more = t(spark, d, "region").selectExpr("explode(array(concat('lib2/C', r_regionkey + 20, '.COPY'), concat('other/C', r_regionkey + 30, '.cpy'), concat('lib2/deep/C', r_regionkey + 30, '.cpy'))) AS path")
+    folders = t(spark, d, "region").filter("r_regionkey < 2").selectExpr("concat('lib', 2 - r_regionkey, '/') AS folder", "r_regionkey AS rank")
+    uses = t(spark, d, "documents").selectExpr("doc_id AS program", "concat('C', doc_id % 40) AS name")
+    return copybooks.resolved(uses, copybooks.called(nations.union(more), folders)).select("program", "name", "path")

@@ -258,3 +258,18 @@ def placed(statements: DataFrame) -> DataFrame:
     rows = rows.withColumn("level", level.cast("int"))
     depth = F.when(key.isin(*OPENERS), F.col("level") - 1).when(key.isin(*BRANCHES), F.greatest(F.lit(0), F.col("level") - 1)).otherwise(F.col("level"))
     return rows.select("program", "n", "file", "line", "end_line", "words", "text", "keyword", "role", "activity", "proc", "proc_n", "report_n", F.when(executes, depth).otherwise(0).alias("depth"))
+
+
+# The program that compiles and runs what its SYSIN holds.
+COMPILES = ("EZTPA00",)
+
+
+def under_steps(steps: DataFrame, dds: DataFrame) -> DataFrame:
+    """``(program, file, job, step, line, text)``: sources in the SYSIN of steps of ``jcl.facts``, ``program`` being FILE:JOB.STEP and ``line`` that of
+    the first DD; data sets that are concatenated to it aren't read."""
+    mine = steps.filter((F.col("exec_kind") == "PGM") & F.col("target").isin(*COMPILES)).select("file", "step_no")
+    rows = dds.filter("dd = 'SYSIN' and size(instream) > 0").join(mine, ["file", "step_no"], "left_semi")
+    text = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "instream"))), lambda x: x["instream"])), "\n")
+    found = rows.groupBy("file", "step_no", "job", "step").agg(text.alias("text"), F.min("line").alias("line"))
+    name = F.concat(F.col("file").cast("string"), F.lit(":"), F.concat_ws(".", "job", "step"))
+    return found.select(name.alias("program"), "file", "job", "step", "line", "text")
