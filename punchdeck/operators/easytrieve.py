@@ -195,12 +195,11 @@ def unchecked_numbers(rows: DataFrame, files: DataFrame, fields: DataFrame) -> D
 
 
 def unallocated(files: DataFrame, uses: DataFrame, steps: DataFrame, dds: DataFrame) -> DataFrame:
-    """R099 ``(program, file, line, steps)``: used files for which steps that run the program - ``steps(job, step, program)``, ``dds(job, step, dd)`` -
-    have no DD."""
+    """R099 ``(program, file, line, job, step)``: used files and the steps that run the program - ``steps(job, step, program)``, ``dds(job, step, dd)`` -
+    without a DD for it. A row for each step: a program may be run by very many."""
     needs = files.filter(~F.col("organisation").isin(*NO_DD) & ~F.col("instream")).join(uses.select("program", "file"), ["program", "file"], "left_semi")
     run = needs.select("program", "file", "line", F.upper(F.col("program").cast("string")).alias("key")).join(steps.select("job", "step", F.upper("program").alias("key")).distinct(), "key")
-    met = run.join(dds.select("job", "step", F.upper("dd").alias("file")).distinct(), ["job", "step", "file"], "left_anti")
-    return met.groupBy("program", "file", "line").agg(F.sort_array(F.collect_set(F.concat_ws(".", "job", "step"))).alias("steps"))
+    return run.join(dds.select("job", "step", F.upper("dd").alias("file")).distinct(), ["job", "step", "file"], "left_anti").select("program", "file", "line", "job", "step")
 
 
 def findings(rows: DataFrame, macros: DataFrame) -> DataFrame:

@@ -132,8 +132,8 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT d || ':J' || d || '.S1' AS program, 'SALES' AS file, 'J' || d || '.S1' AS steps FROM {DOCS} WHERE d % 3 = 0
-UNION ALL SELECT d || ':J' || d || '.S1', 'SPARE', 'J' || d || '.S1' FROM {DOCS} WHERE d % 2 = 0""")
+SELECT d || ':J' || d || '.S1' AS program, 'SALES' AS file, 'J' || d AS job, 'S1' AS step FROM {DOCS} WHERE d % 3 = 0
+UNION ALL SELECT d || ':J' || d || '.S1', 'SPARE', 'J' || d, 'S1' FROM {DOCS} WHERE d % 2 = 0""")
 def ezt_unallocated(spark, d):
     _, steps, dds = jcl.facts(jcl.parse(jobs(spark, d)))
     steps, dds = cut(steps), cut(dds)
@@ -142,7 +142,7 @@ def ezt_unallocated(spark, d):
     files = ops.files(rows)
     named = F.concat(F.col("file"), F.lit(":"), F.col("job"))
     found = ops.unallocated(files, ops.file_uses(rows, files), steps.select(named.alias("job"), "step", F.concat_ws(".", named, "step").alias("program")), dds.filter("opens").select(named.alias("job"), "step", "dd"))
-    return found.select("program", "file", F.regexp_replace(F.array_join("steps", ", "), "[0-9]+:", "").alias("steps"))
+    return found.select("program", "file", F.element_at(F.split("job", ":"), -1).alias("job"), "step")
 
 
 @query("""

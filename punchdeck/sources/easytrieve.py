@@ -187,7 +187,9 @@ def expanded(sources: DataFrame, id_column: str, text_column: str, members: Data
     """
     spark = sources.sparkSession
     rows = lines(sources, id_column, text_column)
-    own = cut(_described(own_macros(rows)).select("program", "name", "since", "macro"))
+    # few sources bring macros along: only their lines are read for them
+    bring = lines(sources.filter(F.contains(F.upper(text_column), F.lit("MSTART"))), id_column, text_column)
+    own = cut(_described(own_macros(bring)).select("program", "name", "since", "macro"))
     if members is None:
         members = spark.createDataFrame([], "folder string, name string, member string, body array<struct<line:int,raw:string>>")
     members = cut(_described(members).select("folder", "name", "member", "macro"))

@@ -135,7 +135,7 @@ def test_steps_without_dds(spark, read):
     held = ops.files(read[0])
     steps = spark.createDataFrame([("J", "S1", "demo"), ("J", "S2", "DEMO"), ("J", "S3", "OTHER")], "job string, step string, program string")
     dds = spark.createDataFrame([("J", "S1", f) for f in ("SALES", "OUT", "RATES", "list")] + [("J", "S2", "OUT"), ("J", "S2", "RATES"), ("J", "S2", "LIST")], "job string, step string, dd string")
-    assert [(r["file"], r["steps"]) for r in ops.unallocated(held, ops.file_uses(read[0], held), steps, dds).collect()] == [("SALES", ["J.S2"])]
+    assert [(r["file"], r["job"], r["step"]) for r in ops.unallocated(held, ops.file_uses(read[0], held), steps, dds).collect()] == [("SALES", "J", "S2")]
 
 
 def test_without_macros(spark):
