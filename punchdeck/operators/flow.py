@@ -11,11 +11,10 @@ from collections import defaultdict, deque
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.operators.graph import dealt
+from punchdeck.operators.graph import each_group
 
 NODE = ["program", "node"]
 #: What a group function gets: rows of several tables, told apart by ``part``; keys as JSON, so any type will do.
@@ -31,20 +30,25 @@ def _part(df: DataFrame | None, part: str, *keys: str, node: str = "node", to_no
         return None
     cells = {"part": F.lit(part), "node": F.col(node).cast("long"), "to_node": F.col(to_node).cast("long") if to_node else F.lit(None).cast("long")}
     cells |= {k: _json(k) if k in keys else F.lit(None).cast("string") for k in PART[3:]}
-    return df.select("program", *(c.alias(n) for n, c in cells.items())).distinct()
+    return df.select("program", *(c.alias(n) for n, c in cells.items()))
 
 
-def _groups(parts: Iterable[DataFrame | None], run: Callable[[dict[str, pd.DataFrame]], list[tuple]], columns: str) -> DataFrame:
-    """``run`` over the parts of each program; its rows without the program."""
+#: The cells of a part of one program, a list for each column.
+Part = dict[str, list]
+
+
+def _groups(parts: Iterable[DataFrame | None], run: Callable[[dict[str, Part]], list[tuple]], columns: str) -> DataFrame:
+    """``run`` over the parts of each program, each row of a part once; its rows without the program."""
     rows = reduce(DataFrame.union, (p for p in parts if p is not None))
-    names = ["program"] + [c.split()[0] for c in columns.split(", ")]
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        program = pdf["program"].iloc[0]
-        found = run(defaultdict(lambda: pdf.iloc[:0], dict(list(pdf.groupby("part")))))
-        return pd.DataFrame([(program, *r) for r in found], columns=names).astype({names[0]: pdf["program"].dtype})
+    def group(cells: Part) -> list[tuple]:
+        of: dict[str, Part] = defaultdict(lambda: {c: [] for c in PART[1:]})
+        for part, *row in dict.fromkeys(zip(*(cells[c] for c in PART), strict=True)):
+            for c, x in zip(of[part].values(), row, strict=True):
+                c.append(x)
+        return run(of)
 
-    return dealt(rows, "program").groupBy("program").applyInPandas(group, f"program {rows.schema['program'].dataType.simpleString()}, {columns}")
+    return each_group(rows, "program", group, columns)
 
 
 def _back(df: DataFrame, like: dict[str, tuple[DataFrame, str]], nodes: tuple[str, ...] = ("node",), node_like: tuple[DataFrame, str] | None = None) -> DataFrame:
@@ -61,9 +65,9 @@ def _back(df: DataFrame, like: dict[str, tuple[DataFrame, str]], nodes: tuple[st
     return df.select(*out)
 
 
-def _successors(edges: pd.DataFrame) -> dict[int, list[int]]:
+def _successors(edges: Part) -> dict[int, list[int]]:
     succ: dict[int, list[int]] = defaultdict(list)
-    for a, b in zip(edges["node"].tolist(), edges["to_node"].tolist(), strict=True):
+    for a, b in zip(edges["node"], edges["to_node"], strict=True):
         succ[a].append(b)
     return succ
 
@@ -111,7 +115,7 @@ def solve(edges: DataFrame, made: DataFrame, killed: DataFrame | None = None, st
     key = "name" if "name" in made.columns else "item"
     carried = [c for c in ("item", "name") if c in made.columns]
 
-    def run(part: dict[str, pd.DataFrame]) -> list[tuple]:
+    def run(part: dict[str, Part]) -> list[tuple]:
         m = part["made"]
         items = list(dict.fromkeys(zip(m["item"], m["name"], strict=True)))
         number = {x: i for i, x in enumerate(items)}
@@ -119,12 +123,12 @@ def solve(edges: DataFrame, made: DataFrame, killed: DataFrame | None = None, st
         for (item, name), i in number.items():
             of_key[name if key == "name" else item] |= 1 << i
         gen: dict[int, int] = defaultdict(int)
-        for n, item, name in zip(m["node"].tolist(), m["item"], m["name"], strict=True):
+        for n, item, name in zip(m["node"], m["item"], m["name"], strict=True):
             gen[n] |= 1 << number[item, name]
         kill: dict[int, int] = defaultdict(int)
-        for n, k in zip(part["killed"]["node"].tolist(), part["killed"][key], strict=True):
+        for n, k in zip(part["killed"]["node"], part["killed"][key], strict=True):
             kill[n] |= of_key.get(k, 0)
-        for n in part["stop"]["node"].tolist():
+        for n in part["stop"]["node"]:
             kill[n] = (1 << len(items)) - 1
         held = _worklist(_successors(part["edge"]), gen, kill, {})
         return [(n, *items[i]) for n, mask in held.items() for i in _bits(mask)]
@@ -167,9 +171,9 @@ def searched(edges: DataFrame, starts: DataFrame, checks: DataFrame, boundaries:
 def first_met(edges: DataFrame, starts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(program, start, node, hops)``: for each start the nearest node that is wanted, the smallest of equal ones."""
 
-    def run(part: dict[str, pd.DataFrame]) -> list[tuple]:
-        succ, goal, out = _successors(part["edge"]), set(part["wanted"]["node"].tolist()), []
-        for start in part["start"]["node"].tolist():
+    def run(part: dict[str, Part]) -> list[tuple]:
+        succ, goal, out = _successors(part["edge"]), set(part["wanted"]["node"]), []
+        for start in part["start"]["node"]:
             seen, front, hops = {start}, {start}, 0
             while front:
                 hops += 1
@@ -221,20 +225,20 @@ def tainted(edges: DataFrame, sources: DataFrame, moves: DataFrame, defs: DataFr
     tainted there; a definition without such a move cleans the name.
     """
 
-    def run(part: dict[str, pd.DataFrame]) -> list[tuple]:
+    def run(part: dict[str, Part]) -> list[tuple]:
         numbers: dict[tuple[str, int], int] = {}
         gen: dict[int, int] = defaultdict(int)
         steps: dict[int, list[tuple[str, str]]] = defaultdict(list)
-        for n, name in zip(part["source"]["node"].tolist(), part["source"]["name"], strict=True):
+        for n, name in zip(part["source"]["node"], part["source"]["name"], strict=True):
             gen[n] |= 1 << numbers.setdefault((name, n), len(numbers))
-        for n, source, name in zip(part["move"]["node"].tolist(), part["move"]["source"], part["move"]["name"], strict=True):
+        for n, source, name in zip(part["move"]["node"], part["move"]["source"], part["move"]["name"], strict=True):
             numbers.setdefault((name, n), len(numbers))
             steps[n].append((source, name))
         of_name: dict[str, int] = defaultdict(int)
         for (name, _), i in numbers.items():
             of_name[name] |= 1 << i
         kill: dict[int, int] = defaultdict(int)
-        for n, name in zip(part["def"]["node"].tolist(), part["def"]["name"], strict=True):
+        for n, name in zip(part["def"]["node"], part["def"]["name"], strict=True):
             kill[n] |= of_name.get(name, 0)
         carried = {n: [(of_name.get(s, 0), 1 << numbers[m, n]) for s, m in pairs] for n, pairs in steps.items()}
         facts = list(numbers)
@@ -251,16 +255,16 @@ def taint_steps(taint: DataFrame, moves: DataFrame, sources: DataFrame, sinks: D
     ``sinks(program, node, name)``.
     """
 
-    def run(part: dict[str, pd.DataFrame]) -> list[tuple]:
-        starts = set(zip(part["source"]["node"].tolist(), part["source"]["name"], strict=True))
+    def run(part: dict[str, Part]) -> list[tuple]:
+        starts = set(zip(part["source"]["node"], part["source"]["name"], strict=True))
         from_: dict[tuple[int, str], set[str]] = defaultdict(set)
-        for n, source, name in zip(part["move"]["node"].tolist(), part["move"]["source"], part["move"]["name"], strict=True):
+        for n, source, name in zip(part["move"]["node"], part["move"]["source"], part["move"]["name"], strict=True):
             from_[n, name].add(source)
         vias: dict[tuple[int, str], set[int]] = defaultdict(set)
-        for n, name, via in zip(part["taint"]["node"].tolist(), part["taint"]["name"], part["taint"]["to_node"].tolist(), strict=True):
+        for n, name, via in zip(part["taint"]["node"], part["taint"]["name"], part["taint"]["to_node"], strict=True):
             vias[n, name].add(via)
         out = []
-        for node, name in zip(part["sink"]["node"].tolist(), part["sink"]["name"], strict=True):
+        for node, name in zip(part["sink"]["node"], part["sink"]["name"], strict=True):
             # layers of (node that wrote, name held), each with the smallest path to it
             layer = {(v, name): (node, v) for v in vias.get((node, name), ())}
             seen = set(layer)

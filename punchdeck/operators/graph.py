@@ -7,8 +7,11 @@ checkpoint, so the plan stays short and an executor that is lost costs a round's
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -28,8 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder. A checkpoint runs its plan twice, once to count and once to write, unless the rows are held."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.select("*").persist(StorageLevel.DISK_ONLY)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
@@ -38,6 +46,62 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+# The Arrow type of each type that group functions return.
+ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+#: Rows that a task gathers before it sends them on.
+SENT = 8_192
+
+
+def _cells(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+
+def each_group(df: DataFrame, key: str, run: Callable[[dict[str, list]], list[tuple]], columns: str, *order: str) -> DataFrame:
+    """``(key, columns)``: what ``run`` returns for the rows of each key, which it gets as a list for each column, sorted by ``order``.
+
+    Rows are dealt out and sorted by key, a task cuts its batches where the key changes: groups are small and many, and a
+    frame of its own for each would cost more than what is done with it.
+    """
+    names, rest = df.columns, [c.rsplit(" ", 1) for c in columns.split(", ")]
+
+    def sent(found: list[tuple], keyed: pa.DataType) -> pa.RecordBatch:
+        types = [keyed, *(ARROW[t] for _, t in rest)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=[key, *(n for n, _ in rest)])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, dict[str, list], pa.DataType]]:
+        held: dict[str, list] = {}
+        for batch in batches:
+            cells, keyed = {n: _cells(batch.column(n)) for n in names}, batch.schema.field(key).type
+            keys, start = cells[key], 0
+            for end in range(1, len(keys) + 1):
+                if end < len(keys) and keys[end] == keys[start]:
+                    continue
+                part = {n: c[start:end] for n, c in cells.items()}
+                if held and held[key][0] == keys[start]:
+                    for n, c in part.items():
+                        held[n] += c
+                else:
+                    if held:
+                        yield held[key][0], held, keyed
+                    held = part
+                start = end
+        if held:
+            yield held[key][0], held, keyed
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, keyed = [], None
+        for value, rows, keyed in groups(batches):  # noqa: B007
+            found += [(value, *r) for r in run(rows)]
+            if len(found) >= SENT:
+                yield sent(found, keyed)
+                found = []
+        if found:
+            yield sent(found, keyed)
+
+    kind = df.schema[key].dataType.simpleString()
+    return dealt(df, key).sortWithinPartitions(key, *order).mapInArrow(each, f"{key} {kind}, {columns}")
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, with_start: bool = False) -> DataFrame:
     """``(id, hops)`` of the nodes reached from ``start(id)``. Without ``with_start`` a start node counts only if an
     edge leads back to it. ``depth`` bounds the hops. The edges are written once, each hop writes its own nodes only."""

@@ -127,7 +127,8 @@ def cobol_flow(spark, d):
     "(39, 'WS-I', true, false)", "(40, 'WS-E', false, true)", "(40, 'WS-I', false, true)", "(40, 'WS-A', true, true)", "(43, 'WS-I', true, false)", "(51, 'WS-A', true, false)", "(71, 'WS-I', true, true)",
 ], "n, name, defined, used"))
 def cobol_operands(spark, d):
-    return operands.operands(cobol.statements(cobol.tokens(*sources(spark, d))))
+    # read three times below
+    return operands.operands(program_rules.cut(cobol.statements(cobol.tokens(*sources(spark, d)))))
 
 
 #: Findings by line.

@@ -11,11 +11,10 @@ over; a literal or word goes on where column 7 holds ``-``. A source has one pro
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punchdeck.operators.graph import dealt
+from punchdeck.operators.graph import dealt, each_group
 
 # Words that begin a statement.
 VERBS = (
@@ -74,13 +73,16 @@ def tokens(sources: DataFrame, id_column: str, text_column: str) -> DataFrame:
     are taken apart, so the windows of a program need no exchange of tokens."""
     rows = sources.select(F.col(id_column).alias("program"), F.col(text_column).alias("text"))
     rows = dealt(rows, "program").select("program", _area(F.col("text")).alias("area"))
-    rows = rows.select("program", F.posexplode(F.regexp_extract_all("area", F.lit(f"({TOKEN})"), F.lit(1))).alias("pos", "token"))
-    marks = F.length("token") - F.length(F.translate("token", NEW + MORE, ""))
+    # an inner explode would be given a filter on its array, for which each text is taken apart once more
+    rows = rows.select("program", F.posexplode_outer(F.regexp_extract_all("area", F.lit(f"({TOKEN})"), F.lit(1))).alias("pos", "token")).filter("token is not null")
+    broken, goes_on = F.contains("token", F.lit(NEW)) | F.contains("token", F.lit(MORE)), F.contains("token", F.lit(MORE))
+    marks = F.when(broken, F.length("token") - F.length(F.translate("token", NEW + MORE, ""))).otherwise(0)
     rows = rows.withColumn("line", F.sum(marks).over(by_program().rowsBetween(Window.unboundedPreceding, -1)).cast("int"))
     rows = rows.filter(~F.col("token").isin(NEW, MORE) & ~F.col("token").startswith("*>"))
     # parts of a literal or word on several lines are put together
     literal = F.regexp_replace("token", rf"(?<=[^\n{MORE}])\n*{MORE}\s*[\"']", "")
-    rows = rows.withColumn("token", F.when(F.col("token").rlike(r"^[XNGBZxngbz]?[\"']"), literal).otherwise(F.regexp_replace("token", rf"(?<=[\p{{L}}\p{{N}}_-]){_ON}", "")))
+    joined = F.when(F.col("token").rlike(r"^[XNGBZxngbz]?[\"']"), literal).otherwise(F.regexp_replace("token", rf"(?<=[\p{{L}}\p{{N}}_-]){_ON}", ""))
+    rows = rows.withColumn("token", F.when(goes_on, joined).otherwise(F.col("token")))
     rows = rows.withColumn("word", F.upper("token"))
     w = by_program()
     opens = F.col("word").isin(*DIVISIONS) & (F.lead("word").over(w) == "DIVISION")
@@ -170,12 +172,11 @@ STATEMENT = (
 )
 
 
-def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
+def _nest(tokens: dict[str, list]) -> list[tuple]:
     """Statements of one program from its tokens and their ``event``: a stack of what is open.
 
     An open statement is [number, verb, branch]; without a branch the next verb ends it.
     """
-    tokens = tokens.sort_values("pos")
     out: list[dict] = []
     stack: list[list] = []
     owner = None
@@ -243,9 +244,7 @@ def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
             owner["tokens"].append(token)
     for row in out:
         row["text"] = " ".join(row.pop("tokens"))
-    found = pd.DataFrame(out, columns=["stmt", "line", "verb", "parent", "branch", "path", "last", "branches", "loop", "proc", "sentence", "words", "text"])
-    found.insert(0, "program", tokens["program"].iloc[0])
-    return found
+    return [tuple(row.values()) for row in out]
 
 
 def statements(tokens: DataFrame) -> DataFrame:
@@ -278,5 +277,4 @@ def statements(tokens: DataFrame) -> DataFrame:
         .when(word.rlike("^END-(?!EXEC|OF)"), F.concat(F.lit("close:"), F.substring(word, 5, 40))).when(phrase.isNotNull(), F.concat(F.lit("phrase:"), phrase))
     )
     rows = rows.filter("sentence > 0").withColumn("event", event).select("program", "pos", "line", "token", "word", "proc", "sentence", "event")
-    key = rows.schema["program"].dataType.simpleString()
-    return dealt(rows, "program").groupBy("program").applyInPandas(_nest, f"program {key}, {STATEMENT}")
+    return each_group(rows, "program", _nest, STATEMENT, "pos")
