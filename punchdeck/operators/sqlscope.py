@@ -36,7 +36,7 @@ def tokens(stmts: DataFrame) -> DataFrame:
     """``(stmt, pos, token, word, scope, block, own, arm, clause)``: ``scope`` are the blocks around a token from the outermost (0), named by
     where their bracket stands, ``block`` the innermost; ``own`` if no other bracket of the block holds it."""
     rows = stmts.select("stmt", F.col("text").alias("t"))
-    rows = dealt(rows, "stmt").select("stmt", F.posexplode(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(1))).alias("pos", "token")).filter("token not like '--%' and token not like '/*%'")
+    rows = dealt(rows, "stmt").select("stmt", F.posexplode_outer(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(1))).alias("pos", "token")).filter("token not like '--%' and token not like '/*%'")
     token = F.col("token")
     rows = rows.withColumn("word", F.when(token.startswith('"'), F.replace(F.regexp_replace(token, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.upper("token")))
     w = Window.partitionBy("stmt").orderBy("pos")

@@ -39,21 +39,27 @@ def _numbered(line: Column) -> Column:
     return F.when((size < 73) | (size > 80), 0).when(digits >= area, area).when((area > 1) & (digits == area - 1) & wide(area - 1), area - 1).otherwise(0)
 
 
-def _prepared(text: Column) -> Column:
+def _prepared(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` as it is read. A step for a column: what a function over an array holds is computed wherever it is named."""
+    text = F.col("text")
     lines = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1), lambda x: F.struct(x.alias("x"), _numbered(x).alias("n")))
-    cards = F.size(F.filter(lines, lambda x: x["n"] > 0)) * 2 > F.size(F.filter(lines, lambda x: F.trim(x["x"]) != ""))
+    rows = rows.withColumn("lines", lines)
+    rows = rows.withColumn("cards", F.size(F.filter("lines", lambda x: x["n"] > 0)) * 2 > F.size(F.filter("lines", lambda x: F.trim(x["x"]) != "")))
     bare = lambda x: F.when(x["n"] > 0, F.rpad(F.substring(x["x"], F.lit(1), F.length(x["x"]) - x["n"]), F.length(x["x"]), " ")).otherwise(x["x"])
-    marked = lambda x: F.when(directive(x).isNotNull(), F.rpad(F.concat(F.lit(MARK), directive(x)), F.length(x), " ")).otherwise(x)
+    # few lines hold the word at all
+    said = lambda x: F.contains(F.upper(x), F.lit("TERMINATOR")) & directive(x).isNotNull()
+    marked = lambda x: F.when(said(x), F.rpad(F.concat(F.lit(MARK), directive(x)), F.length(x), " ")).otherwise(x)
     # asked once for the text, not for each line
-    return F.array_join(F.when(cards, F.transform(lines, lambda x: marked(bare(x)))).otherwise(F.transform(lines, lambda x: marked(x["x"]))), "\n")
+    shown = F.when(F.col("cards"), F.transform("lines", lambda x: marked(bare(x)))).otherwise(F.transform("lines", lambda x: marked(x["x"])))
+    return rows.withColumn("text", F.array_join(shown, "\n")).drop("lines", "cards")
 
 
 def tokens(scripts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(script, pos, at, line, col, token, word, says, term, depth)`` in order: ``at`` is the place of the first character, ``says`` whether
     it is more than blanks and comments, ``depth`` how many compound statements are open behind it."""
     rows = scripts.select(F.col(id_column).alias("script"), F.col(text_column).alias("text"))
-    rows = dealt(rows, "script").select("script", _prepared(F.col("text")).alias("text"))
-    rows = rows.select("script", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("pos", "token"))
+    rows = _prepared(dealt(rows, "script"))
+    rows = rows.select("script", F.posexplode_outer(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("pos", "token")).filter("token is not null")
     w = Window.partitionBy("script").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     size, breaks = F.length("token"), F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
