@@ -7,6 +7,7 @@ checkpoint, so the plan stays short and an executor that is lost costs a round's
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -40,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
         held.unpersist()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` cut with a Parquet table in the shared folder: smaller than a checkpoint for rows of text."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """``df`` by ``key`` in as many partitions as the session shuffles into. Asked for by number, they are not drawn together because they hold
     few bytes: what a function does with the groups of a key costs more than its bytes tell."""

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from punchdeck.operators.graph import cut
+from punchdeck.operators.graph import cut, written
 
 STRIDE = 1_000_000
 KEYS = "source string, key string, number long, rows map<string,long>, sums map<string,long>, part int"
@@ -99,20 +99,20 @@ def update(root: str, sources: DataFrame, facts: Callable[[DataFrame], dict[str,
     for name, rows in made.items():
         own = rows.join(fresh, "source")
         row_id = F.col("number") * STRIDE + F.row_number().over(Window.partitionBy("source").orderBy("seq")) - 1
-        own = cut(own.withColumn("id", row_id).drop("number"))
+        own = written(own.withColumn("id", row_id).drop("number"))
         n = _sums(own).withColumn("table", F.lit(name))
         sums = n if sums is None else sums.union(n)
         before = _read(spark, root, name)
         if before is not None:
             kept = before.filter(F.col("part").isin(touched)).join(stay.select("source", "key"), ["source", "key"], "left_semi")
-            own = own.unionByName(cut(kept), allowMissingColumns=True)
+            own = own.unionByName(written(kept), allowMissingColumns=True)
         own.repartition("part").write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/{name}")
     told_sums = sums.groupBy("source", "key").agg(F.map_from_entries(F.collect_list(F.struct("table", "n"))).alias("rows"), F.map_from_entries(F.collect_list(F.struct("table", "sum"))).alias("sums"))
     none = F.create_map(*(x for t in made for x in (F.lit(t), F.lit(0).cast("long")))) if made else F.create_map().cast("map<string,long>")
     filled = lambda c: F.map_concat(F.map_filter(none, lambda k, _: ~F.coalesce(F.map_contains_key(c, k), F.lit(False))), F.coalesce(F.col(c), F.create_map().cast("map<string,long>")))
     new = fresh.join(told_sums, ["source", "key"], "left").select("source", "key", "number", filled("rows").alias("rows"), filled("sums").alias("sums"), "part")
-    written = new.unionByName(stay.filter(F.col("part").isin(touched)).select(*new.columns))
+    keyed = new.unionByName(stay.filter(F.col("part").isin(touched)).select(*new.columns))
     # a partition left without sources is written as one that has none
     empty = spark.createDataFrame([(None, None, None, None, None, p) for p in touched], KEYS)
-    cut(written.unionByName(empty)).repartition("part").write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/keys")
+    cut(keyed.unionByName(empty)).repartition("part").write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/keys")
     return told.select("source", "change")
