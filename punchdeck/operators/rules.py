@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punchdeck.functions import columns as C
-from punchdeck.operators.graph import cut
 from punchdeck.sources import cards
 
 
@@ -87,34 +86,45 @@ def step_rules(steps: DataFrame) -> DataFrame:
     R046 looks at the COND of the last step alone, R047 at the steps that COND and IF name.
     """
     p = F.col("parameters")
-    rows = steps.withColumns({"cond": p["COND"], "guard": p["IF"], "up": F.slice("at", F.lit(1), F.size("at") - 1)})
-    rows = rows.withColumn("has", F.col("cond").isNotNull() | F.col("guard").isNotNull())
-    first = F.row_number().over(Window.partitionBy("file", "job", "up").orderBy("at")) == 1
-    # a job's steps stand in an array of two places, those of a call in longer ones
-    rows = cut(rows.withColumn("bare", ~F.col("has") & ~first))
-    # cut, as the rows are met with themselves
-    around = rows.select("file", "job", "at", F.explode(F.when(F.size("at") > 2, F.transform(F.sequence(F.lit(2), F.size("at") - 1), lambda n: F.slice("at", F.lit(1), n)))).alias("call"))
-    calls = rows.filter("exec_kind = 'PROC'").select("file", "job", F.col("at").alias("call"), (F.col("has") | F.col("bare")).alias("covers"))
-    covered = around.join(calls.filter("covers"), ["file", "job", "call"]).select("file", "job", "at").distinct()
-    told = rows.filter("bare").join(covered, ["file", "job", "at"], "left_anti")
-    held = F.array_sort(F.collect_list(F.struct("at", "step")))
-    per_job = told.groupBy("file", "job").agg(F.min_by("line", "at").alias("line"), F.transform(held, lambda x: x["step"]).alias("all"))
-    names = F.concat(F.array_join(F.slice("all", 1, 5), ", "), F.when(F.size("all") > 5, F.concat(F.lit(" and "), F.size("all") - 5, F.lit(" more"))).otherwise(""))
-    out = [finding(per_job, "R030", "warning", "steps run whatever the steps before returned: ", names)]
+    rows = steps.select("file", "job", "line", "at", "step", "exec_kind", p["COND"].alias("cond"), p["IF"].alias("guard"))
     code, op = (F.regexp_extract_all(F.upper("cond"), F.lit(r"(\d+) ?, ?(EQ|NE|GT|GE|LT|LE)\b"), k) for k in (1, 2))
-    bypass = F.exists(F.zip_with(code, op, lambda c, o: C.bypasses_at_zero(o, c.cast("int"))), lambda x: x)
-    job = Window.partitionBy("file", "job")
-    last = rows.withColumns({"back": F.row_number().over(job.orderBy(F.desc("at"))), "n": F.count("*").over(job)})
-    out.append(finding(last.filter((F.col("back") == 1) & (F.col("n") >= 2) & F.col("cond").isNotNull() & bypass), "R046", "warning", "last step is skipped when all goes well: ", F.col("step")))
-    by_cond = F.regexp_extract_all(F.upper(F.coalesce("cond", F.lit(""))), F.lit(r", ?(?:EQ|NE|GT|GE|LT|LE) ?, ?([A-Z0-9@#$.]+)"), F.lit(1))
-    by_if = F.regexp_extract_all(F.upper(F.coalesce("guard", F.lit(""))), F.lit(r"(?<![A-Z0-9@#$.])([A-Z@#$][A-Z0-9@#$]*(?:\.[A-Z@#$][A-Z0-9@#$]*)?)\.(?:RC|RUN|ABENDCC|ABEND)\b"), F.lit(1))
-    asked = rows.select("file", "job", "line", "at", "step", F.posexplode(F.concat(by_cond, by_if)).alias("nth", "asked"))
+    bypass = F.coalesce(F.exists(F.zip_with(code, op, lambda c, o: C.bypasses_at_zero(o, c.cast("int"))), lambda x: x), F.lit(False))
+    none = F.array().cast("array<string>")
+    by_cond = F.when(F.col("cond").isNotNull(), F.regexp_extract_all(F.upper("cond"), F.lit(r", ?(?:EQ|NE|GT|GE|LT|LE) ?, ?([A-Z0-9@#$.]+)"), F.lit(1))).otherwise(none)
+    by_if = F.when(F.col("guard").isNotNull(), F.regexp_extract_all(F.upper("guard"), F.lit(r"(?<![A-Z0-9@#$.])([A-Z@#$][A-Z0-9@#$]*(?:\.[A-Z@#$][A-Z0-9@#$]*)?)\.(?:RC|RUN|ABENDCC|ABEND)\b"), F.lit(1))).otherwise(none)
     # within a call a step is named alone, or with the name of a call
-    inside = rows.filter("size(at) > 2").select("file", "job", "at", F.substring_index("step", ".", -1).alias("asked"))
-    known = rows.select("file", "job", "at", F.col("step").alias("asked")).union(inside).groupBy("file", "job", "asked").agg(F.min("at").alias("first_at"))
-    missing = asked.join(known, ["file", "job", "asked"], "left").filter("first_at is null or first_at >= at").groupBy("file", "job", "line", "at").agg(F.min_by("asked", "nth").alias("asked"))
-    out.append(finding(missing, "R047", "error", "no earlier step is called ", F.col("asked")))
-    return union(out)
+    alone = F.when(F.size("at") > 2, F.substring_index("step", ".", -1))
+    has = F.col("cond").isNotNull() | F.col("guard").isNotNull()
+    said = {"has": has, "bypass": F.when(F.col("cond").isNotNull(), bypass).otherwise(F.lit(False)), "alone": alone, "asked": F.concat(by_cond, by_if)}
+    rows = rows.withColumns(said).select("file", "job", F.struct("at", "line", "step", "alone", (F.col("exec_kind") == "PROC").alias("calls"), "has", "bypass", "asked").alias("x"))
+    # a job's steps side by side: rows of one job alone are looked at together
+    jobs = rows.groupBy("file", "job").agg(F.sort_array(F.collect_list("x")).alias("s"))
+    up = lambda at: F.slice(at, F.lit(1), F.size(at) - 1)
+    none = F.array().cast("array<struct<line:int,step:string>>")
+    start = F.struct(F.lit(None).cast("array<int>").alias("before"), F.lit(None).cast("array<int>").alias("cover"), none.alias("told"))
+
+    def step(a: Column, x: Column) -> Column:
+        """``before``: the place of the step before; ``cover``: that of the last call with a condition, or told; its steps come right behind it."""
+        at, before = x["at"], a["before"]
+        # the first of its job or call: the step before it lies in another one, or is the call
+        first = before.isNull() | ~(F.slice(before, F.lit(1), F.size(at) - 1) == up(at)) | (F.size(before) == F.size(at) - 1)
+        bare = ~x["has"] & ~F.coalesce(first, F.lit(True))
+        covered = F.coalesce(F.slice(at, F.lit(1), F.size(a["cover"])) == a["cover"], F.lit(False))
+        cover = F.when(covered, a["cover"]).when(x["calls"] & (x["has"] | bare), at)
+        told = F.when(bare & ~covered, F.concat(a["told"], F.array(F.struct(x["line"].alias("line"), x["step"].alias("step"))))).otherwise(a["told"])
+        return F.struct(at.alias("before"), cover.alias("cover"), told.alias("told"))
+
+    missed = lambda x, i: F.filter(x["asked"], lambda n: ~F.exists(F.slice("s", F.lit(1), i), lambda y: (y["step"] == n) | F.coalesce(y["alone"] == n, F.lit(False))))
+    missing = F.transform("s", lambda x, i: F.struct(x["line"].alias("line"), F.when(F.size(x["asked"]) > 0, F.get(missed(x, i), F.lit(0))).alias("name")))
+    told = jobs.select("file", F.aggregate("s", start, step, lambda a: a["told"]).alias("told"), F.element_at("s", -1).alias("last"), F.size("s").alias("n"), F.filter(missing, lambda x: x["name"].isNotNull()).alias("missing"))
+    names = F.transform("told", lambda x: x["step"])
+    names = F.concat(F.array_join(F.slice(names, 1, 5), ", "), F.when(F.size("told") > 5, F.concat(F.lit(" and "), F.size("told") - 5, F.lit(" more"))).otherwise(""))
+    shape = lambda rule, level, line, *text: F.struct(F.lit(rule).alias("rule_id"), F.lit(level).alias("level"), line.alias("line"), F.concat(*text).alias("message"))
+    bare = F.when(F.size("told") > 0, shape("R030", "warning", F.get("told", F.lit(0))["line"], F.lit("steps run whatever the steps before returned: "), names))
+    skipped = F.when((F.col("n") >= 2) & F.col("last.bypass"), shape("R046", "warning", F.col("last.line"), F.lit("last step is skipped when all goes well: "), F.coalesce("last.step", F.lit(""))))
+    lost = F.transform("missing", lambda x: shape("R047", "error", x["line"], F.lit("no earlier step is called "), x["name"]))
+    found = told.select("file", F.explode(F.concat(F.array_compact(F.array(bare, skipped)), lost)).alias("f"))
+    return found.select("f.rule_id", "f.level", "file", "f.line", "f.message").distinct()
 
 
 def ims_rules(segments: DataFrame, sensegs: DataFrame) -> DataFrame:

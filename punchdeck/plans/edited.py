@@ -71,7 +71,7 @@ def jobs(spark, d):
     text = F.concat(F.lit("//J JOB\n"), F.array_join(F.transform("steps", lambda s: s["x"]), "\n"))
     own = jcl.guarded(jcl.parse(steps.select(F.col("l_orderkey").cast("string").alias("path"), text.alias("text"))))
     members = jcl.guarded(jcl.parse(spark.createDataFrame([("P1", PROCEDURE)], "path string, text string")))
-    return procs.expanded(own, members)[0]
+    return procs.expanded(own, members, with_dds=False)[0]
 
 
 ITEMS_SQL = f"""

@@ -1,6 +1,6 @@
 """JCL sources to facts: one row for each statement, then steps and DDs as DataFrames.
 
-Files are parsed one by one in ``mapInPandas``; a file is small, the number of files is not. Statements that can't
+Files are parsed one by one in ``mapInArrow``; a file is small, the number of files is not. Statements that can't
 be read become rows of kind ``?`` and nothing else of the file is lost.
 """
 
@@ -9,16 +9,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "file string, line int, seq int, kind string, name string, positional string, parameters map<string,string>, instream array<string>"
 STATEMENT = re.compile(r"^//(\S*)\s+(\S+)(?:\s+(.*))?$")
+KEYED = re.compile(r"^[A-Z0-9.$#@]+=")
+#: The same as Arrow has it.
+ARROW = pa.schema([("file", pa.string()), ("line", pa.int32()), ("seq", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("positional", pa.string()), ("parameters", pa.map_(pa.string(), pa.string())), ("instream", pa.list_(pa.string()))])
 
 
 def operands(text: str) -> list[str]:
     """Split at commas outside of quotes and brackets; the field ends at a blank outside of quotes."""
+    if "'" not in text:
+        text = text.split(" ", 1)[0]
+        if "(" not in text and ")" not in text:
+            return text.split(",")
     out, part, depth, quoted = [], "", 0, False
     for c in text:
         if c == "'":
@@ -61,8 +68,12 @@ def statements(text: str) -> list[dict]:
         while parts[-1] == "" and len(parts) > 1 and at < len(rows) and rows[at].startswith("// "):
             parts = parts[:-1] + operands(rows[at][2:71].strip())
             at += 1
-        position = [p for p in parts if p and not re.match(r"^[A-Z0-9.$#@]+=", p)]
-        keyed = dict(p.split("=", 1) for p in parts if re.match(r"^[A-Z0-9.$#@]+=", p))
+        position, keyed = [], {}
+        for p in parts:
+            if KEYED.match(p):
+                k, keyed[k] = p.split("=", 1)
+            elif p:
+                position.append(p)
         lines: list[str] = []
         if verb == "DD" and position and position[0] in ("*", "DATA"):
             stop = keyed.get("DLM", "/*").strip("'")
@@ -76,12 +87,16 @@ def statements(text: str) -> list[dict]:
 def parse(sources: DataFrame) -> DataFrame:
     """``sources(path, text)`` to statement rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"file": path, "seq": k, **s} for path, text in zip(frame["path"], frame["text"], strict=True) for k, s in enumerate(statements(text or ""))]
-            yield pd.DataFrame(rows, columns=["file", "line", "seq", "kind", "name", "positional", "parameters", "instream"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (path, s["line"], seq, s["kind"], s["name"], s["positional"], list(s["parameters"].items()), s["instream"])
+                for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True) for seq, s in enumerate(statements(text or ""))
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
-    return sources.select("path", "text").mapInPandas(run, SCHEMA)
+    return sources.select(F.col("path").cast("string").alias("path"), "text").mapInArrow(run, SCHEMA)
 
 
 #: IFs may lie in each other this deep.
@@ -95,14 +110,19 @@ def guarded(stmts: DataFrame) -> DataFrame:
     kind = F.col("kind")
     # a job, a procedure and a member each have their own IFs
     rows = stmts.withColumn("job_no_", F.count_if(kind.isin("JOB", "PROC", "PEND")).over(Window.partitionBy("file").orderBy("seq")))
-    step = F.sum(F.when(kind == "IF", 1).when(kind == "ENDIF", -1).otherwise(0))
-    total = rows.withColumn("sum_", step.over(scope))
-    total = total.withColumn("depth_", F.col("sum_") - F.least(F.lit(0), F.min("sum_").over(scope)))
-    last = [F.max(F.when(kind.isin("IF", "ELSE") & (F.col("depth_") == k), F.struct("seq", "kind"))).over(scope) for k in range(1, NESTING + 1)]
-    asked = [F.last(F.when((kind == "IF") & (F.col("depth_") == k), F.coalesce("positional", F.lit(""))), ignorenulls=True).over(scope) for k in range(1, NESTING + 1)]
-    each = F.array(*(F.when(F.lit(k) <= F.col("depth_"), F.concat(F.when(last[k - 1]["kind"] == "ELSE", "NOT ").otherwise(""), asked[k - 1])) for k in range(1, NESTING + 1)))
-    guard = F.array_join(F.array_compact(each), " & ")
-    own = F.when((kind == "EXEC") & (F.col("depth_") > 0), F.create_map(F.lit("IF"), guard)).otherwise(F.create_map().cast("map<string,string>"))
+    # what opens, turns and closes an IF up to each EXEC; folded to those that are open there
+    met = F.collect_list(F.when(kind.isin("IF", "ELSE", "ENDIF"), F.struct("kind", F.coalesce("positional", F.lit("")).alias("asked")))).over(scope)
+    total = rows.withColumn("met_", met)
+    top = lambda a: F.slice(a, F.lit(1), F.size(a) - 1)
+
+    def step(a: Column, x: Column) -> Column:
+        turned = F.concat(top(a), F.array(F.struct(F.lit("NOT ").alias("no"), F.element_at(a, -1)["asked"].alias("asked"))))
+        return F.when(x["kind"] == "IF", F.concat(a, F.array(F.struct(F.lit("").alias("no"), x["asked"].alias("asked"))))).when(F.size(a) == 0, a).when(x["kind"] == "ENDIF", top(a)).otherwise(turned)
+
+    open_ = F.aggregate("met_", F.array().cast("array<struct<no:string,asked:string>>"), step)
+    guard = F.array_join(F.transform(F.slice(open_, 1, NESTING), lambda x: F.concat(x["no"], x["asked"])), " & ")
+    total = total.withColumn("guard_", F.when((kind == "EXEC") & (F.size("met_") > 0), F.when(F.size(open_) > 0, guard)))
+    own = F.when(F.col("guard_").isNotNull(), F.create_map(F.lit("IF"), F.col("guard_"))).otherwise(F.create_map().cast("map<string,string>"))
     none = F.create_map().cast("map<string,string>")
     return total.withColumn("parameters", F.map_concat(F.map_filter(F.coalesce("parameters", none), lambda k, _: k != "IF"), own)).select(*stmts.columns)
 

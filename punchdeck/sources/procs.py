@@ -1,7 +1,7 @@
 """Procedures, INCLUDE members, symbols and referbacks of JCL statements: from ``jcl.parse`` rows to the steps that run.
 
 A job's steps are joined with the bodies of the procedures that they call, a level in each round, so the joins grow with
-the calls and not with all members; each round is cut with a reliable checkpoint. A step keeps its place as an array of numbers, one for each level.
+the calls and not with all members; each round is cut with a table in the shared folder. A step keeps its place as an array of numbers, one for each level.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punchdeck.functions.columns import member_name
-from punchdeck.operators.graph import cut
+from punchdeck.operators.graph import cut, written
 
 #: Levels of calls and of INCLUDE; what lies deeper stays as it is written.
 DEPTH = 8
@@ -119,7 +119,7 @@ def overriding(given: Column, step: Column, first: Column) -> Column:
     return merged(general, own)
 
 
-def expanded(stmts: DataFrame, members: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def expanded(stmts: DataFrame, members: DataFrame, depth: int = DEPTH, with_dds: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """``(steps, dds)`` of the jobs in ``stmts``: procedures expanded, overrides applied, symbols replaced.
 
     Both arguments are ``jcl.parse`` rows, of jobs and of member files. Steps: ``file, job, at, step, exec_kind, target,
@@ -127,9 +127,12 @@ def expanded(stmts: DataFrame, members: DataFrame, depth: int = DEPTH) -> tuple[
     ``CALL.STEP``. DDs: ``file, at, dd, part, ord, positional, parameters``, part 0 for the named DD and more for those
     concatenated to it. In-stream procedures go before members of their name, of two members of a name the first by its
     path. A procedure that isn't there, or that calls itself, leaves its call with its DDs; so does an override that finds no step.
+    Without ``with_dds`` the steps alone are made, which need none of them.
     """
-    own, library = cut(laid_out(stmts)), cut(laid_out(members))
+    own, library = written(laid_out(stmts)), written(laid_out(members))
     held = own.filter("proc is not null and job is not null").drop("source").unionByName(library.drop("source").filter("proc is not null and job is null"))
+    # few statements stand in procedures; a written table tells how small it is, so that calls meet it where they are
+    held = written(held)
     known = held.filter("kind = 'EXEC'").groupBy(F.col("file").alias("lib"), F.upper("proc").alias("name")).agg(F.min(F.col("job_no") > 0).alias("instream"))
     instream = known.filter("instream").select(F.col("lib").alias("file"), F.col("name").alias("target"), F.col("lib").alias("own_lib"))
     shared = known.filter("not instream").groupBy(F.col("name").alias("target")).agg(F.min("lib").alias("shared_lib"))
@@ -142,12 +145,14 @@ def expanded(stmts: DataFrame, members: DataFrame, depth: int = DEPTH) -> tuple[
     scope = F.col("scope")
     front = steps_of(own.filter("proc is null")).drop("proc").withColumns({"target": F.upper(substituted(F.col("target"), scope)), "parameters": replaced(F.col("parameters"), scope), "chain": F.array().cast("array<string>")})
     dds = dds_of(own.filter("proc is null")).select("file", "at", "dd", "part", F.col("seq").alias("ord"), "positional", replaced(F.col("parameters"), scope).alias("parameters"))
-    instream, shared, defaults, body, body_dds, front, dds = map(cut, (instream, shared, defaults, body, body_dds, front, dds))
+    instream, shared, defaults, body, front = map(written, (instream, shared, defaults, body, front))
+    if with_dds:
+        body_dds, dds = written(body_dds), written(dds)
     steps = front
     for _ in range(depth):
         calls = front.filter("exec_kind = 'PROC'").join(instream, ["file", "target"], "left").join(shared, "target", "left")
         calls = calls.withColumn("lib", F.coalesce("own_lib", "shared_lib")).withColumn("name", F.col("target")).filter(F.col("lib").isNotNull() & ~F.array_contains("chain", F.col("target")))
-        calls = cut(calls)
+        calls = written(calls)
         if calls.isEmpty():
             break
         calls = calls.join(defaults, ["lib", "name"], "left").withColumn("scope", F.concat("scope", F.coalesce("defaults", nothing()), entries(F.col("parameters"))))
@@ -160,8 +165,10 @@ def expanded(stmts: DataFrame, members: DataFrame, depth: int = DEPTH) -> tuple[
             "file", "job", F.col("line_").alias("line"), F.concat("call_at", F.array("k")).alias("at"), F.concat_ws(".", "call", "step_").alias("step"), F.col("kind_").alias("exec_kind"),
             F.upper(substituted(F.col("target_"), values)).alias("target"), merged(base, overriding(F.col("given"), F.col("step_"), F.col("first"))).alias("parameters"), values.alias("scope"), "chain",
         )
-        front = cut(front)
+        front = written(front)
         steps = steps.unionByName(front)
+        if not with_dds:
+            continue
         brought = calls.join(body_dds, ["lib", "name"]).select("file", F.concat("call_at", F.array("k")).alias("at"), "dd", "part", "ord", "positional", replaced(F.col("parameters"), F.col("scope")).alias("parameters"))
         # a call's DDs go to the step they name, else to the first
         targets = met.select("file", "call_at", "k", "first", "step_")
@@ -175,7 +182,7 @@ def expanded(stmts: DataFrame, members: DataFrame, depth: int = DEPTH) -> tuple[
         laid = laid.select("file", "at", "dd", "part", F.coalesce("ord", F.col("o_") + (1 << 20)).alias("ord"), F.when(names_data, F.col("p_")).otherwise(F.coalesce("p_", "positional")).alias("positional"), merged(F.col("parameters"), F.col("m_")).alias("parameters"))
         dds = dds.join(gone, ["file", "at", "dd", "part"], "left_anti").unionByName(laid)
         dds = cut(dds)
-    return steps.select("file", "job", "line", "at", "step", "exec_kind", "target", "parameters"), dds
+    return steps.select("file", "job", "line", "at", "step", "exec_kind", "target", "parameters"), dds if with_dds else None
 
 
 def referbacks(steps: DataFrame, dds: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -1,4 +1,5 @@
-from punchdeck.operators import flow, path_rules, program_rules
+from punchdeck.operators import flow, path_rules, program_rules, rules
+from punchdeck.sources import jcl, procs
 
 
 def test_one_search_for_all_rules(spark, monkeypatch):
@@ -12,3 +13,18 @@ def test_one_search_for_all_rules(spark, monkeypatch):
     found = {(r.program, r.line, r.rule_id, r.subject) for r in path_rules.path_rules(f).collect()}
     assert found == {(1, 3, "R012", "SW"), (1, 4, "R029", "A"), (2, 4, "R029", "A")}
     assert len(asked) == 1
+
+
+def test_steps_without_dds(spark):
+    """Steps alone need no DDs, and their rules look at a job's steps side by side, without joins of the steps with themselves."""
+    text = "//J JOB\n//S1 EXEC P1\n//S2 EXEC PGM=A\n//  IF (S9.RC = 0) THEN\n//S3 EXEC PGM=A,COND=(0,LE,S1)\n//  ELSE\n//S4 EXEC PGM=A,COND=(0,LE)\n//  ENDIF"
+    frame = lambda *rows: jcl.guarded(jcl.parse(spark.createDataFrame(rows, "path string, text string")))
+    own, members = frame(("j", text), ("empty", "")), frame(("P1", "//P1 PROC\n//PA EXEC PGM=B\n//PB EXEC PGM=C\n//D DD DSN=X\n// PEND"))
+    steps, dds = procs.expanded(own, members, with_dds=False)
+    assert dds is None
+    order = lambda x: sorted((r.file, r["at"], r.step, r.parameters.get("IF")) for r in x.collect())
+    assert order(steps) == order(procs.expanded(own, members)[0])
+    assert {r.step: r.parameters["IF"] for r in steps.collect() if "IF" in r.parameters} == {"S3": "(S9.RC = 0)", "S4": "NOT (S9.RC = 0)"}
+    found = rules.step_rules(steps)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.rule_id, r.line, r.message.split(": ")[-1].split(" ")[-1]) for r in found.collect()} == {("R030", 3, "S2"), ("R046", 7, "S4"), ("R047", 5, "S9"), ("R047", 7, "S9")}
