@@ -44,7 +44,7 @@ _WORD = r"[\p{L}\p{N}$#@&_][\p{L}\p{N}$#@&_-]*"
 TOKEN = "|".join((
     rf"\*>[^\n{MORE}]*", rf'(?:[XNGBZxngbz])?"(?:[^"\n{MORE}]++|""|{_ON}")*+"?', rf"(?:[XNGBZxngbz])?'(?:[^'\n{MORE}]++|''|{_ON}')*+'?",
     r"(?i:EXEC\s+(?:SQL|CICS|DLI)\b)(?s:.*?)(?i:END-EXEC)", r"(?i:(?<=\s)PIC(?:TURE)?\s+(?:IS\s+)?)\S+?(?=[.,;]?(?:\s|$))",
-    rf"[+-]?\d*\.?\d+(?![\p{{L}}\p{{N}}_-])", rf"{_WORD}(?:{_ON}[\p{{L}}\p{{N}}_-]+)*", r"\*\*|<=|>=|<>|[=<>+*/():.-]", rf"[\n{MORE}]",
+    rf"[+-]?\d*\.?\d+(?![\p{{L}}\p{{N}}_-])", rf"{_WORD}(?:{_ON}[\p{{L}}\p{{N}}_-]+)*", r"\*\*|<=|>=|<>|[=<>+*/():.-]", rf"[\n{MORE}]+",
 ))
 
 
@@ -78,7 +78,8 @@ def tokens(sources: DataFrame, id_column: str, text_column: str) -> DataFrame:
     broken, goes_on = F.contains("token", F.lit(NEW)) | F.contains("token", F.lit(MORE)), F.contains("token", F.lit(MORE))
     marks = F.when(broken, F.length("token") - F.length(F.translate("token", NEW + MORE, ""))).otherwise(0)
     rows = rows.withColumn("line", F.sum(marks).over(by_program().rowsBetween(Window.unboundedPreceding, -1)).cast("int"))
-    rows = rows.filter(~F.col("token").isin(NEW, MORE) & ~F.col("token").startswith("*>"))
+    # the ends of lines that follow each other are one token, so comments are no rows of their own
+    rows = rows.filter(~F.substring("token", 1, 1).isin(NEW, MORE) & ~F.col("token").startswith("*>"))
     # parts of a literal or word on several lines are put together
     literal = F.regexp_replace("token", rf"(?<=[^\n{MORE}])\n*{MORE}\s*[\"']", "")
     joined = F.when(F.col("token").rlike(r"^[XNGBZxngbz]?[\"']"), literal).otherwise(F.regexp_replace("token", rf"(?<=[\p{{L}}\p{{N}}_-]){_ON}", ""))

@@ -91,9 +91,10 @@ def segmented(rows: DataFrame, key: list[str]) -> DataFrame:
     A statement ends with its line, unless that ends in a lone ``+`` or ``-``; at a full stop before a blank; at a blank line. Comment
     lines end none. Words are in upper case unless they hold a literal.
     """
-    rows = _marked(rows, key).filter("not data")
+    # comments tell nothing of the lines around them: they go before the windows sort what is left
+    rows = _marked(rows.filter(~F.substring("raw", 1, 72).rlike(r"^\s*\*")), key).filter("not data")
     area = F.regexp_replace(F.substring("raw", 1, 72), r"\s+$", "")
-    rows = rows.select(*key, "line", area.alias("area")).filter(~F.col("area").rlike(r"^\s*\*"))
+    rows = rows.select(*key, "line", area.alias("area"))
     goes_on = F.col("area").rlike(r"(?:^|\s)[+-]$")
     said = F.when(goes_on, F.regexp_replace("area", r"\s*[+-]$", "")).otherwise(F.col("area"))
     parts = F.concat(F.array(F.lit("\n")), F.regexp_extract_all(said, F.lit(TOKEN), F.lit(1)), F.when(goes_on, F.array().cast("array<string>")).otherwise(F.array(F.lit("."))))

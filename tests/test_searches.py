@@ -1,5 +1,5 @@
 from punchdeck.operators import flow, path_rules, program_rules, rules
-from punchdeck.sources import jcl, procs
+from punchdeck.sources import cobol, easytrieve, jcl, procs
 
 
 def test_one_search_for_all_rules(spark, monkeypatch):
@@ -28,3 +28,16 @@ def test_steps_without_dds(spark):
     found = rules.step_rules(steps)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.rule_id, r.line, r.message.split(": ")[-1].split(" ")[-1]) for r in found.collect()} == {("R030", 3, "S2"), ("R046", 7, "S4"), ("R047", 5, "S9"), ("R047", 7, "S9")}
+
+
+def test_comments_go_first(spark):
+    """Comments are neither rows of tokens nor sorted with the statements around them."""
+    text = "\n".join(["       DATA DIVISION.", *["      * NOTE"] * 5, "       01 A PIC X."])
+    rows = cobol.tokens(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").collect()
+    assert sorted(r.pos for r in rows) == [1, 2, 3, 5, 6, 7, 8]
+    assert [(r.line, r.word) for r in sorted(rows, key=lambda r: r.pos)] == [(1, "DATA"), (1, "DIVISION"), (1, "."), (7, "01"), (7, "A"), (7, "PIC X"), (7, ".")]
+    source = spark.createDataFrame([(1, "* A\nFILE A\n* MEND\n  * B\n A-ID 1 5 N")], "id int, text string")
+    found = easytrieve.segmented(easytrieve.lines(source, "id", "text"), ["program"])
+    assert sorted((r.nth, r.line, r.text) for r in found.collect()) == [(1, 2, "FILE A"), (2, 5, "A-ID 1 5 N")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Window") < plan.rindex(r"\s*\*")
