@@ -13,8 +13,9 @@ Texts that are equal word for word are one class from the start and the smallest
 share a sketch meet in buckets: in a bucket of up to ``SMALL`` classes all pairs are candidates; in a larger one all
 classes are compared with its smallest id, so a large group of copies costs a number of pairs in proportion to it.
 Where a large bucket then holds more than one component, its classes go through an exact join by prefixes
-(``rest``): texts that are similar share one of the rarest fifth of their labelled shingles, under any order of all
-shingles, so no link between components of a bucket is lost and none within one is tried again.
+(``rest``): texts that are similar share one of the first fifth of their labelled shingles, under any order of all
+shingles, so no link between components of a bucket is lost and none within one is tried again. Shingles that one
+component alone has come first in that order, then the rarer ones.
 
 ``links_found`` counts the links that were verified; inside a large group that is one component not all are sought.
 
@@ -31,19 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punchdeck.llm.common import by_bytes, components, cut, freed, lean, small_batches, text_or_empty, written
+from punchdeck.llm.common import by_bytes, components, cut, lean, small_batches, text_or_empty, written
 
 SHINGLE, LEAST, SKETCHES, PICKED, SMALL = 5, 0.8, 16, 2, 24
 WORD = re.compile(r"\w+")
 PLACE_BITS = 24
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BATCH_BYTES = 1 << 20
-#: Counters of the table that orders shingles by how common they are: 1 MB where it is sent out, whatever the input.
-#: Any order gives whole results; this one keeps the shingles that many texts share out of the prefixes.
-SLOT_BITS = 20
 
 
 class Hashes(dict):
@@ -232,69 +230,52 @@ def contested(large: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(split, "key").groupBy(F.col("class").alias("id")).agg(F.min("component").alias("component"), F.max(F.col("component") != F.col("star")).alias("outside"))
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches with the numbers of shingles of their texts and all labelled shingles; texts without words are left out."""
-    hashes = Hashes()
-    for batch in by_bytes(batches, "text", BATCH_BYTES):
-        flat = [shingles(word_hashes(t, hashes)) for t in batch.column("text").to_pylist()]
-        some = [k for k, x in enumerate(flat) if len(x)]
-        if some:
-            sizes = np.array([len(flat[k]) for k in some])
-            yield batch.take(pa.array(some)), sizes, labelled(np.concatenate([flat[k] for k in some]), np.repeat(np.arange(len(some)), sizes))
+def held_shingles(texts: DataFrame) -> DataFrame:
+    """``texts(id, component, outside, text)`` with ``(n, hs)`` for the text: its labelled shingles and how many they are."""
+    kept = ("id", "component", "outside")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            flat = [shingles(word_hashes(t, hashes)) for t in batch.column("text").to_pylist()]
+            some = [k for k, x in enumerate(flat) if len(x)]
+            if some:
+                sizes = np.array([len(flat[k]) for k in some])
+                base = labelled(np.concatenate([flat[k] for k in some]), np.repeat(np.arange(len(some)), sizes))
+                hs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(base.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in kept), pa.array(sizes.astype(np.int64)), hs], names=[*kept, "n", "hs"])
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """For each slot of labelled shingles how common they are, as a logarithm in a byte.
+    return texts.mapInArrow(lean(run), "id long, component long, outside boolean, n long, hs array<long>")
 
-    Each task sends its counters, the driver gets the bytes of each slot once: 5 MB in all, whatever the input.
-    """
-    shift = np.uint64(64 - SLOT_BITS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for _, _, base in parts(batches):
-            slot, n = np.unique((base >> shift).astype(np.int64), return_counts=True)
-            total[slot] += n
-        some = np.flatnonzero(total)
-        for a in range(0, len(some), 65_536):
-            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 65_536].astype(np.int32)), pa.array(total[some[a : a + 65_536]])], names=["slot", "n"])
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            steps = np.minimum(255, 8 * np.log2(1 + np.asarray(b.column("n")))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column("slot")).astype("<i4").tobytes()]), pa.array([steps.tobytes()])], names=["slots", "steps"])
-
-    sums = texts.mapInArrow(lean(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = np.zeros(1 << SLOT_BITS, np.uint8)
-    with freed(texts.sparkSession):
-        for r in sums.mapInArrow(lean(step), "slots binary, steps binary").toLocalIterator():
-            table[np.frombuffer(r.slots, "<i4")] = np.frombuffer(r.steps, np.uint8)
-    return table
-
-
-def prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """``texts(id, component, outside, text)`` with ``(n, hs)`` for the text: the number of its labelled shingles and
-    the rarest of them, one more than may differ in a similar one."""
-    shift, kept = np.uint64(64 - SLOT_BITS), ("id", "component", "outside")
-    shared = texts.sparkSession.sparkContext.broadcast(rarity(texts))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sizes, base in parts(batches):
-            taken = [one[np.lexsort((one, shared.value[(one >> shift).astype(np.int64)]))[: int((1 - least) * len(one) + 1e-9) + 1]] for one in np.split(base, np.cumsum(sizes)[:-1])]
-            ends = np.cumsum([0] + [len(x) for x in taken]).astype(np.int32)
-            hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes.astype(np.int64)), hs], names=[*kept, "n", "hs"])
-
-    return texts.mapInArrow(lean(pick), "id long, component long, outside boolean, n long, hs array<long>")
-
-
-def between(held: DataFrame) -> DataFrame:
-    """``(h, id, n, outside, component, low)`` of the shingles in ``held`` that texts of several components have.
-
-    ``low``: the smallest id, with its length, of the lowest component that has the shingle.
+
+def may_differ(n, least: float):
+    """How many shingles of a text of ``n`` may differ in a similar one."""
+    return F.floor(F.lit(1 - least) * n + F.lit(1e-9))
+
+
+def prefixes(held: DataFrame, least: float) -> DataFrame:
+    """``(h, id, component, outside, n, at)``: the shingles of each text, ``at`` places from its rarest, that it may share first.
+
+    Shingles of one component alone come first, as none of them is shared with another one, then those of fewer texts.
+    A similar text of another component shares one of the first that are one more than may differ; those of one
+    component need no row, and a text that has too many of them is left out.
     """
     rows = held.select("component", "id", "n", "outside", F.explode("hs").alias("h"))
-    shared = rows.groupBy("h").agg(F.min(F.struct("component", "id", "n")).alias("low"), F.max("component").alias("high")).filter("low.component <> high").drop("high")
+    joint = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    own = Window.partitionBy("id")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("k", "h")) - 1
+    return rows.join(joint.select("h", "k"), "h").withColumn("at", at).filter(F.col("at") <= may_differ(F.col("n"), least)).drop("k")
+
+
+def between(rows: DataFrame) -> DataFrame:
+    """``rows(h, id, component, n)`` of the shingles that texts of several components have, with ``(low, most)``.
+
+    ``low``: the smallest id, with its length, of the lowest component that has the shingle; ``most``: the component
+    with most rows of it.
+    """
+    each = rows.groupBy("h", "component").agg(F.count("*").alias("k"), F.min(F.struct("id", "n")).alias("first"))
+    low = F.min(F.struct("component", "first.id", "first.n")).alias("low")
+    shared = each.groupBy("h").agg(low, F.max(F.struct("k", "component"))["component"].alias("most"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     return rows.join(shared, "h")
 
 
@@ -303,25 +284,39 @@ def fits(n1, n2, least: float):
     return F.least(n1, n2) + F.lit(1e-6) >= F.lit(least) * F.greatest(n1, n2)
 
 
+def sharing(rows: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of ``between``'s texts of different components that share a shingle and may be similar.
+
+    Texts of the component with most rows of a shingle meet only those of others, so a large component costs rows in
+    proportion to it; where the shared one is the first, those before it in either text are among its different ones.
+    """
+    one, other = (r.select("h", *(F.col(c).alias(c + k) for c in ("id", "n", "component", "outside", "at")), *more) for k, r, more in (("1", rows, ["most"]), ("2", rows.filter("component <> most"), [])))
+    longer = F.greatest("n1", "n2")
+    alike = longer - may_differ(longer, least)
+    met = one.join(other, "h").filter(
+        (F.col("component1") != F.col("component2")) & (F.col("outside1") | F.col("outside2")) & ((F.col("component1") == F.col("most")) | (F.col("id1") < F.col("id2")))
+        & fits(F.col("n1"), F.col("n2"), least) & (F.col("n1") - F.col("at1") >= alike) & (F.col("n2") - F.col("at2") >= alike)
+    )
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+
+
 def rest(large: DataFrame, links: DataFrame, found: DataFrame, documents: DataFrame, id_column: str, text_column: str, least: float) -> DataFrame | None:
     """Links between components of large buckets; ``found(class, component)``: the components of ``links``.
 
     Each text is first tried with one text of the lowest component that it shares a shingle with, which joins most
-    of what belongs together; what then still is apart is joined pair by pair.
+    of what belongs together; what then still is apart is joined pair by pair, without the texts that shared none.
     """
     members = written(contested(large, found), "contested")
     if members.isEmpty():
         return None
-    texts = written(texts_of(documents, members, id_column, text_column).join(members, "id"), "texts")
-    held = written(prefixes(texts, least), "prefixes")
-    near = between(held).filter((F.col("component") != F.col("low.component")) & fits(F.col("n"), F.col("low.n"), least))
+    held = written(held_shingles(texts_of(documents, members, id_column, text_column).join(members, "id")), "shingles")
+    rows = written(between(prefixes(held, least)), "shared")
+    near = rows.filter((F.col("component") != F.col("low.component")) & fits(F.col("n"), F.col("low.n"), least))
     tried = near.select(F.least("id", "low.id").alias("a"), F.greatest("id", "low.id").alias("b")).distinct()
     new = cut(linked(cut(tried), documents, id_column, text_column, least))
-    now = held.join(merged(found, new).toDF("id", "now"), "id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
-    rows = written(between(now).drop("low"), "shared")
-    one, other = (rows.select("h", *(F.col(c).alias(c + k) for c in ("id", "n", "component"))) for k, rows in (("1", rows), ("2", rows.filter("outside"))))
-    pairs = one.join(other, "h").filter((F.col("component1") != F.col("component2")) & fits(F.col("n1"), F.col("n2"), least))
-    pairs = cut(pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct())
+    now = held.join(rows.select("id"), "id", "left_semi").join(merged(found, new).toDF("id", "now"), "id", "left")
+    now = written(now.withColumn("component", F.coalesce("now", "component")).drop("now"), "shingles")
+    pairs = cut(sharing(written(between(prefixes(now, least)), "shared"), least))
     return cut(new.union(linked(pairs, documents, id_column, text_column, least)).distinct().join(links, ["a", "b"], "left_anti"))
 
 

@@ -409,3 +409,20 @@ def test_order_minhash_large_buckets(spark):
     classes = spark.createDataFrame([(i, i // 20 % 2) for i in range(60)], "id long, k long")
     held = order_minhash.contested(classes.selectExpr("k key", "id class"), classes.selectExpr("id class", "id - id % 20 component"))
     assert (held.count(), held.filter("outside").count()) == (40, 20)
+
+
+def test_order_minhash_lines_of_two_templates(spark, monkeypatch):
+    """Two templates whose texts end in the same few lines: what only one of them has shows that no pair needs a look."""
+    rng = np.random.default_rng(14)
+    lines = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(6)]
+    rows = []
+    for i in range(80):
+        rows.append((i, " ".join([f"t{i % 2}w{k}" for k in range(164)] + [lines[k] for k in rng.permutation(6)[:3]])))
+    assert plain_components(dict(rows)) == {i: i % 2 for i in range(80)}
+    tried, linked = [], order_minhash.linked
+    monkeypatch.setattr(order_minhash, "linked", lambda pairs, *a: tried.append(pairs.count()) or linked(pairs, *a))
+    found = spark.createDataFrame([(i, i % 2) for i in range(80)], "class long, component long")
+    bucket = found.selectExpr("0L key", "class", "0L first")
+    none = spark.createDataFrame([], "a long, b long")
+    assert order_minhash.rest(bucket, none, found, frame(spark, rows), "doc_id", "text", order_minhash.LEAST).isEmpty()
+    assert len(tried) == 2 and sum(tried) <= len(rows)
