@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ from punchdeck.llm.common import by_bytes, components, cut, lean, small_batches,
 SHINGLE, LEAST, SKETCHES, PICKED, SMALL = 5, 0.8, 16, 2, 24
 WORD = re.compile(r"\w+")
 PLACE_BITS = 24
+#: A shingle that more than one in so many rows has is in a table that each task holds: 8 bytes each, fewer than that many.
+COMMON = 1 << 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BATCH_BYTES = 1 << 20
 
@@ -253,18 +256,55 @@ def may_differ(n, least: float):
     return F.floor(F.lit(1 - least) * n + F.lit(1e-9))
 
 
+def without_common(held: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """``held`` with ``hs`` less those of ``common``, ``often``: how many these were, and ``first``: those of its prefix.
+
+    ``common``: shingles by the order of prefixes, of which they are the last.
+    """
+    kept, order = ("id", "component", "outside", "n"), np.argsort(common)
+    ranked = common[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("hs")).to_numpy().astype(np.int64)
+            flat = batch.column("hs").flatten().to_numpy(zero_copy_only=False)
+            spot = np.minimum(np.searchsorted(ranked, flat), len(ranked) - 1)
+            hit = ranked[spot] == flat if len(ranked) else np.zeros(len(flat), bool)
+            ends, seen = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(hit)])
+            often = seen[ends[1:]] - seen[ends[:-1]]
+            places = order[spot[hit]] if len(ranked) else spot[hit]
+            first = [[]] * len(sizes)
+            for k in np.flatnonzero(often):
+                room = int((1 - least) * int(sizes[k]) + 1e-9) + 1 - int(sizes[k] - often[k])
+                if room > 0:
+                    first[k] = common[np.sort(places[seen[ends[k]] : seen[ends[k + 1]]])[:room]]
+            hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - often)]).astype(np.int32)), pa.array(flat[~hit], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(often, pa.int64()), hs, pa.array(first, pa.list_(pa.int64()))], names=[*kept, "often", "hs", "first"])
+
+    return held.select(*kept, "hs").mapInArrow(lean(run), "id long, component long, outside boolean, n long, often long, hs array<long>, first array<long>")
+
+
 def prefixes(held: DataFrame, least: float) -> DataFrame:
     """``(h, id, component, outside, n, at)``: the shingles of each text, ``at`` places from its rarest, that it may share first.
 
     Shingles of one component alone come first, as none of them is shared with another one, then those of fewer texts.
     A similar text of another component shares one of the first that are one more than may differ; those of one
     component need no row, and a text that has too many of them is left out.
+
+    The most common shingles, each with more than one in ``COMMON`` of all rows and so fewer than ``COMMON`` of them,
+    come last: the texts of a large group have most of theirs in common, and a table of them stands for their rows.
     """
-    rows = held.select("component", "id", "n", "outside", F.explode("hs").alias("h"))
-    joint = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    joint = held.select("component", F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high"))
+    joint = written(joint.filter("low <> high").select("h", "k"), "joint")
+    most = max(SMALL, (held.agg(F.sum("n")).first()[0] or 0) // COMMON)
+    common = np.array([r.h for r in joint.filter(F.col("k") > most).orderBy("k", "h").collect()], np.int64)
+    apart = written(without_common(held, common, least), "apart")
+    of_text = ("id", "component", "outside", "n")
     own = Window.partitionBy("id")
-    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("k", "h")) - 1
-    return rows.join(joint.select("h", "k"), "h").withColumn("at", at).filter(F.col("at") <= may_differ(F.col("n"), least)).drop("k")
+    at = F.col("n") - F.col("often") - F.count("*").over(own) + F.row_number().over(own.orderBy("k", "h")) - 1
+    rows = apart.select(*of_text, "often", F.explode("hs").alias("h")).join(joint.filter(F.col("k") <= most), "h").withColumn("at", at)
+    rows = rows.filter(F.col("at") <= may_differ(F.col("n"), least)).select("h", *of_text, "at")
+    return rows.union(apart.select(*of_text, "often", F.posexplode("first").alias("j", "h")).select("h", *of_text, (F.col("n") - F.col("often") + F.col("j")).alias("at")))
 
 
 def between(rows: DataFrame) -> DataFrame:

@@ -426,3 +426,50 @@ def test_order_minhash_lines_of_two_templates(spark, monkeypatch):
     none = spark.createDataFrame([], "a long, b long")
     assert order_minhash.rest(bucket, none, found, frame(spark, rows), "doc_id", "text", order_minhash.LEAST).isEmpty()
     assert len(tried) == 2 and sum(tried) <= len(rows)
+
+
+def joined_rows(spark, df):
+    """Rows that the joins of a plan gave when it ran, and the rows of ``df``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, rows = store.executionsCount(), df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total, runs = 0, store.executionsList()
+    for k in range(before, runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size()) if "Join" in node.name()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total, rows
+
+
+def test_order_minhash_prefixes_of_large_groups(spark):
+    """Most shingles of a large group are common ones: they need no rows in the join, and each text has the same prefix."""
+    rng = np.random.default_rng(15)
+    texts = {}
+    for i in range(120):
+        shared = rng.permutation(200)[: 1 + i % 3]
+        words = [f"w{k}" if k not in shared else f"x{k}y{int(rng.integers(6))}" for k in range(200)]
+        texts[i] = " ".join(words + ([f"only{i}n{k}" for k in range(60)] if i % 4 == 0 else []))
+    texts[120] = " ".join(f"other{k}" for k in range(30))
+    rows = [(i, i % 5, True, t) for i, t in texts.items()]
+    held = order_minhash.held_shingles(spark.createDataFrame(rows, "id long, component long, outside boolean, text string")).cache()
+    hs = {r.id: r.hs for r in held.collect()}
+    of = {}
+    for i, x in hs.items():
+        for h in x:
+            of.setdefault(h, []).append(i)
+    joint = {h: len(ids) for h, ids in of.items() if len({i % 5 for i in ids}) > 1}
+    want = set()
+    for i, x in hs.items():
+        order = sorted((h for h in x if h in joint), key=lambda h: (joint[h], h))
+        for j, h in enumerate(order):
+            at = len(x) - len(order) + j
+            if at <= int((1 - order_minhash.LEAST) * len(x) + 1e-9):
+                want.add((h, i, i % 5, True, len(x), at))
+    made, found = joined_rows(spark, order_minhash.prefixes(held, order_minhash.LEAST).select("h", "id", "component", "outside", "n", "at"))
+    assert want and {tuple(r) for r in found} == want and len(found) == len(want)
+    assert 0 < made < sum(joint.values()) // 5
+    none = order_minhash.prefixes(held.limit(0), order_minhash.LEAST)
+    assert none.isEmpty()
