@@ -7,6 +7,7 @@ others come from a bounded table. Equality with the library over whole texts is
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -33,6 +34,14 @@ def words(text: str) -> list[str]:
     return [text] if ODD_SPACE.search(text) else text.split()
 
 
+def lower_words(text: str) -> list[str]:
+    """``words`` for tokenizers that lower-case: spellings of a word are one unit."""
+    low = text.lower()
+    if "<|" in text or UNSURE.search(low) or not text.isascii() and UNSURE.search(text):
+        return words(text)
+    return RUNS.findall(low)
+
+
 def spaced_words(text: str) -> list[str]:
     """Units for byte-level patterns: white space goes with what comes after it."""
     if not UNSURE.search(text):
@@ -40,6 +49,23 @@ def spaced_words(text: str) -> list[str]:
     return [text] if ODD_SPACE.search(text) else SPACED_UNIT.findall(text)
 
 
+#: Units that no normalizer changes and that a pattern for runs of letters takes whole.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def lowers(path: str) -> bool:
+    """Whether a tokenizer lower-cases and then takes runs of letters, without white space."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    steps = (held.get("normalizer") or {}).get("normalizers", [])
+    parts = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and (
+        (steps[1]["pattern"], steps[1]["content"], parts[0]["pattern"], parts[0]["behavior"], parts[0]["invert"]) == ({"Regex": r"\s+"}, " ", {"Regex": LETTER_RUNS}, "Removed", True)
+        and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
+    )
+
+
 #: Units of at most so many characters stay when the table is full.
 SHORT = 8
 
@@ -57,8 +83,13 @@ class UnitEncoder:
 
     def __init__(self, path: str, split: Callable[[str], list[str]], kept: Callable, room: int = 600_000, batch_bytes: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.plain = None
+        if split is words and lowers(path):
+            # the same model, for units on which normalizer and pattern do nothing: they take most of the library's time
+            split, self.plain = lower_words, Tokenizer.from_file(path)
+            self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.library, self.split, self.kept, self.room, self.batch_bytes = Tokenizer.from_file(path), split, kept, room, batch_bytes
         self.table: dict[str, object] = {}
 
@@ -74,8 +105,12 @@ class UnitEncoder:
             self._encode(batch)
 
     def _encode(self, batch: list[str]) -> None:
-        for unit, e in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            self.table[unit] = self.kept(e.ids)
+        plain = [u for u in batch if PLAIN.fullmatch(u)] if self.plain else []
+        other = [u for u in batch if not PLAIN.fullmatch(u)] if self.plain else batch
+        for library, units in ((self.plain, plain), (self.library, other)):
+            if units:
+                for unit, e in zip(units, library.encode_batch_fast(units, add_special_tokens=False), strict=True):
+                    self.table[unit] = self.kept(e.ids)
 
     def __call__(self, texts: list[str], fold: Callable = list) -> list:
         """For each text its units' kept values in order, put together by ``fold`` (``b"".join`` or ``sum``)."""

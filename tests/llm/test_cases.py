@@ -473,3 +473,21 @@ def test_order_minhash_prefixes_of_large_groups(spark):
     assert 0 < made < sum(joint.values()) // 5
     none = order_minhash.prefixes(held.limit(0), order_minhash.LEAST)
     assert none.isEmpty()
+
+
+def test_encoding_spellings():
+    """Spellings of a word are one unit for a tokenizer that lower-cases, and plain words pass by its patterns."""
+    from tokenizers import Tokenizer
+
+    from punchdeck.llm import encoding
+
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    texts = ["Straße STRASSE straße Ünder ünder ÜNDER it's IT'S 'Street O'DREW x1Y2", "<|EndOfText|> Abc", "<|endoftext|>ABC <|ENDOFTEXT|>", "\u212aelvin \u212bng \u1e9e \u0130stan \u0181a \u023a \u0243", "".join(letters), " ".join(a + "b" + a.upper() for a in letters)]
+    texts += [a + "X" for a in letters] + [f"{a}'S {a}" for a in letters]
+    path = q.tokenizer("word_bpe_49k.json")
+    encode, lib = encoding.UnitEncoder(path, encoding.words, list), Tokenizer.from_file(path)
+    assert [[i for unit in parts for i in unit] for parts in encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    encode = encoding.UnitEncoder(path, encoding.words, list)
+    encode(["Word word WORD wOrd", "WORD Ünder ÜNDER ünder"])
+    assert set(encode.table) == {"word", "ünder"}
+    assert encoding.lowers(path) and not encoding.lowers(q.tokenizer("byte_bpe_50k.json"))
