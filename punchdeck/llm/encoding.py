@@ -51,6 +51,8 @@ def spaced_words(text: str) -> list[str]:
 
 #: Units that no normalizer changes and that a pattern for runs of letters takes whole.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Plain units go to the library so many at a time: the last id of each, and no other, is a token with this end.
+JOINED, WORD_END = 200, "</w>"
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -62,7 +64,7 @@ def lowers(path: str) -> bool:
     parts = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
     return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and (
         (steps[1]["pattern"], steps[1]["content"], parts[0]["pattern"], parts[0]["behavior"], parts[0]["invert"]) == ({"Regex": r"\s+"}, " ", {"Regex": LETTER_RUNS}, "Removed", True)
-        and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
+        and held["model"].get("end_of_word_suffix") == WORD_END and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
     )
 
 
@@ -89,7 +91,8 @@ class UnitEncoder:
         if split is words and lowers(path):
             # the same model, for units on which normalizer and pattern do nothing: they take most of the library's time
             split, self.plain = lower_words, Tokenizer.from_file(path)
-            self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = {i for t, i in self.plain.get_vocab(with_added_tokens=False).items() if t.endswith(WORD_END)}
         self.library, self.split, self.kept, self.room, self.batch_bytes = Tokenizer.from_file(path), split, kept, room, batch_bytes
         self.table: dict[str, object] = {}
 
@@ -107,10 +110,17 @@ class UnitEncoder:
     def _encode(self, batch: list[str]) -> None:
         plain = [u for u in batch if PLAIN.fullmatch(u)] if self.plain else []
         other = [u for u in batch if not PLAIN.fullmatch(u)] if self.plain else batch
-        for library, units in ((self.plain, plain), (self.library, other)):
-            if units:
-                for unit, e in zip(units, library.encode_batch_fast(units, add_special_tokens=False), strict=True):
-                    self.table[unit] = self.kept(e.ids)
+        for k in range(0, len(plain), JOINED):
+            units = plain[k : k + JOINED]
+            ids = self.plain.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids
+            stops = [j for j, i in enumerate(ids, 1) if i in self.ends]
+            if len(stops) == len(units) and stops[-1] == len(ids):
+                self.table.update(zip(units, (self.kept(ids[a:b]) for a, b in zip([0, *stops], stops))))
+            else:  # a word without an end of its own
+                other += units
+        if other:
+            for unit, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                self.table[unit] = self.kept(e.ids)
 
     def __call__(self, texts: list[str], fold: Callable = list) -> list:
         """For each text its units' kept values in order, put together by ``fold`` (``b"".join`` or ``sum``)."""

@@ -490,4 +490,10 @@ def test_encoding_spellings():
     encode = encoding.UnitEncoder(path, encoding.words, list)
     encode(["Word word WORD wOrd", "WORD Ünder ÜNDER ünder"])
     assert set(encode.table) == {"word", "ünder"}
+    many = sorted({"".join(map(chr, r)) for r in np.random.default_rng(16).integers(97, 123, (900, 7)).tolist()})
+    calls, whole = [], encode.plain
+    encode.plain = type("Counted", (), {"encode_batch_fast": lambda _, texts, **k: calls.append(1) or whole.encode_batch_fast(texts, **k)})()
+    assert encode(many) == [[lib.encode(t, add_special_tokens=False).ids] for t in many] and len(calls) == -(-len(many) // encoding.JOINED)
+    ends, encode.ends, encode.table = encode.ends, set(), {}
+    assert encode(many) == [[lib.encode(t, add_special_tokens=False).ids] for t in many] and ends
     assert encoding.lowers(path) and not encoding.lowers(q.tokenizer("byte_bpe_50k.json"))
