@@ -55,7 +55,7 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
 
 
 # The Arrow type of each type that group functions return.
-ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}
 #: Rows that a task gathers before it sends them on.
 SENT = 8_192
 
@@ -110,6 +110,42 @@ def each_group(df: DataFrame, key: str, run: Callable[[dict[str, list]], list[tu
     return dealt(df, key).sortWithinPartitions(key, *order).mapInArrow(each, f"{key} {kind}, {columns}")
 
 
+#: Rows that are turned into lists at once.
+TAKEN = 512
+
+
+def each_row(df: DataFrame, key: str, run: Callable[..., list[tuple]], columns: str) -> DataFrame:
+    """``(key, columns)``: what ``run`` returns for each row, of whose other columns it gets the values in their order, arrays as lists.
+
+    For what is whole in one row: nothing is dealt out, sorted or written in between.
+    """
+    names, rest = [c for c in df.columns if c != key], [c.rsplit(" ", 1) for c in columns.split(", ")]
+
+    def values(column: pa.Array) -> list:
+        if not pa.types.is_list(column.type):
+            return column.to_pylist()
+        cells, out, start = _cells(column.flatten()), [], 0
+        for size in column.value_lengths().fill_null(0).to_pylist():
+            out.append(cells[start : start + size])
+            start += size
+        return out
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TAKEN):
+                part = batch.slice(start, TAKEN)
+                found, at = [], []
+                for i, cells in enumerate(zip(*(values(part.column(n)) for n in names), strict=True)):
+                    rows = run(*cells)
+                    found += rows
+                    at += [i] * len(rows)
+                if found:
+                    made = (pa.array(c, ARROW[t]) for c, (_, t) in zip(zip(*found, strict=True), rest, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at, pa.int32())), *made], names=[key, *(n for n, _ in rest)])
+
+    return df.mapInArrow(each, f"{key} {df.schema[key].dataType.simpleString()}, {columns}")
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, with_start: bool = False) -> DataFrame:
     """``(id, hops)`` of the nodes reached from ``start(id)``. Without ``with_start`` a start node counts only if an
     edge leads back to it. ``depth`` bounds the hops. The edges are written once, each hop writes its own nodes only."""

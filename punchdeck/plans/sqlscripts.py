@@ -71,10 +71,9 @@ def sql_routines(spark, d):
     return scripts.routines(scripts.nested(sources(spark, d), "doc_id", "text"))
 
 
-def keyed(spark: SparkSession, d: str) -> DataFrame:
+def keyed(nested: DataFrame) -> DataFrame:
     """``(stmt, text)`` of statements that hold no others; ``stmt`` is SCRIPT/PATH."""
-    found = scripts.nested(sources(spark, d), "doc_id", "text").filter(~F.col("text").rlike(r"\bBEGIN\b"))
-    return cut(found.select(F.concat_ws("/", F.col("script").cast("string"), F.array_join("path", ".")).alias("stmt"), "text"))
+    return nested.filter(~F.col("text").rlike(r"\bBEGIN\b")).select(F.concat_ws("/", F.col("script").cast("string"), F.array_join("path", ".")).alias("stmt"), "text")
 
 
 NAMES = [
@@ -87,7 +86,7 @@ NAMES = [
 SELECT d || '/{path}' AS stmt, {name} AS name, {inner} AS inner, CASE WHEN {name} = 'QTX' THEN NULL ELSE {TABLE} END AS "table", {name} IN ('QTX', 'V') AS missing, count(*) AS n
 FROM {DOCS} WHERE {holds} GROUP BY ALL""" for path, name, holds, inner in NAMES))
 def sql_names(spark, d):
-    stmts = keyed(spark, d)
+    stmts = keyed(scripts.nested(sources(spark, d), "doc_id", "text"))
     rows = cut(sqlscope.tokens(stmts.filter(~F.col("text").startswith("CREATE"))))
     found = sqlscope.resolved(sqlscope.columns(rows), sqlscope.levels(rows), sqlscope.with_declarations(sqlscope.sources(rows), sqlscope.declared(stmts)))
     return found.groupBy("stmt", "name", F.when(F.col("block") > 0, 1).otherwise(0).alias("inner"), "table", "missing").agg(F.count("*").alias("n"))
@@ -98,13 +97,11 @@ SELECT d || '/3' AS stmt, 'S001' AS rule_id, '*' AS detail FROM {DOCS} WHERE d %
 UNION ALL SELECT d || '/4.1', 'S002', 'function' FROM {DOCS} WHERE d % 3 = 0
 UNION ALL SELECT d || '/3', 'R057', '?.QTX' FROM {DOCS} WHERE d % 5 = 0""")
 def sql_findings(spark, d):
-    stmts = keyed(spark, d)
-    known = scripts.variables(scripts.nested(sources(spark, d), "doc_id", "text")).select(F.concat_ws("/", F.col("script").cast("string"), F.col("nth").cast("string")).alias("routine"), "name")
+    nested = scripts.nested(sources(spark, d), "doc_id", "text")
+    stmts = keyed(nested)
+    known = scripts.variables(nested).select(F.concat_ws("/", F.col("script").cast("string"), F.col("nth").cast("string")).alias("routine"), "name")
     held = stmts.select("stmt", F.substring_index("stmt", ".", 1).alias("routine")).join(known, "routine").select("stmt", "name")
-    rows = cut(sqlscope.tokens(stmts.filter(~F.col("text").startswith("CREATE"))))
-    star = sqlscope.select_star(rows).select("stmt", F.lit("S001").alias("rule_id"), F.lit("*").alias("detail"))
-    slow = sqlscope.non_sargable(rows).select("stmt", F.lit("S002"), "reason")
-    return star.union(slow).union(sqlscope.undeclared_columns(stmts, held).select("stmt", F.lit("R057"), "places"))
+    return sqlscope.findings(stmts, held, ~F.col("text").startswith("CREATE"))
 
 
 #: One statement a document, by its id: text, and what it does to A and to S.B.

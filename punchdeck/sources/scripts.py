@@ -1,4 +1,4 @@
-"""SQL scripts as statements: where one ends is told by windows over the script's tokens.
+"""SQL scripts as statements: where one ends is told by a pass over the script's tokens, which are an array of its row.
 
 A statement ends at the terminator in force, outside of literals, comments and compound statements. ``TERMINATOR @`` lines
 (as ``--#SET TERMINATOR @`` or alone) name another from their end on. BEGIN and CASE open a block and END closes one with
@@ -9,15 +9,24 @@ by 80 - are read without those digits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import unicodedata
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punchdeck.operators.graph import cut, dealt
+from punchdeck.operators.graph import cut, dealt, each_row
 
 #: Stands in place of a directive's line, with the terminator behind it.
 MARK = "\x02"
 TOKEN = rf"({MARK}(?s:.)|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)|'(?:[^']++|'')*+'?|\"(?:[^\"]++|\"\")*+\"?|\n|[^\S\n]+|[\p{{L}}_][\p{{L}}\p{{N}}_]*|\p{{N}}[\p{{L}}\p{{N}}_]*|(?s:.))"
+#: Characters of blank tokens.
+BLANK = " \t\n\x0b\f\r"
+MARKED = re.compile(f"{MARK}.", re.S)
 SUFFIXES = ("IF", "WHILE", "FOR", "LOOP", "REPEAT", "CASE")
+#: Words that say something of where statements and bodies begin and end.
+TOLD = frozenset(("BEGIN", "END", "ATOMIC", "NOT", *SUFFIXES))
 
 
 def directive(line: Column) -> Column:
@@ -54,48 +63,105 @@ def _prepared(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.array_join(shown, "\n")).drop("lines", "cards")
 
 
+def _taken(scripts: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(script, found)``: the tokens of each script."""
+    rows = scripts.select(F.col(id_column).alias("script"), F.col(text_column).alias("text"))
+    return _prepared(dealt(rows, "script")).select("script", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1)).alias("found"))
+
+
+class Token(NamedTuple):
+    """A token that is more than blanks and comments."""
+
+    pos: int
+    token: str
+    word: str | None
+    term: str
+    step: int
+    depth: int
+    word_before: str | None
+
+
+def _joins(token: str, term: str) -> bool:
+    """Whether a word beside the token is a part of a longer name."""
+    return (token in ("@", "#", "$") and token != term) or token[0] == "_" or unicodedata.category(token[0])[0] in "LN"
+
+
+def _said(found: list[str], every: bool = False) -> list[Token]:
+    """What one script says, with what is told of it; words that begin and end nothing only if ``every`` is wanted."""
+    out, term, most = [], ";", len(found) - 1
+    for i, t in enumerate(found):
+        head = t[0]
+        if head in BLANK:
+            continue
+        if head == MARK:
+            term = t[1:2]
+        elif t[:2] not in ("--", "/*"):
+            word = None
+            if head == "_" or head.isalpha():
+                word = t.upper()
+                # a word beside a character of names is a part of a longer name, unless that character ends statements
+                if not (every or word in TOLD) or (i and _joins(found[i - 1], term)) or (i < most and _joins(found[i + 1], term)):
+                    word = None
+            out.append((i, t, word, term))
+    words, total, least, rows, before = [r[2] for r in out], 0, 0, [], None
+    words.append(None)
+    for k, r in enumerate(out):
+        word, step = words[k], 0
+        if word in ("BEGIN", "CASE"):
+            step = 0 if word == "CASE" and before == "END" else 1
+        elif word == "END":
+            step = 0 if words[k + 1] in SUFFIXES[:-1] else -1
+        if step:
+            total += step
+            least = min(least, total)
+        rows.append(Token(*r, step, total - least, before))
+        before = word
+    return rows
+
+
+def _placed(found: list[str]) -> list[tuple[int, int, int]]:
+    """Where each token's first character stands: place, line, column."""
+    out, at, line, first = [], 0, 1, 0
+    for t in found:
+        out.append((at, line, at - first + 1))
+        if "\n" in t:
+            line += t.count("\n")
+            first = at + t.rindex("\n") + 1
+        at += len(t)
+    return out
+
+
+def _marked(found: list[str]) -> list[tuple]:
+    said, out, term, depth = {t.pos: t for t in _said(found, every=True)}, [], ";", 0
+    for i, (token, place) in enumerate(zip(found, _placed(found), strict=True)):
+        t = said.get(i)
+        term, depth = token[1:2] if token[0] == MARK else term, t.depth if t else depth
+        out.append((i, *place, token, t and t.word, t is not None, term, t.step if t else 0, depth, t and t.word_before))
+    return out
+
+
 def tokens(scripts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(script, pos, at, line, col, token, word, says, term, depth)`` in order: ``at`` is the place of the first character, ``says`` whether
+    """``(script, pos, at, line, col, token, word, says, term, step, depth, word_before)``: ``at`` is the place of the first character, ``says`` whether
     it is more than blanks and comments, ``depth`` how many compound statements are open behind it."""
-    rows = scripts.select(F.col(id_column).alias("script"), F.col(text_column).alias("text"))
-    rows = _prepared(dealt(rows, "script"))
-    rows = rows.select("script", F.posexplode_outer(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("pos", "token")).filter("token is not null")
-    w = Window.partitionBy("script").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    size, breaks = F.length("token"), F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
-    rows = rows.withColumns({"at": F.coalesce(F.sum(size).over(before), F.lit(0)), "line": (F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1).cast("int")})
-    new_line = F.when(breaks > 0, F.col("at") + size - F.locate("\n", F.reverse("token")) + 1)
-    rows = rows.withColumn("col", (F.col("at") - F.coalesce(F.max(new_line).over(before), F.lit(0)) + 1).cast("int"))
-    rows = rows.withColumn("term", F.coalesce(F.last(F.when(F.col("token").startswith(MARK), F.substring("token", 2, 1)), ignorenulls=True).over(w), F.lit(";")))
-    token = F.col("token")
-    rows = rows.withColumn("says", ~(token.startswith(MARK) | token.startswith("--") | token.startswith("/*") | token.rlike(r"^\s+$")))
-    # a word beside a character of names is a part of a longer name, unless that character ends statements
-    joins = lambda c: F.coalesce(c.isin("@", "#", "$") & (c != F.col("term")), F.lit(False)) | F.coalesce(c.rlike(r"^[\p{L}\p{N}_]"), F.lit(False))
-    whole = token.rlike(r"^[\p{L}_]") & ~joins(F.lag("token").over(w)) & ~joins(F.lead("token").over(w))
-    rows = rows.withColumn("word", F.when(whole, F.upper("token")))
-    near = Window.partitionBy("script", "says").orderBy("pos")
-    rows = rows.withColumns({"word_before": F.lag("word").over(near), "word_behind": F.lead("word").over(near)})
-    suffix = F.col("word").isin(*SUFFIXES) & (F.col("word_before") == "END")
-    opens = F.col("says") & F.col("word").isin("BEGIN", "CASE") & ~F.coalesce(suffix, F.lit(False))
-    closes = F.col("says") & (F.col("word") == "END") & ~F.coalesce(F.col("word_behind").isin(*SUFFIXES[:-1]), F.lit(False))
-    rows = rows.withColumn("step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumn("sum", F.sum("step").over(w))
-    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(w)))
-    return rows.select("script", "pos", "at", "line", "col", "token", "word", "says", "term", "step", "depth", "word_before")
-
-
-def _pieces(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Text and ends of each piece, from its first token that says something to its last."""
-    w = Window.partitionBy(*key)
-    rows = rows.withColumns({"low": F.min(F.when(F.col("says"), F.col("pos"))).over(w), "high": F.max(F.when(F.col("says"), F.col("pos"))).over(w)}).filter("pos between low and high")
-    shown = F.regexp_replace("token", f"{MARK}(?s:.)", "  ")
-    found = rows.groupBy(*key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", shown.alias("token")))), lambda x: x["token"]), "").alias("text"), F.min_by("line", "pos").alias("line"), F.min_by("col", "pos").alias("col"),
-        F.max_by(F.struct("line", "col", "token"), "pos").alias("last"),
-    )
-    breaks = F.length("last.token") - F.length(F.replace("last.token", F.lit("\n"), F.lit("")))
-    tail = F.length(F.element_at(F.split("last.token", "\n"), -1))
-    end_col = F.when(breaks > 0, tail).otherwise(F.col("last.col") + tail - 1)
-    return found.select(*key, "text", "line", "col", (F.col("last.line") + breaks).cast("int").alias("end_line"), end_col.cast("int").alias("end_col"))
+    columns = "pos int, at long, line int, col int, token string, word string, says boolean, term string, step int, depth long, word_before string"
+    return each_row(_taken(scripts, id_column, text_column), "script", _marked, columns)
+
+
+def _split(found: list[str]) -> list[tuple]:
+    """Number, text and ends of each statement, from its first token that says something to its last."""
+    out, first, last, place = [], None, None, None
+    for t in [*_said(found), None]:
+        if t is not None and not (t.depth == 0 and t.token == t.term):
+            first, last = t.pos if first is None else first, t.pos
+            continue
+        if first is not None:
+            place = place or _placed(found)
+            text = "".join(MARKED.sub("  ", x) if MARK in x else x for x in found[first : last + 1])
+            _, line, col = place[last]
+            breaks, tail = found[last].count("\n"), len(found[last]) - found[last].rfind("\n") - 1
+            out.append((len(out) + 1, text, *place[first][1:], line + breaks, tail if breaks else col + tail - 1))
+        first = None
+    return out
 
 
 def statements(scripts: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -103,30 +169,27 @@ def statements(scripts: DataFrame, id_column: str, text_column: str) -> DataFram
 
     ``text`` is the script's own, without the terminator and the comments before and behind it.
     """
-    rows = tokens(scripts, id_column, text_column)
-    ends = F.col("says") & (F.col("token") == F.col("term")) & (F.col("depth") == 0)
-    rows = rows.withColumn("ends", ends).withColumn("piece", F.count_if("ends").over(Window.partitionBy("script").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)))
-    found = _pieces(rows.filter("not ends"), ["script", "piece"])
-    return found.select("script", F.row_number().over(Window.partitionBy("script").orderBy("piece")).cast("int").alias("nth"), "text", "line", "col", "end_line", "end_col")
+    return each_row(_taken(scripts, id_column, text_column), "script", _split, "nth int, text string, line int, col int, end_line int, end_col int")
+
+
+def _body(found: list[str]) -> list[tuple]:
+    """What stands in the first outermost block of one statement, and how many lines below."""
+    rows = _said(found)
+    first = next((k for k, t in enumerate(rows) if t.step == 1 and t.depth == 1 and (t.word == "BEGIN" or (t.word == "CASE" and k == 0))), None)
+    close = None if first is None else next((k for k in range(first + 1, len(rows)) if rows[k].step == -1 and rows[k].depth == 0), None)
+    if close is None:
+        return []
+    # ATOMIC and NOT ATOMIC go with BEGIN
+    words = [t.word for t in rows[first + 1 : first + 3]]
+    skip = 1 if words[:1] == ["ATOMIC"] else 2 if words == ["NOT", "ATOMIC"] else 0
+    start, end = rows[first + skip + 1].pos if skip else rows[first].pos + 1, rows[close].pos
+    return [("".join(found[start:end]), "".join(found[:start]).count("\n"))] if start < end else []
 
 
 def bodies(statements: DataFrame, key: list[str]) -> DataFrame:
     """``(*key, text, more)``: what stands between the first outermost BEGIN of each statement - or a CASE that it begins with - and
     the END of it, and how many lines below the statement's first it starts."""
-    rows = tokens(statements.select(F.struct(*key).alias("id"), "text"), "id", "text")
-    w = Window.partitionBy("script").orderBy("pos")
-    rows = rows.withColumn("said", F.count_if("says").over(w))
-    opens = (F.col("step") == 1) & (F.col("depth") == 1) & ((F.col("word") == "BEGIN") | ((F.col("word") == "CASE") & (F.col("said") == 1)))
-    first = F.min(F.when(opens, F.col("pos"))).over(Window.partitionBy("script"))
-    rows = rows.withColumn("first", first).filter("pos > first")
-    # ATOMIC and NOT ATOMIC go with BEGIN
-    rows = rows.withColumn("nth_said", F.count_if("says").over(w))
-    lead = Window.partitionBy("script")
-    word_at = lambda k: F.max(F.when(F.col("says") & (F.col("nth_said") == k), F.col("word"))).over(lead)
-    skip = F.when(word_at(1) == "ATOMIC", 1).when((word_at(1) == "NOT") & (word_at(2) == "ATOMIC"), 2).otherwise(0)
-    rows = rows.withColumn("skip", skip).withColumn("close", F.min(F.when((F.col("step") == -1) & (F.col("depth") == 0), F.col("pos"))).over(lead))
-    rows = rows.filter("close is not null and pos < close and nth_said > skip or (close is not null and pos < close and skip = 0)")
-    found = rows.groupBy("script").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("text"), (F.min("line") - 1).alias("more"))
+    found = each_row(_taken(statements.select(F.struct(*key).alias("id"), "text"), "id", "text"), "script", _body, "text string, more int")
     return found.select("script.*", "text", "more")
 
 
@@ -136,14 +199,13 @@ def nested(scripts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     A round for each depth of nesting.
     """
     top = statements(scripts, id_column, text_column)
-    front = cut(top.select("script", F.array("nth").alias("path"), "text", "line"))
-    out = front
+    out = front = cut(top.select("script", F.array("nth").alias("path"), "text", "line"))
     while True:
-        inner = cut(bodies(front.filter(F.upper("text").rlike(r"\b(BEGIN|CASE)\b")), ["script", "path", "line"]))
-        if inner.isEmpty():
-            return out
+        inner = bodies(front.filter(F.upper("text").rlike(r"\b(BEGIN|CASE)\b")), ["script", "path", "line"])
         parts = statements(inner.select(F.struct("script", "path", (F.col("line") + F.col("more")).alias("base")).alias("id"), "text"), "id", "text")
         front = cut(parts.select("script.script", F.concat("script.path", F.array("nth")).alias("path"), "text", (F.col("script.base") + F.col("line") - 1).cast("int").alias("line")))
+        if front.isEmpty():
+            return out
         out = out.union(front)
 
 
@@ -165,7 +227,7 @@ def variables(nested: DataFrame) -> DataFrame:
     plain = F.upper(F.regexp_replace("text", r"--[^\n]*|/\*(?s:.*?)\*/", " "))
     head = F.regexp_extract_all(F.regexp_extract(plain, r"(?s)^CREATE\s+(?:OR\s+REPLACE\s+)?(?:PROCEDURE|FUNCTION|TRIGGER)\s(.*?)(?:\bBEGIN\b|\z)", 1), F.lit(r"\b(?:IN|OUT|INOUT)\s+([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1))
     listed = F.split(F.regexp_extract(plain, r"(?s)^\s*DECLARE\s+([\p{L}_][\p{L}\p{N}_]*(?:\s*,\s*[\p{L}_][\p{L}\p{N}_]*)*)", 1), r"\s*,\s*")
-    rows = nested.select("script", F.col("path")[0].alias("nth"), F.explode(F.when(F.size("path") == 1, head).otherwise(listed)).alias("name"))
+    rows = nested.select("script", F.col("path")[0].alias("nth"), F.explode_outer(F.when(F.size("path") == 1, head).otherwise(listed)).alias("name"))
     return rows.filter("name <> ''").distinct()
 
 

@@ -58,3 +58,27 @@ def test_bounds_of_18_digits_are_exact(spark):
     found = {(r.name, r.high) for r in intervals.intervals(f.edges, f.stmts, f.procedures, f.items, f.operands).collect()}
     x = [h for n, h in found if n == "X"]
     assert x and all(h in (None, 10**18 - 1) for h in x) and 10**18 - 1 in x
+
+
+def test_statements_are_taken_apart_once_for_all_rules(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    texts = ["CREATE TABLE S.T (A INT, B INT)", "SELECT * FROM S.T WHERE UPPER(A) = 1 AND Q = 2", "SELECT V FROM S.T", "SELECT * FROM S.T"]
+    stmts = spark.createDataFrame(list(enumerate(texts)), "stmt long, text string").mapInArrow(count, "stmt long, text string")
+    assert {tuple(r) for r in sqlscope.undeclared_columns(stmts).collect()} == {(1, "T.Q"), (2, "T.V")}
+    # once for the declarations, once for the columns
+    assert seen.value <= 2 * len(texts)
+    held = spark.createDataFrame([(2, "V")], "stmt long, name string")
+    found = {tuple(r) for r in sqlscope.findings(stmts, held, F.col("stmt") < 3).collect()}
+    assert found == {(1, "S001", "*"), (1, "S002", "function"), (1, "R057", "T.Q")}
+
+
+def test_scripts_are_split_where_their_rows_are(spark):
+    rows = spark.createDataFrame([(1, "SELECT 1; -- x;\nCOMMIT")], "id long, text string")
+    plan = scripts.statements(rows, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionByExpression") == 1
