@@ -129,8 +129,8 @@ def entries(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
     )
 
 
-def edges(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
-    """``(program, from_node, to_node)`` of the control flow graph of each program that has statements."""
+def edges(stmts: DataFrame, procedures: DataFrame, performed: DataFrame | None = None) -> DataFrame:
+    """``(program, from_node, to_node)`` of the control flow graph of each program that has statements; ``performed`` are the ``ranges`` if they are at hand."""
     # what is met several times below is written once, which keeps each plan small
     doors = cut(entries(stmts, procedures))
     ways = follows(stmts).join(doors.select("program", F.col("idx").alias("proc"), "after"), ["program", "proc"]).withColumn("next", F.coalesce("next", "after")).drop("after")
@@ -150,7 +150,7 @@ def edges(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
     skips = stmts.withColumn("to_node", F.coalesce(F.min("stmt").over(w), F.lit(EXIT))).filter("verb = 'NEXT'")
     to = doors.select("program", "idx", "entry")
     gone = targets(stmts, procedures).join(to, ["program", "idx"])
-    calls = cut(ranges(stmts, procedures))
+    calls = cut(ranges(stmts, procedures)) if performed is None else performed
     entered = calls.join(to.withColumnRenamed("idx", "low"), ["program", "low"])
     # the ends of a range: what leads out of its last procedure that has statements
     last = calls.join(doors.select("program", F.col("idx").alias("high"), F.col("last_full").alias("proc")), ["program", "high"]).filter("proc >= low")

@@ -72,7 +72,7 @@ def _successors(edges: Part) -> dict[int, list[int]]:
     return succ
 
 
-def _worklist(succ: dict[int, list[int]], made: dict[int, int], killed: dict[int, int], carried: dict[int, list[tuple[int, int]]]) -> dict[int, int]:
+def worklist(succ: dict[int, list[int]], made: dict[int, int], killed: dict[int, int], carried: dict[int, list[tuple[int, int]]]) -> dict[int, int]:
     """Bits at the start of each node: what a node makes, what passes it and is not killed there, what it carries on from what it holds."""
     held: dict[int, int] = defaultdict(int)
     work = deque(made)
@@ -130,7 +130,7 @@ def solve(edges: DataFrame, made: DataFrame, killed: DataFrame | None = None, st
             kill[n] |= of_key.get(k, 0)
         for n in part["stop"]["node"]:
             kill[n] = (1 << len(items)) - 1
-        held = _worklist(_successors(part["edge"]), gen, kill, {})
+        held = worklist(_successors(part["edge"]), gen, kill, {})
         return [(n, *items[i]) for n, mask in held.items() for i in _bits(mask)]
 
     parts = [_part(edges, "edge", node="from_node", to_node="to_node"), _part(made, "made", *carried), _part(killed, "killed", key), _part(stops, "stop")]
@@ -242,7 +242,7 @@ def tainted(edges: DataFrame, sources: DataFrame, moves: DataFrame, defs: DataFr
             kill[n] |= of_name.get(name, 0)
         carried = {n: [(of_name.get(s, 0), 1 << numbers[m, n]) for s, m in pairs] for n, pairs in steps.items()}
         facts = list(numbers)
-        return [(n, *facts[i]) for n, mask in _worklist(_successors(part["edge"]), gen, kill, carried).items() for i in _bits(mask)]
+        return [(n, *facts[i]) for n, mask in worklist(_successors(part["edge"]), gen, kill, carried).items() for i in _bits(mask)]
 
     parts = [_part(edges, "edge", node="from_node", to_node="to_node"), _part(sources, "source", "name"), _part(moves, "move", "source", "name"), _part(defs, "def", "name")]
     found = _groups(parts, run, "node long, name string, via long")

@@ -6,6 +6,9 @@ reference modifications are uses wherever they stand; the word behind OF or IN,
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +32,23 @@ RESERVED = (
     "SENTENCE", "SIZE", "SPACE", "SPACES", "TALLYING", "TEST", "THAN", "THEN", "THROUGH", "THRU", "TIME", "TIMES", "TO", "TRAILING", "TRUE", "UNTIL", "UP", "UPON", "USING", "VALUE", "VARYING", "WHEN", "WITH",
     "ZERO", "ZEROES", "ZEROS",
 )
+RESERVED_SET = frozenset(RESERVED)
 
 
 def is_name(word: Column) -> Column:
     return word.rlike(r"^[\p{L}\p{N}_$#@-]*\p{L}[\p{L}\p{N}_$#@-]*$") & ~word.isin(*RESERVED)
 
 
+ASCII_NAME = re.compile(r"[A-Z0-9_$#@-]*[A-Z][A-Z0-9_$#@-]*")
+
+
+def names(word: str) -> bool:
+    """``is_name`` of one word."""
+    if word in RESERVED_SET:
+        return False
+    return ASCII_NAME.fullmatch(word) is not None or (any(map(str.isalpha, word)) and all(c in "_$#@-" or unicodedata.category(c)[0] in "LN" for c in word))
+
+
 def _role(verb: Column, phrase: Column, gives: Column) -> Column:
     table = []
     for v, line in ROLES.items():
