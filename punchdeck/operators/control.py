@@ -1,7 +1,7 @@
-"""The control flow graph of programs from statement rows: windows for what comes next, joins for where names lead.
+"""The control flow graph of programs from statement rows, each program's made where its rows are.
 
-``stmts`` and ``procedures`` are those of ``punchdeck.sources.cobol``. Nodes are statement numbers, ENTRY and EXIT. All programs
-are taken together; nothing depends on how many statements or procedures there are, and no step goes along the edges.
+``stmts`` and ``procedures`` are those of ``punchdeck.sources.cobol``. Nodes are statement numbers, ENTRY and EXIT. Nothing is
+bounded by how many statements or procedures there are, and no step goes along the edges.
 
 - A statement leads to the next one of its branch, else to what follows the statement that holds it; a body that may
   repeat leads back to its PERFORM. The last of a procedure falls through to the next procedure that has statements.
@@ -16,10 +16,14 @@ are taken together; nothing depends on how many statements or procedures there a
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punchdeck.operators.graph import cut
+from punchdeck.operators.graph import each_group
 from punchdeck.operators.linker import named_procedures
 
 ENTRY, EXIT = 0, -1
@@ -101,67 +105,189 @@ def ranges(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
     return at.join(sections.select("program", F.col("idx").alias("to"), "end"), ["program", "to"]).select("program", "stmt", "again", "low", F.col("end").alias("high"))
 
 
-def follows(stmts: DataFrame) -> DataFrame:
-    """``(program, stmt, proc, next, out)``: the statement after each one has completed; ``out`` if that lies past the end of its procedure."""
-    w = Window.partitionBy("program", "proc", "parent", "branch").orderBy("stmt")
-    rows = stmts.select("program", "stmt", "proc", "path", "loop", F.lead("stmt").over(w).alias("sibling"))
-    # from the inside out: itself, then what holds it
-    chain = rows.select("program", "stmt", "proc", F.posexplode(F.concat(F.array("stmt"), F.reverse("path"))).alias("hop", "holder"))
-    held = rows.select("program", F.col("stmt").alias("holder"), "sibling", (F.col("loop") == "until").alias("turns"))
-    met = chain.join(held, ["program", "holder"])
-    goes = F.when((F.col("hop") > 0) & F.coalesce("turns", F.lit(False)), F.col("holder")).otherwise(F.col("sibling"))
-    met = met.withColumn("goes", goes).groupBy("program", "stmt", "proc").agg(F.min_by("goes", F.when(F.col("goes").isNotNull(), F.col("hop"))).alias("next"))
-    return met.withColumn("out", F.col("next").isNull())
-
-
-def entries(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
-    """``(program, idx, entry, after, last_full)``: where control comes in at a procedure - its first statement, else that of a later
-    procedure, else EXIT - and the last procedure up to it that has statements. ``idx`` 0 is what comes before all procedures."""
-    firsts = stmts.groupBy("program", F.col("proc").alias("idx")).agg(F.min("stmt").alias("first"))
-    every = procedures.select("program", "idx").union(stmts.select("program", F.lit(0)).distinct()).union(procedures.select("program", F.lit(0)).distinct()).distinct()
-    w = Window.partitionBy("program").orderBy("idx")
-    rows = every.join(firsts, ["program", "idx"], "left")
-    later = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    beyond = w.rowsBetween(1, Window.unboundedFollowing)
-    return rows.select(
-        "program", "idx", F.coalesce(F.min("first").over(later), F.lit(EXIT)).alias("entry"), F.coalesce(F.min("first").over(beyond), F.lit(EXIT)).alias("after"),
-        F.last(F.when(F.col("first").isNotNull(), F.col("idx")), ignorenulls=True).over(w).alias("last_full"),
-    )
+#: What the rows of a program hold besides the part that they belong to.
+CELLS = {"node": "long", "a": "long", "b": "long", "name": "string", "word": "string", "words": "array<string>", "at": "array<long>", "more": "array<string>"}
 
 
-def edges(stmts: DataFrame, procedures: DataFrame, performed: DataFrame | None = None) -> DataFrame:
-    """``(program, from_node, to_node)`` of the control flow graph of each program that has statements; ``performed`` are the ``ranges`` if they are at hand."""
-    # what is met several times below is written once, which keeps each plan small
-    doors = cut(entries(stmts, procedures))
-    ways = follows(stmts).join(doors.select("program", F.col("idx").alias("proc"), "after"), ["program", "proc"]).withColumn("next", F.coalesce("next", "after")).drop("after")
-    inside = stmts.filter("parent > 0").groupBy("program", F.col("parent").alias("stmt"), "branch").agg(F.min("stmt").alias("first"))
-    filled = inside.groupBy("program", "stmt").agg(F.count("*").alias("n_filled"))
-    labels, n = F.col("branches"), F.coalesce("n_filled", F.lit(0))
-    whole = (
-        F.when(F.col("verb") == "IF", F.array_contains(labels, "ELSE")).when(F.col("verb").isin("EVALUATE", "SEARCH"), F.array_contains(labels, "WHEN OTHER"))
-        .when(F.col("verb") == "PERFORM", F.col("loop") == "once").otherwise(F.exists(labels, lambda x: F.array_contains(labels, F.concat(F.lit("NOT "), x))))
-    )
-    all_taken = F.coalesce(whole, F.lit(False)) & (n == F.size(labels)) & (n > 0)
+def rows(df: DataFrame, part: str, **columns: Column) -> DataFrame:
+    given = columns | {"part": F.lit(part)}
+    return df.select("program", *(given.get(c, F.lit(None)).cast(k).alias(c) for c, k in {"part": "string", **CELLS}.items()))
+
+
+def parts(stmts: DataFrame, procedures: DataFrame) -> list[DataFrame]:
+    """The rows of which ``Graph`` is made; what names lead to procedures is told before."""
+    c = F.col
     jumps = F.array_join("words", " ").rlike(rf"^GO(?: TO)? {_NAME}$")
-    goes_on = stmts.join(filled, ["program", "stmt"], "left").filter(~ends_program() & ~all_taken & ~jumps & ~(F.col("verb") == "NEXT")).select("program", "stmt")
-    on = cut(goes_on.join(ways, ["program", "stmt"]))
-    # NEXT SENTENCE goes to the first statement of a later sentence
-    w = Window.partitionBy("program").orderBy("sentence").rangeBetween(1, Window.unboundedFollowing)
-    skips = stmts.withColumn("to_node", F.coalesce(F.min("stmt").over(w), F.lit(EXIT))).filter("verb = 'NEXT'")
-    to = doors.select("program", "idx", "entry")
-    gone = targets(stmts, procedures).join(to, ["program", "idx"])
-    calls = cut(ranges(stmts, procedures)) if performed is None else performed
-    entered = calls.join(to.withColumnRenamed("idx", "low"), ["program", "low"])
-    # the ends of a range: what leads out of its last procedure that has statements
-    last = calls.join(doors.select("program", F.col("idx").alias("high"), F.col("last_full").alias("proc")), ["program", "high"]).filter("proc >= low")
-    leaving = on.filter("out").select("program", "proc", F.col("stmt").alias("end"))
-    points = on.select("program", "stmt", F.col("next").alias("point")).union(calls.filter("again").select("program", "stmt", "stmt"))
-    back = last.select("program", "stmt", "proc").join(leaving, ["program", "proc"]).join(points, ["program", "stmt"])
-    parts = [
-        doors.filter("idx = 0").select("program", F.lit(ENTRY), "entry"), on.select("program", "stmt", "next"), inside.select("program", "stmt", "first"), skips.select("program", "stmt", "to_node"),
-        gone.select("program", "stmt", "entry"), entered.select("program", "stmt", "entry"), back.select("program", "end", "point"), stmts.filter(ends_program()).select("program", "stmt", F.lit(EXIT)),
+    at = F.array(*(x.cast("long") for x in (c("parent"), c("last"), c("sentence"), ends_program(), jumps)))
+    return [
+        rows(stmts, "stmt", node=c("stmt"), a=c("line"), b=c("proc"), word=c("verb"), words=c("words"), at=at, more=F.concat(F.array("loop", "branch"), "branches")),
+        rows(procedures, "procedure", node=c("idx"), a=c("line"), name=c("name"), word=c("kind"), words=F.array("section", F.upper("name"), F.upper("section"))),
+        rows(branch_targets(stmts), "target", node=c("stmt"), a=c("nth"), name=F.upper("name"), word=F.upper("qualifier")),
+        rows(performs(stmts), "perform", node=c("stmt"), a=c("nth"), b=c("again"), name=F.upper("name"), word=F.upper("qualifier"), words=F.array("end")),
     ]
-    out = parts[0].toDF("program", "from_node", "to_node")
-    for p in parts[1:]:
-        out = out.union(p.toDF("program", "from_node", "to_node"))
-    return out.distinct()
+
+
+class Stmt(NamedTuple):
+    stmt: int
+    line: int
+    proc: int
+    verb: str
+    words: list[str]
+    parent: int
+    last: int
+    sentence: int
+    ends: bool
+    jumps: bool
+    loop: str | None
+    branch: str | None
+    branches: list[str]
+
+
+class Procedure(NamedTuple):
+    idx: int
+    line: int
+    name: str
+    kind: str
+    section: str | None
+    upper: str
+    upper_section: str | None
+
+
+class Range(NamedTuple):
+    stmt: int
+    again: bool
+    low: int
+    high: int
+
+
+class Graph:
+    """One program's statements and procedures, and where control goes."""
+
+    def __init__(self, cells: dict[str, list]):
+        self.part: dict[str, list[tuple]] = defaultdict(list)
+        for part, *row in zip(*(cells[c] for c in ("part", *CELLS)), strict=True):
+            self.part[part].append(tuple(row))
+        self.stmts = {n: Stmt(n, line, proc, verb, words, *at[:3], bool(at[3]), bool(at[4]), more[0], more[1], more[2:]) for n, line, proc, _, verb, words, at, more in sorted(self.part["stmt"], key=lambda x: x[0])}
+        self.procedures = {n: Procedure(n, line, name, kind, *words) for n, line, _, name, kind, words, *_ in sorted(self.part["procedure"], key=lambda x: x[0])}
+        self._named: dict[str, list[Procedure]] = defaultdict(list)
+        for p in self.procedures.values():
+            self._named[p.upper].append(p)
+        self.targets = self._targets()
+        self.ranges = self._ranges()
+        self.edges = self._edges()
+        self.successors: dict[int, list[int]] = defaultdict(list)
+        for a, b in self.edges:
+            self.successors[a].append(b)
+
+    def _meant(self, name: str, qualifier: str | None, stmt: int) -> int | None:
+        """The procedure that a statement names; a qualifier that names no section with it is passed over."""
+        there = self._named.get(name, [])
+        at = self.procedures.get(self.stmts[stmt].proc)
+        section = at.upper_section if at else None
+        found = [p for p in there if qualifier is not None and p.upper_section == qualifier] or there
+        return min(((p.upper_section != section, p.idx) for p in found), default=(None, None))[1]
+
+    def _targets(self) -> list[tuple[int, int, int]]:
+        """``(stmt, nth, idx)`` of GO TO, ALTER, WHENEVER and HANDLE."""
+        met = ((n, nth, self._meant(name, qualifier, n)) for n, nth, _, name, qualifier, *_ in self.part["target"])
+        return sorted(x for x in met if x[2] is not None)
+
+    def _ranges(self) -> list[Range]:
+        """The procedures that each PERFORM, SORT and MERGE runs; a section runs to its last paragraph."""
+        ends: dict[tuple, dict[str, int | None]] = defaultdict(dict)
+        for n, nth, again, name, qualifier, words, *_ in self.part["perform"]:
+            ends[n, nth, bool(again)][words[0]] = self._meant(name, qualifier, n)
+        sections = [p.idx for p in self.procedures.values() if p.kind == "SECTION"]
+        out = []
+        for (n, _, again), end in sorted(ends.items()):
+            low, high = end.get("low"), end.get("high")
+            if low is None:
+                continue
+            high = high if high is not None and high >= low else low
+            if self.procedures[high].kind == "SECTION":
+                high = next((i - 1 for i in sections if i > high), max(self.procedures))
+            out.append(Range(n, again, low, high))
+        return out
+
+    def _follows(self, siblings: dict[int, int], s: Stmt) -> int | None:
+        """The statement after one that has completed, in its procedure: from the inside out."""
+        at, inner = s, True
+        while True:
+            if not inner and at.loop == "until":
+                return at.stmt
+            if at.stmt in siblings:
+                return siblings[at.stmt]
+            if not at.parent:
+                return None
+            at, inner = self.stmts[at.parent], False
+
+    def _edges(self) -> list[tuple[int, int]]:
+        stmts, firsts, inside, siblings, latest = self.stmts, {}, {}, {}, {}
+        for n, s in stmts.items():
+            firsts.setdefault(s.proc, n)
+            if s.parent:
+                inside.setdefault((s.parent, s.branch), n)
+            key = (s.proc, s.parent, s.branch)
+            if key in latest:
+                siblings[latest[key]] = n
+            latest[key] = n
+        full = sorted(firsts)
+        # where control comes in at a procedure or behind it: the first statement there, else EXIT
+        entry = lambda idx: next((firsts[i] for i in full if i >= idx), EXIT)
+        filled = Counter(n for n, _ in inside)
+        out, on, leaving = set(), {}, defaultdict(list)
+        if stmts or self.procedures:
+            out.add((ENTRY, entry(0)))
+        for n, s in stmts.items():
+            if s.ends:
+                out.add((n, EXIT))
+            elif s.verb == "NEXT":
+                # NEXT SENTENCE goes to the first statement of a later sentence
+                out.add((n, next((m for m, x in stmts.items() if m > n and x.sentence > s.sentence), EXIT)))
+            elif not s.jumps and not self._all_taken(s, filled[n]):
+                after = self._follows(siblings, s)
+                if after is None:
+                    leaving[s.proc].append(n)
+                    after = entry(s.proc + 1)
+                on[n] = after
+                out.add((n, after))
+        out |= {(n, first) for (n, _), first in inside.items()} | {(n, entry(idx)) for n, _, idx in self.targets} | {(r.stmt, entry(r.low)) for r in self.ranges}
+        points = defaultdict(set)
+        for n, after in on.items():
+            points[n].add(after)
+        for r in self.ranges:
+            if r.again:
+                points[r.stmt].add(r.stmt)
+        for r in self.ranges:
+            # the ends of a range: what leads out of its last procedure that has statements
+            last = max((i for i in full if i <= r.high), default=-1)
+            if last >= r.low:
+                out |= {(end, point) for end in leaving[last] for point in points[r.stmt]}
+        return sorted(out)
+
+    @staticmethod
+    def _all_taken(s: Stmt, filled: int) -> bool:
+        """Whether a statement's branches are all there are and none is empty."""
+        if s.verb == "IF":
+            whole = "ELSE" in s.branches
+        elif s.verb in ("EVALUATE", "SEARCH"):
+            whole = "WHEN OTHER" in s.branches
+        elif s.verb == "PERFORM":
+            whole = s.loop == "once"
+        else:
+            whole = any(f"NOT {x}" in s.branches for x in s.branches)
+        return whole and filled == len(s.branches) and filled > 0
+
+    def bodies(self) -> list[tuple[int, int, int]]:
+        """``(node, a, b)``: the statements that each PERFORM with UNTIL repeats."""
+        out = [(n, n + 1, s.last) for n, s in self.stmts.items() if s.loop == "until" and s.last > n]
+        run: dict[int, list[int]] = defaultdict(list)
+        for r in self.ranges:
+            if r.again:
+                run[r.stmt] += [n for n, s in self.stmts.items() if r.low <= s.proc <= r.high]
+        return out + [(n, min(held), max(held)) for n, held in run.items() if held]
+
+
+def edges(stmts: DataFrame, procedures: DataFrame) -> DataFrame:
+    """``(program, from_node, to_node)`` of the control flow graph of each program that has statements."""
+    return each_group(reduce(DataFrame.union, parts(stmts, procedures)), "program", lambda cells: Graph(cells).edges, "from_node int, to_node int")

@@ -1,6 +1,6 @@
 """Definitions and uses of names in statements: each word of a statement has the role of the phrase it stands in.
 
-Roles are a table of verbs and phrases; a word's phrase is a window over the words of its statement. Subscripts and
+Roles are a table of verbs and phrases; a word's phrase is the last one told in its statement. Subscripts and
 reference modifications are uses wherever they stand; the word behind OF or IN, a procedure's name and literals are none.
 """
 
@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from punchdeck.operators.graph import each_row
+
 # For each verb its phrases (the verb's own first) with what the names behind them are: D defined, U used, B both,
 # 1 the first name defined, 2 the first name both, 3 the first name used, - none. Behind GIVING: what a phrase is if the statement has GIVING.
 ROLES = {
@@ -49,41 +51,40 @@ def names(word: str) -> bool:
     return ASCII_NAME.fullmatch(word) is not None or (any(map(str.isalpha, word)) and all(c in "_$#@-" or unicodedata.category(c)[0] in "LN" for c in word))
 
 
-def _role(verb: Column, phrase: Column, gives: Column) -> Column:
-    table = []
-    for v, line in ROLES.items():
-        parts = line.split()
-        for name, role in zip(parts[::2], parts[1::2], strict=True):
-            table += [F.lit(f"{v} {name}"), F.lit(role)]
-    role = F.coalesce(F.create_map(*table)[F.concat_ws(" ", verb, phrase)], F.lit("U"))
-    return F.when(role.contains("/"), F.when(gives, F.substring(role, 3, 1)).otherwise(F.substring(role, 1, 1))).otherwise(role)
+#: The roles of ``ROLES`` by verb and phrase.
+TABLE = {(v, name): role for v, line in ROLES.items() for name, role in zip(line.split()[::2], line.split()[1::2], strict=True)}
+
+
+def named(verb: str, words: list[str]) -> list[tuple[str, bool, bool]]:
+    """``(name, defined, used)``: the names in one statement, each once."""
+    out: dict[str, list[bool]] = {}
+    gives, depth, phrase, seen = "GIVING" in words, 0, None, set()
+    for i, word in enumerate(words):
+        depth += (word == "(") - (word == ")")
+        if depth == 0 and (verb, word) in TABLE:
+            phrase = (i, word)
+        # FUNCTION NAME and the qualifier behind OF or IN are no operands
+        if not i or not names(word) or words[i - 1] in ("OF", "IN", "FUNCTION"):
+            continue
+        role = TABLE.get((verb, phrase[1]), "U") if phrase else "U"
+        if "/" in role:
+            role = role[2] if gives else role[0]
+        if verb == "PERFORM" and words[i + 1 : i + 2] == ["TIMES"]:
+            role = "U"
+        inside = depth > 0
+        once = (phrase, inside) not in seen
+        seen.add((phrase, inside))
+        held = out.setdefault(word, [False, False])
+        held[0] |= not inside and (role in ("D", "B") or (role in ("1", "2") and once))
+        held[1] |= inside or role in ("U", "B") or (role in ("2", "3") and once)
+    # a loop's own variables are set before they are tested
+    return [(name, defined, used and not (defined and verb == "PERFORM")) for name, (defined, used) in out.items() if defined or used]
 
 
 def operands(stmts: DataFrame) -> DataFrame:
     """``(program, node, name, defined, used)``: the names in each statement of ``punchdeck.sources.cobol``, each once."""
-    simple = stmts.filter("verb not like 'EXEC %'").select("program", F.col("stmt").alias("node"), "verb", F.array_contains("words", "GIVING").alias("gives"), F.posexplode("words").alias("at", "word"))
-    w = Window.partitionBy("program", "node").orderBy("at")
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    phrases = F.array(*(F.lit(f"{v} {p}") for v, line in ROLES.items() for p in line.split()[::2]))
-    rows = simple.withColumn("depth", F.sum(F.when(F.col("word") == "(", 1).when(F.col("word") == ")", -1).otherwise(0)).over(so_far))
-    rows = rows.withColumns({"before": F.lag("word").over(w), "behind": F.lead("word").over(w)})
-    told = (F.col("depth") == 0) & F.array_contains(phrases, F.concat_ws(" ", "verb", "word"))
-    rows = rows.withColumn("phrase_at", F.last(F.when(told, F.struct("at", "word")), ignorenulls=True).over(w))
-    # FUNCTION NAME and the qualifier behind OF or IN are no operands
-    rows = rows.filter(is_name(F.col("word")) & (F.col("at") > 0) & ~F.coalesce(F.col("before").isin("OF", "IN", "FUNCTION"), F.lit(False)))
-    rows = rows.withColumn("role", _role(F.col("verb"), F.col("phrase_at.word"), F.col("gives")))
-    rows = rows.withColumn("role", F.when((F.col("verb") == "PERFORM") & (F.col("behind") == "TIMES"), "U").otherwise(F.col("role")))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("program", "node", "phrase_at", F.col("depth") > 0).orderBy("at")))
-    once, inside = F.col("nth") == 1, F.col("depth") > 0
-    role = F.col("role")
-    defined = ~inside & (role.isin("D", "B") | (role.isin("1", "2") & once))
-    used = inside | role.isin("U", "B") | (role.isin("2", "3") & once)
-    marked = rows.select("program", "node", F.col("word").alias("name"), defined.alias("defined"), used.alias("used"))
-    # a loop's own variables are set before they are tested
-    marked = marked.groupBy("program", "node", "name").agg(F.max("defined").alias("defined"), F.max("used").alias("used")).filter("defined or used")
-    controls = stmts.filter("verb = 'PERFORM'").select("program", F.col("stmt").alias("node"), F.lit(True).alias("controls"))
-    marked = marked.join(controls, ["program", "node"], "left").withColumn("used", F.col("used") & ~(F.col("defined") & F.col("controls").isNotNull())).drop("controls")
-    return marked.union(embedded(stmts))
+    simple = stmts.filter("verb not like 'EXEC %'").select(F.struct("program", F.col("stmt").alias("node")).alias("at"), "verb", "words")
+    return each_row(simple, "at", named, "name string, defined boolean, used boolean").select("at.*", "name", "defined", "used").union(embedded(stmts))
 
 
 def embedded(stmts: DataFrame) -> DataFrame:

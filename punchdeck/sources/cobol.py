@@ -1,9 +1,8 @@
 """COBOL sources of fixed format as rows: tokens, data items, procedures and nested statements.
 
-A source is cut into tokens by one expression over its text; divisions, sections, sentences and entries are windows over
-the tokens of a program, all on one partitioning. Scopes (END-IF, ELSE, WHEN, AT END ..., periods) need a stack: a small
-function over the tokens of one program, which gets only what may open or close a scope marked by Spark and returns
-statement rows. This is a segmentation by reserved words, not a grammar: a word that isn't known is an operand.
+A source is cut into tokens by one expression over its text; divisions, sections, sentences and entries are told by a pass
+over the tokens of a program. Scopes (END-IF, ELSE, WHEN, AT END ..., periods) need a stack: a small function over the same
+tokens, which returns statement rows. This is a segmentation by reserved words, not a grammar: a word that isn't known is an operand.
 
 Lines count from 1; columns 8 to 72 are read; comment lines (``*``, ``/``, ``D`` in column 7) and ``*>`` comments are passed
 over; a literal or word goes on where column 7 holds ``-``. A source has one program.
@@ -11,10 +10,16 @@ over; a literal or word goes on where column 7 holds ``-``. A source has one pro
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punchdeck.operators.graph import dealt, each_group
+from punchdeck.operators.graph import cut, dealt, each_group, each_row
+from punchdeck.operators.operands import names
 
 # Words that begin a statement.
 VERBS = (
@@ -68,26 +73,55 @@ def by_program() -> Window:
     return Window.partitionBy("program").orderBy("pos")
 
 
-def tokens(sources: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(program, pos, line, token, word, division)``; ``word`` is the token in upper case. Sources are dealt out before they
-    are taken apart, so the windows of a program need no exchange of tokens."""
+class Token(NamedTuple):
+    line: int
+    token: str
+    word: str
+    division: str | None
+
+
+_BLANK = r"[ \t\n\x0b\f\r]"
+_LITERAL_ON = re.compile(rf"(?<=[^\n{MORE}])\n*{MORE}{_BLANK}*[\"']")
+_WORD_ON = re.compile(rf"(?<=[\w-]) *\n*{MORE}{_BLANK}*")
+_QUOTED = re.compile(r"[XNGBZxngbz]?[\"']")
+
+
+def _told(found: list[str]) -> list[tuple[int, Token]]:
+    """One program's tokens with their places, without comments and the ends of lines."""
+    rows, line = [], 0
+    for pos, token in enumerate(found):
+        marks = token.count(NEW) + token.count(MORE)
+        # the ends of lines that follow each other are one token
+        if token[0] not in (NEW, MORE) and token[:2] != "*>":
+            shown = token
+            # parts of a literal or word on several lines are put together
+            if MORE in token:
+                shown = (_LITERAL_ON if _QUOTED.match(token) else _WORD_ON).sub("", token)
+            rows.append((pos, line, shown, shown.upper()))
+        line += marks
+    out, division = [], None
+    for i, (pos, line, token, word) in enumerate(rows):
+        if word in DIVISIONS and i + 1 < len(rows) and rows[i + 1][3] == "DIVISION":
+            division = "IDENTIFICATION" if word == "ID" else word
+        out.append((pos, Token(line, token, word, division)))
+    return out
+
+
+def _found(sources: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(program, found)``: the pieces of each source."""
     rows = sources.select(F.col(id_column).alias("program"), F.col(text_column).alias("text"))
     rows = dealt(rows, "program").select("program", _area(F.col("text")).alias("area"))
-    # an inner explode would be given a filter on its array, for which each text is taken apart once more
-    rows = rows.select("program", F.posexplode_outer(F.regexp_extract_all("area", F.lit(f"({TOKEN})"), F.lit(1))).alias("pos", "token")).filter("token is not null")
-    broken, goes_on = F.contains("token", F.lit(NEW)) | F.contains("token", F.lit(MORE)), F.contains("token", F.lit(MORE))
-    marks = F.when(broken, F.length("token") - F.length(F.translate("token", NEW + MORE, ""))).otherwise(0)
-    rows = rows.withColumn("line", F.sum(marks).over(by_program().rowsBetween(Window.unboundedPreceding, -1)).cast("int"))
-    # the ends of lines that follow each other are one token, so comments are no rows of their own
-    rows = rows.filter(~F.substring("token", 1, 1).isin(NEW, MORE) & ~F.col("token").startswith("*>"))
-    # parts of a literal or word on several lines are put together
-    literal = F.regexp_replace("token", rf"(?<=[^\n{MORE}])\n*{MORE}\s*[\"']", "")
-    joined = F.when(F.col("token").rlike(r"^[XNGBZxngbz]?[\"']"), literal).otherwise(F.regexp_replace("token", rf"(?<=[\p{{L}}\p{{N}}_-]){_ON}", ""))
-    rows = rows.withColumn("token", F.when(goes_on, joined).otherwise(F.col("token")))
-    rows = rows.withColumn("word", F.upper("token"))
-    w = by_program()
-    opens = F.col("word").isin(*DIVISIONS) & (F.lead("word").over(w) == "DIVISION")
-    return rows.withColumn("division", F.last(F.when(opens, F.when(F.col("word") == "ID", "IDENTIFICATION").otherwise(F.col("word"))), ignorenulls=True).over(w))
+    return rows.select("program", F.regexp_extract_all("area", F.lit(f"({TOKEN})"), F.lit(1)).alias("found"))
+
+
+def tokens(sources: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(program, pos, line, token, word, division)``; ``word`` is the token in upper case."""
+    return each_row(_found(sources, id_column, text_column), "program", lambda found: [(pos, *t) for pos, t in _told(found)], "pos int, line int, token string, word string, division string")
+
+
+def _by_program(tokens: DataFrame, run: Callable[[list[Token]], list[tuple]], columns: str) -> DataFrame:
+    """What ``run`` returns for the tokens of each program."""
+    return each_group(tokens.select("program", "pos", *Token._fields), "program", lambda c: run([Token(*x) for x in zip(*(c[n] for n in Token._fields), strict=True)]), columns, "pos")
 
 
 def _after(words: Column, *names: str, skip: tuple[str, ...] = ("IS", "ARE")) -> Column:
@@ -122,50 +156,108 @@ def records(tokens: DataFrame) -> DataFrame:
     return rows.filter("head in ('1', '01') and file <> ''").select("program", "file", F.col("name").alias("record"))
 
 
+LEVEL = re.compile(r"0?[1-9]|[1-4][0-9]|66|77|88")
+PICTURE = re.compile(rf"PIC(TURE)?{_BLANK}")
+PICTURE_WORDS = re.compile(rf"^PIC(TURE)?{_BLANK}+(IS{_BLANK}+)?")
+ITEM = "idx int, line int, section string, level int, name string, picture string, usage string, occurs string, redefines string, value string, signed_apart boolean"
+
+
+def _at(words: list[str], i: int) -> str | None:
+    return words[i] if i < len(words) else None
+
+
+def _behind(words: list[str], name: str) -> str | None:
+    """The word behind the first of that name, without IS and ARE."""
+    if name not in words:
+        return None
+    at = words.index(name) + 1
+    return _at(words, at + 1) if _at(words, at) in ("IS", "ARE") else _at(words, at)
+
+
+def _items(tokens: list[Token]) -> list[tuple]:
+    """One program's data items, ``occurs`` as it is written."""
+    out, entry, section = [], [], None
+    rows = [t for t in tokens if t.division == "DATA"]
+    for i, t in enumerate([*rows, None]):
+        if t is not None:
+            if t.word in DATA_SECTIONS and i + 1 < len(rows) and rows[i + 1].word == "SECTION":
+                section = t.word
+            if t.word != ".":
+                entry.append((t, section))
+                continue
+        held, entry = entry, []
+        words = [x.word for x, _ in held]
+        if not words or not LEVEL.fullmatch(words[0]):
+            continue
+        second = _at(words, 1)
+        named = second is not None and second not in CLAUSES and not PICTURE.match(second)
+        picture = next((w for w in words if PICTURE.match(w)), None)
+        usage = next((USAGES[w] for w in words if w in USAGES), None)
+        at = words.index("OCCURS") + 1 if "OCCURS" in words else 0
+        occurs = _at(words, at + 2) if _at(words, at + 1) == "TO" else None
+        at = max(words.index(w) + 1 if w in words else 0 for w in ("VALUE", "VALUES"))
+        given = at + (_at(words, at) in ("IS", "ARE"))
+        out.append((
+            len(out) + 1, held[0][0].line, held[-1][1], int(words[0]), second if named else "FILLER", PICTURE_WORDS.sub("", picture) or None if picture else None, usage, _behind(words, "OCCURS") if occurs is None else occurs,
+            _behind(words, "REDEFINES"), held[given][0].token if at and given < len(held) else None, "SEPARATE" in words,
+        ))
+    return out
+
+
 def data_items(tokens: DataFrame) -> DataFrame:
     """``(program, idx, line, section, level, name, picture, usage, occurs, redefines, value, signed_apart)``, ``idx`` from 1 in source order.
 
     Levels 66 and 88 are among them; ``occurs`` is the greatest number of times; a nameless item is ``FILLER``;
     ``value`` is as it is written, the first one of an 88.
     """
-    w = by_program()
-    rows = tokens.filter("division = 'DATA'")
-    rows = rows.withColumn("section", F.last(F.when(F.col("word").isin(*DATA_SECTIONS) & (F.lead("word").over(w) == "SECTION"), F.col("word")), ignorenulls=True).over(w))
-    rows = rows.withColumn("entry", F.count_if(F.col("word") == ".").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    found = rows.filter("word <> '.'").groupBy("program", "entry").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "token", "line"))).alias("t"), F.last("section").alias("section"))
-    found = found.withColumn("w", F.transform("t", lambda x: x["word"])).filter(F.get("w", F.lit(0)).rlike(r"^(0?[1-9]|[1-4][0-9]|66|77|88)$"))
-    words, second = F.col("w"), F.get("w", F.lit(1))
-    named = second.isNotNull() & ~second.isin(*CLAUSES) & ~second.rlike(r"^PIC(TURE)?\s")
-    picture = F.get(F.filter(words, lambda x: x.rlike(r"(?s)^PIC(TURE)?\s")), F.lit(0))
-    usage = F.get(F.filter(words, lambda x: x.isin(*USAGES)), F.lit(0))
-    to = F.when(F.get(words, F.array_position(words, "OCCURS").cast("int") + 1) == "TO", F.get(words, F.array_position(words, "OCCURS").cast("int") + 2))
-    raw = F.transform("t", lambda x: x["token"])
-    at = F.greatest(F.array_position(words, "VALUE"), F.array_position(words, "VALUES")).cast("int")
-    value = F.when(F.get(words, at).isin("IS", "ARE"), F.get(raw, at + 1)).otherwise(F.get(raw, at))
-    return found.select(
-        "program", F.row_number().over(Window.partitionBy("program").orderBy("entry")).alias("idx"), F.col("t")[0]["line"].alias("line"), "section", words[0].cast("int").alias("level"),
-        F.when(named, second).otherwise("FILLER").alias("name"), F.nullif(F.regexp_replace(picture, r"(?s)^PIC(TURE)?\s+(IS\s+)?", ""), F.lit("")).alias("picture"),
-        F.create_map(*(F.lit(x) for kv in USAGES.items() for x in kv))[usage].alias("usage"), F.coalesce(to, _after(words, "OCCURS")).try_cast("int").alias("occurs"),
-        _after(words, "REDEFINES").alias("redefines"), F.when(at > 0, value).alias("value"), F.array_contains(words, "SEPARATE").alias("signed_apart"),
-    )
-
-
-def _sentences(tokens: DataFrame) -> DataFrame:
-    """Tokens of the procedure division with ``sentence`` and what begins a procedure."""
-    w = by_program()
-    rows = tokens.filter("division = 'PROCEDURE'")
-    rows = rows.withColumns({"sentence": F.count_if(F.col("word") == ".").over(w.rowsBetween(Window.unboundedPreceding, -1)), "lag1": F.lag("word").over(w), "lag2": F.lag("word", 2).over(w)})
-    rows = rows.withColumns({"lead1": F.lead("word").over(w), "lead2": F.lead("word", 2).over(w)})
-    name = (F.col("lag1") == ".") & ~F.col("word").isin(*VERBS, "END", "DECLARATIVES", "EJECT", "SKIP1", "SKIP2", "SKIP3") & F.col("word").rlike(r"^[\p{L}\p{N}]")
-    kind = F.when(name & (F.col("lead1") == "SECTION"), "SECTION").when(name & (F.col("lead1") == "."), "PARAGRAPH")
-    return rows.withColumn("kind", kind).withColumn("proc", F.count("kind").over(w).cast("int"))
+    return _by_program(tokens.filter("division = 'DATA'"), _items, ITEM).withColumn("occurs", F.col("occurs").try_cast("int"))
+
+
+class Said(NamedTuple):
+    """A token of the procedure division with what stands beside it; ``kind`` if it begins a procedure."""
+
+    line: int
+    token: str
+    word: str
+    sentence: int
+    kind: str | None
+    proc: int
+    before: str | None
+    behind: str | None
+    then: str | None
+
+
+NO_NAMES = frozenset((*VERBS, "END", "DECLARATIVES", "EJECT", "SKIP1", "SKIP2", "SKIP3"))
+
+
+def _said(tokens: list[Token]) -> list[Said]:
+    rows, out, sentence, proc = [t for t in tokens if t.division == "PROCEDURE"], [], 0, 0
+    words = [t.word for t in rows] + [None, None]
+    for i, t in enumerate(rows):
+        before, word, behind, kind = words[i - 1] if i else None, t.word, words[i + 1], None
+        if before == "." and behind in ("SECTION", ".") and word not in NO_NAMES and unicodedata.category(word[0])[0] in "LN":
+            kind = "SECTION" if behind == "SECTION" else "PARAGRAPH"
+            proc += 1
+        out.append(Said(t.line, t.token, word, sentence, kind, proc, before, behind, words[i + 2]))
+        sentence += word == "."
+    return out
+
+
+PROCEDURE = "idx int, name string, kind string, section string, line int"
+
+
+def _procedures(said: list[Said]) -> list[tuple]:
+    out, section = [], None
+    for t in said:
+        if t.kind:
+            section = t.word if t.kind == "SECTION" else section
+            out.append((t.proc, t.word, t.kind, section, t.line))
+    return out
 
 
 def procedures(tokens: DataFrame) -> DataFrame:
     """``(program, idx, name, kind, section, line)``: sections and paragraphs from 1 in source order; a section lies in itself."""
-    rows = _sentences(tokens).filter("kind is not null")
-    section = F.last(F.when(F.col("kind") == "SECTION", F.col("word")), ignorenulls=True).over(by_program())
-    return rows.select("program", F.col("proc").alias("idx"), F.col("word").alias("name"), "kind", section.alias("section"), "line")
+    return _by_program(tokens.filter("division = 'PROCEDURE'"), lambda t: _procedures(_said(t)), PROCEDURE)
 
 
 STATEMENT = (
@@ -248,6 +340,56 @@ def _nest(tokens: dict[str, list]) -> list[tuple]:
     return [tuple(row.values()) for row in out]
 
 
+VERB_SET = frozenset(VERBS)
+ENDS = re.compile("END-(?!EXEC|OF)")
+EXEC = re.compile(rf"EXEC{_BLANK}")
+
+
+def _holds(t: Said) -> bool:
+    """Whether a phrase that holds statements is told by this word."""
+    if t.word == "END":
+        return t.behind not in ("PROGRAM", "DECLARATIVES", "CLASS", "METHOD") and t.before not in (None, ".")
+    return t.word in ("INVALID", "EXCEPTION", "OVERFLOW", "EOP", "END-OF-PAGE") or (t.word == "SIZE" and t.behind == "ERROR")
+
+
+def _event(said: list[Said], i: int) -> str | None:
+    """What a token opens or closes."""
+    t = said[i]
+    word, before, behind = t.word, t.before, t.behind
+    embedded = EXEC.match(word) is not None
+    if (word in VERB_SET and t.kind is None) or embedded:
+        no = (word == "NEXT" and behind != "SENTENCE") or (word == "ENTRY" and before == "TO") or (word == "PERFORM" and before == "EXIT") or (word == "GENERATE" and before in ("XML", "JSON"))
+        if not no:
+            if word != "PERFORM":
+                return "verb"
+            if behind in ("UNTIL", "VARYING", "WITH", "TEST") or t.then == "TIMES":
+                return "verb:until"
+            return "verb:once" if behind is not None and (behind in VERB_SET or EXEC.match(behind)) else "verb"
+    if word == ".":
+        return "period"
+    if word == "ELSE":
+        return "else"
+    if word == "WHEN":
+        return "when:WHEN OTHER" if behind == "OTHER" else "when:"
+    if ENDS.match(word):
+        return "close:" + word[4:44]
+    # a phrase begins with its first word: [NOT] [AT | ON] END
+    next_holds = lambda k: i + k < len(said) and _holds(said[i + k])
+    if word == "NOT":
+        if next_holds(1):
+            return f"phrase:NOT {behind}"
+        return f"phrase:NOT {t.then}" if behind in ("AT", "ON") and next_holds(2) else None
+    if word in ("AT", "ON"):
+        return f"phrase:{behind}" if before not in (None, "NOT") and next_holds(1) else None
+    return f"phrase:{word}" if before not in (None, "NOT", "AT", "ON") and _holds(t) else None
+
+
+def _statements(said: list[Said]) -> list[tuple]:
+    rows = [(t, _event(said, i)) for i, t in enumerate(said) if t.sentence > 0]
+    cells = {c: [getattr(t, c) for t, _ in rows] for c in ("word", "token", "line", "proc", "sentence")}
+    return _nest(cells | {"event": [e for _, e in rows]})
+
+
 def statements(tokens: DataFrame) -> DataFrame:
     """Statements in source order, from 1: ``(program, stmt, line, verb, parent, branch, path, last, branches, loop, proc, sentence, words, text)``.
 
@@ -255,27 +397,29 @@ def statements(tokens: DataFrame) -> DataFrame:
     ...), ``path`` all that hold it, ``last`` the last statement within it, ``branches`` those it opens. ``loop`` tells an inline PERFORM:
     ``until`` if it may repeat, else ``once``. ``words`` are its own, without those of statements in it; an EXEC block is one word.
     """
-    rows, word, before, behind = _sentences(tokens), F.col("word"), F.col("lag1"), F.col("lead1")
-    starts = (word.isin(*VERBS) & F.col("kind").isNull()) | word.rlike(r"^EXEC\s")
-    starts &= ~((word == "NEXT") & (F.coalesce(behind, F.lit("")) != "SENTENCE")) & ~((word == "ENTRY") & (before == "TO")) & ~((word == "PERFORM") & (before == "EXIT")) & ~((word == "GENERATE") & before.isin("XML", "JSON"))
-    repeats = F.coalesce(behind.isin("UNTIL", "VARYING", "WITH", "TEST") | (F.col("lead2") == "TIMES"), F.lit(False))
-    inline = F.when(word == "PERFORM", F.when(repeats, ":until").when(behind.isin(*VERBS) | behind.rlike(r"^EXEC\s"), ":once").otherwise("")).otherwise("")
-    holds = (
-        ((word == "END") & ~F.coalesce(behind.isin("PROGRAM", "DECLARATIVES", "CLASS", "METHOD"), F.lit(False)) & (before != ".")) | ((word == "SIZE") & (behind == "ERROR"))
-        | word.isin("INVALID", "EXCEPTION", "OVERFLOW", "EOP", "END-OF-PAGE")
-    )
-    # a phrase begins with its first word: [NOT] [AT | ON] END
-    w, link = by_program(), F.col("lead1").isin("AT", "ON")
-    rows = rows.withColumn("holds", F.coalesce(holds, F.lit(False)))
-    rows = rows.withColumns({"h1": F.coalesce(F.lead("holds").over(w), F.lit(False)), "h2": F.coalesce(F.lead("holds", 2).over(w), F.lit(False))})
-    phrase = (
-        F.when((word == "NOT") & F.col("h1"), F.concat(F.lit("NOT "), F.col("lead1"))).when((word == "NOT") & link & F.col("h2"), F.concat(F.lit("NOT "), F.col("lead2")))
-        .when(word.isin("AT", "ON") & F.col("h1") & (before != "NOT"), F.col("lead1")).when(F.col("holds") & ~before.isin("NOT", "AT", "ON"), word)
-    )
-    event = (
-        F.when(starts, F.concat(F.lit("verb"), inline)).when(word == ".", "period").when(word == "ELSE", "else")
-        .when(word == "WHEN", F.concat(F.lit("when:"), F.when(behind == "OTHER", "WHEN OTHER").otherwise("")))
-        .when(word.rlike("^END-(?!EXEC|OF)"), F.concat(F.lit("close:"), F.substring(word, 5, 40))).when(phrase.isNotNull(), F.concat(F.lit("phrase:"), phrase))
-    )
-    rows = rows.filter("sentence > 0").withColumn("event", event).select("program", "pos", "line", "token", "word", "proc", "sentence", "event")
-    return each_group(rows, "program", _nest, STATEMENT, "pos")
+    return _by_program(tokens.filter("division = 'PROCEDURE'"), lambda t: _statements(_said(t)), STATEMENT)
+
+
+def taken_apart(sources: DataFrame, id_column: str, text_column: str) -> dict[str, DataFrame]:
+    """``items``, ``procedures`` and ``statements`` of sources, and ``parameters(program, name)``, the operands of PROCEDURE DIVISION USING:
+    each source is taken apart once, where its row is, and what is told of it is written once."""
+    kinds = {"items": ITEM, "procedures": PROCEDURE, "statements": STATEMENT, "parameters": "name string"}
+    columns = list(dict.fromkeys(c for k in kinds.values() for c in k.split(", ")))
+    place = {k: [columns.index(c) + 1 for c in v.split(", ")] for k, v in kinds.items()}
+
+    def laid(kind: str, row: tuple) -> tuple:
+        out = [kind] + [None] * len(columns)
+        for i, x in zip(place[kind], row, strict=True):
+            out[i] = x
+        return tuple(out)
+
+    def run(found: list[str]) -> list[tuple]:
+        tokens = [t for _, t in _told(found)]
+        said = _said(tokens)
+        named = dict.fromkeys(t.word for t in said[: next((i for i, t in enumerate(said) if t.word == "."), len(said))] if t.word not in ("PROCEDURE", "DIVISION") and names(t.word))
+        made = {"items": _items(tokens), "procedures": _procedures(said), "statements": _statements(said), "parameters": [(n,) for n in named]}
+        return [laid(kind, row) for kind, rows in made.items() for row in rows]
+
+    rows = cut(each_row(_found(sources, id_column, text_column), "program", run, ", ".join(("part string", *columns))))
+    out = {k: rows.filter(F.col("part") == k).select("program", *(c.rsplit(" ", 1)[0] for c in v.split(", "))) for k, v in kinds.items()}
+    return out | {"items": out["items"].withColumn("occurs", F.col("occurs").try_cast("int"))}

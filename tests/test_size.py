@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from punchdeck.operators import graph, program_rules, sqlscope
+from punchdeck.operators import control, graph, program_rules, sqlscope
 from punchdeck.sources import cobol, scripts
 
 PROGRAM = """       DATA DIVISION.
@@ -82,3 +82,23 @@ def test_scripts_are_split_where_their_rows_are(spark):
     rows = spark.createDataFrame([(1, "SELECT 1; -- x;\nCOMMIT")], "id long, text string")
     plan = scripts.statements(rows, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_programs_are_taken_apart_once_for_all_rules(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    texts = spark.createDataFrame([(1, PROGRAM), (2, None), (3, "")], "id long, text string").mapInArrow(count, "id long, text string")
+    s = program_rules.sourced(texts, "id", "text")
+    assert {tuple(r) for r in program_rules.program_rules(s).collect()} == {(1, 11, "R001", "X")}
+    assert seen.value == 3
+    f = program_rules.facts(texts, "id", "text")
+    for a, b in ((s.items, f.items), (s.procedures, f.procedures), (s.stmts, f.stmts)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.dtypes == b.dtypes
+    # a program's graph is made where its rows are
+    plan = control.edges(s.stmts, s.procedures)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
