@@ -61,7 +61,20 @@ SENT = 8_192
 
 
 def _cells(column: pa.Array) -> list:
-    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+    kind = column.type
+    if pa.types.is_string(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_list(kind):
+        cells, out, start = _cells(column.flatten()), [], 0
+        for size in _cells(column.value_lengths()):
+            out.append(None if size is None else cells[start : start + size])
+            start += size or 0
+        return out
+    if not pa.types.is_integer(kind):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return [x if there else None for x, there in zip(column.fill_null(0).to_numpy(zero_copy_only=False).tolist(), column.is_valid().to_numpy(zero_copy_only=False).tolist(), strict=True)]
 
 
 def each_group(df: DataFrame, key: str, run: Callable[[dict[str, list]], list[tuple]], columns: str, *order: str) -> DataFrame:
@@ -122,13 +135,7 @@ def each_row(df: DataFrame, key: str, run: Callable[..., list[tuple]], columns:
     names, rest = [c for c in df.columns if c != key], [c.rsplit(" ", 1) for c in columns.split(", ")]
 
     def values(column: pa.Array) -> list:
-        if not pa.types.is_list(column.type):
-            return column.to_pylist()
-        cells, out, start = _cells(column.flatten()), [], 0
-        for size in column.value_lengths().fill_null(0).to_pylist():
-            out.append(cells[start : start + size])
-            start += size
-        return out
+        return [x or [] for x in _cells(column)] if pa.types.is_list(column.type) else _cells(column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
